@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,12 +50,9 @@ def as_string(value: Column) -> Column:
     return F.try_variant_get(value, "$", "string")
 
 
-def scalar_kind(value: Column) -> Column:
-    """string, number, boolean, null, object or array; NULL when missing."""
-    name = F.schema_of_variant(value)
+def _kind(name: Column) -> Column:
     return (
-        F.when(value.isNull(), F.lit(None).cast("string"))
-        .when(name == "STRING", "string")
+        F.when(name == "STRING", "string")
         .when(name.isin("BIGINT", "DOUBLE") | name.startswith("DECIMAL"), "number")
         .when(name == "BOOLEAN", "boolean")
         .when(name == "VOID", "null")
@@ -62,26 +61,74 @@ def scalar_kind(value: Column) -> Column:
     )
 
 
-def text_of(value: Column, kind: Column | None = None) -> Column:
-    """Plain text of a value inside a sentence or a template.
+def _described(pairs: Column, nested: bool) -> Column:
+    """Describe an array of ``struct(key, v)``.
 
-    Whole numbers carry no fraction, arrays are comma-joined, an object is
-    ``[object Object]``.
+    Each step is its own ``transform`` so that every part is computed once; inside
+    the next lambda it is a plain reference.
     """
-    kind = scalar_kind(value) if kind is None else kind
-
-    def flat(v: Column, k: Column) -> Column:
-        return (
-            F.when(k == "number", number_text(as_double(v)))
-            .when(k == "null", "null")
-            .when(k == "object", "[object Object]")
-            .otherwise(as_string(v))
+    named = F.transform(pairs, lambda p: F.struct(
+        p["key"].alias("key"), p["v"].alias("v"), F.schema_of_variant(p["v"]).alias("name")
+    ))
+    typed = F.transform(named, lambda p: F.struct(p["key"].alias("key"), p["v"].alias("v"), _kind(p["name"]).alias("kind")))
+
+    def raw(p: Column) -> Column:
+        read = F.when(p["kind"].isin("string", "boolean"), as_string(p["v"])).when(p["kind"] == "null", "null")
+        read = read.when(p["kind"] == "object", "[object Object]")
+        if nested:
+            elements = F.transform(as_array(p["v"]), lambda e: F.struct(F.lit("").alias("key"), e.alias("v")))
+            texts = F.transform(
+                _described(elements, False), lambda d: F.when(d["kind"] == "null", "").otherwise(d["text"])
+            )
+            read = read.when(p["kind"] == "array", F.array_join(texts, ",", ""))
+        else:
+            read = read.when(p["kind"] == "array", F.to_json(p["v"]))
+        return F.struct(
+            p["key"].alias("key"), p["v"].alias("v"), p["kind"].alias("kind"),
+            F.when(p["kind"] == "number", as_double(p["v"])).alias("n"), read.alias("text"),
         )
 
-    items = F.transform(
-        as_array(value),
-        lambda e: F.when(scalar_kind(e) == "null", F.lit("")).otherwise(
-            F.when(scalar_kind(e) == "array", F.to_json(e)).otherwise(flat(e, scalar_kind(e)))
-        ),
+    return F.transform(F.transform(typed, raw), lambda p: F.struct(
+        p["key"].alias("key"), p["v"].alias("v"), p["kind"].alias("kind"), p["n"].alias("n"),
+        F.coalesce(p["text"], number_text(p["n"])).alias("text"),
+    ))
+
+
+def describe(pairs: Column) -> Column:
+    """``array<struct<key,v>>`` to ``array<struct<key,v,kind,n,text>>``.
+
+    ``kind`` is string, number, boolean, null, object or array and NULL for a
+    missing value; ``n`` the double of a number; ``text`` the value as it reads
+    inside a sentence: whole numbers without a fraction, lists comma-joined, an
+    object as ``[object Object]``.
+    """
+    return _described(pairs, True)
+
+
+def on_value(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of the described value, computed once."""
+    one = F.array(F.struct(F.lit("").alias("key"), value.alias("v")))
+    return F.get(F.transform(describe(one), fn), F.lit(0))
+
+
+def is_set(d: Column) -> Column:
+    """Present and not null, empty text, 0 or false."""
+    empty = (
+        (d["kind"] == "null") | ((d["kind"] == "string") & (d["text"] == "")) | F.coalesce(d["n"] == 0, F.lit(False))
+        | ((d["kind"] == "boolean") & (d["text"] == "false"))
     )
-    return F.when(kind == "array", F.array_join(items, ",", "")).otherwise(flat(value, kind))
+    return d["kind"].isNotNull() & ~empty
+
+
+def scalar_kind(value: Column) -> Column:
+    """Kind of a value; NULL when missing."""
+    return F.get(F.transform(F.transform(F.array(value), lambda v: F.schema_of_variant(v)), _kind), F.lit(0))
+
+
+def text_of(value: Column) -> Column:
+    return on_value(value, lambda d: d["text"])
+
+
+def set_text(value: Column) -> Column:
+    """Text of a value that counts as set, else NULL."""
+    return on_value(value, lambda d: F.when(is_set(d), d["text"]))

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quern.functions.variants import as_array, as_double, as_object, as_string, child, scalar_kind
+from quern.functions.variants import as_array, as_object, on_value, set_text
 
 MERGE_DEPTH = 24
 
@@ -20,14 +20,7 @@ def at(doc: Column, *keys: str) -> Column:
 
 def _set_text(doc: Column, *keys: str) -> Column:
     """Text of a member, NULL when it is missing, empty, null, false or 0."""
-    value = at(doc, *keys)
-    kind = scalar_kind(value)
-    empty = (
-        (kind == "null") | ((kind == "string") & (as_string(value) == "")) | ((kind == "number") & (as_double(value) == 0))
-        | ((kind == "boolean") & (as_string(value) == "false"))
-    )
-    shown = F.when(kind.isin("object", "array"), F.to_json(value)).otherwise(as_string(value))
-    return F.when(value.isNotNull() & ~empty, shown)
+    return set_text(at(doc, *keys))
 
 
 def overview(doc: Column) -> dict[str, Column]:
@@ -68,8 +61,8 @@ def problems(doc: Column) -> Column:
     schema = _set_text(doc, "schema")
     heat, limit = at(doc, "api", "temperature"), at(doc, "api", "maxTokens")
     # Values of any kind but a number are out of range.
-    heat_ok = F.coalesce((scalar_kind(heat) == "number") & as_double(heat).between(0, 2), F.lit(False))
-    limit_ok = F.coalesce((scalar_kind(limit) == "number") & (as_double(limit) >= 1), F.lit(False))
+    heat_ok = F.coalesce(on_value(heat, lambda d: d["n"].between(0, 2)), F.lit(False))
+    limit_ok = F.coalesce(on_value(limit, lambda d: d["n"] >= 1), F.lit(False))
     return F.array_compact(F.array(
         F.when(json_format & schema.isNull(), "Config is missing required fields: schema"),
         F.when(json_format & schema.isNotNull() & _set_text(doc, "schema", "type").isNull(), "Schema must have a type property"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quern.functions.template import render
-from quern.functions.variants import as_array, as_double, as_object, as_string, parse_exact, scalar_kind, text_of
+from quern.functions.variants import as_array, as_object, on_value, parse_exact, text_of
 from quern.operators.schema_rules import GENERATE, plain, resolve_ref
 
 
@@ -80,13 +80,14 @@ def fill_fields(schema: dict, doc: Column, ctx: Column, compat: bool = False) ->
         if settings.get("value"):
             return _typed(render(plain(settings["value"]), lambda n: F.try_element_at(ctx, F.lit(n))), declared)
         if settings.get("mapping"):
-            text, out = text_of(value), None
-            for source, target in settings["mapping"].items():
-                if compat and not target:
-                    continue
-                new = _constant(target)
-                out = F.when(text == source, new) if out is None else out.when(text == source, new)
-            return value if out is None else out.otherwise(value)
+            def swap(d: Column) -> Column:
+                out = d["v"]
+                for source, target in settings["mapping"].items():
+                    if target or not compat:
+                        out = F.when(d["text"] == source, _constant(target)).otherwise(out)
+                return out
+
+            return on_value(value, swap)
         return visit(sub, value)
 
     return visit(schema, doc)
@@ -149,31 +150,28 @@ def _scalar(declared: Any, value: Column) -> Column:
     names = declared if isinstance(declared, list) else [declared]
     if len(names) != 1 or names[0] not in ("string", "number", "integer", "boolean", "null"):
         return value
-    kind, name = scalar_kind(value), names[0]
-    text = as_string(value)
-    number = as_double(value)
-    if name == "string":
-        new = (
-            F.when(kind.isin("number", "boolean"), text_of(value, kind).cast("variant"))
-            .when(kind == "null", F.lit("").cast("variant"))
-        )
-    elif name in ("number", "integer"):
-        parsed = parse_exact(F.trim(text))
-        parsed = F.when(scalar_kind(parsed) == "number", parsed)
-        if name == "integer":
-            parsed = F.when(as_double(parsed) == F.floor(as_double(parsed)), parsed)
-        new = (
-            F.when(kind == "boolean", F.when(text == "true", 1).otherwise(0).cast("variant"))
-            .when(kind == "null", F.lit(0).cast("variant"))
-            .when(kind == "string", parsed)
-        )
-    elif name == "boolean":
-        yes = ((kind == "string") & (text == "true")) | ((kind == "number") & (number == 1))
-        no = ((kind == "string") & (text == "false")) | ((kind == "number") & (number == 0)) | (kind == "null")
-        new = F.when(yes, F.lit(True).cast("variant")).when(no, F.lit(False).cast("variant"))
-    else:
-        nothing = ((kind == "string") & (text == "")) | ((kind == "number") & (number == 0)) | (
-            (kind == "boolean") & (text == "false")
-        )
-        new = F.when(nothing, _constant(None))
-    return F.coalesce(new, value)
+    name = names[0]
+
+    def cast(d: Column) -> Column:
+        kind, text, n = d["kind"], d["text"], d["n"]
+        if name == "string":
+            new = F.when(kind.isin("number", "boolean"), text.cast("variant")).when(kind == "null", F.lit("").cast("variant"))
+        elif name in ("number", "integer"):
+            parsed = on_value(parse_exact(F.trim(text)), lambda p: F.when(
+                p["n"].isNotNull() & (F.lit(name == "number") | (p["n"] == F.floor(p["n"]))), p["v"]
+            ))
+            new = (
+                F.when(kind == "boolean", F.when(text == "true", 1).otherwise(0).cast("variant"))
+                .when(kind == "null", F.lit(0).cast("variant"))
+                .when(kind == "string", parsed)
+            )
+        elif name == "boolean":
+            yes = ((kind == "string") & (text == "true")) | (n == 1)
+            no = ((kind == "string") & (text == "false")) | (n == 0) | (kind == "null")
+            new = F.when(yes, F.lit(True).cast("variant")).when(no, F.lit(False).cast("variant"))
+        else:
+            nothing = ((kind == "string") & (text == "")) | (n == 0) | ((kind == "boolean") & (text == "false"))
+            new = F.when(nothing, _constant(None))
+        return F.coalesce(new, d["v"])
+
+    return on_value(value, cast)

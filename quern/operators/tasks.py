@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.template import map_lookup, render, render_column
 from quern.functions.text import number_text, translit
-from quern.functions.variants import as_array, as_double, as_object, child, scalar_kind, text_of
+from quern.functions.variants import as_object, describe, is_set
 
 LABEL_FIELDS = ("theme", "topic", "category")
 ITEM_BLOCK = 100_000
@@ -46,24 +46,30 @@ def expand_items(tasks: DataFrame, keys: list[str], count: str = "count", block:
     return small.unionByName(large)
 
 
-def truthy_text(fields: Column, key: str) -> Column:
-    """Text of a member that counts as set: not missing, empty, 0, false or null."""
-    value = F.try_element_at(fields, F.lit(key))
-    kind = scalar_kind(value)
-    text = text_of(value, kind)
-    empty = (
-        (kind == "null")
-        | ((kind == "string") & (text == ""))
-        | ((kind == "number") & (as_double(value) == 0))
-        | ((kind == "boolean") & (text == "false"))
-    )
-    return F.when(value.isNotNull() & ~empty, text)
+def with_fields(tasks: DataFrame, task_json: str = "task_json") -> DataFrame:
+    """Add ``fields``: the members of a task in the order stated, each described once."""
+    parsed = tasks.withColumn("_obj", as_object(F.try_parse_json(F.col(task_json))))
+    keys = F.array_distinct(F.json_object_keys(F.col(task_json)))
+    pairs = F.transform(keys, lambda k: F.struct(k.alias("key"), F.try_element_at(F.col("_obj"), k).alias("v")))
+    trimmed = F.transform(describe(pairs), lambda d: F.struct(
+        d["key"].alias("key"), d["kind"].alias("kind"), d["n"].alias("n"), d["text"].alias("text")
+    ))
+    return parsed.withColumn("fields", trimmed).drop("_obj")
+
+
+def _found(fields: Column, key: str) -> Column:
+    """The member ``key`` when it counts as set, as an array of at most one."""
+    return F.filter(fields, lambda d: (d["key"] == key) & is_set(d))
+
+
+def field_text(fields: Column, key: str) -> Column:
+    """Text of a member that is not missing, empty, 0, false or null."""
+    return F.get(F.transform(_found(fields, key), lambda d: d["text"]), F.lit(0))
 
 
 def _slug(fields: Column, key: str) -> Column:
-    """Slug of a text member; numbers and the like have an empty one."""
-    is_text = scalar_kind(F.try_element_at(fields, F.lit(key))) == "string"
-    return F.when(is_text, translit(truthy_text(fields, key))).otherwise(F.lit(""))
+    """Slug of a set member, empty for a number and the like; NULL when not set."""
+    return F.get(F.transform(_found(fields, key), lambda d: F.when(d["kind"] == "string", translit(d["text"])).otherwise("")), F.lit(0))
 
 
 def time_values(now: datetime) -> dict[str, Column]:
@@ -76,89 +82,58 @@ def time_values(now: datetime) -> dict[str, Column]:
     }
 
 
-def with_context(items: DataFrame, now: datetime, task_json: str = "task_json", index: str = "index") -> DataFrame:
-    """Add ``ctx`` (name to text) and ``numeric`` (names of number values).
+def with_context(items: DataFrame, now: datetime, index: str = "index") -> DataFrame:
+    """Add ``ctx`` (name to text) and ``numeric`` (names of number values) to rows with ``fields``.
 
     Later groups win: task fields, then index and times, then derived names.
     Names keep the order in which the task states them.
     """
-    task = F.try_parse_json(F.col(task_json))
-    base = items.withColumn("_fields", as_object(task)).withColumn(
-        "_keys", F.array_distinct(F.json_object_keys(F.col(task_json)))
-    )
-    fields = F.col("_fields")
-
-    entries = F.transform(
-        F.col("_keys"),
-        lambda k: F.struct(
-            k.alias("key"),
-            text_of(F.try_element_at(fields, k)).alias("value"),
-            F.when(scalar_kind(F.try_element_at(fields, k)) == "number", as_double(F.try_element_at(fields, k))).alias("n"),
-        ),
-    )
-    base = base.withColumn("_entries", entries)
-    own = F.map_from_entries(F.transform("_entries", lambda e: F.struct(e["key"], e["value"])))
-    numbers = F.filter(F.col("_entries"), lambda e: e["n"].isNotNull())
-    stepped = F.map_from_entries(F.flatten(F.transform(numbers, lambda e: F.array(
-        F.struct(F.concat(e["key"], F.lit("_minus_1")).alias("key"), number_text(e["n"] - 1).alias("value")),
-        F.struct(F.concat(e["key"], F.lit("_plus_1")).alias("key"), number_text(e["n"] + 1).alias("value")),
+    fields = F.col("fields")
+    own = F.map_from_entries(F.transform(fields, lambda d: F.struct(d["key"], d["text"])))
+    numbers = F.filter(fields, lambda d: d["n"].isNotNull())
+    stepped = F.map_from_entries(F.flatten(F.transform(numbers, lambda d: F.array(
+        F.struct(F.concat(d["key"], F.lit("_minus_1")).alias("key"), number_text(d["n"] - 1).alias("value")),
+        F.struct(F.concat(d["key"], F.lit("_plus_1")).alias("key"), number_text(d["n"] + 1).alias("value")),
     ))))
-
-    times = time_values(now)
-    pairs: list[tuple[str, Column]] = [("index", F.col(index).cast("string")), *times.items()]
-    pairs += [
-        (f"{key}_translit", F.when(truthy_text(fields, key).isNotNull(), _slug(fields, key))) for key in LABEL_FIELDS
-    ]
-    level = truthy_text(fields, "difficulty")
-    pairs.append((
-        "difficulty_num",
-        F.when(level.isNotNull(), F.when(level == "easy", "1").when(level == "medium", "2").otherwise("3")),
-    ))
-    answers = truthy_text(fields, "answers")
-    less = F.coalesce(number_text(answers.try_cast("double") - 1), F.lit("NaN"))
-    pairs.append(("answers_minus_1", F.when(answers.isNotNull(), less)))
+    level = F.get(F.transform(_found(fields, "difficulty"), lambda d: F.when(
+        d["text"] == "easy", "1"
+    ).when(d["text"] == "medium", "2").otherwise("3")), F.lit(0))
+    fewer = F.get(F.transform(_found(fields, "answers"), lambda d: F.coalesce(
+        number_text(F.coalesce(d["n"], d["text"].try_cast("double")) - 1), F.lit("NaN")
+    )), F.lit(0))
+    pairs: list[tuple[str, Column]] = [("index", F.col(index).cast("string")), *time_values(now).items()]
+    pairs += [(f"{key}_translit", _slug(fields, key)) for key in LABEL_FIELDS]
+    pairs += [("difficulty_num", level), ("answers_minus_1", fewer)]
     built = F.map_filter(
         F.map_from_arrays(F.array(*[F.lit(k) for k, _ in pairs]), F.array(*[v for _, v in pairs])),
         lambda _, v: v.isNotNull(),
     )
     numeric = F.concat(
-        F.transform(numbers, lambda e: e["key"]),
-        F.array(*[F.lit(k) for k in ("index", "timestamp", "difficulty_num")]),
-    )
-    return (
-        base.withColumn("ctx", F.map_concat(own, built, stepped))
-        .withColumn("numeric", numeric)
-        .drop("_keys", "_entries", "_fields")
+        F.transform(numbers, lambda d: d["key"]), F.array(*[F.lit(k) for k in ("index", "timestamp", "difficulty_num")])
     )
+    return items.withColumn("ctx", F.map_concat(own, built, stepped)).withColumn("numeric", numeric)
 
 
-def label_field(fields: Column) -> tuple[Column, Column]:
-    """Name and text of the field that labels a task (NULL when none is set)."""
-    texts = [(key, truthy_text(fields, key)) for key in LABEL_FIELDS]
-    name = F.coalesce(*[F.when(t.isNotNull(), F.lit(k)) for k, t in texts])
-    return name, F.coalesce(*[t for _, t in texts])
+def label_field(fields: Column) -> Column:
+    """The member that labels a task; NULL when none is set."""
+    return F.coalesce(*[F.get(_found(fields, key), F.lit(0)) for key in LABEL_FIELDS])
 
 
-def with_label(items: DataFrame, task_json: str = "task_json") -> DataFrame:
+def with_label(items: DataFrame) -> DataFrame:
     """Add ``label``: the label field rendered without its own name in the context."""
-    fields = as_object(F.try_parse_json(F.col(task_json)))
-    name, text = label_field(fields)
-    named = items.withColumn("_label_key", name).withColumn("_label_text", F.coalesce(text, F.lit("items")))
-    own = F.col("_label_key")
+    named = items.withColumn("_label", label_field(F.col("fields")))
+    own = F.col("_label.key")
     others = F.map_filter(
         F.col("ctx"), lambda k, _: own.isNull() | ((k != own) & (k != F.concat(own, F.lit("_translit"))))
     )
-    return named.withColumn("label", render_column(F.col("_label_text"), others, F.col("numeric"))).drop(
-        "_label_key", "_label_text"
-    )
+    text = F.coalesce(F.col("_label.text"), F.lit("items"))
+    return named.withColumn("label", render_column(text, others, F.col("numeric"))).drop("_label")
 
 
 def task_key(fields: Column) -> Column:
     """``slug_suffix`` that groups results: label slug and difficulty or type."""
-    name, text = label_field(fields)
-    is_text = scalar_kind(F.try_element_at(fields, name)) == "string"
-    slug = F.when(name.isNull(), translit(F.lit("data"))).when(is_text, translit(text)).otherwise(F.lit(""))
-    suffix = F.coalesce(truthy_text(fields, "difficulty"), truthy_text(fields, "type"), F.lit("default"))
+    slug = F.coalesce(*[_slug(fields, key) for key in LABEL_FIELDS], F.lit("data"))
+    suffix = F.coalesce(field_text(fields, "difficulty"), field_text(fields, "type"), F.lit("default"))
     return F.concat(slug, F.lit("_"), suffix)
 
 
@@ -169,13 +144,11 @@ def file_name(fields: Column, key: Column, now: datetime, template: str | None,
     """
     if not template:
         return F.concat(key, F.lit(ext))
-    task_map = F.transform_values(fields, lambda _, v: text_of(v))
-    extra = {
-        "theme_translit": _slug(fields, "theme"), "topic_translit": _slug(fields, "topic"), "key": key,
-        **time_values(now),
-    }
+    stated = F.filter(fields, lambda d: d["key"] != "index")
+    slugs = {f"{k}_translit": F.coalesce(_slug(fields, k), F.lit("")) for k in ("theme", "topic")}
+    extra = {**slugs, "key": key, **time_values(now)}
     both = F.map_concat(
-        F.map_filter(task_map, lambda k, _: k != "index"),
+        F.map_from_entries(F.transform(stated, lambda d: F.struct(d["key"], d["text"]))),
         F.map_from_arrays(F.array(*[F.lit(k) for k in extra]), F.array(*extra.values())),
     )
     return render(template, map_lookup(both))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.variants import child, scalar_kind, text_of
+from quern.functions.variants import child, set_text
 from quern.operators.schema_rules import SchemaRules
 
 
@@ -38,14 +38,7 @@ def tag_invalid(checked: DataFrame) -> DataFrame:
 
 def item_label(item: Column) -> Column:
     """``id``, else ``name``, else ``unnamed``; empty values do not count."""
-    def shown(key: str) -> Column:
-        value = child(item, key)
-        kind = scalar_kind(value)
-        text = text_of(value, kind)
-        nothing = kind.isin("null") | ((kind == "string") & (text == "")) | (text == "0") & (kind == "number")
-        return F.when(value.isNotNull() & ~nothing & ~((kind == "boolean") & (text == "false")), text)
-
-    return F.coalesce(shown("id"), shown("name"), F.lit("unnamed"))
+    return F.coalesce(set_text(child(item, "id")), set_text(child(item, "name")), F.lit("unnamed"))
 
 
 def invalid_report(checked: DataFrame, doc: str, index: str, limit: int = 10) -> DataFrame:

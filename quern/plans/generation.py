@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quern.functions.answers import read_answer, soft_parse
 from quern.functions.template import column_lookup, render, render_column, render_double, render_double_column
 from quern.functions.text import LATIN, translit
-from quern.functions.variants import as_object, child, parse_exact
+from quern.functions.variants import child, parse_exact
 from quern.operators import chat, inference
 from quern.operators.examples import example_json, varied_json
 from quern.operators.prompts import (
@@ -19,7 +19,7 @@ from quern.operators.prompts import (
 from quern.operators.reshape import fill_fields
 from quern.operators.schema_rules import GENERATE, SchemaRules
 from quern.operators.tasks import (
-    expand_items, file_name, planned_items, task_key, tasks_of, with_context, with_label,
+    expand_items, file_name, planned_items, task_key, tasks_of, with_context, with_fields, with_label,
 )
 from quern.operators.validation import with_errors
 from quern.plans.registry import query
@@ -87,7 +87,7 @@ SLUG_PRIORITY = "lower(regexp_replace(o_orderpriority, '[^a-zA-Z0-9]+', '_', 'g'
     FROM orders
 """)
 def context_build(spark, sf_dir):
-    rows = with_context(_order_tasks(spark, sf_dir), NOW)
+    rows = with_context(with_fields(_order_tasks(spark, sf_dir)), NOW)
     ctx = lambda key: F.try_element_at("ctx", F.lit(key))
     return rows.select(
         "o_orderkey", ctx("index").alias("ix"), ctx("date").alias("day"), ctx("now").alias("now"), ctx("timestamp").alias("stamp"),
@@ -210,7 +210,7 @@ def task_key_file(spark, sf_dir):
         F.col("c_mktsegment").alias("type"),
     ))
     rows = c.select("c_custkey", F.lit(0).cast("bigint").alias("index"), task.alias("task_json"))
-    rows = with_label(with_context(rows, NOW)).withColumn("fields", as_object(F.try_parse_json("task_json")))
+    rows = with_label(with_context(with_fields(rows), NOW))
     rows = rows.withColumn("task_key", task_key(F.col("fields")))
     named = "{theme_translit}-{topic_translit}_{date}_{key}_{index}.json"
     return rows.select(
@@ -293,7 +293,7 @@ ORDER_ITEM_SCHEMA = {
     FROM orders
 """)
 def structure_prompts(spark, sf_dir):
-    rows = with_context(_order_tasks(spark, sf_dir), NOW)
+    rows = with_context(with_fields(_order_tasks(spark, sf_dir)), NOW)
     return rows.select(
         "o_orderkey", structure_prompt(ORDER_ITEM_SCHEMA, F.col("ctx"), F.col("numeric")).alias("prompt"),
         text_prompt("Write: {theme} no {index}", F.col("ctx"), F.col("numeric")).alias("text_prompt"),
@@ -660,7 +660,7 @@ def generation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "value", "props")
     task = F.to_json(F.struct(F.col("event_type").alias("theme"), F.col("user_id").alias("user"), F.col("value")))
     tasks = e.select("event_id", "event_type", "value", task.alias("task_json"), event_props().alias("index"))
-    items = with_context(tasks, NOW).withColumn("fields", as_object(F.try_parse_json("task_json")))
+    items = with_context(with_fields(tasks), NOW)
     items = items.withColumn("task_key", task_key(F.col("fields")))
     asked = items.withColumn("system", F.lit(system_prompt())).withColumn(
         "user", structure_prompt(RUN_SCHEMA, F.col("ctx"), F.col("numeric"))
