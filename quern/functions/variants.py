@@ -50,10 +50,14 @@ def as_string(value: Column) -> Column:
     return F.try_variant_get(value, "$", "string")
 
 
+def is_number(name: Column) -> Column:
+    return name.isin("BIGINT", "DOUBLE") | name.startswith("DECIMAL")
+
+
 def _kind(name: Column) -> Column:
     return (
         F.when(name == "STRING", "string")
-        .when(name.isin("BIGINT", "DOUBLE") | name.startswith("DECIMAL"), "number")
+        .when(is_number(name), "number")
         .when(name == "BOOLEAN", "boolean")
         .when(name == "VOID", "null")
         .when(name.startswith("OBJECT"), "object")
@@ -70,25 +74,25 @@ def _described(pairs: Column, nested: bool) -> Column:
     named = F.transform(pairs, lambda p: F.struct(
         p["key"].alias("key"), p["v"].alias("v"), F.schema_of_variant(p["v"]).alias("name")
     ))
-    typed = F.transform(named, lambda p: F.struct(p["key"].alias("key"), p["v"].alias("v"), _kind(p["name"]).alias("kind")))
 
-    def raw(p: Column) -> Column:
-        read = F.when(p["kind"].isin("string", "boolean"), as_string(p["v"])).when(p["kind"] == "null", "null")
-        read = read.when(p["kind"] == "object", "[object Object]")
+    def read(p: Column) -> Column:
+        name, value = p["name"], p["v"]
+        text = F.when(name.isin("STRING", "BOOLEAN"), as_string(value)).when(name == "VOID", "null")
+        text = text.when(name.startswith("OBJECT"), "[object Object]")
         if nested:
-            elements = F.transform(as_array(p["v"]), lambda e: F.struct(F.lit("").alias("key"), e.alias("v")))
+            elements = F.transform(as_array(value), lambda e: F.struct(F.lit("").alias("key"), e.alias("v")))
             texts = F.transform(
                 _described(elements, False), lambda d: F.when(d["kind"] == "null", "").otherwise(d["text"])
             )
-            read = read.when(p["kind"] == "array", F.array_join(texts, ",", ""))
+            text = text.when(name.startswith("ARRAY"), F.array_join(texts, ",", ""))
         else:
-            read = read.when(p["kind"] == "array", F.to_json(p["v"]))
+            text = text.when(name.startswith("ARRAY"), F.to_json(value))
         return F.struct(
-            p["key"].alias("key"), p["v"].alias("v"), p["kind"].alias("kind"),
-            F.when(p["kind"] == "number", as_double(p["v"])).alias("n"), read.alias("text"),
+            p["key"].alias("key"), value.alias("v"), _kind(name).alias("kind"),
+            F.when(is_number(name), as_double(value)).alias("n"), text.alias("text"),
         )
 
-    return F.transform(F.transform(typed, raw), lambda p: F.struct(
+    return F.transform(F.transform(named, read), lambda p: F.struct(
         p["key"].alias("key"), p["v"].alias("v"), p["kind"].alias("kind"), p["n"].alias("n"),
         F.coalesce(p["text"], number_text(p["n"])).alias("text"),
     ))

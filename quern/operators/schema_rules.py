@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.formats import has_format, matches
 from quern.functions.text import number_text, utf16_length
-from quern.functions.variants import as_array, as_double, as_object, as_string
+from quern.functions.variants import as_array, as_double, as_object, as_string, is_number
 
 ERROR_TYPE = "struct<path:string,keyword:string,message:string>"
 ERRORS_TYPE = f"array<{ERROR_TYPE}>"
@@ -67,25 +67,48 @@ class Node:
     """One value of the document while its rules are put together."""
 
     value: Column       # the VARIANT
-    name: Column        # its Spark type name; OBJECT or ARRAY for containers
-    fields: Column      # map of an object's members, else NULL
-    items: Column       # array elements, else NULL
-    number: Column      # double of a number, else NULL
-    string: Column      # text of a string, else NULL
+    fields: Column | None   # map of an object's members, NULL for other kinds
+    items: Column | None    # array elements, NULL for other kinds
+    scalar: Column | None   # Spark type name when the node is read as a scalar
     path: tuple         # parts of its JSON pointer
     where: str          # place of its rules in the schema
     schema: dict
 
+    @property
+    def name(self) -> Column:
+        """Spark type name; OBJECT or ARRAY for containers."""
+        if self.scalar is None:
+            return (
+                F.when(self.fields.isNotNull(), "OBJECT").when(self.items.isNotNull(), "ARRAY")
+                .otherwise(F.schema_of_variant(self.value))
+            )
+        return (
+            F.when(self.scalar.startswith("OBJECT"), "OBJECT").when(self.scalar.startswith("ARRAY"), "ARRAY")
+            .otherwise(self.scalar)
+        )
+
+    @property
+    def number(self) -> Column:
+        return F.when(is_number(self.plain_name), as_double(self.value))
+
+    @property
+    def string(self) -> Column:
+        return F.when(self.plain_name == "STRING", as_string(self.value))
+
+    @property
+    def plain_name(self) -> Column:
+        return self.name if self.scalar is None else self.scalar
+
     def is_type(self, name: str) -> Column:
-        return {
-            "string": self.name == "STRING",
-            "number": self.number.isNotNull(),
-            "integer": self.number.isNotNull() & (self.number == F.floor(self.number)),
-            "boolean": self.name == "BOOLEAN",
-            "null": self.name == "VOID",
-            "object": self.name == "OBJECT",
-            "array": self.name == "ARRAY",
-        }[name]
+        if self.scalar is None and name in ("object", "array"):
+            return (self.fields if name == "object" else self.items).isNotNull()
+        if name == "number":
+            return is_number(self.plain_name)
+        if name == "integer":
+            whole = as_double(self.value) == F.floor(as_double(self.value))
+            return (self.plain_name == "BIGINT") | (is_number(self.plain_name) & whole)
+        spark_name = {"string": "STRING", "boolean": "BOOLEAN", "null": "VOID", "object": "OBJECT<", "array": "ARRAY<"}[name]
+        return self.plain_name.startswith(spark_name) if spark_name.endswith("<") else self.plain_name == spark_name
 
     def error(self, keyword: str, message: str | Column) -> Column:
         text = F.lit(message) if isinstance(message, str) else message
@@ -234,7 +257,7 @@ def _unique(node: Node, wanted: bool) -> Column | None:
 
 def _number_key(value: Column) -> Column:
     name = F.schema_of_variant(value)
-    return F.when(_is_number(name), number_text(as_double(value)))
+    return F.when(is_number(name), number_text(as_double(value)))
 
 
 @_rule("minProperties")
@@ -249,48 +272,18 @@ def _max_properties(node: Node, n: int) -> Column:
     return node.fail(many, "maxProperties", f"must NOT have more than {plain(n)} properties")
 
 
-def _is_number(name: Column) -> Column:
-    return name.isin("BIGINT", "DOUBLE") | name.startswith("DECIMAL")
-
-
 def _bind(value: Column, container: bool, build: Callable[[Column], Column]) -> Column:
     """Evaluate the parts of a present value once and hand them to ``build``.
 
     The one-element array is the "let" of column expressions: inside the lambda
     the parts are references.  A missing value gives no errors.
     """
-    present = F.filter(F.array(value), lambda v: v.isNotNull())
+    present = F.array_compact(F.array(value))
     if container:
-        first = F.transform(present, lambda v: F.struct(v.alias("v"), as_object(v).alias("o"), as_array(v).alias("a")))
-        named = F.transform(
-            first,
-            lambda b: F.struct(
-                b["v"].alias("v"), b["o"].alias("o"), b["a"].alias("a"),
-                F.when(b["o"].isNotNull(), "OBJECT").when(b["a"].isNotNull(), "ARRAY")
-                .otherwise(F.schema_of_variant(b["v"])).alias("n"),
-            ),
-        )
+        parts = F.transform(present, lambda v: F.struct(v.alias("v"), as_object(v).alias("o"), as_array(v).alias("a")))
     else:
-        first = F.transform(present, lambda v: F.struct(v.alias("v"), F.schema_of_variant(v).alias("n")))
-        named = F.transform(
-            first,
-            lambda b: F.struct(
-                b["v"].alias("v"),
-                F.lit(None).cast("map<string,variant>").alias("o"),
-                F.lit(None).cast("array<variant>").alias("a"),
-                F.when(b["n"].startswith("OBJECT"), "OBJECT").when(b["n"].startswith("ARRAY"), "ARRAY")
-                .otherwise(b["n"]).alias("n"),
-            ),
-        )
-    full = F.transform(
-        named,
-        lambda b: F.struct(
-            b["v"].alias("v"), b["o"].alias("o"), b["a"].alias("a"), b["n"].alias("n"),
-            F.when(_is_number(b["n"]), as_double(b["v"])).alias("d"),
-            F.when(b["n"] == "STRING", as_string(b["v"])).alias("s"),
-        ),
-    )
-    return F.flatten(F.transform(full, build))
+        parts = F.transform(present, lambda v: F.struct(v.alias("v"), F.schema_of_variant(v).alias("n")))
+    return F.flatten(F.transform(parts, build))
 
 
 _INSIDE = ("properties", "required", "additionalProperties", "minProperties", "maxProperties")
@@ -332,15 +325,18 @@ class SchemaRules:
         if schema is True or schema == {}:
             return no_errors()
         if schema is False:
-            present = F.filter(F.array(value), lambda v: v.isNotNull())
+            present = F.array_compact(F.array(value))
             struct = F.struct(
                 pointer(path).alias("path"), F.lit("false schema").alias("keyword"),
                 F.lit("boolean schema is false").alias("message"),
             )
             return F.transform(present, lambda v: struct)
 
+        container = _looks_inside(schema)
+
         def build(b: Column) -> Column:
-            node = Node(b["v"], b["n"], b["o"], b["a"], b["d"], b["s"], path, where, schema)
+            parts = (b["o"], b["a"], None) if container else (None, None, b["n"])
+            node = Node(b["v"], *parts, path, where, schema)
             own = [rule for rule in self._own_rules(node) if rule is not None]
             lists = [F.array_compact(F.array(*own)).cast(ERRORS_TYPE)] if own else []
             lists += self._members(node) + self._elements(node) + self._combined(node)
@@ -348,7 +344,7 @@ class SchemaRules:
                 return no_errors()
             return lists[0] if len(lists) == 1 else F.concat(*lists)
 
-        return _bind(value, _looks_inside(schema), build)
+        return _bind(value, container, build)
 
     def _own_rules(self, node: Node) -> list:
         rules = [_RULES[k](node, param) for k, param in node.schema.items() if k in _RULES]
@@ -485,7 +481,7 @@ class SchemaRules:
             own = F.array_compact(F.array(*rules)).cast(ERRORS_TYPE) if rules else no_errors()
             return F.concat(own, self._custom(schema, b["v"], path))
 
-        present = F.filter(F.array(value), lambda v: v.isNotNull())
+        present = F.array_compact(F.array(value))
         boxed = F.transform(present, lambda v: F.struct(v.alias("v"), _text_or_null(v).alias("s")))
         return F.flatten(F.transform(boxed, build))
 
@@ -493,11 +489,11 @@ class SchemaRules:
 
     def errors(self, doc: Column) -> Column:
         """Sorted errors; the generation rules speak only when the schema is satisfied."""
-        first = F.transform(F.array(self.schema_errors(doc)), lambda e: F.array_sort(e))
-        both = F.transform(
-            first, lambda e: F.when(F.size(e) > 0, e).otherwise(F.array_sort(self.custom_errors(doc)))
-        )
-        return F.get(both, F.lit(0))
+        first = F.sort_array(self.schema_errors(doc))
+        if not _has_settings(self.root if isinstance(self.root, dict) else {}):
+            return first
+        both = F.filter(F.array(first, F.sort_array(self.custom_errors(doc))), lambda e: F.size(e) > 0)
+        return F.coalesce(F.get(both, F.lit(0)), no_errors())
 
 
 def _text_or_null(value: Column) -> Column:
