@@ -30,4 +30,4 @@ def query(name: str, check: str | None = None):
 
 
 def load_all() -> None:
-    from quern.plans import generation  # noqa: F401
+    from quern.plans import checking, generation  # noqa: F401
