@@ -17,10 +17,16 @@ def parse_exact(text: Column) -> Column:
     the text is parsed as the first element of a two-element array whose second
     element is a hash of the text: trailing content moves or breaks that element.
     """
-    mark = F.xxhash64(text)
-    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark.cast("string"), F.lit("]")))
-    whole = F.try_variant_get(pair, "$[1]", "bigint").eqNullSafe(mark) & F.try_variant_get(pair, "$[2]", "variant").isNull()
-    return F.when(whole, F.try_variant_get(pair, "$[0]", "variant"))
+    parsed = F.transform(F.array(text), lambda t: F.struct(
+        F.xxhash64(t).alias("mark"),
+        F.try_parse_json(F.concat(F.lit("["), t, F.lit(","), F.xxhash64(t).cast("string"), F.lit("]"))).alias("pair"),
+    ))
+
+    def whole(p: Column) -> Column:
+        one = F.try_variant_get(p["pair"], "$[1]", "bigint") == p["mark"]
+        return F.when(one & F.try_variant_get(p["pair"], "$[2]", "variant").isNull(), F.try_variant_get(p["pair"], "$[0]", "variant"))
+
+    return F.get(F.transform(parsed, whole), F.lit(0))
 
 
 def path_of(*keys: str) -> str:

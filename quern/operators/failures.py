@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.running import top_per_key
+from quern.operators.validation import each_error
 
 SHOWN_ITEMS = 3
 SHOWN_GROUPS = 10
@@ -17,16 +18,14 @@ def error_rows(checked: DataFrame, index: str, *by: str, errors: str = "errors")
     ``/items/3/price`` and ``items[3].price`` give field ``price``; an error that
     is not inside a list keeps the index of its row and its whole path.
     """
-    exploded = checked.select(*by, F.col(index).alias("row_index"), F.explode(errors).alias("e"))
-    path = F.col("e.path")
+    exploded = each_error(checked, *by, F.col(index).alias("row_index"), errors=errors)
+    path = F.col("path")
     inner = F.regexp_extract(path, r"(?:/|\[)(\d+)(?:\]|/|$)", 1)
     field = F.when(
         inner != "", F.regexp_replace(F.regexp_extract(path, r"(?:/|\[)\d+\]?(.*)$", 1), r"^[./]", "")
     ).otherwise(F.regexp_replace(path, r"^/", ""))
     return exploded.select(
-        *by,
-        F.coalesce(inner.try_cast("bigint"), F.col("row_index")).alias("item"),
-        field.alias("field"), F.col("e.message").alias("message"), "row_index",
+        *by, F.coalesce(inner.try_cast("bigint"), F.col("row_index")).alias("item"), field.alias("field"), "message", "row_index",
     )
 
 

@@ -46,12 +46,9 @@ def fill_fields(schema: dict, doc: Column, ctx: Column, compat: bool = False) ->
             return value
         declared = node.get("properties") if node.get("type", "object") == "object" else None
         if declared and any(_touches(s, compat) for s in declared.values()):
-            members = as_object(value)
-            return F.when(members.isNotNull(), F.to_variant_object(_members(declared, members))).otherwise(value)
+            return _with(value, as_object, lambda m: _members(declared, m), value)
         if node.get("type") == "array" and node.get("items") and not compat and _touches(node["items"], compat):
-            elements = as_array(value)
-            rebuilt = F.to_variant_object(F.transform(elements, lambda e: visit(node["items"], e)))
-            return F.when(elements.isNotNull(), rebuilt).otherwise(value)
+            return _with(value, as_array, lambda a: F.transform(a, lambda e: visit(node["items"], e)), value)
         return value
 
     def _members(declared: dict, members: Column) -> Column:
@@ -90,7 +87,13 @@ def fill_fields(schema: dict, doc: Column, ctx: Column, compat: bool = False) ->
             return on_value(value, swap)
         return visit(sub, value)
 
-    return visit(schema, doc)
+    return F.get(F.transform(F.array(doc), lambda d: visit(schema, d)), F.lit(0))
+
+
+def _with(value: Column, read, rebuild, otherwise: Column) -> Column:
+    """Rebuild a value of the kind ``read`` gives, read once; other kinds pass through."""
+    made = F.transform(F.array_compact(F.array(read(value))), lambda part: F.to_variant_object(rebuild(part)))
+    return F.coalesce(F.get(made, F.lit(0)), otherwise)
 
 
 def _touches(schema: Any, compat: bool) -> bool:
@@ -116,15 +119,9 @@ def coerce(schema: dict, doc: Column) -> Column:
         if not isinstance(node, dict):
             return value
         if node.get("properties") or node.get("additionalProperties") is False:
-            members = as_object(value)
-            return F.when(members.isNotNull(), F.to_variant_object(_members(node, members))).otherwise(
-                _scalar(node.get("type"), value)
-            )
+            return _with(value, as_object, lambda m: _members(node, m), _scalar(node.get("type"), value))
         if isinstance(node.get("items"), dict):
-            elements = as_array(value)
-            return F.when(
-                elements.isNotNull(), F.to_variant_object(F.transform(elements, lambda e: visit(node["items"], e)))
-            ).otherwise(value)
+            return _with(value, as_array, lambda a: F.transform(a, lambda e: visit(node["items"], e)), value)
         return _scalar(node.get("type"), value)
 
     def _members(node: dict, members: Column) -> Column:
@@ -143,7 +140,7 @@ def coerce(schema: dict, doc: Column) -> Column:
         given = F.map_filter(F.map_from_arrays(names, F.array(*values)), lambda _, v: v.isNotNull())
         return F.map_concat(kept, given)
 
-    return visit(schema, doc)
+    return F.get(F.transform(F.array(doc), lambda d: visit(schema, d)), F.lit(0))
 
 
 def _scalar(declared: Any, value: Column) -> Column:

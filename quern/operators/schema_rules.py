@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.formats import has_format, matches
 from quern.functions.text import number_text, utf16_length
-from quern.functions.variants import as_array, as_double, as_object, as_string, is_number
+from quern.functions.variants import as_array, as_double, as_object, as_string, is_number, path_of
 
 ERROR_TYPE = "struct<path:string,keyword:string,message:string>"
 ERRORS_TYPE = f"array<{ERROR_TYPE}>"
@@ -62,6 +62,20 @@ def resolve_ref(schema: Any, root: dict, depth: int = 0) -> Any:
     return {**resolve_ref(target, root, depth + 1), **beside}
 
 
+@dataclass(frozen=True)
+class Place:
+    """Where a value sits at a fixed path of the document, outside any list."""
+
+    doc: Column
+    keys: tuple[str, ...] = ()
+
+    def value(self) -> Column:
+        return F.try_variant_get(self.doc, path_of(*self.keys), "variant")
+
+    def member(self, key: str) -> "Place":
+        return Place(self.doc, (*self.keys, key))
+
+
 @dataclass(frozen=True)
 class Node:
     """One value of the document while its rules are put together."""
@@ -70,10 +84,23 @@ class Node:
     fields: Column | None   # map of an object's members, NULL for other kinds
     items: Column | None    # array elements, NULL for other kinds
     scalar: Column | None   # Spark type name when the node is read as a scalar
+    place: Place | None     # set when the value is not inside a list
     path: tuple         # parts of its JSON pointer
     where: str          # place of its rules in the schema
     schema: dict
 
+    def member(self, key: str) -> Column | Place:
+        return self.place.member(key) if self.place else F.try_element_at(self.fields, F.lit(key))
+
+    @property
+    def is_object(self) -> Column:
+        """An object; one declared member is proof enough, so the others need no map."""
+        whole = self.fields.isNotNull()
+        if self.place:
+            for key in reversed(list(self.schema.get("properties", {}))[:3]):
+                whole = self.place.member(key).value().isNotNull() | whole
+        return whole
+
     @property
     def name(self) -> Column:
         """Spark type name; OBJECT or ARRAY for containers."""
@@ -101,7 +128,7 @@ class Node:
 
     def is_type(self, name: str) -> Column:
         if self.scalar is None and name in ("object", "array"):
-            return (self.fields if name == "object" else self.items).isNotNull()
+            return self.is_object if name == "object" else self.items.isNotNull()
         if name == "number":
             return is_number(self.plain_name)
         if name == "integer":
@@ -117,7 +144,8 @@ class Node:
         )
 
     def fail(self, bad: Column, keyword: str, message: str | Column) -> Column:
-        return F.when(bad, self.error(keyword, message))
+        """A list with one error, or an empty one."""
+        return F.when(bad, F.array(self.error(keyword, message)).cast(ERRORS_TYPE)).otherwise(no_errors())
 
 
 def pointer(parts: tuple) -> Column:
@@ -137,7 +165,7 @@ _RULES: dict[str, Rule] = {}
 
 
 def register_rule(keyword: str, rule: Rule) -> None:
-    """Add a keyword: ``rule(node, parameter)`` gives an error struct or NULL."""
+    """Add a keyword: ``rule(node, parameter)`` gives a list of errors (see ``Node.fail``)."""
     _RULES[keyword] = rule
 
 
@@ -273,7 +301,7 @@ def _max_properties(node: Node, n: int) -> Column:
 
 
 def _bind(value: Column, container: bool, build: Callable[[Column], Column]) -> Column:
-    """Evaluate the parts of a present value once and hand them to ``build``.
+    """Evaluate the parts of a present list element once and hand them to ``build``.
 
     The one-element array is the "let" of column expressions: inside the lambda
     the parts are references.  A missing value gives no errors.
@@ -286,6 +314,12 @@ def _bind(value: Column, container: bool, build: Callable[[Column], Column]) ->
     return F.flatten(F.transform(parts, build))
 
 
+def _joined(lists: list[Column]) -> Column:
+    if not lists:
+        return no_errors()
+    return lists[0] if len(lists) == 1 else F.concat(*lists)
+
+
 _INSIDE = ("properties", "required", "additionalProperties", "minProperties", "maxProperties")
 _ELEMENTS = ("items", "minItems", "maxItems", "uniqueItems")
 
@@ -318,47 +352,53 @@ class SchemaRules:
 
     def schema_errors(self, doc: Column) -> Column:
         """Unsorted errors of the JSON Schema keywords; NULL documents have none."""
-        return self._errors(self.root, doc, (), "#")
+        return self._errors(self.root, Place(doc), (), "#")
+
+    def _errors(self, schema: Any, at: Place | Column, path: tuple, where: str) -> Column:
+        """Errors of a value and everything below it.
 
-    def _errors(self, schema: Any, value: Column, path: tuple, where: str) -> Column:
+        Values at a fixed place are read straight from the document, so their
+        rules are ordinary compiled expressions that share subexpressions.
+        List elements are only known inside a lambda and are bound there.
+        """
         schema = resolve_ref(schema, self.root)
         if schema is True or schema == {}:
             return no_errors()
+        value = at.value() if isinstance(at, Place) else at
         if schema is False:
-            present = F.array_compact(F.array(value))
-            struct = F.struct(
+            error = F.array(F.struct(
                 pointer(path).alias("path"), F.lit("false schema").alias("keyword"),
                 F.lit("boolean schema is false").alias("message"),
-            )
-            return F.transform(present, lambda v: struct)
-
+            )).cast(ERRORS_TYPE)
+            return F.when(value.isNotNull(), error).otherwise(no_errors())
         container = _looks_inside(schema)
 
+        def rules(node: Node) -> Column:
+            return _joined([*self._own_rules(node), *self._members(node), *self._elements(node), *self._combined(node)])
+
+        if isinstance(at, Place):
+            parts = (as_object(value), as_array(value), None) if container else (None, None, F.schema_of_variant(value))
+            return F.when(value.isNotNull(), rules(Node(value, *parts, at, path, where, schema))).otherwise(no_errors())
+
         def build(b: Column) -> Column:
             parts = (b["o"], b["a"], None) if container else (None, None, b["n"])
-            node = Node(b["v"], *parts, path, where, schema)
-            own = [rule for rule in self._own_rules(node) if rule is not None]
-            lists = [F.array_compact(F.array(*own)).cast(ERRORS_TYPE)] if own else []
-            lists += self._members(node) + self._elements(node) + self._combined(node)
-            if not lists:
-                return no_errors()
-            return lists[0] if len(lists) == 1 else F.concat(*lists)
+            return rules(Node(b["v"], *parts, None, path, where, schema))
 
         return _bind(value, container, build)
 
-    def _own_rules(self, node: Node) -> list:
+    def _own_rules(self, node: Node) -> list[Column]:
         rules = [_RULES[k](node, param) for k, param in node.schema.items() if k in _RULES]
         for name in node.schema.get("required", []):
-            lacks = node.fields.isNotNull() & F.try_element_at(node.fields, F.lit(name)).isNull()
+            member = node.member(name)
+            lacks = (member.value() if isinstance(member, Place) else member).isNull() & node.is_object
             rules.append(node.fail(lacks, "required", f"missing required property '{name}'"))
-        return rules
+        return [rule for rule in rules if rule is not None]
 
     def _members(self, node: Node) -> list[Column]:
         lists = []
         declared = node.schema.get("properties", {})
         for key, sub in declared.items():
-            member = F.try_element_at(node.fields, F.lit(key))
-            lists.append(self._errors(sub, member, node.path + (step(key),), f"{node.where}/properties/{key}"))
+            lists.append(self._errors(sub, node.member(key), node.path + (step(key),), f"{node.where}/properties/{key}"))
         extra = node.schema.get("additionalProperties", True)
         if extra is not True and extra != {}:
             known = F.array(*[F.lit(k) for k in declared]) if declared else F.array().cast("array<string>")
@@ -403,15 +443,16 @@ class SchemaRules:
         lists = []
 
         def branches(keyword: str) -> list[Column]:
-            subs = node.schema[keyword]
-            return [self._errors(s, node.value, node.path, f"{node.where}/{keyword}/{i}") for i, s in enumerate(subs)]
+            return [
+                self._errors(s, node.place or node.value, node.path, f"{node.where}/{keyword}/{i}")
+                for i, s in enumerate(node.schema[keyword])
+            ]
 
         def judged(options: list[Column], good: Callable[[Column], Column], keyword: str, message: str) -> Column:
             """All branch errors plus one own error, unless the count of passing branches is good."""
-            boxed = F.array(F.array(*options))
-            return F.flatten(F.transform(boxed, lambda per: F.when(
-                good(F.size(F.filter(per, lambda e: F.size(e) == 0))), no_errors()
-            ).otherwise(F.concat(F.flatten(per), F.array(node.error(keyword, message)).cast(ERRORS_TYPE)))))
+            passing = sum((F.when(F.size(e) == 0, 1).otherwise(0) for e in options), F.lit(0))
+            own = F.array(node.error(keyword, message)).cast(ERRORS_TYPE)
+            return F.when(good(passing), no_errors()).otherwise(F.concat(*options, own))
 
         if node.schema.get("allOf"):
             lists += branches("allOf")
@@ -420,10 +461,8 @@ class SchemaRules:
         if node.schema.get("oneOf"):
             lists.append(judged(branches("oneOf"), lambda n: n == 1, "oneOf", "must match exactly one schema in oneOf"))
         if "not" in node.schema:
-            inner = self._errors(node.schema["not"], node.value, node.path, f"{node.where}/not")
-            lists.append(F.array_compact(F.array(
-                node.fail(F.size(inner) == 0, "not", "must NOT be valid")
-            )).cast(ERRORS_TYPE))
+            inner = self._errors(node.schema["not"], node.place or node.value, node.path, f"{node.where}/not")
+            lists.append(node.fail(F.size(inner) == 0, "not", "must NOT be valid"))
         return lists
 
     # -- generation rules --------------------------------------------------

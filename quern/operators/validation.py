@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.variants import child, set_text
-from quern.operators.schema_rules import SchemaRules
+from quern.operators.schema_rules import SchemaRules, no_errors
 
 
 def with_errors(df: DataFrame, rules: SchemaRules, doc: str = "item") -> DataFrame:
@@ -14,6 +14,17 @@ def with_errors(df: DataFrame, rules: SchemaRules, doc: str = "item") -> DataFra
     return df.withColumn("errors", rules.errors(F.col(doc))).withColumn("valid", F.size("errors") == 0)
 
 
+def each_error(checked: DataFrame, *keep: str | Column, errors: str = "errors") -> DataFrame:
+    """One row per error: the kept columns, then path, keyword and message.
+
+    Exploding a plain column makes Spark add a filter on its size and evaluate
+    the whole check for that filter too; exploding an expression does not.
+    """
+    rows = F.explode(F.concat(F.col(errors), no_errors())).alias("e")
+    opened = checked.select(*keep, rows)
+    return opened.select(*[c for c in opened.columns if c != "e"], "e.path", "e.keyword", "e.message")
+
+
 def error_lines(errors: Column) -> Column:
     """``path: message`` per error."""
     return F.transform(errors, lambda e: F.concat(e["path"], F.lit(": "), e["message"]))

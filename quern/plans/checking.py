@@ -16,7 +16,7 @@ from quern.operators.schema_fields import (
 )
 from quern.operators.schema_rules import FORBIDDEN_PHRASE, GENERATE, SchemaRules
 from quern.operators.validation import (
-    batch_summary, error_lines, invalid_report, split_batch, tag_invalid, with_errors,
+    batch_summary, each_error, error_lines, invalid_report, split_batch, tag_invalid, with_errors,
 )
 from quern.plans.registry import query
 from quern.plans.tables import event_props, table
@@ -64,13 +64,9 @@ def checked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_errors(event_documents(e), SchemaRules(FLAT_SCHEMA))
 
 
-def _error_table(checked: DataFrame, *keep: str) -> DataFrame:
-    return checked.select(*keep, F.explode("errors").alias("e")).select(*keep, "e.path", "e.keyword", "e.message")
-
-
 @query("validate_flat", f"WITH {FLAT_SQL} SELECT * FROM err")
 def validate_flat(spark, sf_dir):
-    return _error_table(checked_events(spark, sf_dir), "event_id")
+    return each_error(checked_events(spark, sf_dir), "event_id")
 
 
 @query("batch_summary", f"""
@@ -153,7 +149,7 @@ def validate_nested(spark, sf_dir):
         F.lit('},{"name":"t"'), third, F.lit('}],"flag":"'), F.col("l_returnflag"), F.lit('"}}'),
     )
     checked = with_errors(li.withColumn("item", parse_exact(text)), SchemaRules(NESTED_SCHEMA))
-    return _error_table(checked, "l_orderkey", "l_linenumber", "l_partkey")
+    return each_error(checked, "l_orderkey", "l_linenumber", "l_partkey")
 
 
 COMBINED_SCHEMA = {
@@ -195,7 +191,7 @@ def validate_combinators(spark, sf_dir):
         F.col("p_size").cast("double").cast("string"), F.lit(',"either":'), either, F.lit(',"ref":"'), F.col("p_name"), F.lit('"}'),
     )
     checked = with_errors(p.select("p_partkey", parse_exact(text).alias("item")), SchemaRules(COMBINED_SCHEMA))
-    return _error_table(checked, "p_partkey")
+    return each_error(checked, "p_partkey")
 
 
 @query("validate_formats", r"""
