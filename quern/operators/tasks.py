@@ -7,6 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.pinned import pin
 from quern.functions.template import map_lookup, render, render_column
 from quern.functions.text import number_text, translit
 from quern.functions.variants import as_object, describe, is_set
@@ -48,13 +49,13 @@ def expand_items(tasks: DataFrame, keys: list[str], count: str = "count", block:
 
 def with_fields(tasks: DataFrame, task_json: str = "task_json") -> DataFrame:
     """Add ``fields``: the members of a task in the order stated, each described once."""
-    parsed = tasks.withColumn("_obj", as_object(F.try_parse_json(F.col(task_json))))
+    parsed = pin(tasks, _obj=as_object(F.try_parse_json(F.col(task_json))))
     keys = F.array_distinct(F.json_object_keys(F.col(task_json)))
     pairs = F.transform(keys, lambda k: F.struct(k.alias("key"), F.try_element_at(F.col("_obj"), k).alias("v")))
     trimmed = F.transform(describe(pairs), lambda d: F.struct(
         d["key"].alias("key"), d["kind"].alias("kind"), d["n"].alias("n"), d["text"].alias("text")
     ))
-    return parsed.withColumn("fields", trimmed).drop("_obj")
+    return pin(parsed, fields=trimmed).drop("_obj")
 
 
 def _found(fields: Column, key: str) -> Column:
@@ -111,7 +112,7 @@ def with_context(items: DataFrame, now: datetime, index: str = "index") -> DataF
     numeric = F.concat(
         F.transform(numbers, lambda d: d["key"]), F.array(*[F.lit(k) for k in ("index", "timestamp", "difficulty_num")])
     )
-    return items.withColumn("ctx", F.map_concat(own, built, stepped)).withColumn("numeric", numeric)
+    return pin(items, ctx=F.map_concat(own, built, stepped), numeric=numeric)
 
 
 def label_field(fields: Column) -> Column:

@@ -5,23 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.pinned import pin
 from quern.functions.variants import child, set_text
-from quern.operators.schema_rules import SchemaRules, no_errors
+from quern.operators.schema_rules import SchemaRules
 
 
 def with_errors(df: DataFrame, rules: SchemaRules, doc: str = "item") -> DataFrame:
-    """Add ``errors`` (sorted) and ``valid``; one narrow stage."""
-    return df.withColumn("errors", rules.errors(F.col(doc))).withColumn("valid", F.size("errors") == 0)
+    """Add ``errors`` (sorted) and ``valid``; one narrow stage.
 
+    ``doc`` should be a stored or pinned column (see ``with_document``).
+    """
+    return pin(df, errors=rules.errors(F.col(doc))).withColumn("valid", F.size("errors") == 0)
 
-def each_error(checked: DataFrame, *keep: str | Column, errors: str = "errors") -> DataFrame:
-    """One row per error: the kept columns, then path, keyword and message.
 
-    Exploding a plain column makes Spark add a filter on its size and evaluate
-    the whole check for that filter too; exploding an expression does not.
-    """
-    rows = F.explode(F.concat(F.col(errors), no_errors())).alias("e")
-    opened = checked.select(*keep, rows)
+def each_error(checked: DataFrame, *keep: str | Column, errors: str = "errors") -> DataFrame:
+    """One row per error: the kept columns, then path, keyword and message."""
+    opened = checked.select(*keep, F.explode(errors).alias("e"))
     return opened.select(*[c for c in opened.columns if c != "e"], "e.path", "e.keyword", "e.message")
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.formats import has_format
-from quern.functions.variants import parse_exact, scalar_kind
+from quern.functions.pinned import pin
+from quern.functions.variants import scalar_kind
 from quern.operators import checks
 from quern.operators.failures import error_rows, group_errors, top_groups
 from quern.operators.reshape import coerce
@@ -20,7 +21,7 @@ from quern.operators.validation import (
 )
 from quern.plans.registry import query
 from quern.plans.tables import event_props, table
-from quern.sources.readers import items_of, with_document
+from quern.sources.readers import items_of, with_document, with_json
 
 FLAT_SCHEMA = {
     "type": "object",
@@ -56,7 +57,7 @@ def event_documents(events: DataFrame) -> DataFrame:
         F.when(F.col("event_type") != "signup", event_props()).alias("k"), F.col("user_id").alias("user"),
         F.when(F.col("event_type") == "error", F.col("props")).alias("extra"),
     ))
-    return events.withColumn("item", parse_exact(text))
+    return with_json(events, text)
 
 
 def checked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +149,7 @@ def validate_nested(spark, sf_dir):
         F.lit('{"order":{"lines":[{"name":"q","v":'), F.col("l_quantity").cast("string"), F.lit('},{"name":"d","v":'), second,
         F.lit('},{"name":"t"'), third, F.lit('}],"flag":"'), F.col("l_returnflag"), F.lit('"}}'),
     )
-    checked = with_errors(li.withColumn("item", parse_exact(text)), SchemaRules(NESTED_SCHEMA))
+    checked = with_errors(with_json(li, text), SchemaRules(NESTED_SCHEMA))
     return each_error(checked, "l_orderkey", "l_linenumber", "l_partkey")
 
 
@@ -190,7 +191,7 @@ def validate_combinators(spark, sf_dir):
         F.lit(',"brand":"'), F.col("p_brand"), F.lit('","kind":"'), F.col("p_type"), F.lit('","one":'),
         F.col("p_size").cast("double").cast("string"), F.lit(',"either":'), either, F.lit(',"ref":"'), F.col("p_name"), F.lit('"}'),
     )
-    checked = with_errors(p.select("p_partkey", parse_exact(text).alias("item")), SchemaRules(COMBINED_SCHEMA))
+    checked = with_errors(with_json(p, text), SchemaRules(COMBINED_SCHEMA))
     return each_error(checked, "p_partkey")
 
 
@@ -251,8 +252,7 @@ DOCUMENT_SCHEMA = {
 """)
 def custom_rules(spark, sf_dir):
     d = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
-    item = parse_exact(F.to_json(F.struct("lang", "text")))
-    checked = with_errors(d.select("doc_id", item.alias("item")), SchemaRules(DOCUMENT_SCHEMA))
+    checked = with_errors(with_json(d, F.to_json(F.struct("lang", "text"))).select("doc_id", "item"), SchemaRules(DOCUMENT_SCHEMA))
     return checked.select("doc_id", F.explode(error_lines(F.col("errors"))).alias("line"))
 
 
@@ -287,7 +287,7 @@ def coerce_events(spark, sf_dir):
         F.lit('{"k":"'), event_props().cast("string"), F.lit('","flag":'), flag, F.lit(',"label":'), F.col("user_id").cast("string"),
         F.lit(',"amount":'), amount, F.lit(',"extra":[1]}'),
     )
-    rows = e.select("event_id", coerce(COERCE_SCHEMA, parse_exact(text)).alias("item"))
+    rows = pin(with_json(e, text), item=coerce(COERCE_SCHEMA, F.col("item"))).select("event_id", "item")
     return with_errors(rows, SchemaRules(COERCE_SCHEMA)).select("event_id", F.to_json("item").alias("doc"), "valid")
 
 
@@ -319,7 +319,7 @@ def validate_report(spark, sf_dir):
         F.col("o_orderkey").alias("id"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("name"),
         F.col("o_totalprice").alias("total"), F.col("o_orderpriority").alias("priority"),
     ))
-    checked = with_errors(o.select("o_orderkey", parse_exact(text).alias("item")), SchemaRules(ORDER_SCHEMA))
+    checked = with_errors(with_json(o, text).select("o_orderkey", "item"), SchemaRules(ORDER_SCHEMA))
     report = invalid_report(checked, "item", "o_orderkey")
     return report.select("o_orderkey", "label", F.array_join("messages", "; ").alias("messages"))
 
@@ -442,7 +442,7 @@ def schema_lint(spark, sf_dir):
     UNION ALL SELECT p_partkey, 'object', 'r', NULL, false, '' FROM part
 """)
 def schema_info(spark, sf_dir):
-    parsed = schema_corpus(spark, sf_dir).withColumn("schema", parse_exact(F.col("doc")))
+    parsed = with_json(schema_corpus(spark, sf_dir), F.col("doc"), "schema")
     return schema_overview(parsed, ["p_partkey"])
 
 
@@ -503,7 +503,7 @@ def checked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_returnflag").alias("flag"),
         F.col("l_linestatus").alias("status"),
     ))
-    rows = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("index"), "l_returnflag", parse_exact(text).alias("item"))
+    rows = with_json(li, text).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("index"), "item")
     return with_errors(rows, SchemaRules(LINE_SCHEMA))
 
 

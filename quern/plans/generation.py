@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from quern.functions.answers import read_answer, soft_parse
 from quern.functions.template import column_lookup, render, render_column, render_double, render_double_column
 from quern.functions.text import LATIN, translit
-from quern.functions.variants import child, parse_exact
+from quern.functions.pinned import pin
+from quern.functions.variants import child
 from quern.operators import chat, inference
 from quern.operators.examples import example_json, varied_json
 from quern.operators.prompts import (
@@ -24,7 +25,7 @@ from quern.operators.tasks import (
 from quern.operators.validation import with_errors
 from quern.plans.registry import query
 from quern.plans.tables import NOW, event_props, table
-from quern.sources.readers import with_document
+from quern.sources.readers import with_document, with_json
 
 STAMP = "2024-01-31T12:30:45.678Z"
 EPOCH = "1706704245678"
@@ -466,8 +467,7 @@ INFER_SQL = """
 
 
 def answers_view(answers: DataFrame) -> DataFrame:
-    data = parse_exact(F.col("content"))
-    return answers.withColumn("data", data).select(
+    return with_json(answers, F.col("content"), "data").select(
         "event_id", "attempts", F.col("error").isNull().alias("success"),
         inference.error_class(F.col("status"), F.col("code")).alias("error_class"),
         F.try_variant_get("data", "$.type", "string").alias("answered"),
@@ -557,7 +557,7 @@ EXAMPLE_SCHEMA = {
 """)
 def example_rows(spark, sf_dir):
     rows = table(spark, sf_dir, "customer", "c_custkey").withColumn("doc", example_json(EXAMPLE_SCHEMA))
-    checked = with_errors(rows.withColumn("item", parse_exact(F.col("doc"))), SchemaRules(EXAMPLE_SCHEMA))
+    checked = with_errors(with_json(rows, F.col("doc")), SchemaRules(EXAMPLE_SCHEMA))
     return checked.select("c_custkey", "doc", "valid")
 
 
@@ -565,7 +565,7 @@ def example_rows(spark, sf_dir):
     SELECT c_custkey, true AS valid, 'item_{index}' AS id, 'A title ' || c_custkey AS title, true AS in_limits FROM customer
 """)
 def example_variants(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer", "c_custkey").withColumn("item", parse_exact(varied_json(EXAMPLE_SCHEMA, F.col("c_custkey"))))
+    rows = with_json(table(spark, sf_dir, "customer", "c_custkey"), varied_json(EXAMPLE_SCHEMA, F.col("c_custkey")))
     checked = with_errors(rows, SchemaRules(EXAMPLE_SCHEMA))
     return checked.select(
         "c_custkey", "valid", F.try_variant_get("item", "$.id", "string").alias("id"),
@@ -595,7 +595,7 @@ def response_parse(spark, sf_dir):
         .when(kind == "purchase", F.concat(F.lit("Here: "), F.substring(props, F.lit(1), F.char_length(props) - 1)))
         .otherwise(F.concat(F.lit("no json "), number, F.lit(" }")))
     )
-    rows = e.withColumn("answer", answer).withColumn("read", read_answer(F.col("answer")))
+    rows = pin(pin(e, answer=answer), read=read_answer(F.col("answer")))
     soft = soft_parse(F.when(kind == "click", "plain words").otherwise(props), F.struct("event_id"))
     return rows.select(
         "event_id", F.to_json("read.data").alias("data"), "read.error", "read.excerpt",
@@ -637,7 +637,7 @@ def post_process(spark, sf_dir):
         F.lit("theme"), F.col("o_orderpriority"), F.lit("index"), F.col("o_orderkey").cast("string"),
         F.lit("difficulty_num"), level,
     )
-    rows = o.withColumn("item", parse_exact(text)).withColumn("ctx", ctx)
+    rows = with_json(o, text).withColumn("ctx", ctx)
     return rows.select(
         "o_orderkey", F.to_json(fill_fields(FILL_SCHEMA, F.col("item"), F.col("ctx"))).alias("doc"),
         F.to_json(fill_fields(FILL_SCHEMA, F.col("item"), F.col("ctx"), compat=True)).alias("compat_doc"),
@@ -669,8 +669,8 @@ def generation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     recorded = e.select("event_id", F.concat(
         F.lit('```json\n{"id":"?","type":"'), F.col("event_type"), F.lit('","value":'), F.col("value").cast("string"), F.lit("}\n```")
     ).alias("content"))
-    answers = asked.join(recorded, "event_id", "left").withColumn("read", read_answer(F.col("content")))
-    filled = answers.withColumn("item", fill_fields(RUN_SCHEMA, F.col("read.data"), F.col("ctx")))
+    answers = pin(asked.join(recorded, "event_id", "left"), read=read_answer(F.col("content")))
+    filled = pin(answers, item=fill_fields(RUN_SCHEMA, F.col("read.data"), F.col("ctx")))
     checked = with_errors(filled, SchemaRules(RUN_SCHEMA))
     return checked.groupBy("task_key").agg(
         F.count("*").alias("items"), F.count_if("valid").alias("valid"),

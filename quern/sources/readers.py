@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.functions.pinned import pin
 from quern.functions.text import base_name, dir_name, extension
 from quern.functions.variants import as_array, parse_exact
 
@@ -21,8 +22,12 @@ def read_documents(spark: SparkSession, path: str, pattern: str = "*.json") -> D
 
 def with_document(rows: DataFrame, text: str = "text") -> DataFrame:
     """Parse a JSON text column; bad rows stay with ``parse_ok`` false."""
-    parsed = rows.withColumn("doc", parse_exact(F.col(text)))
-    return parsed.withColumn("parse_ok", F.col("doc").isNotNull())
+    return with_json(rows, F.col(text), "doc").withColumn("parse_ok", F.col("doc").isNotNull())
+
+
+def with_json(rows: DataFrame, text: Column, name: str = "item") -> DataFrame:
+    """Add the VARIANT of a JSON text, parsed once per row."""
+    return pin(rows, **{name: parse_exact(text)})
 
 
 def read_config(spark: SparkSession, path: str) -> dict:
