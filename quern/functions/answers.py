@@ -41,12 +41,14 @@ def json_part(answer: Column, compat: bool = False) -> Column:
 
 def read_answer(answer: Column, compat: bool = False) -> Column:
     """``struct(data variant, error string, excerpt string)`` of an answer."""
-    data = parse_exact(json_part(answer, compat))
-    return F.struct(
-        data.alias("data"),
-        F.when(data.isNull(), "Failed to parse JSON response").alias("error"),
-        F.when(data.isNull(), error_excerpt(answer)).alias("excerpt"),
-    )
+    def judged(data: Column) -> Column:
+        return F.struct(
+            data.alias("data"),
+            F.when(data.isNull(), "Failed to parse JSON response").alias("error"),
+            F.when(data.isNull(), error_excerpt(answer)).alias("excerpt"),
+        )
+
+    return F.get(F.transform(F.array(parse_exact(json_part(answer, compat))), judged), F.lit(0))
 
 
 def soft_parse(answer: Column, context: Column) -> Column:

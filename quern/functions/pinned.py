@@ -15,8 +15,8 @@ def pin(df: DataFrame, **columns: Column) -> DataFrame:
     each row is exploded from a one-element array.
     """
     kept = [c for c in df.columns if c not in columns]
-    if len(columns) == 1:
-        (name, value), = columns.items()
-        return df.select(*kept, F.explode(F.array(value)).alias(name))
-    box = F.struct(*[v.alias(k) for k, v in columns.items()])
-    return df.select(*kept, F.explode(F.array(box)).alias("_pin")).select(*kept, *[F.col(f"_pin.{k}").alias(k) for k in columns])
+    # The projection below is compiled and shares subexpressions; a generator
+    # evaluates its own input one node at a time, so it only gets a reference.
+    built = df.select(*kept, *[v.alias(f"_pin_{k}") for k, v in columns.items()])
+    box = F.struct(*[F.col(f"_pin_{k}").alias(k) for k in columns])
+    return built.select(*kept, F.explode(F.array(box)).alias("_pin")).select(*kept, *[F.col(f"_pin.{k}").alias(k) for k in columns])

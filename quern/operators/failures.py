@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.pinned import pin
 from quern.operators.running import top_per_key
 from quern.operators.validation import each_error
 
@@ -20,13 +21,14 @@ def error_rows(checked: DataFrame, index: str, *by: str, errors: str = "errors")
     """
     exploded = each_error(checked, *by, F.col(index).alias("row_index"), errors=errors)
     path = F.col("path")
-    inner = F.regexp_extract(path, r"(?:/|\[)(\d+)(?:\]|/|$)", 1)
-    field = F.when(
-        inner != "", F.regexp_replace(F.regexp_extract(path, r"(?:/|\[)\d+\]?(.*)$", 1), r"^[./]", "")
-    ).otherwise(F.regexp_replace(path, r"^/", ""))
-    return exploded.select(
-        *by, F.coalesce(inner.try_cast("bigint"), F.col("row_index")).alias("item"), field.alias("field"), "message", "row_index",
+    inside = F.regexp_extract(path, r"(?:/|\[)(\d+)(?:\]|/|$)", 1)
+    rest = F.regexp_replace(F.regexp_extract(path, r"(?:/|\[)\d+\]?(.*)$", 1), r"^[./]", "")
+    listed = F.rlike(path, F.lit(r"[/\[]\d"))
+    opened = pin(
+        exploded, item=F.when(listed, F.nullif(inside, F.lit("")).cast("bigint")),
+        field=F.when(listed & (inside != ""), rest).otherwise(F.ltrim(path, F.lit("/"))),
     )
+    return opened.select(*by, F.coalesce("item", "row_index").alias("item"), "field", "message", "row_index")
 
 
 def group_errors(errors: DataFrame, *by: str, item: str = "item", spread_by: tuple[str, ...] = ()) -> DataFrame:
@@ -34,7 +36,8 @@ def group_errors(errors: DataFrame, *by: str, item: str = "item", spread_by: tup
 
     The text names all items up to three, else the first three and how many more.
     Counting combines before the shuffle, and only the first three indices of a
-    group are ever collected.
+    group are ever collected.  The rows are read twice, so pass a written table
+    (``materialize``) when they come from an expensive check.
     """
     keys = [*by, "field", "message"]
     counts = errors.groupBy(*keys).agg(F.count("*").alias("n"))

@@ -11,12 +11,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.formats import has_format, matches
+from quern.functions.pinned import pin
 from quern.functions.text import number_text, utf16_length
-from quern.functions.variants import as_array, as_double, as_object, as_string, is_number, path_of
+from quern.functions.variants import as_double, is_number, path_of
 
 ERROR_TYPE = "struct<path:string,keyword:string,message:string>"
 ERRORS_TYPE = f"array<{ERROR_TYPE}>"
@@ -62,80 +63,130 @@ def resolve_ref(schema: Any, root: dict, depth: int = 0) -> Any:
     return {**resolve_ref(target, root, depth + 1), **beside}
 
 
-@dataclass(frozen=True)
-class Place:
-    """Where a value sits at a fixed path of the document, outside any list."""
+class Reads:
+    """The values one document, or one list element, is read for.
+
+    Rules refer to them by name; the struct of all of them is built once per
+    document before any rule runs, so nothing is read or parsed per rule.
+    """
 
-    doc: Column
-    keys: tuple[str, ...] = ()
+    def __init__(self, base: Column | None):
+        self.base = base            # the struct; None while only collecting
+        self.wanted: dict[tuple, Callable[[Column], Column]] = {}
 
-    def value(self) -> Column:
-        return F.try_variant_get(self.doc, path_of(*self.keys), "variant")
+    def get(self, kind: str, keys: tuple[str, ...], read: Callable[[Column], Column]) -> Column:
+        found = list(self.wanted)
+        if (kind, keys) not in self.wanted:
+            self.wanted[(kind, keys)] = read
+            found.append((kind, keys))
+        name = f"r{found.index((kind, keys))}"
+        return F.lit(None) if self.base is None else self.base[name]
 
-    def member(self, key: str) -> "Place":
-        return Place(self.doc, (*self.keys, key))
+    def columns(self, doc: Column) -> list[Column]:
+        return [read(doc).alias(f"r{i}") for i, read in enumerate(self.wanted.values())]
 
 
 @dataclass(frozen=True)
 class Node:
     """One value of the document while its rules are put together."""
 
-    value: Column       # the VARIANT
-    fields: Column | None   # map of an object's members, NULL for other kinds
-    items: Column | None    # array elements, NULL for other kinds
-    scalar: Column | None   # Spark type name when the node is read as a scalar
-    place: Place | None     # set when the value is not inside a list
-    path: tuple         # parts of its JSON pointer
-    where: str          # place of its rules in the schema
+    reads: Reads
+    keys: tuple[str, ...]   # place below the document or list element
+    path: tuple             # parts of its JSON pointer
+    where: str              # place of its rules in the schema
     schema: dict
 
-    def member(self, key: str) -> Column | Place:
-        return self.place.member(key) if self.place else F.try_element_at(self.fields, F.lit(key))
+    def _get(self, kind: str, cast: str) -> Column:
+        return self.reads.get(kind, self.keys, lambda doc: F.try_variant_get(doc, path_of(*self.keys), cast))
+
+    @staticmethod
+    def _name(doc: Column, keys: tuple[str, ...]) -> Column:
+        return F.schema_of_variant(F.try_variant_get(doc, path_of(*keys), "variant"))
 
     @property
-    def is_object(self) -> Column:
-        """An object; one declared member is proof enough, so the others need no map."""
-        whole = self.fields.isNotNull()
-        if self.place:
-            for key in reversed(list(self.schema.get("properties", {}))[:3]):
-                whole = self.place.member(key).value().isNotNull() | whole
-        return whole
+    def value(self) -> Column:
+        return self._get("v", "variant")
 
     @property
     def name(self) -> Column:
-        """Spark type name; OBJECT or ARRAY for containers."""
-        if self.scalar is None:
-            return (
-                F.when(self.fields.isNotNull(), "OBJECT").when(self.items.isNotNull(), "ARRAY")
-                .otherwise(F.schema_of_variant(self.value))
-            )
-        return (
-            F.when(self.scalar.startswith("OBJECT"), "OBJECT").when(self.scalar.startswith("ARRAY"), "ARRAY")
-            .otherwise(self.scalar)
-        )
+        """Spark type name of the value; NULL when it is missing."""
+        return self.reads.get("n", self.keys, lambda doc: self._name(doc, self.keys))
 
     @property
     def number(self) -> Column:
-        return F.when(is_number(self.plain_name), as_double(self.value))
+        """Double of a number, NULL for any other kind."""
+        return self.reads.get("d", self.keys, lambda doc: F.when(
+            is_number(self._name(doc, self.keys)), F.try_variant_get(doc, path_of(*self.keys), "double")
+        ))
 
     @property
     def string(self) -> Column:
-        return F.when(self.plain_name == "STRING", as_string(self.value))
+        return self.reads.get("s", self.keys, lambda doc: F.when(
+            self._name(doc, self.keys) == "STRING", F.try_variant_get(doc, path_of(*self.keys), "string")
+        ))
+
+    @property
+    def boolean(self) -> Column:
+        return self.reads.get("b", self.keys, lambda doc: F.when(
+            self._name(doc, self.keys) == "BOOLEAN", F.try_variant_get(doc, path_of(*self.keys), "boolean")
+        ))
+
+    @property
+    def fields(self) -> Column:
+        return self._get("m", "map<string,variant>")
+
+    @property
+    def items(self) -> Column:
+        return self._get("a", "array<variant>")
+
+    def _members_seen(self) -> list[tuple[str, ...]]:
+        """Places of a few declared scalar members: cheap proof that this is an object."""
+        declared = self.schema.get("properties", {})
+        return [(*self.keys, k) for k, sub in declared.items() if not _looks_inside(sub)][:3]
+
+    @property
+    def is_object(self) -> Column:
+        """An object; only one without a known member has to be looked at as a whole."""
+        def read(doc: Column) -> Column:
+            known = F.coalesce(self._name(doc, self.keys).startswith("OBJECT"), F.lit(False))
+            for keys in reversed(self._members_seen()):
+                known = self._name(doc, keys).isNotNull() | known
+            return known
+
+        return self.reads.get("o", self.keys, read)
 
     @property
-    def plain_name(self) -> Column:
-        return self.name if self.scalar is None else self.scalar
+    def present(self) -> Column:
+        if not _looks_inside(self.schema):
+            return self.name.isNotNull()
+
+        def read(doc: Column) -> Column:
+            there = F.try_variant_get(doc, path_of(*self.keys), "variant").isNotNull()
+            for keys in reversed(self._members_seen()):
+                there = self._name(doc, keys).isNotNull() | there
+            return there
+
+        return self.reads.get("p", self.keys, read)
+
+    def member(self, key: str, schema: dict, path: tuple, where: str) -> "Node":
+        return Node(self.reads, (*self.keys, key), path, where, schema)
+
+    def lacks(self, key: str) -> Column:
+        sub = self.schema.get("properties", {}).get(key)
+        return ~self.member(key, sub if isinstance(sub, dict) else {}, (), "").present & self.is_object
 
     def is_type(self, name: str) -> Column:
-        if self.scalar is None and name in ("object", "array"):
-            return self.is_object if name == "object" else self.items.isNotNull()
+        if name == "object":
+            return self.is_object
+        if name == "array" and (self.schema.get("items") is not None or _looks_inside(self.schema)):
+            return self.items.isNotNull()
         if name == "number":
-            return is_number(self.plain_name)
+            return is_number(self.name)
         if name == "integer":
-            whole = as_double(self.value) == F.floor(as_double(self.value))
-            return (self.plain_name == "BIGINT") | (is_number(self.plain_name) & whole)
-        spark_name = {"string": "STRING", "boolean": "BOOLEAN", "null": "VOID", "object": "OBJECT<", "array": "ARRAY<"}[name]
-        return self.plain_name.startswith(spark_name) if spark_name.endswith("<") else self.plain_name == spark_name
+            return (self.name == "BIGINT") | F.coalesce(self.number == F.floor(self.number), F.lit(False))
+        if name == "array":
+            return self.name.startswith("ARRAY")
+        return self.name == {"string": "STRING", "boolean": "BOOLEAN", "null": "VOID"}[name]
 
     def error(self, keyword: str, message: str | Column) -> Column:
         text = F.lit(message) if isinstance(message, str) else message
@@ -189,7 +240,7 @@ def _type(node: Node, param: Any) -> Column:
 
 def _equals(node: Node, constant: Any) -> Column:
     if isinstance(constant, bool):
-        same = (node.name == "BOOLEAN") & (as_string(node.value) == plain(constant))
+        same = node.boolean == F.lit(constant)
     elif constant is None:
         same = node.name == "VOID"
     elif isinstance(constant, (int, float)):
@@ -198,7 +249,8 @@ def _equals(node: Node, constant: Any) -> Column:
         same = node.string == F.lit(constant)
     else:
         text = json.dumps(constant, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-        same = node.name.isin("OBJECT", "ARRAY") & (F.to_json(node.value) == F.lit(text))
+        whole = node.name.startswith("OBJECT") | node.name.startswith("ARRAY")
+        same = whole & (F.to_json(node.value.cast("variant")) == F.lit(text))
     return F.coalesce(same, F.lit(False))
 
 
@@ -278,7 +330,7 @@ def _unique(node: Node, wanted: bool) -> Column | None:
     if not wanted:
         return None
     # Numbers compare by value, everything else by its JSON text.
-    keys = F.transform(node.items, lambda e: F.coalesce(_number_key(e), F.to_json(e)))
+    keys = F.transform(node.items.cast("array<variant>"), lambda e: F.coalesce(_number_key(e), F.to_json(e)))
     twice = node.items.isNotNull() & (F.size(F.array_distinct(keys)) < F.size(keys))
     return node.fail(twice, "uniqueItems", "must NOT have duplicate items")
 
@@ -300,20 +352,6 @@ def _max_properties(node: Node, n: int) -> Column:
     return node.fail(many, "maxProperties", f"must NOT have more than {plain(n)} properties")
 
 
-def _bind(value: Column, container: bool, build: Callable[[Column], Column]) -> Column:
-    """Evaluate the parts of a present list element once and hand them to ``build``.
-
-    The one-element array is the "let" of column expressions: inside the lambda
-    the parts are references.  A missing value gives no errors.
-    """
-    present = F.array_compact(F.array(value))
-    if container:
-        parts = F.transform(present, lambda v: F.struct(v.alias("v"), as_object(v).alias("o"), as_array(v).alias("a")))
-    else:
-        parts = F.transform(present, lambda v: F.struct(v.alias("v"), F.schema_of_variant(v).alias("n")))
-    return F.flatten(F.transform(parts, build))
-
-
 def _joined(lists: list[Column]) -> Column:
     if not lists:
         return no_errors()
@@ -324,7 +362,10 @@ _INSIDE = ("properties", "required", "additionalProperties", "minProperties", "m
 _ELEMENTS = ("items", "minItems", "maxItems", "uniqueItems")
 
 
-def _looks_inside(schema: dict) -> bool:
+def _looks_inside(schema: Any) -> bool:
+    """Whether the rules of a value look at it as an object or a list."""
+    if not isinstance(schema, dict):
+        return False
     named = schema.get("type")
     names = named if isinstance(named, list) else [named]
     return "object" in names or "array" in names or any(k in schema for k in _INSIDE + _ELEMENTS)
@@ -352,101 +393,109 @@ class SchemaRules:
 
     def schema_errors(self, doc: Column) -> Column:
         """Unsorted errors of the JSON Schema keywords; NULL documents have none."""
-        return self._errors(self.root, Place(doc), (), "#")
+        return self._let(doc, lambda reads: self._errors(self.root, Node(reads, (), (), "#", {})))
 
-    def _errors(self, schema: Any, at: Place | Column, path: tuple, where: str) -> Column:
-        """Errors of a value and everything below it.
+    def custom_errors(self, doc: Column) -> Column:
+        """Errors of the generation settings: lengths and forbidden words.
 
-        Values at a fixed place are read straight from the document, so their
-        rules are ordinary compiled expressions that share subexpressions.
-        List elements are only known inside a lambda and are bound there.
+        Paths are dotted (``items[0].title``); the document itself has no rule.
         """
-        schema = resolve_ref(schema, self.root)
-        if schema is True or schema == {}:
-            return no_errors()
-        value = at.value() if isinstance(at, Place) else at
-        if schema is False:
-            error = F.array(F.struct(
-                pointer(path).alias("path"), F.lit("false schema").alias("keyword"),
-                F.lit("boolean schema is false").alias("message"),
-            )).cast(ERRORS_TYPE)
-            return F.when(value.isNotNull(), error).otherwise(no_errors())
-        container = _looks_inside(schema)
+        return self._let(doc, lambda reads: self._custom(self.root, Node(reads, (), (), "#", {})))
 
-        def rules(node: Node) -> Column:
-            return _joined([*self._own_rules(node), *self._members(node), *self._elements(node), *self._combined(node)])
+    @staticmethod
+    def _let(doc: Column, build: Callable[[Reads], Column]) -> Column:
+        """Read a document once, then build on what was read.
 
-        if isinstance(at, Place):
-            parts = (as_object(value), as_array(value), None) if container else (None, None, F.schema_of_variant(value))
-            return F.when(value.isNotNull(), rules(Node(value, *parts, at, path, where, schema))).otherwise(no_errors())
+        Inside a lambda the reads are plain references; a one-element array is
+        the "let" of column expressions.
+        """
+        reads = Reads(None)
+        build(reads)
+        if not reads.wanted:
+            return no_errors()
+        boxed = F.transform(F.array(doc), lambda d: F.struct(*reads.columns(d)))
+        return F.flatten(F.transform(boxed, lambda r: build(Reads(r))))
 
-        def build(b: Column) -> Column:
-            parts = (b["o"], b["a"], None) if container else (None, None, b["n"])
-            return rules(Node(b["v"], *parts, None, path, where, schema))
+    def _each(self, values: Column, reads: Reads, build: Callable[[Reads, Column], Column]) -> Column:
+        """Errors of every value of an array of ``struct(v, at)``; ``at`` names it in paths."""
+        if reads.base is None:
+            return no_errors()
+        inner = Reads(None)
+        build(inner, F.lit(""))
+        if not inner.wanted:
+            return no_errors()
+        boxed = F.transform(values, lambda p: F.struct(*inner.columns(p["v"]), p["at"].alias("at")))
+        return F.flatten(F.transform(boxed, lambda r: build(Reads(r), r["at"])))
 
-        return _bind(value, container, build)
+    def _errors(self, schema: Any, at: Node) -> Column:
+        """Errors of a value and everything below it."""
+        schema = resolve_ref(schema, self.root)
+        if schema is True or schema == {}:
+            return no_errors()
+        node = Node(at.reads, at.keys, at.path, at.where, schema if isinstance(schema, dict) else {})
+        if schema is False:
+            return node.fail(node.present, "false schema", "boolean schema is false")
+        lists = [*self._own_rules(node), *self._members(node), *self._elements(node), *self._combined(node)]
+        return F.when(node.present, _joined(lists)).otherwise(no_errors())
 
     def _own_rules(self, node: Node) -> list[Column]:
         rules = [_RULES[k](node, param) for k, param in node.schema.items() if k in _RULES]
         for name in node.schema.get("required", []):
-            member = node.member(name)
-            lacks = (member.value() if isinstance(member, Place) else member).isNull() & node.is_object
-            rules.append(node.fail(lacks, "required", f"missing required property '{name}'"))
+            rules.append(node.fail(node.lacks(name), "required", f"missing required property '{name}'"))
         return [rule for rule in rules if rule is not None]
 
     def _members(self, node: Node) -> list[Column]:
         lists = []
         declared = node.schema.get("properties", {})
         for key, sub in declared.items():
-            lists.append(self._errors(sub, node.member(key), node.path + (step(key),), f"{node.where}/properties/{key}"))
+            place = node.member(key, {}, node.path + (step(key),), f"{node.where}/properties/{key}")
+            lists.append(self._errors(sub, place))
         extra = node.schema.get("additionalProperties", True)
-        if extra is not True and extra != {}:
-            known = F.array(*[F.lit(k) for k in declared]) if declared else F.array().cast("array<string>")
-            others = F.coalesce(
-                F.array_except(F.map_keys(node.fields), known), F.array().cast("array<string>")
-            )
-            if extra is False:
-                lists.append(F.transform(
-                    others,
-                    lambda k: node.error("additionalProperties", F.concat(F.lit("has unknown property '"), k, F.lit("'"))),
-                ))
-            else:
-                where = f"{node.where}/additionalProperties"
-                lists.append(F.flatten(F.transform(
-                    others,
-                    lambda k: self._errors(
-                        extra, F.try_element_at(node.fields, k),
-                        node.path + (F.concat(F.lit("/"), F.replace(F.replace(k, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))),),
-                        where,
-                    ),
-                )))
-        return lists
+        if extra is True or extra == {}:
+            return lists
+        known = F.array(*[F.lit(k) for k in declared]) if declared else F.array().cast("array<string>")
+        names = F.array_except(F.map_keys(node.fields.cast("map<string,variant>")), known)
+        others = F.coalesce(names, F.array().cast("array<string>"))
+        if extra is False:
+            return [*lists, F.transform(others, lambda k: node.error(
+                "additionalProperties", F.concat(F.lit("has unknown property '"), k, F.lit("'"))
+            ))]
+        values = F.transform(others, lambda k: F.struct(
+            F.try_element_at(node.fields.cast("map<string,variant>"), k).alias("v"),
+            F.concat(F.lit("/"), F.replace(F.replace(k, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))).alias("at"),
+        ))
+        where = f"{node.where}/additionalProperties"
+        return [*lists, self._each(
+            values, node.reads, lambda reads, at: self._errors(extra, Node(reads, (), node.path + (at,), where, {}))
+        )]
 
     def _elements(self, node: Node) -> list[Column]:
         sub = node.schema.get("items")
         if sub is None or sub is True or sub == {}:
             return []
-        elements = F.coalesce(node.items, F.array().cast("array<variant>"))
-        if isinstance(sub, list):
-            return [
-                self._errors(s, F.get(elements, F.lit(i)), node.path + (f"/{i}",), f"{node.where}/items/{i}")
-                for i, s in enumerate(sub)
-            ]
-        return [F.flatten(F.transform(
-            elements,
-            lambda e, i: self._errors(
-                sub, e, node.path + (F.concat(F.lit("/"), i.cast("string")),), f"{node.where}/items"
-            ),
-        ))]
+        elements = F.coalesce(node.items.cast("array<variant>"), F.array().cast("array<variant>"))
+        numbered = F.transform(elements, lambda e, i: F.struct(e.alias("v"), F.concat(F.lit("/"), i.cast("string")).alias("at")))
+        if not isinstance(sub, list):
+            return [self._each(
+                numbered, node.reads,
+                lambda reads, at: self._errors(sub, Node(reads, (), node.path + (at,), f"{node.where}/items", {})),
+            )]
+        return [
+            self._each(
+                F.slice(numbered, F.lit(n + 1), F.lit(1)), node.reads,
+                lambda reads, at, n=n, one=one: self._errors(one, Node(reads, (), node.path + (at,), f"{node.where}/items/{n}", {})),
+            )
+            for n, one in enumerate(sub)
+        ]
 
     def _combined(self, node: Node) -> list[Column]:
         lists = []
 
+        def below(schema: Any, where: str) -> Column:
+            return self._errors(schema, Node(node.reads, node.keys, node.path, f"{node.where}/{where}", {}))
+
         def branches(keyword: str) -> list[Column]:
-            return [
-                self._errors(s, node.place or node.value, node.path, f"{node.where}/{keyword}/{i}")
-                for i, s in enumerate(node.schema[keyword])
-            ]
+            return [below(s, f"{keyword}/{i}") for i, s in enumerate(node.schema[keyword])]
 
         def judged(options: list[Column], good: Callable[[Column], Column], keyword: str, message: str) -> Column:
             """All branch errors plus one own error, unless the count of passing branches is good."""
@@ -461,82 +510,76 @@ class SchemaRules:
         if node.schema.get("oneOf"):
             lists.append(judged(branches("oneOf"), lambda n: n == 1, "oneOf", "must match exactly one schema in oneOf"))
         if "not" in node.schema:
-            inner = self._errors(node.schema["not"], node.place or node.value, node.path, f"{node.where}/not")
+            inner = below(node.schema["not"], "not")
             lists.append(node.fail(F.size(inner) == 0, "not", "must NOT be valid"))
         return lists
 
     # -- generation rules --------------------------------------------------
 
-    def custom_errors(self, doc: Column) -> Column:
-        """Errors of the generation settings: lengths and forbidden words.
-
-        Paths are dotted (``items[0].title``); the document itself has no rule.
-        """
-        return self._custom(self.root, doc, ())
-
-    def _custom(self, schema: Any, value: Column, path: tuple) -> Column:
+    def _custom(self, schema: Any, at: Node) -> Column:
+        """Errors of the settings below a value; its own settings are the caller's."""
         schema = schema if isinstance(schema, dict) else {}
-        if not _has_settings(schema):
-            return no_errors()
         lists: list[Column] = []
         for key, sub in schema.get("properties", {}).items():
-            if not isinstance(sub, dict) or not _has_settings(sub, own=True):
-                continue
-            member = F.try_element_at(as_object(value), F.lit(key))
-            lists.append(self._custom_at(sub, member, path + ((f".{key}" if path else key),)))
+            if isinstance(sub, dict) and _has_settings(sub, own=True):
+                label = at.path + ((f".{key}" if at.path else key),)
+                lists.append(self._custom_at(sub, at.member(key, sub, label, "")))
         sub = schema.get("items")
         if isinstance(sub, dict) and _has_settings(sub, own=True):
-            elements = F.coalesce(as_array(value), F.array().cast("array<variant>"))
-            lists.append(F.flatten(F.transform(
-                elements,
-                lambda e, i: self._custom_at(sub, e, path + (F.concat(F.lit("["), i.cast("string"), F.lit("]")),)),
-            )))
-        return F.concat(*lists) if lists else no_errors()
-
-    def _custom_at(self, schema: dict, value: Column, path: tuple) -> Column:
+            node = Node(at.reads, at.keys, at.path, "", schema)
+            elements = F.coalesce(node.items.cast("array<variant>"), F.array().cast("array<variant>"))
+            numbered = F.transform(elements, lambda e, i: F.struct(
+                e.alias("v"), F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("at")
+            ))
+            lists.append(self._each(
+                numbered, at.reads, lambda reads, name: self._custom_at(sub, Node(reads, (), at.path + (name,), "", sub))
+            ))
+        return _joined(lists)
+
+    def _custom_at(self, schema: dict, node: Node) -> Column:
         settings = schema.get(GENERATE) or {}
-
-        def build(b: Column) -> Column:
-            rules = []
-            label = pointer(path)
-
-            def fail(bad: Column, keyword: str, message: str) -> None:
-                rules.append(F.when(bad, F.struct(
-                    label.alias("path"), F.lit(keyword).alias("keyword"), F.lit(message).alias("message")
-                )))
-
-            if settings.get("minLength"):
-                n = settings["minLength"]
-                fail(utf16_length(b["s"]) < n, "minLength", f"custom rule - minimum length should be {plain(n)}")
-            if settings.get("maxLength"):
-                n = settings["maxLength"]
-                fail(utf16_length(b["s"]) > n, "maxLength", f"custom rule - maximum length should be {plain(n)}")
-            if isinstance(settings.get("requirements"), list):
-                for text in settings["requirements"]:
-                    word = forbidden_word(text)
-                    if word:
-                        has = F.contains(F.lower(b["s"]), F.lower(F.lit(word)))
-                        fail(has, "requirements", f'should not contain "{word}"')
-            own = F.array_compact(F.array(*rules)).cast(ERRORS_TYPE) if rules else no_errors()
-            return F.concat(own, self._custom(schema, b["v"], path))
-
-        present = F.array_compact(F.array(value))
-        boxed = F.transform(present, lambda v: F.struct(v.alias("v"), _text_or_null(v).alias("s")))
-        return F.flatten(F.transform(boxed, build))
+        rules = []
+        for keyword, word, broken in (
+            ("minLength", "minimum", lambda length, n: length < n), ("maxLength", "maximum", lambda length, n: length > n),
+        ):
+            if settings.get(keyword):
+                n = settings[keyword]
+                message = f"custom rule - {word} length should be {plain(n)}"
+                rules.append(node.fail(broken(utf16_length(node.string.cast("string")), n), keyword, message))
+        for text in settings["requirements"] if isinstance(settings.get("requirements"), list) else []:
+            word = forbidden_word(text)
+            if word:
+                has = F.contains(F.lower(node.string.cast("string")), F.lower(F.lit(word)))
+                rules.append(node.fail(has, "requirements", f'should not contain "{word}"'))
+        return _joined([*rules, self._custom(schema, node)])
 
     # -- both ----------------------------------------------------------------
 
     def errors(self, doc: Column) -> Column:
         """Sorted errors; the generation rules speak only when the schema is satisfied."""
-        first = F.sort_array(self.schema_errors(doc))
+        return self._first_of(self.schema_errors(doc), lambda: self.custom_errors(doc))
+
+    def _first_of(self, schema_list: Column, custom_list: Callable[[], Column]) -> Column:
+        first = F.sort_array(schema_list)
         if not _has_settings(self.root if isinstance(self.root, dict) else {}):
             return first
-        both = F.filter(F.array(first, F.sort_array(self.custom_errors(doc))), lambda e: F.size(e) > 0)
+        both = F.filter(F.array(first, F.sort_array(custom_list())), lambda e: F.size(e) > 0)
         return F.coalesce(F.get(both, F.lit(0)), no_errors())
 
+    def add_errors(self, df: DataFrame, doc: str, name: str = "errors") -> DataFrame:
+        """Add the column of ``errors`` in two compiled steps: read the document, then judge."""
+        def build(reads: Reads) -> Column:
+            return self._first_of(
+                self._errors(self.root, Node(reads, (), (), "#", {})),
+                lambda: self._custom(self.root, Node(reads, (), (), "#", {})),
+            )
 
-def _text_or_null(value: Column) -> Column:
-    return F.when(F.schema_of_variant(value) == "STRING", as_string(value))
+        reads = Reads(None)
+        build(reads)
+        if not reads.wanted:
+            return df.withColumn(name, no_errors())
+        read = pin(df, _reads=F.struct(*reads.columns(F.col(doc))))
+        return pin(read, **{name: build(Reads(F.col("_reads")))}).drop("_reads")
 
 
 def forbidden_word(requirement: Any) -> str | None:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.pinned import pin
 from quern.functions.variants import child, set_text
 from quern.operators.schema_rules import SchemaRules
 
@@ -15,7 +14,7 @@ def with_errors(df: DataFrame, rules: SchemaRules, doc: str = "item") -> DataFra
 
     ``doc`` should be a stored or pinned column (see ``with_document``).
     """
-    return pin(df, errors=rules.errors(F.col(doc))).withColumn("valid", F.size("errors") == 0)
+    return rules.add_errors(df, doc).withColumn("valid", F.size("errors") == 0)
 
 
 def each_error(checked: DataFrame, *keep: str | Column, errors: str = "errors") -> DataFrame:

@@ -21,6 +21,7 @@ from quern.operators.validation import (
 )
 from quern.plans.registry import query
 from quern.plans.tables import event_props, table
+from quern.session import materialize
 from quern.sources.readers import items_of, with_document, with_json
 
 FLAT_SCHEMA = {
@@ -507,6 +508,11 @@ def checked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_errors(rows, SchemaRules(LINE_SCHEMA))
 
 
+def line_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error rows of all order lines, checked once and written."""
+    return materialize(error_rows(checked_lines(spark, sf_dir), "index"), "line-errors")
+
+
 GROUPS_SQL = """
 e AS (
   SELECT l_orderkey * 10 + l_linenumber AS item, 'quantity' AS field, 'should be <= 45' AS message FROM lineitem WHERE l_quantity > 45
@@ -526,11 +532,11 @@ e AS (
     FROM g
 """)
 def error_groups(spark, sf_dir):
-    groups = group_errors(error_rows(checked_lines(spark, sf_dir), "index"))
+    groups = group_errors(line_errors(spark, sf_dir))
     return groups.select("field", "message", "n", "text")
 
 
 @query("top_error_groups", f"WITH {GROUPS_SQL} SELECT field, message, n FROM g ORDER BY n DESC, field, message LIMIT 10")
 def top_error_groups(spark, sf_dir):
-    groups = group_errors(error_rows(checked_lines(spark, sf_dir), "index"))
+    groups = group_errors(line_errors(spark, sf_dir))
     return top_groups(groups).select("field", "message", "n")
