@@ -73,7 +73,7 @@ def planned_path(user_dir: Column, output: Column, name: Column) -> Column:
     """Absolute output folders are kept, relative ones go below the user's."""
     absolute = F.startswith(output, F.lit("/"))
     folder = F.when(absolute, output).otherwise(F.concat(user_dir, F.lit("/"), output))
-    return F.concat(F.regexp_replace(folder, "/+$", ""), F.lit("/"), name)
+    return F.regexp_replace(F.concat(folder, F.lit("/"), name), r"/(?:\.?/)+", "/")
 
 
 def matches_name(name: Column, query: str) -> Column:

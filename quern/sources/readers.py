@@ -15,8 +15,8 @@ from quern.functions.variants import as_array, parse_exact
 
 def read_documents(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
     """One row per file: path, text, ``doc`` and whether it is valid JSON."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-    rows = files.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    rows = files.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     return with_document(rows)
 
 
@@ -32,7 +32,7 @@ def with_json(rows: DataFrame, text: Column, name: str = "item") -> DataFrame:
 
 def read_config(spark: SparkSession, path: str) -> dict:
     """One configuration for the driver; a missing file or bad JSON is an error."""
-    rows = spark.read.option("wholetext", True).text(path).limit(2).collect()
+    rows = spark.read.text(path, wholetext=True).limit(2).collect()
     if len(rows) != 1:
         raise FileNotFoundError(f"Config file not found: {path}")
     try:
