@@ -27,10 +27,13 @@ def translit(text: Column) -> Column:
     # One pass folds capitals and spells the one-letter cases.
     source = "".join(c.upper() + c for c in singles) + "".join(c.upper() for c in multis)
     target = "".join(l * 2 for l in singles.values()) + "".join(multis)
-    out = F.translate(F.coalesce(text, F.lit("")), source, target)
+    given = F.coalesce(text, F.lit(""))
+    spelled = F.translate(given, source, target)
     for letter, latin in multis.items():
-        out = F.replace(out, F.lit(letter), F.lit(latin))
-    return F.lower(F.regexp_replace(out, "[^a-zA-Z0-9]+", "_"))
+        spelled = F.replace(spelled, F.lit(letter), F.lit(latin))
+    # Most texts hold no Cyrillic letter; finding that out is far cheaper than spelling.
+    latin_text = F.when(F.rlike(given, F.lit("[Ѐ-ӿ]")), spelled).otherwise(given)
+    return F.lower(F.regexp_replace(latin_text, "[^a-zA-Z0-9]+", "_"))
 
 
 def number_text(value: Column) -> Column:
@@ -41,7 +44,7 @@ def number_text(value: Column) -> Column:
     )
     return (
         F.when(F.isnan(value), "NaN")
-        .when((F.abs(value) < F.lit(1e18)) & (value == F.floor(value)), value.cast("decimal(20,0)").cast("string"))
+        .when((F.abs(value) < F.lit(1e18)) & (value == F.rint(value)), value.cast("decimal(20,0)").cast("string"))
         .when(F.contains(plain, F.lit("E")), F.coalesce(expanded, plain))
         .otherwise(plain)
     )

@@ -155,7 +155,7 @@ def _scalar(declared: Any, value: Column) -> Column:
             new = F.when(kind.isin("number", "boolean"), text.cast("variant")).when(kind == "null", F.lit("").cast("variant"))
         elif name in ("number", "integer"):
             parsed = on_value(parse_exact(F.trim(text)), lambda p: F.when(
-                p["n"].isNotNull() & (F.lit(name == "number") | (p["n"] == F.floor(p["n"]))), p["v"]
+                p["n"].isNotNull() & (F.lit(name == "number") | (p["n"] == F.rint(p["n"]))), p["v"]
             ))
             new = (
                 F.when(kind == "boolean", F.when(text == "true", 1).otherwise(0).cast("variant"))

@@ -140,9 +140,18 @@ class Node:
         return self._get("a", "array<variant>")
 
     def _members_seen(self) -> list[tuple[str, ...]]:
-        """Places of a few declared scalar members: cheap proof that this is an object."""
-        declared = self.schema.get("properties", {})
-        return [(*self.keys, k) for k, sub in declared.items() if not _looks_inside(sub)][:3]
+        """Places of a few declared scalars below: each is cheap proof of the objects above it."""
+        found: list[tuple[str, ...]] = []
+
+        def visit(schema: dict, keys: tuple[str, ...]) -> None:
+            for key, sub in schema.get("properties", {}).items():
+                if not _looks_inside(sub):
+                    found.append((*keys, key))
+                elif isinstance(sub, dict):
+                    visit(sub, (*keys, key))
+
+        visit(self.schema, self.keys)
+        return found[:3]
 
     @property
     def is_object(self) -> Column:
@@ -183,7 +192,7 @@ class Node:
         if name == "number":
             return is_number(self.name)
         if name == "integer":
-            return (self.name == "BIGINT") | F.coalesce(self.number == F.floor(self.number), F.lit(False))
+            return (self.name == "BIGINT") | F.coalesce(self.number == F.rint(self.number), F.lit(False))
         if name == "array":
             return self.name.startswith("ARRAY")
         return self.name == {"string": "STRING", "boolean": "BOOLEAN", "null": "VOID"}[name]
@@ -311,7 +320,7 @@ def _below(node: Node, n: float) -> Column:
 @_rule("multipleOf")
 def _multiple(node: Node, n: float) -> Column:
     ratio = node.number / F.lit(float(n))
-    return node.fail(ratio != F.floor(ratio), "multipleOf", f"must be multiple of {plain(n)}")
+    return node.fail(ratio != F.rint(ratio), "multipleOf", f"must be multiple of {plain(n)}")
 
 
 @_rule("minItems")

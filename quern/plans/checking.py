@@ -21,7 +21,7 @@ from quern.operators.validation import (
 )
 from quern.plans.registry import query
 from quern.plans.tables import event_props, table
-from quern.session import materialize
+from quern.session import materialize, spread
 from quern.sources.readers import items_of, with_document, with_json
 
 FLAT_SCHEMA = {
@@ -62,7 +62,7 @@ def event_documents(events: DataFrame) -> DataFrame:
 
 
 def checked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "value", "props")
+    e = spread(table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "value", "props"))
     return with_errors(event_documents(e), SchemaRules(FLAT_SCHEMA))
 
 
@@ -139,10 +139,10 @@ NESTED_SCHEMA = {
     UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, '/order/flag', 'pattern', 'should match pattern "^[AN]$"' FROM l WHERE l_returnflag = 'R'
 """)
 def validate_nested(spark, sf_dir):
-    li = table(
+    li = spread(table(
         spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_tax",
         "l_returnflag", "l_linestatus",
-    )
+    ))
     number = F.col("l_discount").cast("string")
     second = F.when(F.col("l_linestatus") == "O", F.concat(F.lit('"'), number, F.lit('"'))).otherwise(number)
     third = F.when(F.col("l_tax") == 0, F.lit("")).otherwise(F.concat(F.lit(',"v":'), F.col("l_tax").cast("string")))
@@ -252,7 +252,7 @@ DOCUMENT_SCHEMA = {
     UNION ALL SELECT doc_id, 'text: should not contain "ER THE"' FROM documents WHERE contains(lower(text), 'er the')
 """)
 def custom_rules(spark, sf_dir):
-    d = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    d = spread(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
     checked = with_errors(with_json(d, F.to_json(F.struct("lang", "text"))).select("doc_id", "item"), SchemaRules(DOCUMENT_SCHEMA))
     return checked.select("doc_id", F.explode(error_lines(F.col("errors"))).alias("line"))
 
@@ -280,7 +280,7 @@ COERCE_SCHEMA = {
     FROM events
 """)
 def coerce_events(spark, sf_dir):
-    e = table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "props")
+    e = spread(table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "props"))
     kind = F.col("event_type")
     flag = F.when(kind == "click", '"true"').when(kind == "view", "1").when(kind == "purchase", "null").otherwise('"false"')
     amount = F.when(kind == "click", "true").when(kind == "error", '"n/a"').otherwise('"2.5"')
@@ -315,7 +315,7 @@ ORDER_SCHEMA = {
     FROM bad WHERE len(messages) > 0 ORDER BY o_orderkey LIMIT 10
 """)
 def validate_report(spark, sf_dir):
-    o = table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice", "o_orderpriority")
+    o = spread(table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice", "o_orderpriority"))
     text = F.to_json(F.struct(
         F.col("o_orderkey").alias("id"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("name"),
         F.col("o_totalprice").alias("total"), F.col("o_orderpriority").alias("priority"),
@@ -359,7 +359,7 @@ def numeric_range(spark, sf_dir):
 
 def schema_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A JSON Schema per part: limits, choices, references and types come from its columns."""
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part"))
     size = F.col("p_size").cast("string")
     kind = F.when(F.col("p_type") == "PROMO", "text").otherwise("string")
     ref = F.when(F.col("p_type") == "LARGE", "#/definitions/gone").when(F.col("p_type") == "SMALL", "#/definitions/loop").otherwise("#/definitions/name")
@@ -499,7 +499,8 @@ LINE_SCHEMA = {
 
 
 def checked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag", "l_linestatus")
+    columns = ("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag", "l_linestatus")
+    li = spread(table(spark, sf_dir, "lineitem", *columns))
     text = F.to_json(F.struct(
         F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_returnflag").alias("flag"),
         F.col("l_linestatus").alias("status"),

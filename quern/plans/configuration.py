@@ -9,13 +9,13 @@ from quern.functions.pinned import pin
 from quern.operators import configs
 from quern.plans.registry import query
 from quern.plans.tables import table
-from quern.session import scratch_path
+from quern.session import scratch_path, spread
 from quern.sources.readers import read_documents, with_document, with_json
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A configuration text per customer; segments and nations decide what is wrong with it."""
-    c = table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    c = spread(table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey", "c_mktsegment"))
     nation = F.col("c_nationkey")
     heat = F.when(nation < 5, "2.5").when(nation < 10, '"hot"').otherwise("0.5")
     limit = F.when(nation > 20, "-100").otherwise("800")
@@ -104,7 +104,7 @@ def config_scan(spark, sf_dir):
     FROM orders
 """)
 def config_merge(spark, sf_dir):
-    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    o = spread(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
     status = F.col("o_orderstatus")
     base = F.lit('{"api":{"model":"m/base","temperature":0.5,"maxTokens":100},"list":[1,2,3],"output":{"path":{"deep":{"x":1,"y":2}}}}')
     model = F.concat(F.lit('"api":{"model":"m/'), F.col("o_orderpriority"), F.lit('"},"schema":{"type":"'), status, F.lit('"}'))

@@ -25,6 +25,7 @@ from quern.operators.tasks import (
 from quern.operators.validation import with_errors
 from quern.plans.registry import query
 from quern.plans.tables import NOW, event_props, table
+from quern.session import spread
 from quern.sources.readers import with_document, with_json
 
 STAMP = "2024-01-31T12:30:45.678Z"
@@ -33,7 +34,7 @@ EPOCH = "1706704245678"
 
 def _task_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One configuration per order with two tasks; the second has no count."""
-    o = table(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority", "o_orderstatus")
+    o = spread(table(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority", "o_orderstatus"))
     first = F.struct(F.col("o_orderpriority").alias("theme"), (F.char_length("o_orderpriority") - 5).alias("count"))
     second = F.struct(F.col("o_orderstatus").alias("topic"))
     tasks = F.concat(F.lit("["), F.to_json(first), F.lit(","), F.to_json(second), F.lit("]"))
@@ -60,7 +61,7 @@ def planned(spark, sf_dir):
 
 
 def _order_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    o = spread(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"))
     level = F.when(F.col("o_orderstatus") == "F", "easy").when(F.col("o_orderstatus") == "O", "medium").otherwise("hard")
     task = F.to_json(F.struct(
         F.col("o_orderpriority").alias("theme"), level.alias("difficulty"), F.col("o_custkey").alias("answers"),
@@ -178,7 +179,7 @@ def _slug_sql(column: str) -> str:
     FROM documents
 """)
 def translit_documents(spark, sf_dir):
-    d = table(spark, sf_dir, "documents", "doc_id", "text")
+    d = spread(table(spark, sf_dir, "documents", "doc_id", "text"))
     return d.select(
         "doc_id", translit(F.col("text")).alias("slug"), translit(F.translate("text", *TO_CYRILLIC)).alias("cyrillic_slug")
     )
@@ -203,7 +204,7 @@ def translit_documents(spark, sf_dir):
     FROM k
 """)
 def task_key_file(spark, sf_dir):
-    c = table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    c = spread(table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey", "c_mktsegment"))
     task = F.to_json(F.struct(
         F.when(F.col("c_nationkey") < 20, F.concat("c_name", F.lit(" {date} {theme} {topic}"))).alias("theme"),
         F.concat(F.lit("Topic "), F.col("c_nationkey").cast("string")).alias("topic"),
@@ -477,7 +478,7 @@ def answers_view(answers: DataFrame) -> DataFrame:
 
 @query("infer_batch", INFER_SQL)
 def infer_batch(spark, sf_dir):
-    asked = event_requests(table(spark, sf_dir, "events", "event_id", "event_type", "value"))
+    asked = event_requests(spread(table(spark, sf_dir, "events", "event_id", "event_type", "value")))
     answers = inference.complete_once(
         asked, EventCompleter, ["event_id", "request_key"], group_delay=0.0, base_delay=0.0, sleep=no_wait
     )
@@ -585,7 +586,7 @@ def example_variants(spark, sf_dir):
     FROM events
 """)
 def response_parse(spark, sf_dir):
-    e = table(spark, sf_dir, "events", "event_id", "event_type", "props")
+    e = spread(table(spark, sf_dir, "events", "event_id", "event_type", "props"))
     kind, props = F.col("event_type"), F.col("props")
     number = F.col("event_id").cast("string")
     answer = (
@@ -627,7 +628,7 @@ FILL_SCHEMA = {
     FROM orders
 """)
 def post_process(spark, sf_dir):
-    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    o = spread(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
     text = F.concat(
         F.lit('{"status":"'), F.col("o_orderstatus"), F.lit('","items":[{"id":"raw","level":9,"name":"n'),
         F.col("o_custkey").cast("string"), F.lit('"},{"name":"two"}]}'),
@@ -657,7 +658,7 @@ RUN_SCHEMA = {
 
 def generation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tasks to checked items: context, prompt, answer, fill, check, and the summary per task key."""
-    e = table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "value", "props")
+    e = spread(table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "value", "props"))
     task = F.to_json(F.struct(F.col("event_type").alias("theme"), F.col("user_id").alias("user"), F.col("value")))
     tasks = e.select("event_id", "event_type", "value", task.alias("task_json"), event_props().alias("index"))
     items = with_context(with_fields(tasks), NOW)

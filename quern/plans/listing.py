@@ -10,7 +10,7 @@ from quern.functions.text import base_name, dir_name, error_excerpt, extension,
 from quern.operators import files
 from quern.plans.registry import query
 from quern.plans.tables import table
-from quern.session import scratch_path
+from quern.session import scratch_path, spread
 from quern.sources.readers import read_inventory
 from quern.sources.writers import (
     append_results, export, numbered_name, pretty_json, read_json_documents, write_json_documents, write_text_files,
@@ -131,7 +131,7 @@ def json_docs(spark, sf_dir):
     SELECT 'Supplier_' || s_suppkey || '_' || (s_suppkey + 1) || '.md' AS file_name, 'about ' || s_name || chr(10) || 'second line' AS content FROM supplier
 """)
 def text_files(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier", "s_suppkey", "s_name")
+    s = spread(table(spark, sf_dir, "supplier", "s_suppkey", "s_name"))
     name = F.concat(F.lit("Supplier_"), F.col("s_suppkey").cast("string"), F.when(F.col("s_suppkey") % 2 == 0, "_{index}.md").otherwise(".md"))
     rows = s.select(
         safe_file_name(numbered_name(name, F.col("s_suppkey"))).alias("file_name"),

@@ -65,6 +65,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df):
+    """Rows of a few input files dealt out to all cores; larger inputs stay as they are.
+
+    A file read as a single row group is a single task, which heavy per-row work
+    would keep waiting for.  Tables of at least as many files as there are cores
+    are already spread and are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def materialize(df, name: str):
     """Write ``df`` once to the shared folder and read it back.
 
