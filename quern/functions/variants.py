@@ -115,10 +115,14 @@ def describe(pairs: Column) -> Column:
     return _described(pairs, True)
 
 
-def on_value(value: Column, fn: Callable[[Column], Column]) -> Column:
-    """``fn`` of the described value, computed once."""
+def on_value(value: Column, fn: Callable[[Column], Column], lists: bool = False) -> Column:
+    """``fn`` of the described value, computed once.
+
+    Without ``lists`` the text of a list is its JSON, which costs nothing unless
+    it is asked for.
+    """
     one = F.array(F.struct(F.lit("").alias("key"), value.alias("v")))
-    return F.get(F.transform(describe(one), fn), F.lit(0))
+    return F.get(F.transform(_described(one, lists), fn), F.lit(0))
 
 
 def is_set(d: Column) -> Column:
@@ -136,7 +140,7 @@ def scalar_kind(value: Column) -> Column:
 
 
 def text_of(value: Column) -> Column:
-    return on_value(value, lambda d: d["text"])
+    return on_value(value, lambda d: d["text"], lists=True)
 
 
 def set_text(value: Column) -> Column:

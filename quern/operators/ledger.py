@@ -80,21 +80,23 @@ def detailed_estimate(count: Column, max_tokens: Column, prompt: Column, complet
 
 
 def history_rows(totals: DataFrame, now: datetime) -> DataFrame:
-    """Ledger rows of finished runs, ready to append."""
-    return totals.withColumn("completed_at", F.lit(now).cast("timestamp"))
+    """Ledger rows of finished runs, ready to append; metadata is JSON text."""
+    metadata = F.to_json(F.struct(F.lit("json").alias("format"), (F.col("items") + F.col("errors")).alias("requests")))
+    return totals.withColumn("metadata", metadata).withColumn("completed_at", F.lit(now).cast("timestamp"))
 
 
 # -- progress and history -----------------------------------------------------
 
-def progress(requests: DataFrame, run: str, index: str, total: Column) -> DataFrame:
+def progress(requests: DataFrame, run: str, index: str, planned: DataFrame) -> DataFrame:
     """Running item count, tokens and cost along each run.
 
-    ``index`` numbers the requests of a run from 0, so blocks of it are even.
+    ``index`` numbers the requests of a run, so blocks of it are even.
+    ``planned`` holds the ``total`` of every run.
     """
     good = F.col("error").isNull()
     block = F.floor(F.col(index) / PROGRESS_BLOCK)
     run_rows = running_totals(
-        requests.withColumn("_total", total), [run], [index],
+        requests, [run], [index],
         {
             "current": good.cast("bigint"),
             "tokens_so_far": F.when(good, F.col("prompt_tokens") + F.col("completion_tokens")).otherwise(0),
@@ -102,8 +104,8 @@ def progress(requests: DataFrame, run: str, index: str, total: Column) -> DataFr
         },
         block,
     )
-    percent = round_half_up(F.try_divide(F.col("current"), F.col("_total")) * 100)
-    return run_rows.withColumn("percent", percent).withColumnRenamed("_total", "total")
+    percent = round_half_up(F.try_divide(F.col("current"), F.col("total")) * 100)
+    return run_rows.join(planned, run).withColumn("percent", percent)
 
 
 def latest_runs(runs: DataFrame, user: str, started: str, run: str, n: int = HISTORY_PAGE) -> DataFrame:

@@ -23,6 +23,11 @@ def each_error(checked: DataFrame, *keep: str | Column, errors: str = "errors")
     return opened.select(*[c for c in opened.columns if c != "e"], "e.path", "e.keyword", "e.message")
 
 
+def attach_results(items: DataFrame, results: DataFrame, index: str, *by: str) -> DataFrame:
+    """Outside check results put next to their items by position."""
+    return items.join(results, [*by, index], "left")
+
+
 def error_lines(errors: Column) -> Column:
     """``path: message`` per error."""
     return F.transform(errors, lambda e: F.concat(e["path"], F.lit(": "), e["message"]))

@@ -71,8 +71,9 @@ def run_totals(spark, sf_dir):
 
 @query("ledger_append", f"""
     WITH {TOTALS_SQL}
-    SELECT status, count(*) AS runs, CAST(sum(items) AS BIGINT) AS items, max(completed_at) AS completed_at FROM (
-      SELECT items, CASE WHEN errors > 0 THEN 'completed_with_errors' ELSE 'completed' END AS status, '2024-01-31' AS completed_at FROM t
+    SELECT status, count(*) AS runs, CAST(sum(items) AS BIGINT) AS items, max(completed_at) AS completed_at,
+      CAST(sum(requests) AS BIGINT) AS requests FROM (
+      SELECT items, items + errors AS requests, CASE WHEN errors > 0 THEN 'completed_with_errors' ELSE 'completed' END AS status, '2024-01-31' AS completed_at FROM t
     ) GROUP BY 1
 """)
 def ledger_append(spark, sf_dir):
@@ -85,7 +86,8 @@ def ledger_append(spark, sf_dir):
     append_history(rows.filter("errors = 0"), path)
     append_history(rows.filter("errors > 0"), path)
     return read_ledger(spark, path).groupBy("status").agg(
-        F.count("*").alias("runs"), F.sum("items").alias("items"), F.max(F.date_format("completed_at", "yyyy-MM-dd")).alias("completed_at")
+        F.count("*").alias("runs"), F.sum("items").alias("items"), F.max(F.date_format("completed_at", "yyyy-MM-dd")).alias("completed_at"),
+        F.sum(F.try_variant_get("metadata", "$.requests", "bigint")).alias("requests"),
     )
 
 
@@ -139,8 +141,8 @@ def progress(spark, sf_dir):
         "user_id", "event_id", event_props().alias("prompt_tokens"), F.lit(1).alias("completion_tokens"),
         F.col("value").alias("cost"), F.when(F.col("event_type") == "error", "failed").alias("error"),
     )
-    sizes = rows.groupBy("user_id").agg(F.count("*").alias("planned"))
-    out = ledger.progress(rows.join(sizes, "user_id"), "user_id", "event_id", F.col("planned"))
+    planned = rows.groupBy("user_id").agg(F.count("*").alias("total"))
+    out = ledger.progress(rows, "user_id", "event_id", planned)
     return out.select(
         "user_id", "event_id", "total", "current", "tokens_so_far", F.round("cost_so_far", 2).alias("cost_so_far"), "percent"
     )

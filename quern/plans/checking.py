@@ -17,7 +17,7 @@ from quern.operators.schema_fields import (
 )
 from quern.operators.schema_rules import FORBIDDEN_PHRASE, GENERATE, SchemaRules
 from quern.operators.validation import (
-    batch_summary, each_error, error_lines, invalid_report, split_batch, tag_invalid, with_errors,
+    attach_results, batch_summary, each_error, error_lines, invalid_report, split_batch, tag_invalid, with_errors,
 )
 from quern.plans.registry import query
 from quern.plans.tables import event_props, table
@@ -110,6 +110,16 @@ def tag(spark, sf_dir):
     return tag_view(tag_invalid(checked_events(spark, sf_dir)))
 
 
+@query("positional_join", f"""
+    WITH {FLAT_SQL}
+    SELECT e.event_id, event_type, CAST(n AS INTEGER) AS n FROM e LEFT JOIN per USING (event_id)
+""")
+def positional_join(spark, sf_dir):
+    items = table(spark, sf_dir, "events", "event_id", "event_type")
+    _, invalid = split_batch(checked_events(spark, sf_dir))
+    return attach_results(items, invalid.select("event_id", F.size("errors").alias("n")), "event_id")
+
+
 NESTED_SCHEMA = {
     "type": "object",
     "properties": {

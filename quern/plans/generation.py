@@ -26,7 +26,7 @@ from quern.operators.validation import with_errors
 from quern.plans.registry import query
 from quern.plans.tables import NOW, event_props, table
 from quern.session import spread
-from quern.sources.readers import with_document, with_json
+from quern.sources.readers import ordered_messages, with_document, with_json
 
 STAMP = "2024-01-31T12:30:45.678Z"
 EPOCH = "1706704245678"
@@ -377,7 +377,7 @@ files AS (
 
 @query("chat_assemble", f"WITH {CHAT_SQL} SELECT * FROM parts")
 def chat_assemble(spark, sf_dir):
-    messages = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    messages = ordered_messages(table(spark, sf_dir, "conversations"))
     return chat.attach(messages, _attachments(spark, sf_dir), "doc_id")
 
 
@@ -389,7 +389,7 @@ def chat_assemble(spark, sf_dir):
     FROM b GROUP BY conv_id
 """)
 def chat_requests(spark, sf_dir):
-    messages = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    messages = ordered_messages(table(spark, sf_dir, "conversations"))
     bodies = chat.request_bodies(chat.attach(messages, _attachments(spark, sf_dir), "doc_id"), max_bytes=100_000)
     return bodies.select(
         "conv_id", "bytes", "too_large", F.array_size("messages").alias("messages"),
@@ -397,21 +397,19 @@ def chat_requests(spark, sf_dir):
     )
 
 
-def event_requests(events: DataFrame) -> DataFrame:
+def event_requests(events: DataFrame, *kept: str) -> DataFrame:
     """A request per event that asks about its type and value."""
     rows = events.select(
-        "event_id", F.lit(system_prompt()).alias("system"),
+        "event_id", *kept, F.lit(system_prompt()).alias("system"),
         F.concat(F.lit("type="), F.col("event_type"), F.lit(" value="), F.col("value").cast("string")).alias("user"),
     )
-    return with_request(rows, "m/one", identity=("event_id",)).select("event_id", "request_key", "request")
+    return with_request(rows, "m/one", identity=("event_id",)).select("event_id", "request_key", "request", *kept)
 
 
 def _recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recorded answers: every request but those of error events."""
-    e = table(spark, sf_dir, "events", "event_id", "event_type", "value", "props")
-    keys = event_requests(e).select("event_id", "request_key")
-    good = e.filter(F.col("event_type") != "error").select("event_id", F.col("props").alias("content"))
-    return keys.join(good, "event_id").select("request_key", "content")
+    e = table(spark, sf_dir, "events", "event_id", "event_type", "value", "props").filter("event_type <> 'error'")
+    return event_requests(e, "props").select("request_key", F.col("props").alias("content"))
 
 
 @query("replay_join", """
