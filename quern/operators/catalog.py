@@ -70,8 +70,8 @@ def _price(name: str) -> Column:
     return F.coalesce(F.col(name).cast("double"), F.lit(0.0))
 
 
-def project_models(raw: DataFrame) -> DataFrame:
-    """Flat catalogue from nested model records.
+def project_models(raw: DataFrame, *kept: str) -> DataFrame:
+    """Flat catalogue from nested model records, with the ``kept`` columns.
 
     Input: id, name, context_length, created, pricing{prompt, completion},
     architecture{input_modalities}, top_provider{max_completion_tokens,
@@ -84,7 +84,7 @@ def project_models(raw: DataFrame) -> DataFrame:
         return F.when(native, F.lit(price))
 
     return raw.select(
-        "id", "name", "context_length", "created",
+        *kept, "id", "name", "context_length", "created",
         F.col("pricing.prompt").cast("double").alias("prompt"),
         F.col("pricing.completion").cast("double").alias("completion"),
         F.col("top_provider.max_completion_tokens").alias("max_completion_tokens"),

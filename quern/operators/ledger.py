@@ -87,11 +87,10 @@ def history_rows(totals: DataFrame, now: datetime) -> DataFrame:
 
 # -- progress and history -----------------------------------------------------
 
-def progress(requests: DataFrame, run: str, index: str, planned: DataFrame) -> DataFrame:
-    """Running item count, tokens and cost along each run.
+def progress(requests: DataFrame, run: str, index: str) -> DataFrame:
+    """Running item count, tokens and cost along each run, and its number of requests.
 
     ``index`` numbers the requests of a run, so blocks of it are even.
-    ``planned`` holds the ``total`` of every run.
     """
     good = F.col("error").isNull()
     block = F.floor(F.col(index) / PROGRESS_BLOCK)
@@ -103,9 +102,10 @@ def progress(requests: DataFrame, run: str, index: str, planned: DataFrame) -> D
             "cost_so_far": F.when(good, F.col("cost")).otherwise(F.lit(0).cast(dict(requests.dtypes)["cost"])),
         },
         block,
+        {"total": F.lit(1).cast("bigint")},
     )
     percent = round_half_up(F.try_divide(F.col("current"), F.col("total")) * 100)
-    return run_rows.join(planned, run).withColumn("percent", percent)
+    return run_rows.withColumn("percent", percent)
 
 
 def latest_runs(runs: DataFrame, user: str, started: str, run: str, n: int = HISTORY_PAGE) -> DataFrame:

@@ -9,28 +9,30 @@ SPREAD = 64
 
 
 def running_totals(
-    df: DataFrame, keys: list[str], order: list[str], totals: dict[str, Column], block: Column
+    df: DataFrame, keys: list[str], order: list[str], totals: dict[str, Column], block: Column,
+    whole: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Add running sums per key in the given order.
+    """Add running sums per key in the given order, and sums over the whole key.
 
     ``block`` is a column that never falls while the order rises, for example the
     row index divided by a block size.  Rows are summed inside their (key, block)
     group; the totals of earlier blocks, one row per block, are added on top.  A
     key with many rows is spread over its blocks.
     """
-    cut = df.withColumn("_block", block)
-    for name, value in totals.items():
-        cut = cut.withColumn(f"_v_{name}", value)
-    per_block = cut.groupBy(*keys, "_block").agg(*[F.sum(f"_v_{n}").alias(f"_b_{n}") for n in totals])
-    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole or {}
+    cut = df.select("*", block.alias("_block"), *[v.alias(f"_v_{n}") for n, v in {**totals, **whole}.items()])
+    per_block = cut.groupBy(*keys, "_block").agg(*[F.sum(f"_v_{n}").alias(f"_b_{n}") for n in {**totals, **whole}])
+    every = Window.partitionBy(*keys)
+    earlier = every.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_block.select(
-        *keys, "_block", *[F.coalesce(F.sum(f"_b_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in totals]
+        *keys, "_block", *[F.coalesce(F.sum(f"_b_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in totals],
+        *[F.sum(f"_b_{n}").over(every).alias(n) for n in whole],
     )
     inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = cut.select("*", *[F.sum(f"_v_{n}").over(inside).alias(f"_r_{n}") for n in totals])
     joined = summed.join(offsets, [*keys, "_block"])
-    kept = [c for c in df.columns if c not in totals]
-    return joined.select(*kept, *[(F.col(f"_o_{n}") + F.col(f"_r_{n}")).alias(n) for n in totals])
+    kept = [c for c in df.columns if c not in totals and c not in whole]
+    return joined.select(*kept, *[(F.col(f"_o_{n}") + F.col(f"_r_{n}")).alias(n) for n in totals], *whole)
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, spread_by: list[str], rank: str = "rank") -> DataFrame:

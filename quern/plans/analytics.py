@@ -36,7 +36,7 @@ def request_cost(spark, sf_dir):
         (F.col("l_quantity") * F.col("l_linenumber")).cast("bigint").alias("completion_tokens"),
         F.when(own, F.lit(0.001)).alias("prompt_cost"), F.when(own, F.lit(0.002)).alias("completion_cost"),
     )
-    priced = models(spark, sf_dir).withColumn("p_partkey", F.regexp_extract("id", r"-(\d+)(?::free)?$", 1).cast("bigint"))
+    priced = models(spark, sf_dir, "p_partkey")
     rows = asked.join(priced.select("p_partkey", F.col("id").alias("model_id"), "prompt", "completion"), "p_partkey", "left")
     return rows.groupBy("model_id").agg(
         F.count("*").alias("requests"),
@@ -110,7 +110,7 @@ def estimate_difference(spark, sf_dir):
 def cost_estimate(spark, sf_dir):
     from quern.operators.catalog import search_price_per_thousand
 
-    m = models(spark, sf_dir).withColumn("p_partkey", F.regexp_extract("id", r"-(\d+)(?::free)?$", 1).cast("bigint"))
+    m = models(spark, sf_dir, "p_partkey")
     parts = ledger.detailed_estimate(
         F.lit(25), F.col("max_completion_tokens"), F.col("prompt"), F.col("completion"), search_price_per_thousand()
     )
@@ -141,8 +141,7 @@ def progress(spark, sf_dir):
         "user_id", "event_id", event_props().alias("prompt_tokens"), F.lit(1).alias("completion_tokens"),
         F.col("value").alias("cost"), F.when(F.col("event_type") == "error", "failed").alias("error"),
     )
-    planned = rows.groupBy("user_id").agg(F.count("*").alias("total"))
-    out = ledger.progress(rows, "user_id", "event_id", planned)
+    out = ledger.progress(rows, "user_id", "event_id")
     return out.select(
         "user_id", "event_id", "total", "current", "tokens_so_far", F.round("cost_so_far", 2).alias("cost_so_far"), "percent"
     )

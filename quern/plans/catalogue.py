@@ -170,7 +170,7 @@ def topk_models(spark, sf_dir):
 """)
 def online_match(spark, sf_dir):
     m = models(spark, sf_dir).select("id", "prompt")
-    keyed = m.select(F.regexp_extract("id", r"-(\d+)(?::free)?$", 1).cast("bigint").alias("l_partkey"), F.col("id").alias("base"))
+    keyed = models(spark, sf_dir, "p_partkey").select(F.col("p_partkey").alias("l_partkey"), F.col("id").alias("base"))
     asked = table(spark, sf_dir, "lineitem", "l_partkey", "l_returnflag").join(keyed, "l_partkey").select(
         F.concat("base", F.when(F.col("l_returnflag") == "A", ":online").otherwise("")).alias("model_id")
     )

@@ -61,8 +61,8 @@ def raw_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return project_models(raw_models(spark, sf_dir))
+def models(spark: SparkSession, sf_dir: str, *kept: str) -> DataFrame:
+    return project_models(raw_models(spark, sf_dir), *kept)
 
 
 
