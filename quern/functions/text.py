@@ -32,8 +32,9 @@ def translit(text: Column) -> Column:
     for letter, latin in multis.items():
         spelled = F.replace(spelled, F.lit(letter), F.lit(latin))
     # Most texts hold no Cyrillic letter; finding that out is far cheaper than spelling.
+    # \P{Alnum} is everything but ASCII letters and digits.
     latin_text = F.when(F.rlike(given, F.lit("[Ѐ-ӿ]")), spelled).otherwise(given)
-    return F.lower(F.regexp_replace(latin_text, "[^a-zA-Z0-9]+", "_"))
+    return F.lower(F.regexp_replace(latin_text, r"\P{Alnum}+", "_"))
 
 
 def number_text(value: Column) -> Column:

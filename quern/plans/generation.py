@@ -383,14 +383,14 @@ def chat_assemble(spark, sf_dir):
 
 @query("chat_requests", f"""
     WITH {CHAT_SQL}, b AS (SELECT *, sum(strlen(text) + 40) OVER (PARTITION BY conv_id) AS bytes FROM parts)
-    SELECT conv_id, CAST(max(bytes) AS BIGINT) AS bytes, max(bytes) > 100000 AS too_large,
-      CASE WHEN max(bytes) <= 100000 THEN CAST(count(DISTINCT turn) AS INTEGER) END AS messages,
-      CASE WHEN max(bytes) <= 100000 THEN string_agg(text, '' ORDER BY turn, part) END AS contents
+    SELECT conv_id, CAST(max(bytes) AS BIGINT) AS bytes, max(bytes) > 10485760 AS too_large,
+      CASE WHEN max(bytes) <= 10485760 THEN CAST(count(DISTINCT turn) AS INTEGER) END AS messages,
+      CASE WHEN max(bytes) <= 10485760 THEN string_agg(text, '' ORDER BY turn, part) END AS contents
     FROM b GROUP BY conv_id
 """)
 def chat_requests(spark, sf_dir):
     messages = ordered_messages(table(spark, sf_dir, "conversations"))
-    bodies = chat.request_bodies(chat.attach(messages, _attachments(spark, sf_dir), "doc_id"), max_bytes=100_000)
+    bodies = chat.request_bodies(chat.attach(messages, _attachments(spark, sf_dir), "doc_id"))
     return bodies.select(
         "conv_id", "bytes", "too_large", F.array_size("messages").alias("messages"),
         F.array_join(F.transform("messages", lambda m: m["content"]), "").alias("contents"),
@@ -674,7 +674,7 @@ def generation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.groupBy("task_key").agg(
         F.count("*").alias("items"), F.count_if("valid").alias("valid"),
         F.count_if(~F.col("valid")).alias("invalid"), F.sum(F.size("errors")).cast("bigint").alias("errors"),
-        F.min(F.try_variant_get("item", "$.id", "string")).alias("first_id"),
+        F.count_if(F.try_variant_get("item", "$.id", "string") == F.concat("event_type", F.lit("_"), "index")).alias("named"),
     )
 
 
@@ -683,7 +683,7 @@ def generation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
       count(*) FILTER (event_type IN ('click', 'view', 'signup') AND value <= 100) AS valid,
       count(*) FILTER (NOT (event_type IN ('click', 'view', 'signup') AND value <= 100)) AS invalid,
       CAST(sum(CAST(event_type NOT IN ('click', 'view', 'signup') AS INT) + CAST(value > 100 AS INT)) AS BIGINT) AS errors,
-      min(event_type || '_' || CAST(props::JSON->>'k' AS VARCHAR)) AS first_id
+      count(*) AS named
     FROM events GROUP BY 1
 """)
 def generation_run_query(spark, sf_dir):
