@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.answers import read_answer, soft_parse
 from quern.functions.template import column_lookup, render, render_column, render_double, render_double_column
-from quern.functions.text import LATIN, translit
+from quern.functions.text import LATIN, number_text, translit
 from quern.functions.pinned import pin
 from quern.functions.variants import child
 from quern.operators import chat, inference
@@ -25,7 +25,7 @@ from quern.operators.tasks import (
 from quern.operators.validation import with_errors
 from quern.plans.registry import query
 from quern.plans.tables import NOW, event_props, table
-from quern.session import spread
+from quern.session import scratch_path, spread
 from quern.sources.readers import ordered_messages, with_document, with_json
 
 STAMP = "2024-01-31T12:30:45.678Z"
@@ -118,8 +118,6 @@ def template_const(spark, sf_dir):
         "{name}/{size_plus_1}/{size_minus_2}/{size_minus_0}/{name_translit}/{size_translit}/{missing}/{price}"
         "/{part_name_translit}/{}/{name_minus_1}/{name_plus_1}"
     )
-    from quern.functions.text import number_text
-
     p = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_size", "p_retailprice").withColumn("price", number_text(F.col("p_retailprice")))
     return p.select(
         "p_partkey",
@@ -483,6 +481,18 @@ def infer_batch(spark, sf_dir):
     return answers_view(answers)
 
 
+@query("resume_run", INFER_SQL)
+def resume_run(spark, sf_dir):
+    """A run cancelled after its first chunk and then finished."""
+    asked = event_requests(spread(table(spark, sf_dir, "events", "event_id", "event_type", "value")))
+    path = scratch_path(spark, "resumed")
+    options = {"group_delay": 0.0, "base_delay": 0.0, "sleep": no_wait}
+    calls = iter([False, True])
+    inference.complete_in_chunks(asked, EventCompleter, ["event_id", "request_key"], path, 3, lambda: next(calls), **options)
+    inference.complete_in_chunks(asked, EventCompleter, ["event_id", "request_key"], path, 2, **options)
+    return answers_view(spark.read.parquet(path))
+
+
 @query("error_class", """
     SELECT o_orderkey,
       CASE o_orderpriority WHEN '1-URGENT' THEN 'auth' WHEN '2-HIGH' THEN 'rate_limit' WHEN '3-MEDIUM' THEN 'unavailable'

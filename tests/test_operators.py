@@ -174,6 +174,12 @@ def test_inference(spark):
     assert got["slow"].attempts == 1 and got["slow"].code == "TIMEOUT"
     assert got["broken"].attempts == 3 and got["broken"].code == "CLIENT" and got["empty"].code == "STRUCTURE"
     assert waits.value >= 25 + 25 + 50
+    path, quick = scratch_path(spark, "chunks"), {"group_delay": 0.0, "base_delay": 0.0, "sleep": lambda s: None}
+    stops = iter([False, False, True])
+    assert not inference.complete_in_chunks(rows, Flaky, ["request_key"], path, 4, lambda: next(stops), **quick)
+    part = spark.read.parquet(path).count()
+    assert inference.complete_in_chunks(rows, Flaky, ["request_key"], path, 2, **quick) and part < len(said)
+    assert sorted(r.request_key for r in spark.read.parquet(path).collect()) == sorted(said)
     done = spark.createDataFrame([("fine",), ("fine",), ("slow",)], "request_key string")
     assert {r.request_key for r in inference.remaining(rows, done).collect()} == {"once", "broken", "empty"}
     again = inference.replay(rows, spark.createDataFrame([("fine", "x")], "request_key string, content string"))
