@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.pinned import pin
 from quern.functions.text import error_excerpt
 from quern.functions.variants import parse_exact
 
@@ -40,15 +41,17 @@ def json_part(answer: Column, compat: bool = False) -> Column:
 
 
 def read_answer(answer: Column, compat: bool = False) -> Column:
-    """``struct(data variant, error string, excerpt string)`` of an answer."""
-    def judged(data: Column) -> Column:
-        return F.struct(
-            data.alias("data"),
-            F.when(data.isNull(), "Failed to parse JSON response").alias("error"),
-            F.when(data.isNull(), error_excerpt(answer)).alias("excerpt"),
-        )
-
-    return F.get(F.transform(F.array(parse_exact(json_part(answer, compat))), judged), F.lit(0))
+    """The VARIANT inside an answer, NULL when there is none."""
+    return parse_exact(json_part(answer, compat))
+
+
+def with_answer(df: DataFrame, answer: str, compat: bool = False) -> DataFrame:
+    """Add ``data``, and for answers that cannot be read ``parse_error`` and ``excerpt``."""
+    lacks = F.col("data").isNull()
+    return pin(df, data=read_answer(F.col(answer), compat)).withColumns({
+        "parse_error": F.when(lacks, "Failed to parse JSON response"),
+        "excerpt": F.when(lacks, error_excerpt(F.col(answer))),
+    })
 
 
 def soft_parse(answer: Column, context: Column) -> Column:

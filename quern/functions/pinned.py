@@ -12,7 +12,8 @@ def pin(df: DataFrame, **columns: Column) -> DataFrame:
     Spark copies the expression of an ordinary derived column into every filter
     and projection above it that it can push or merge, so a parsed document
     would be parsed once per rule.  The output of a generator is not copied:
-    each row is exploded from a one-element array.
+    each row is exploded from a one-element array.  Pin values, not structs of
+    which only one field is used: Spark would pull that field out and copy it.
     """
     kept = [c for c in df.columns if c not in columns]
     # The projection below is compiled and shares subexpressions; a generator

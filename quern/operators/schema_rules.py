@@ -70,8 +70,8 @@ class Reads:
     document before any rule runs, so nothing is read or parsed per rule.
     """
 
-    def __init__(self, base: Column | None):
-        self.base = base            # the struct; None while only collecting
+    def __init__(self, base: Column | dict[str, Column] | None):
+        self.base = base            # what was read, by name; None while only collecting
         self.wanted: dict[tuple, Callable[[Column], Column]] = {}
 
     def get(self, kind: str, keys: tuple[str, ...], read: Callable[[Column], Column]) -> Column:
@@ -587,8 +587,9 @@ class SchemaRules:
         build(reads)
         if not reads.wanted:
             return df.withColumn(name, no_errors())
-        read = pin(df, _reads=F.struct(*reads.columns(F.col(doc))))
-        return pin(read, **{name: build(Reads(F.col("_reads")))}).drop("_reads")
+        columns = {f"_read_r{i}": read(F.col(doc)) for i, read in enumerate(reads.wanted.values())}
+        judged = build(Reads({f"r{i}": F.col(f"_read_r{i}") for i in range(len(columns))}))
+        return pin(pin(df, **columns), **{name: judged}).drop(*columns)
 
 
 def forbidden_word(requirement: Any) -> str | None:

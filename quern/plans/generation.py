@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.answers import read_answer, soft_parse
+from quern.functions.answers import soft_parse, with_answer
 from quern.functions.template import column_lookup, render, render_column, render_double, render_double_column
 from quern.functions.text import LATIN, number_text, translit
 from quern.functions.pinned import pin
@@ -604,10 +604,10 @@ def response_parse(spark, sf_dir):
         .when(kind == "purchase", F.concat(F.lit("Here: "), F.substring(props, F.lit(1), F.char_length(props) - 1)))
         .otherwise(F.concat(F.lit("no json "), number, F.lit(" }")))
     )
-    rows = pin(pin(e, answer=answer), read=read_answer(F.col("answer")))
+    rows = with_answer(pin(e, answer=answer), "answer")
     soft = soft_parse(F.when(kind == "click", "plain words").otherwise(props), F.struct("event_id"))
     return rows.select(
-        "event_id", F.to_json("read.data").alias("data"), "read.error", "read.excerpt",
+        "event_id", F.to_json("data").alias("data"), F.col("parse_error").alias("error"), "excerpt",
         F.try_variant_get(child(soft, "content"), "$", "string").isNotNull().alias("soft_wrapped"),
     )
 
@@ -678,8 +678,8 @@ def generation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     recorded = e.select("event_id", F.concat(
         F.lit('```json\n{"id":"?","type":"'), F.col("event_type"), F.lit('","value":'), F.col("value").cast("string"), F.lit("}\n```")
     ).alias("content"))
-    answers = pin(asked.join(recorded, "event_id", "left"), read=read_answer(F.col("content")))
-    filled = pin(answers, item=fill_fields(RUN_SCHEMA, F.col("read.data"), F.col("ctx")))
+    answers = with_answer(asked.join(recorded, "event_id", "left"), "content")
+    filled = pin(answers, item=fill_fields(RUN_SCHEMA, F.col("data"), F.col("ctx")))
     checked = with_errors(filled, SchemaRules(RUN_SCHEMA))
     return checked.groupBy("task_key").agg(
         F.count("*").alias("items"), F.count_if("valid").alias("valid"),

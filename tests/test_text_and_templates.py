@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import display
-from quern.functions.answers import read_answer, soft_parse
+from quern.functions.answers import read_answer, soft_parse, with_answer
 from quern.functions.template import map_lookup, render, render_column, render_double, render_double_column
 from quern.functions.text import extension, number_text, preview, safe_file_name, translit, utf16_length
 from quern.functions.variants import child
@@ -60,15 +60,15 @@ def test_double_braces(value):
     ('{"a": 1, "a": 2}', '{"a":2}', None), ("plain", None, None), ("42", "42", None), ("```json\n{bad\n```", None, None), ("} {", None, None),
 ])
 def test_answers(value, answer, data, compat):
-    got = value(F.to_json(read_answer(F.lit(answer))["data"]))
+    got = value(F.to_json(read_answer(F.lit(answer))))
     assert got == data
-    old = value(F.to_json(read_answer(F.lit(answer), compat=True)["data"]))
+    old = value(F.to_json(read_answer(F.lit(answer), compat=True)))
     assert old == (None if compat == "NULL" else data)
 
 
-def test_answer_errors(value):
-    row = value(read_answer(F.lit("x" * 300)))
-    assert row.error == "Failed to parse JSON response" and row.excerpt == "x" * 200
+def test_answer_errors(spark, value):
+    row = with_answer(spark.createDataFrame([("x" * 300,)], "answer string"), "answer").first()
+    assert row.parse_error == "Failed to parse JSON response" and row.excerpt == "x" * 200
     assert value(F.to_json(soft_parse(F.lit("words"), F.struct(F.lit(1).alias("k"))))) == '{"content":"words","context":{"k":1}}'
     assert value(child(soft_parse(F.lit('{"a":1}'), F.struct(F.lit(1).alias("k"))), "a").cast("int")) == 1
 
