@@ -10,6 +10,7 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check import TABLES, norm, same_type
+from quern.plans import registry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
@@ -22,7 +23,8 @@ SELECTED = (
     "metrics_report run_sessions format_scalars model_catalog facet_counts config_audit config_merge folder_size json_docs exports "
     "stream_generate stream_index stream_sessions stream_metrics"
 ).split()
-NAMES = sorted(queries()) if os.environ.get("TEST_ALL") else SELECTED
+registry.load_all()
+NAMES = sorted(registry.QUERIES) if os.environ.get("TEST_ALL") else SELECTED
 
 
 @pytest.fixture(scope="module")
@@ -36,7 +38,9 @@ def db():
 
 
 def test_every_query_has_a_check():
-    assert set(queries()) == set(oracle_sql())
+    registry.load_all()
+    assert set(registry.QUERIES) == set(registry.CHECKS)
+    assert set(registry.QUERIES) <= set(queries()) and set(registry.CHECKS) <= set(oracle_sql())
 
 
 def test_entry(spark):
