@@ -87,7 +87,6 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
     top, mask = F.lit(1 << (2 * edits)).cast("long"), F.lit((1 << (2 * edits + 1)) - 1).cast("long")
     long_ = F.when(F.length(a) >= F.length(b), a).otherwise(b)
     short = F.when(F.length(a) >= F.length(b), b).otherwise(a)
-    rows, columns = F.split(long_, ""), F.split(short, "")
     extra = F.length(long_) - F.length(short)
 
     def column(state: Column, equal: Column) -> Column:
@@ -115,11 +114,12 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
     for k in range(edits):
         below = below + F.when(extra > k, F.lit(1 << (edits + 1 + k)).cast("long")).otherwise(F.lit(0).cast("long"))
 
-    def walk(chars: Column, other: Column) -> Column:
-        equal = F.transform(chars, lambda c, j: _equal_bits(other, c, j, edits))
+    def walk(chars: Column) -> Column:
+        equal = F.transform(chars["columns"], lambda c, j: _equal_bits(chars["rows"], c, j, edits))
         return F.aggregate(equal, begin, column, lambda s: s["cost"] + F.bit_count(s["up"].bitwiseAND(below)) - F.bit_count(s["down"].bitwiseAND(below)))
 
-    whole = walk(columns, rows)
+    # Bound once: a split inside the walk would be made again for every character.
+    whole = _let(F.struct(F.split(long_, "").alias("rows"), F.split(short, "").alias("columns")), walk)
     return F.when(F.length(short) == 0, F.length(long_).cast("long")).otherwise(whole)
 
 
