@@ -13,6 +13,7 @@ from quern.session import scratch_path, shared_folder
 
 #: Bytes that count as white space in normalised texts.
 BLANKS = r"[\x20\x09-\x0D]+"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +25,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
     Later steps read the files, so a lost executor costs no recomputation.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = scratch_path(spark, name), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # what was shuffled for the table goes when it stands
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send at most ``rows`` texts to Python at once: long texts, and what is made of them, stay small beside a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
