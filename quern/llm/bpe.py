@@ -30,23 +30,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.registry import query
-from quern.llm.shared import read_table
+from quern.llm.shared import read_table, small_batches
 
 LEAF_CHARS = 4096
-LEAF_BYTES = 8
-#: Encoded matches, leaves and windows, and pairs that a worker remembers, each.
-REMEMBERED = 1 << 18
+LEAF_BYTES = 24
+#: Encoded matches that a worker remembers; pairs of tokens, twice as many.
+REMEMBERED = 1 << 17
 
 
 class Memo(dict):
     """Results of a function by argument; emptied when full, so its memory is bounded."""
 
-    def __init__(self, function: Callable):
+    def __init__(self, function: Callable, most: int = REMEMBERED):
         super().__init__()
-        self.function = function
+        self.function, self.most = function, most
 
     def __missing__(self, key):
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.most:
             self.clear()
         value = self[key] = self.function(key)
         return value
@@ -59,10 +59,16 @@ class Encoder:
         with open(path, "rb") as file:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
         self.bytes = {rank: token for token, rank in self.ranks.items()}
+        # Every head of a token, with the rank of those that are tokens themselves.
+        self.heads = {token[:n]: -1 for token in self.ranks for n in range(1, len(token))} | self.ranks
+        self.sizes = {rank: len(token) for token, rank in self.ranks.items()}
         self.pattern = regex.compile(pattern)
         self.match_ids = Memo(self._match_ids)
-        self.merge = Memo(self._merge)
-        self.stays = Memo(self._stays)
+        self.stays = Memo(self._stays, 2 * REMEMBERED)
+        # For each token at most.
+        self.halves = Memo(self._halves)
+        self.right_edge = Memo(lambda rank: self._edge(rank, True))
+        self.left_edge = Memo(lambda rank: self._edge(rank, False))
 
     # One match of the pattern.
 
@@ -73,28 +79,75 @@ class Encoder:
         if piece in self.ranks:
             return (self.ranks[piece],)
         if len(piece) <= LEAF_BYTES:
-            return self.merge[piece]
+            return self._leaf(piece)
         half = len(piece) // 2
         return self._join_tokens(self.reduce_bytes(piece[:half]), self.reduce_bytes(piece[half:]))
 
-    def _merge(self, piece: bytes) -> tuple[int, ...]:
-        """Merge the neighbours of lowest rank, the leftmost first, until none is a token."""
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        ranks, none = self.ranks, len(self.ranks)
-        pairs = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
-        while pairs and (best := min(pairs)) < none:
-            at = pairs.index(best)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            del pairs[at]
-            if at:
-                pairs[at - 1] = ranks.get(parts[at - 1] + parts[at], none)
-            if at < len(pairs):
-                pairs[at] = ranks.get(parts[at] + parts[at + 1], none)
-        return tuple([ranks[p] for p in parts])
-
-    def _stays(self, pair: tuple[int, int]) -> bool:
-        a, b = pair
-        return self._merge(self.bytes[a] + self.bytes[b]) == (a, b)
+    def _leaf(self, piece: bytes) -> tuple[int, ...]:
+        """The one sequence of tokens for ``piece`` whose neighbours all stay, longest tokens tried first.
+
+        A prefix has only one such sequence, so an end that once led nowhere is never tried again.
+        """
+        heads, stays, sizes, n = self.heads.get, self.stays, self.sizes, len(piece)
+        ids: list[int] = []
+        untried: list[list[int]] = []  # for each token of ids, the shorter ones at its place
+        at, choices, dead = 0, None, set()
+        while at < n:
+            if choices is None:
+                choices, end = [], at + 1
+                while end <= n and (rank := heads(piece[at:end])) is not None:
+                    if rank >= 0:
+                        choices.append(rank)
+                    end += 1
+            while choices:
+                rank = choices.pop()
+                if (not ids or stays[ids[-1], rank]) and at + sizes[rank] not in dead:
+                    break
+            else:  # nothing fits here: the last token must be shorter
+                dead.add(at)
+                at -= sizes[ids.pop()]
+                choices = untried.pop()
+                continue
+            ids.append(rank)
+            untried.append(choices)
+            at, choices = at + sizes[rank], None
+        return tuple(ids)
+
+    def _halves(self, rank: int) -> tuple[bytes, bytes] | None:
+        """The two tokens whose merge makes this one; none for a single byte."""
+        token = self.bytes[rank]
+        if len(token) == 1:
+            return None
+        return next((token[:k], token[k:]) for k in range(1, len(token)) if self._made_of(token, k, rank))
+
+    def _made_of(self, token: bytes, k: int, rank: int) -> bool:
+        a, b = self.ranks.get(token[:k]), self.ranks.get(token[k:])
+        return a is not None and b is not None and a < rank and b < rank and self._stays((a, b), rank)
+
+    def _edge(self, rank: int, right: bool) -> list[tuple[bytes, int]]:
+        """The tokens that stand at one end of this token while it is made, each with the rank that ends it."""
+        out, until = [], 1 << 60
+        while True:
+            out.append((self.bytes[rank], until))
+            halves = self.halves[rank]
+            if halves is None:
+                return out
+            until, rank = rank, self.ranks[halves[right]]
+
+    def _stays(self, pair: tuple[int, int], below: int = 1 << 60) -> bool:
+        """No merge of a rank under ``below`` crosses the border of the two.
+
+        Ranks only rise while a token is made, since a merge ranks after both its
+        parts.  So a crossing merge comes first if it ranks before the ones that
+        end the tokens at the border; of equal ranks the left one comes first.
+        """
+        ranks = self.ranks
+        for x, x_until in self.right_edge[pair[0]]:
+            for y, y_until in self.left_edge[pair[1]]:
+                rank = ranks.get(x + y)
+                if rank is not None and rank < below and rank < x_until and rank <= y_until:
+                    return False
+        return True
 
     def _join_tokens(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         if self.stays[left[-1], right[0]]:
@@ -102,7 +155,7 @@ class Encoder:
         i = j = 1
         while True:
             i, j = min(i, len(left)), min(j, len(right))
-            window = self.merge[self.decode(left[len(left) - i :] + right[:j])]
+            window = self._leaf(self.decode(left[len(left) - i :] + right[:j]))
             before = i == len(left) or self.stays[left[len(left) - i - 1], window[0]]
             after = j == len(right) or self.stays[window[-1], right[j]]
             if before and after:
@@ -191,6 +244,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    small_batches(spark)
     docs = read_table(spark, sf_dir, "documents").select("doc_id", encoded(F.col("text"), path, pattern).alias("ids"))
     return docs.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(little_endian(F.col("ids")), 256).alias("ids_sha256"),
