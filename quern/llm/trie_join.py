@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.registry import query
@@ -56,9 +56,13 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
-@F.pandas_udf("long")
-def fingerprints(texts: pd.Series) -> pd.Series:
-    return pd.Series([fingerprint(t) for t in texts], dtype="int64")
+def fingerprints(text: Column) -> Column:
+    """The fingerprint of each whole text; a narrow step."""
+    @F.pandas_udf("long")
+    def measure(texts: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint(t) for t in texts], dtype="int64")
+
+    return measure(text)
 
 
 def _blocks(budget: int) -> list[tuple[int, int]]:
