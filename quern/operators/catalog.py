@@ -214,7 +214,8 @@ def visible_models(users: DataFrame, models: DataFrame, active: Mapping[str, Seq
         F.struct(F.lit(False).alias("only_free"), F.col("all").alias("models")),
         F.struct(F.lit(True).alias("only_free"), F.col("free").alias("models")),
     )).alias("r")).select("r.*")
-    return users.join(per_flag, "only_free")
+    # A user without the setting has not asked for free models only.
+    return users.withColumn("only_free", F.coalesce("only_free", F.lit(False))).join(per_flag, "only_free")
 
 
 # -- aggregates ---------------------------------------------------------------

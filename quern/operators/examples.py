@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column
@@ -11,35 +12,32 @@ from pyspark.sql import functions as F
 from quern.operators.schema_rules import GENERATE
 
 
-def example_value(schema: dict) -> Any:
-    """One example: value, template, first choice, then by type."""
-    settings = schema.get(GENERATE) or {}
-    for key in ("value", "template"):
-        if settings.get(key):
-            return settings[key]
-    if schema.get("enum"):
-        return schema["enum"][0]
-    kind = schema.get("type")
-    if kind == "string":
-        return settings.get("description") or "example string"
-    if kind in ("number", "integer"):
-        return schema.get("minimum") or 0
-    if kind == "boolean":
-        return True
-    if kind == "array":
-        return [example_value(schema["items"])] if schema.get("items") else []
-    if kind == "object":
-        return {key: example_value(sub) for key, sub in (schema.get("properties") or {}).items()}
-    return None
+# What a node without a fixed value becomes, by its type; other types give null.
+PRODUCERS: dict[str, Callable[[dict], Any]] = {
+    "array": lambda node: [example_value(item) for item in [node.get("items")] if item],
+    "boolean": lambda node: True,
+    "integer": lambda node: node.get("minimum") or 0,
+    "number": lambda node: node.get("minimum") or 0,
+    "object": lambda node: {name: example_value(member) for name, member in (node.get("properties") or {}).items()},
+    "string": lambda node: (node.get(GENERATE) or {}).get("description") or "example string",
+}
+
+
+def example_value(node: dict) -> Any:
+    """One example: the first that is set of value, template and first choice, else what the type produces."""
+    own = node.get(GENERATE) or {}
+    fixed = [own.get("value"), own.get("template")]
+    told = next((v for v in fixed if v), None)
+    if told is not None:
+        return told
+    choices = node.get("enum") or ()
+    return choices[0] if choices else PRODUCERS.get(node.get("type"), lambda _: None)(node)
 
 
 def example_document(schema: dict) -> Any:
-    """Example of a whole schema; its root settings do not count."""
-    if schema.get("type") == "object" and schema.get("properties"):
-        return {key: example_value(sub) for key, sub in schema["properties"].items()}
-    if schema.get("type") == "array" and schema.get("items"):
-        return [example_value(schema["items"])]
-    return {}
+    """Example of a whole schema; settings of its root do not count, and a root without members is an empty object."""
+    inside = {"object": "properties", "array": "items"}.get(schema.get("type"))
+    return PRODUCERS[schema["type"]](schema) if inside and schema.get(inside) else {}
 
 
 def example_json(schema: dict) -> Column:

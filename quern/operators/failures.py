@@ -41,8 +41,7 @@ def group_errors(errors: DataFrame, *by: str, item: str = "item", spread_by: tup
     """
     keys = [*by, "field", "message"]
     counts = errors.groupBy(*keys).agg(F.count("*").alias("n"))
-    ties = list(spread_by) or [item]
-    first = top_per_key(errors, keys, [F.col(item), *[F.col(c) for c in spread_by]], SHOWN_ITEMS, ties)
+    first = top_per_key(errors, keys, [F.col(item), *[F.col(c) for c in spread_by]], SHOWN_ITEMS)
     shown = first.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("first_items"))
     joined = counts.join(shown, keys)
     return joined.withColumn("text", group_text(F.col("field"), F.col("message"), F.col("first_items"), F.col("n")))

@@ -109,7 +109,7 @@ def progress(requests: DataFrame, run: str, index: str) -> DataFrame:
 
 
 def latest_runs(runs: DataFrame, user: str, started: str, run: str, n: int = HISTORY_PAGE) -> DataFrame:
-    return top_per_key(runs, [user], [F.col(started).desc(), F.col(run).desc()], n, [run])
+    return top_per_key(runs, [user], [F.col(started).desc(), F.col(run).desc()], n)
 
 
 def last_write(rows: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:

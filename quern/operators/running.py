@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SPREAD = 64
-
 
 def running_totals(
     df: DataFrame, keys: list[str], order: list[str], totals: dict[str, Column], block: Column,
@@ -30,22 +28,23 @@ def running_totals(
     )
     inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = cut.select("*", *[F.sum(f"_v_{n}").over(inside).alias(f"_r_{n}") for n in totals])
-    joined = summed.join(offsets, [*keys, "_block"])
+    # Rows without a key or block are rows of one key like any other.
+    by = [*keys, "_block"]
+    offsets = offsets.withColumnsRenamed({k: f"_k_{k}" for k in by})
+    joined = summed.join(offsets, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by])
     kept = [c for c in df.columns if c not in totals and c not in whole]
     return joined.select(*kept, *[(F.col(f"_o_{n}") + F.col(f"_r_{n}")).alias(n) for n in totals], *whole)
 
 
-def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, spread_by: list[str], rank: str = "rank") -> DataFrame:
+def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
     """The first ``n`` rows of every key with their rank from 1.
 
-    Ranked first inside slices of a key, then among the survivors, so a hot key
-    never sorts all its rows in one task.  Ties must be broken by ``order``.
+    Spark keeps only ``n`` rows of a key in each task before the one shuffle
+    (``spark.sql.optimizer.windowGroupLimitThreshold`` bounds such ``n``), so a
+    hot key costs no more than any other.  Ties must be broken by ``order``.
     """
-    sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD)))
-    first = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    final = Window.partitionBy(*keys).orderBy(*order)
-    kept = sliced.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= n).drop("_r", "_slice")
-    return kept.withColumn(rank, F.row_number().over(final)).filter(F.col(rank) <= n)
+    ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.filter(F.col(rank) <= n)
 
 
 def sessions(df: DataFrame, keys: list[str], ts: str, gap_seconds: int) -> DataFrame:

@@ -366,7 +366,7 @@ def format_scalars(spark, sf_dir):
 
 def first_errors(errors: DataFrame, run: str, order: str, n: int = 3) -> DataFrame:
     """The first errors of every run."""
-    return top_per_key(errors, [run], [F.col(order).asc()], n, [order])
+    return top_per_key(errors, [run], [F.col(order).asc()], n)
 
 
 @query("run_errors", """

@@ -490,7 +490,7 @@ def resume_run(spark, sf_dir):
     calls = iter([False, True])
     inference.complete_in_chunks(asked, EventCompleter, ["event_id", "request_key"], path, 3, lambda: next(calls), **options)
     inference.complete_in_chunks(asked, EventCompleter, ["event_id", "request_key"], path, 2, **options)
-    return answers_view(spark.read.parquet(path))
+    return answers_view(inference.settled(spark.read.parquet(path)))
 
 
 @query("error_class", """

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 # Runtime SQL settings every job of this package relies on.
@@ -79,6 +80,16 @@ def spread(df):
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
+def written_table(spark: SparkSession, path: str):
+    """The Parquet table at ``path``, or None where nothing was written; every other error is raised."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def materialize(df, name: str):
     """Write ``df`` once to the shared folder and read it back.
 

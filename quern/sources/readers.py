@@ -120,8 +120,8 @@ def read_inventory(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ordered_messages(rows: DataFrame, *kept: str) -> DataFrame:
-    """Conversation rows ``(conv_id, turn, role, text)`` with unknown roles left out."""
-    return rows.select("conv_id", "turn", "role", "text", *kept).filter(F.col("role").isin("system", "user", "assistant"))
+    """Conversation rows ``(conv_id, turn, role, text)``, whatever their role."""
+    return rows.select("conv_id", "turn", "role", "text", *kept)
 
 
 def stream_table(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -129,7 +129,8 @@ def stream_table(spark: SparkSession, path: str, schema: T.StructType, files_per
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    # The glob lets a table be one file or a folder of files.
-    return reader.parquet(path.rstrip("/") + "*")
+    # A stream reads a folder or a glob; this glob matches only the very name, be it a file or a folder.
+    name = path.rstrip("/")
+    return reader.parquet(f"{name[:-1]}[{name[-1]}]")
 
 

@@ -4,6 +4,7 @@ import json
 from datetime import datetime
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from quern.functions.variants import parse_exact
@@ -25,16 +26,15 @@ def test_rule_messages(value):
         "Object is missing required fields: age, email"
     )
     assert value(checks.of_type(F.lit("number"), "string", "f")) == "Invalid type for f: expected string, got number"
-    assert value(checks.one_of(F.lit("x"), ["red", "green", "blue"], "c")).endswith("must be one of red, green, blue")
-    assert value(checks.in_range(F.lit(0), "score", 1, 10)) == "score must be at least 1"
-    assert value(checks.in_range(F.lit(11), "score", 1, 10)) == "score must be at most 10"
-    assert value(checks.in_range(F.lit(5), "score", 1, 10)) is None
-    assert value(checks.text_rule(F.lit("ab"), "name", 3, 5)) == "name must be at least 3 characters"
-    assert value(checks.text_rule(F.lit("abcdef"), "name", 3, 5)) == "name must be at most 5 characters"
-    assert value(checks.text_rule(F.lit("abc"), "name", pattern="^x")) == "name has invalid format"
-    item = lambda e: F.when(e < 0, "Must be a number")
-    assert value(checks.list_rule(F.array(F.lit(1), F.lit(-1)), "numbers", item=item)) == "numbers[1]: Must be a number"
-    assert value(checks.list_rule(F.array(F.lit(1)), "numbers", low=2)) == "numbers must have at least 2 items"
+    assert value(checks.one_of(F.lit("sea"), ["rail", "road"], "route")).endswith("must be one of rail, road")
+    for depth, said in ((-0.5, "depth must be at least 0"), (0, None), (40, None), (40.25, "depth must be at most 40")):
+        assert value(checks.in_range(F.lit(depth), "depth", 0, 40)) == said
+    for code, said in (("", "port must be at least 2 characters"), ("né", None), ("berths", "port must be at most 5 characters")):
+        assert value(checks.text_rule(F.lit(code), "port", 2, 5)) == said
+    assert value(checks.text_rule(F.lit("DE-7"), "port", pattern="[a-z]$")) == "port has invalid format"
+    odd = lambda e: F.when(e % 2 == 1, "is odd")
+    assert value(checks.list_rule(F.array(*map(F.lit, (4, 6, 9))), "crates", item=odd)) == "crates[2]: is odd"
+    assert value(checks.list_rule(F.array().cast("array<int>"), "crates", low=1)) == "crates must have at least 1 items"
     both = checks.object_messages({
         "a": (F.lit(0), lambda v, n: checks.in_range(v, n, 1)), "b": (F.lit(1), lambda v, n: checks.in_range(v, n, 1)),
         "c": (F.lit("x"), lambda v, n: checks.one_of(v, ["y"], n)),
@@ -43,8 +43,8 @@ def test_rule_messages(value):
 
 
 @pytest.mark.parametrize("doc,found", [
-    ({"api": {"temperature": 2.5}, "schema": {"type": "object"}}, ["Temperature must be a number between 0 and 2"]),
-    ({"api": {"maxTokens": -100}, "schema": {"type": "object"}}, ["maxTokens must be a positive number"]),
+    ({"api": {"temperature": 2.0001}, "schema": {"type": "array"}}, ["Temperature must be a number between 0 and 2"]),
+    ({"api": {"maxTokens": 0}, "schema": {"type": "array"}}, ["maxTokens must be a positive number"]),
     ({"schema": {}}, ["Schema must have a type property"]), ({}, ["Config is missing required fields: schema"]),
     ({"output": {"format": "text"}}, []), ({"api": {"temperature": 0, "maxTokens": 1}, "schema": {"type": "object"}}, []),
     ({"api": {"temperature": None}, "schema": {"type": "x"}}, ["Temperature must be a number between 0 and 2"]),
@@ -179,7 +179,16 @@ def test_inference(spark):
     assert not inference.complete_in_chunks(rows, Flaky, ["request_key"], path, 4, lambda: next(stops), **quick)
     part = spark.read.parquet(path).count()
     assert inference.complete_in_chunks(rows, Flaky, ["request_key"], path, 2, **quick) and part < len(said)
-    assert sorted(r.request_key for r in spark.read.parquet(path).collect()) == sorted(said)
+    answers = spark.read.parquet(path)
+    assert sorted(r.request_key for r in inference.settled(answers).collect()) == sorted(said)
+    failed = answers.filter("error IS NOT NULL").withColumn("request", F.lit(json.dumps({"say": "fine"}))).select("request_key", "request").distinct()
+    asked_again = failed.count()
+    assert asked_again and inference.complete_in_chunks(failed, Flaky, ["request_key"], path, 1, **quick)
+    assert inference.settled(spark.read.parquet(path)).filter("error IS NULL").count() == len(said)
+    other = scratch_path(spark, "other")
+    spark.createDataFrame([("x",)], "id string").write.parquet(other)
+    with pytest.raises(AnalysisException):
+        inference.complete_in_chunks(rows, Flaky, ["request_key"], other, 1, **quick)
     done = spark.createDataFrame([("fine",), ("fine",), ("slow",)], "request_key string")
     assert {r.request_key for r in inference.remaining(rows, done).collect()} == {"once", "broken", "empty"}
     again = inference.replay(rows, spark.createDataFrame([("fine", "x")], "request_key string, content string"))

@@ -35,7 +35,8 @@ def test_running_totals(df, rows):
 
 
 def test_top_per_key(df, rows):
-    got = top_per_key(df, ["key"], [F.col("v").desc(), F.col("id")], 4, ["id"])
+    got = top_per_key(df, ["key"], [F.col("v").desc(), F.col("id")], 4)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     groups = defaultdict(list)
     for key, i, v in rows:
         groups[key].append((-v, i))
