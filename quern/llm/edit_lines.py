@@ -66,9 +66,9 @@ def probe_keys(line: Column, length: Column, edits: int) -> list[tuple[int, Colu
 
 def letter_parities(line: Column) -> Column:
     """A bit for each letter that occurs an odd number of times."""
-    size, bits = F.length(line), F.lit(0)
+    size, bits = F.octet_length(line), F.lit(0)
     for k, letter in enumerate("abcdefghijklmnopqrstuvwxyz"):
-        odd = (size - F.length(F.replace(line, F.lit(letter), F.lit("")))) % 2
+        odd = (size - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))) % 2
         bits = bits.bitwiseOR(F.shiftleft(odd, k))
     return bits
 
