@@ -34,8 +34,8 @@ from quern.llm.shared import read_table, small_batches
 
 LEAF_CHARS = 4096
 LEAF_BYTES = 24
-#: Encoded matches that a worker remembers; pairs of tokens, twice as many.
-REMEMBERED = 1 << 17
+#: Encoded matches, and pairs of tokens, that a worker remembers, each.
+REMEMBERED = 1 << 18
 
 
 class Memo(dict):
@@ -59,13 +59,10 @@ class Encoder:
         with open(path, "rb") as file:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
         self.bytes = {rank: token for token, rank in self.ranks.items()}
-        # Every head of a token, with the rank of those that are tokens themselves.
-        self.heads = {token[:n]: -1 for token in self.ranks for n in range(1, len(token))} | self.ranks
-        self.sizes = {rank: len(token) for token, rank in self.ranks.items()}
         self.pattern = regex.compile(pattern)
         self.match_ids = Memo(self._match_ids)
-        self.stays = Memo(self._stays, 2 * REMEMBERED)
-        # For each token at most.
+        self.stays = Memo(self._stays)
+        # One for each token at most.
         self.halves = Memo(self._halves)
         self.right_edge = Memo(lambda rank: self._edge(rank, True))
         self.left_edge = Memo(lambda rank: self._edge(rank, False))
@@ -84,34 +81,19 @@ class Encoder:
         return self._join_tokens(self.reduce_bytes(piece[:half]), self.reduce_bytes(piece[half:]))
 
     def _leaf(self, piece: bytes) -> tuple[int, ...]:
-        """The one sequence of tokens for ``piece`` whose neighbours all stay, longest tokens tried first.
-
-        A prefix has only one such sequence, so an end that once led nowhere is never tried again.
-        """
-        heads, stays, sizes, n = self.heads.get, self.stays, self.sizes, len(piece)
-        ids: list[int] = []
-        untried: list[list[int]] = []  # for each token of ids, the shorter ones at its place
-        at, choices, dead = 0, None, set()
-        while at < n:
-            if choices is None:
-                choices, end = [], at + 1
-                while end <= n and (rank := heads(piece[at:end])) is not None:
-                    if rank >= 0:
-                        choices.append(rank)
-                    end += 1
-            while choices:
-                rank = choices.pop()
-                if (not ids or stays[ids[-1], rank]) and at + sizes[rank] not in dead:
-                    break
-            else:  # nothing fits here: the last token must be shorter
-                dead.add(at)
-                at -= sizes[ids.pop()]
-                choices = untried.pop()
-                continue
-            ids.append(rank)
-            untried.append(choices)
-            at, choices = at + sizes[rank], None
-        return tuple(ids)
+        """By definition: merge the neighbours of lowest rank, the leftmost first, until none is a token."""
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        get, none = self.ranks.get, len(self.ranks)
+        pairs = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while pairs and (best := min(pairs)) < none:
+            at = pairs.index(best)
+            parts[at] = merged = parts[at] + parts.pop(at + 1)
+            del pairs[at]
+            if at:
+                pairs[at - 1] = get(parts[at - 1] + merged, none)
+            if at < len(pairs):
+                pairs[at] = get(merged + parts[at + 1], none)
+        return tuple([self.ranks[p] for p in parts])
 
     def _halves(self, rank: int) -> tuple[bytes, bytes] | None:
         """The two tokens whose merge makes this one; none for a single byte."""
