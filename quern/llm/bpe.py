@@ -21,7 +21,8 @@ from __future__ import annotations
 import base64
 from collections.abc import Callable, Sequence
 from functools import lru_cache
-from itertools import chain
+from hashlib import sha256
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -39,16 +40,25 @@ REMEMBERED = 1 << 18
 
 
 class Memo(dict):
-    """Results of a function by argument; emptied when full, so its memory is bounded."""
+    """Results of a function by argument.
+
+    Memory is bounded: when it is full it becomes the older generation, which the
+    next one replaces.  What is asked for again moves to the younger one, so the
+    common arguments stay.
+    """
 
     def __init__(self, function: Callable, most: int = REMEMBERED):
         super().__init__()
-        self.function, self.most = function, most
+        self.function, self.most, self.older = function, most, {}
 
     def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.function(key)
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.function(key)
+        self[key] = value
         return value
 
 
@@ -69,8 +79,9 @@ class Encoder:
 
     # One match of the pattern.
 
-    def _match_ids(self, match: str) -> tuple[int, ...]:
-        return self.reduce_bytes(match.encode())
+    def _match_ids(self, match: str) -> bytes:
+        ids = self.reduce_bytes(match.encode())
+        return pack(f"<{len(ids)}I", *ids)
 
     def reduce_bytes(self, piece: bytes) -> tuple[int, ...]:
         if piece in self.ranks:
@@ -148,7 +159,11 @@ class Encoder:
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text; none for null."""
-        return list(chain.from_iterable(map(self.match_ids.__getitem__, self._matches(text or ""))))
+        return self.packed(text).tolist()
+
+    def packed(self, text: str | None) -> np.ndarray:
+        """The same ids as little-endian unsigned 32-bit integers."""
+        return np.frombuffer(b"".join(map(self.match_ids.__getitem__, self._matches(text or ""))), "<u4")
 
     def _matches(self, text: str) -> list[str]:
         if len(text) <= LEAF_CHARS:
@@ -179,8 +194,8 @@ class Encoder:
             reach *= 2
 
     def decode(self, ids: Sequence[int]) -> bytes:
-        if len(ids) <= 512:
-            return b"".join([self.bytes[i] for i in ids])
+        if len(ids) <= 4096:
+            return b"".join(map(self.bytes.__getitem__, ids))
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
@@ -196,7 +211,7 @@ def encoded(text: Column, path: str, pattern: str) -> Column:
     @F.pandas_udf("array<int>")
     def encode(texts: pd.Series) -> pd.Series:
         own = encoder(path, pattern)
-        return pd.Series([np.array(own.encode(t), np.int32) for t in texts], dtype=object)
+        return pd.Series([own.packed(t).astype(np.int32) for t in texts], dtype=object)
 
     return encode(text)
 
@@ -211,13 +226,21 @@ def decoded(ids: Column, path: str, pattern: str) -> Column:
     return decode(ids)
 
 
-def little_endian(ids: Column) -> Column:
-    """The ids as unsigned 32-bit integers, lowest byte first."""
-    @F.pandas_udf("binary")
-    def pack(rows: pd.Series) -> pd.Series:
-        return pd.Series([np.asarray(r, "<u4").tobytes() for r in rows], dtype=object)
+def digests(text: Column, path: str, pattern: str) -> Column:
+    """Struct of n_tokens, ids_sha256 and decoded_sha256 of each whole text, for checks of a round trip.
+
+    Texts are encoded and their ids decoded again in one call, so the ids, which
+    take more room than the texts, never leave the worker.  Null counts as empty.
+    """
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digest(texts: pd.Series) -> pd.DataFrame:
+        own, rows = encoder(path, pattern), []
+        for t in texts:
+            ids = own.packed(t)
+            rows.append((len(ids), sha256(ids).hexdigest(), sha256(own.decode(ids.tolist())).hexdigest()))
+        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return pack(ids)
+    return digest(text)
 
 
 @query("op5_tree_bpe")
@@ -227,8 +250,5 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     small_batches(spark)
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", encoded(F.col("text"), path, pattern).alias("ids"))
-    return docs.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(little_endian(F.col("ids")), 256).alias("ids_sha256"),
-        F.sha2(decoded(F.col("ids"), path, pattern), 256).alias("decoded_sha256"),
-    )
+    docs = read_table(spark, sf_dir, "documents")
+    return docs.select("doc_id", digests(F.col("text"), path, pattern).alias("d")).select("doc_id", "d.*")
