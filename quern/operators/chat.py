@@ -62,12 +62,14 @@ def request_bodies(parts: DataFrame, max_bytes: int = MAX_REQUEST_BYTES) -> Data
     sizes = parts.groupBy("conv_id").agg(F.sum(F.octet_length("text") + MESSAGE_OVERHEAD).alias("bytes"))
     sizes = sizes.withColumn("too_large", F.col("bytes") > max_bytes)
     fitting = parts.join(sizes.filter(~F.col("too_large")), "conv_id")
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "part", "role", "text")))
-    bodies = fitting.groupBy("conv_id").agg(F.first("bytes").alias("bytes"), ordered.alias("_parts"))
-    turns = F.transform(F.array_distinct(F.transform("_parts", lambda p: F.struct(p["turn"], p["role"]))), lambda t: F.struct(
-        t["role"].alias("role"),
-        F.array_join(F.transform(F.filter(F.col("_parts"), lambda p: p["turn"] == t["turn"]), lambda p: p["text"]), "").alias("content"),
-    ))
+    # Parts to messages, then messages to conversations: both on rows that lie together by conversation.
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda p: p["text"])
+    messages = fitting.groupBy("conv_id", "turn", "role").agg(
+        F.first("bytes").alias("bytes"), F.min("part").alias("part"), F.array_join(texts, "").alias("content"),
+    )
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "part", "role", "content")))
+    bodies = messages.groupBy("conv_id").agg(F.first("bytes").alias("bytes"), ordered.alias("_messages"))
+    turns = F.transform("_messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
     done = bodies.select("conv_id", "bytes", F.lit(False).alias("too_large"), turns.alias("messages"))
     refused = sizes.filter("too_large").select(
         "conv_id", "bytes", "too_large", F.lit(None).cast("array<struct<role:string,content:string>>").alias("messages")

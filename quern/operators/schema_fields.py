@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import Any
 
 import pandas as pd
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.variants import as_object, child
-from quern.operators.schema_rules import GENERATE, MAX_DEPTH, lint_types, plain
+from quern.operators.schema_rules import GENERATE, lint_types, plain
 
 # Keywords listed as constraints of a field.
 CONSTRAINTS = (
@@ -19,6 +19,8 @@ CONSTRAINTS = (
     "maxItems", "uniqueItems", "minProperties", "maxProperties", "required", "const", "multipleOf",
 )
 UNIONS = ("oneOf", "anyOf", "allOf")
+#: What the lint reports for a schema that cannot be parsed.
+UNREADABLE = "(unreadable)"
 
 
 def flatten_schema(schema: Any) -> list[dict]:
@@ -28,15 +30,16 @@ def flatten_schema(schema: Any) -> list[dict]:
     an element); any other node with a type or generation settings is a field.
     """
     fields: list[dict] = []
-
-    def visit(node: Any, path: tuple[str, ...]) -> None:
-        if not isinstance(node, dict) or len(path) > MAX_DEPTH:
-            return
+    open_nodes: list[tuple[Any, tuple[str, ...]]] = [(schema, ())]
+    while open_nodes:  # the next node is the last one, so nesting has no limit
+        node, path = open_nodes.pop()
+        if not isinstance(node, dict):
+            continue
+        below: list[tuple[Any, str]] = []
         if node.get("type") == "object" and isinstance(node.get("properties"), dict):
-            for key, sub in node["properties"].items():
-                visit(sub, path + (key,))
+            below += [(sub, key) for key, sub in node["properties"].items()]
         elif node.get("type") == "array" and node.get("items"):
-            visit(node["items"], path + ("[]",))
+            below.append((node["items"], "[]"))
         elif node.get(GENERATE) or node.get("type"):
             fields.append({
                 "path": ".".join(path),
@@ -47,10 +50,8 @@ def flatten_schema(schema: Any) -> list[dict]:
                 "settings": node.get(GENERATE) or None,
             })
         for keyword in UNIONS:
-            for i, sub in enumerate(node.get(keyword) or []):
-                visit(sub, path + (f"{keyword}[{i}]",))
-
-    visit(schema, ())
+            below += [(sub, f"{keyword}[{i}]") for i, sub in enumerate(node.get(keyword) or [])]
+        open_nodes += [(sub, path + (step,)) for sub, step in reversed(below)]
     return fields
 
 
@@ -87,8 +88,8 @@ def _references(schema: Any) -> list[tuple[str, str, str]]:
     return found
 
 
-def _per_schema(df: DataFrame, doc: str, keep: list[str], rows_of, schema: str) -> DataFrame:
-    """Run a small function on every schema text, in Arrow batches."""
+def _per_schema(df: DataFrame, doc: str, keep: list[str], rows_of, schema: str, unreadable: Sequence[tuple] = ()) -> DataFrame:
+    """Run a small function on every schema text, in Arrow batches; ``unreadable`` are the rows of a text that is no JSON."""
     names = [part.split(" ")[0] for part in schema.split(", ")]
     types = dict(df.select(*keep).dtypes)
 
@@ -100,6 +101,7 @@ def _per_schema(df: DataFrame, doc: str, keep: list[str], rows_of, schema: str)
                 try:
                     parsed = json.loads(text)
                 except (TypeError, ValueError):
+                    out += [(*ids, *row) for row in unreadable]
                     continue
                 out += [(*ids, *row) for row in rows_of(parsed)]
             yield pd.DataFrame(out, columns=[*keep, *names])
@@ -135,8 +137,8 @@ def corpus_references(df: DataFrame, keep: list[str], doc: str = "doc") -> DataF
 
 
 def corpus_lint(df: DataFrame, keep: list[str], doc: str = "doc") -> DataFrame:
-    """Places of unknown type names."""
-    return _per_schema(df, doc, keep, lambda s: [(p,) for p in lint_types(s)], "place string")
+    """Places of unknown type names; the place of a schema that is null or no JSON is ``UNREADABLE``."""
+    return _per_schema(df, doc, keep, lambda s: [(p,) for p in lint_types(s)], "place string", [(UNREADABLE,)])
 
 
 def fields_by_path(fields: DataFrame, pattern: str) -> DataFrame:

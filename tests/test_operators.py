@@ -11,7 +11,7 @@ from quern.functions.variants import parse_exact
 from quern.operators import catalog, checks, configs, files, inference, ledger
 from quern.operators.examples import example_document, varied_json
 from quern.operators.reshape import fill_fields
-from quern.operators.schema_fields import corpus_fields, corpus_references, flatten_schema
+from quern.operators.schema_fields import UNREADABLE, corpus_fields, corpus_lint, corpus_references, flatten_schema
 from quern.operators.schema_rules import GENERATE, SchemaRules
 from quern.operators.validation import with_errors
 from quern.session import scratch_path
@@ -98,6 +98,12 @@ def test_schema_corpus(spark):
     assert [(r.id, r.path, r.type) for r in got][-1] == (3, "", "string") and got[0].constraints == {"minLength": "1"}
     states = {r.place: r.state for r in corpus_references(rows, ["id"]).collect()}
     assert states["/properties/r"] == "cyclic" and states["/properties/s"] == "dangling"
+    deep = {"type": "boolean"}
+    for _ in range(300):
+        deep = {"type": "object", "properties": {"in": deep}}
+    assert [f["path"] for f in flatten_schema(deep)] == [".".join(["in"] * 300)]
+    odd = spark.createDataFrame([(1, "{broken"), (2, None), (3, '{"type":"text"}'), (4, '{"type":"string"}')], "id int, doc string")
+    assert sorted((r.id, r.place) for r in corpus_lint(odd, ["id"]).collect()) == [(1, UNREADABLE), (2, UNREADABLE), (3, "type")]
 
 
 def test_examples(spark):
