@@ -493,3 +493,35 @@ def test_stages(spark):
     for r in packed:
         total[r.doc_id] += r.length
     assert total == words
+
+
+def five_words(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))}
+
+
+def test_near_stage_joins_similar_texts(spark):
+    """Five-word shingles at a Jaccard similarity of 0.8, by brute force; fingerprints of such texts differ in many bits."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(40, 400)))]
+        rows.append(" ".join(words))
+        for _ in range(3):
+            at = rng.choice(len(words), rng.integers(1, max(2, len(words) // 40)), replace=False)
+            rows.append(" ".join("new" + str(rng.integers(1000)) if i in at else w for i, w in enumerate(words)))
+    rows += [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()] + ["a b", "A  b", "a b c", "", " "]
+    sets = [five_words(t) for t in rows]
+    linked = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert sum((brute_fingerprint(rows[a]) ^ brute_fingerprint(rows[b])).bit_count() > 4 for a, b in linked) > 30
+    root = components(range(len(rows)), linked)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r.doc_id for r in pipeline.near(spark, df, SF).collect()} == set(root.values())
+
+
+def test_near_stage_odd_rows(spark, docs, none):
+    kept = pipeline.near(spark, docs, SF)
+    assert kept.columns == docs.columns and pipeline.near(spark, none, SF).count() == 0
+    # 2 and 3 have the words of 1, 5 has none like 4, 10 is 6 in capitals, 8 and 9 are near copies of 7; rows without an id stay.
+    assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect() if r.doc_id is not None) == [(False, i) for i in (-11, 1, 4, 6, 7)]
+    assert sum(r.doc_id is None for r in kept.collect()) == 2
