@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns plus sliding-window entropy.
 
 Patterns find assignments, access keys and hex strings.  Beside them, every run
-of characters of a class (hex digits, base64) is read through a window of fixed
+of characters of a class (hex digits, base 32 and 36, base64) is read through a window of fixed
 width whose Shannon entropy follows incremental counts: one character enters,
 one leaves, and only their two terms of the sum change.  Windows over the class
 limit are secrets unless the run matches the allow list.
@@ -41,10 +41,11 @@ class CharClass:
     bits: float
 
 
-CLASSES = (CharClass("0-9a-f", 20, 3.0), CharClass("A-Za-z0-9+/_=-", 20, 3.8))
+#: Limits lie where about one window in 100 of a random key falls below: hex of either case, base 32 and 36 of one case, base 64.
+CLASSES = (CharClass("0-9A-Fa-f", 20, 2.9), CharClass("A-Z0-9", 20, 3.3), CharClass("a-z0-9", 20, 3.3), CharClass("A-Za-z0-9+/_=-", 20, 3.6))
 #: Runs that look random and are none: words and names without digits, numbers, counting, identifiers of the uuid form.
 ALLOW = (
-    r"[A-Za-z/_=+-]+", r"[0-9/_=+-]+", r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", r".*(0123456789|abcdefghij|ABCDEFGHIJ).*",
+    r"[A-Za-z/_=+-]+", r"[0-9/_=+-]+", r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", r"[0-9A-F]{8}(-[0-9A-F]{4}){3}-[0-9A-F]{12}", r".*(0123456789|abcdefghij|ABCDEFGHIJ).*",
     r"([a-z]+[0-9]{0,4}[/_=-]+)+[a-z]*[0-9]{0,4}", r"([A-Z]+[0-9]{0,4}[/_=-]+)+[A-Z]*[0-9]{0,4}",
 )
 

@@ -338,6 +338,15 @@ def test_entropy_adds_and_allow_list_suppresses():
         assert entropy_scan.Scanner()(harmless)[1] == [], harmless
 
 
+@pytest.mark.parametrize("alphabet", ["0123456789ABCDEF", "0123456789abcdefABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/"])
+def test_random_keys_of_every_alphabet_are_found(alphabet):
+    rng = np.random.default_rng(13)
+    for size in (20, 32, 40, 64):
+        keys = ["".join(rng.choice(list(alphabet), size)) for _ in range(300)]
+        assert np.mean([any(s <= 4 and e >= 4 + size // 2 for s, _, e in sum(entropy_scan.Scanner()(f"see {k} end"), [])) for k in keys]) > 0.95, size
+    assert entropy_scan.Scanner()("123E4567-E89B-12D3-A456-426614174000")[1] == []
+
+
 def test_secret_columns(docs, none):
     found = {r.doc_id: r.s for r in docs.select("doc_id", entropy_scan.secret_spans(F.col("text")).alias("s")).collect()}
     assert [tuple(x) for x in found[-11]] == [("assign", 0, 24)] and found[5] == found[4] == []
