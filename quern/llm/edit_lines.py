@@ -24,7 +24,7 @@ from quern.llm.registry import query
 from quern.llm.shared import link_classes, read_table, stored
 
 EDITS = 2
-#: Shorter lines only equal themselves: in few characters two edits change the words.
+#: Least characters of the lines that ``without_repeated_lines`` links: in fewer, two edits change the words.
 LEAST_CHARS = 16
 #: Rows of identifiers (8 bytes each) up to which a filter is sent to all executors; beyond, it is a shuffled join.
 SMALL = 1_000_000
@@ -138,9 +138,13 @@ def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return named.select("doc", F.posexplode(F.split("text", "\n")).alias("at", "line"))
 
 
+def _place(doc: Column, at: Column) -> Column:
+    return (doc.cast("decimal(20,0)") * F.lit(_LINES).cast("decimal(10,0)") + at).cast(_PLACE)
+
+
 def distinct_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """lid, line, size, letters, copies, and place: the first document and line number in one number."""
-    place = (F.col("doc").cast("decimal(20,0)") * F.lit(_LINES).cast("decimal(10,0)") + F.col("at")).cast(_PLACE)
+    place = _place(F.col("doc"), F.col("at"))
     found = lines_of(df, id_col, text_col).groupBy("line").agg(F.count("*").alias("copies"), F.min(place).alias("place"))
     return stored(found.select(
         F.monotonically_increasing_id().alias("lid"), "line", F.length("line").alias("size"), letter_parities(F.col("line")).alias("letters"),
@@ -181,18 +185,37 @@ def line_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Repeated rows count as copies.  An empty table gives no rows.
     """
     lines = distinct_lines(df, id_col, text_col)
+    return _told(lines.select("lid", "copies", "place"), lines, edits, least, F.col("place"))
+
+
+def line_members(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+    """Per line row of every text, copies included: doc, at, copies, n_links, class_doc, class_at, kept.
+
+    As ``line_classes``, but every row names its class; only the row at the
+    first place of a class is kept.  Rows without an id are told with a null doc.  Lines that stand often meet
+    one row of their class each, so copies make no pairs.
+    """
+    lines = distinct_lines(df, id_col, text_col)
+    rows = lines_of(df, id_col, text_col).join(lines.select("line", "lid", "copies", "place"), "line")
+    own = _place(F.col("doc"), F.col("at"))
+    return _told(rows.select("doc", "at", "lid", "copies", "place"), lines, edits, least, own)
+
+
+def _told(rows: DataFrame, lines: DataFrame, edits: int, least: int, own: Column) -> DataFrame:
+    """``rows`` (lid, copies, place, and doc, at unless they are those of the place) with their links and classes; ``own`` is a row's place."""
     links = line_links(lines, edits, least)
     counts = links.select(F.col("u").alias("lid")).union(links.select("v")).groupBy("lid").agg(F.count("*").alias("n_links"))
     roots = link_classes(links).withColumnRenamed("node", "lid").join(counts, "lid")
-    marked = lines.select("lid", "copies", "place").join(roots, "lid", "left")
-    tied = marked.where("root IS NOT NULL").groupBy("root").agg(F.min("place").alias("first"))
-    marked = marked.join(tied, "root", "left").withColumn("first", F.when(F.col("root").isNull(), F.col("place")).otherwise(F.col("first")))
+    tied = lines.select("lid", "place").join(roots, "lid").groupBy("root").agg(F.min("place").alias("first"))
+    marked = rows.join(roots.join(tied, "root"), "lid", "left")
+    marked = marked.withColumn("first", F.when(F.col("root").isNull(), F.col("place")).otherwise(F.col("first")))
     at = lambda p: F.pmod(p, F.lit(_LINES).cast(_PLACE))
     doc = lambda p: ((p - at(p)) / F.lit(_LINES).cast("decimal(10,0)")).cast("long")
     place, first = F.col("place"), F.col("first")
+    named = [F.col("doc"), F.col("at")] if "doc" in rows.columns else [doc(place).alias("doc"), at(place).cast("int").alias("at")]
     return marked.select(
-        doc(place).alias("doc"), at(place).cast("int").alias("at"), "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        doc(first).alias("class_doc"), at(first).cast("int").alias("class_at"), F.coalesce(place == first, F.lit(False)).alias("kept"),
+        *named, "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        doc(first).alias("class_doc"), at(first).cast("int").alias("class_at"), F.coalesce(own == first, F.lit(False)).alias("kept"),
     )
 
 
@@ -210,6 +233,6 @@ def without_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str
 
 @query("op3_edit_lines")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every distinct line of the documents with its class."""
-    found = line_classes(read_table(spark, sf_dir, "documents"))
+    """Every line row of the documents with its class."""
+    found = line_members(read_table(spark, sf_dir, "documents"))
     return found.withColumnsRenamed({"doc": "doc_id", "at": "line_no", "class_at": "class_line"})

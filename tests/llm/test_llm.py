@@ -227,6 +227,22 @@ def test_line_classes_odd_rows(spark, docs, none):
     assert edit_lines.line_classes(docs).agg(F.sum("copies")).first()[0] == sum(len(t.split("\n")) for _, t, _ in ROWS if t is not None)
 
 
+def test_every_line_row_names_its_class(spark, none):
+    rows = [(1, "the first line of all\nshort\nthe first line of all"), (2, "shirt\nthe first lime of all\nalone here, nothing like it"), (3, "the first line of all"), (None, "short"), (4, None), (5, "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r.doc or 0, r["at"], r.copies, r.n_links, r.class_doc, r.class_at, r.kept) for r in edit_lines.line_members(df, least=0).collect())
+    assert found == [
+        (0, 0, 2, 1, 1, 1, False), (1, 0, 3, 1, 1, 0, True), (1, 1, 2, 1, 1, 1, True), (1, 2, 3, 1, 1, 0, False), (2, 0, 1, 1, 1, 1, False),
+        (2, 1, 1, 1, 1, 0, False), (2, 2, 1, 0, 2, 2, True), (3, 0, 3, 1, 1, 0, False), (5, 0, 1, 0, 5, 0, True),
+    ]
+    assert edit_lines.line_members(none).count() == 0
+
+
+def test_line_query_has_every_line_row(spark, texts):
+    want = sorted((i, k) for i, t in texts for k in range(len(t.split("\n"))))
+    assert sorted((r.doc_id, r.line_no) for r in edit_lines.op3(spark, SF).collect()) == want
+
+
 # Byte-level BPE.
 
 @pytest.fixture(scope="module")
