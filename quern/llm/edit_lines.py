@@ -153,8 +153,11 @@ def distinct_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def line_links(lines: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
-    """Pairs (u, v) of distinct lines of at least ``least`` characters within ``edits``; each once."""
-    fit = lines.where(F.col("size") >= max(least, edits + 1)).select("lid", "line", "size", "letters")
+    """Pairs (u, v) of distinct lines of at least ``least`` characters within ``edits``; each once.
+
+    Lines of up to ``edits`` characters have an empty segment, a key on which they meet all lines of a length they can link to.
+    """
+    fit = lines.where(F.col("size") >= least).select("lid", "line", "size", "letters")
     line, size = F.col("line"), F.col("size")
     index = fit.select("lid", "letters", F.explode(F.array(*index_keys(line, size, edits))).alias("key"))
     probes = [F.struct(F.lit(d > 0).alias("shorter"), k.alias("key")) for d, k in probe_keys(line, size, edits)]
@@ -188,10 +191,10 @@ def line_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return _told(lines.select("lid", "copies", "place"), lines, edits, least, F.col("place"))
 
 
-def line_members(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+def line_members(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = 0) -> DataFrame:
     """Per line row of every text, copies included: doc, at, copies, n_links, class_doc, class_at, kept.
 
-    As ``line_classes``, but every row names its class; only the row at the
+    As ``line_classes``, by default for lines of any length, but every row names its class; only the row at the
     first place of a class is kept.  Rows without an id are told with a null doc.  Lines that stand often meet
     one row of their class each, so copies make no pairs.
     """
@@ -233,6 +236,6 @@ def without_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str
 
 @query("op3_edit_lines")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line row of the documents with its class."""
+    """Every line row of the documents with its class; lines of all lengths are joined."""
     found = line_members(read_table(spark, sf_dir, "documents"))
     return found.withColumnsRenamed({"doc": "doc_id", "at": "line_no", "class_at": "class_line"})

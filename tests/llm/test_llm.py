@@ -227,10 +227,22 @@ def test_line_classes_odd_rows(spark, docs, none):
     assert edit_lines.line_classes(docs).agg(F.sum("copies")).first()[0] == sum(len(t.split("\n")) for _, t, _ in ROWS if t is not None)
 
 
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_short_lines_are_joined(spark, edits):
+    rng = np.random.default_rng(20 + edits)
+    lines = sorted({"".join(rng.choice(list("abcé"), rng.integers(0, 11))) for _ in range(300)} | {"", "a", "Atonor a it.", "Anor a it."})
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    known = edit_lines.distinct_lines(df, "doc_id", "text")
+    text = {r.lid: r.line for r in known.collect()}
+    want = {(a, b) for k, a in enumerate(lines) for b in lines[k + 1 :] if distance(a, b) <= edits}
+    found = [tuple(sorted((text[r.u], text[r.v]))) for r in edit_lines.line_links(known, edits, 0).collect()]
+    assert set(found) == want and len(found) == len(want)
+
+
 def test_every_line_row_names_its_class(spark, none):
     rows = [(1, "the first line of all\nshort\nthe first line of all"), (2, "shirt\nthe first lime of all\nalone here, nothing like it"), (3, "the first line of all"), (None, "short"), (4, None), (5, "other")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = sorted((r.doc or 0, r["at"], r.copies, r.n_links, r.class_doc, r.class_at, r.kept) for r in edit_lines.line_members(df, least=0).collect())
+    found = sorted((r.doc or 0, r["at"], r.copies, r.n_links, r.class_doc, r.class_at, r.kept) for r in edit_lines.line_members(df).collect())
     assert found == [
         (0, 0, 2, 1, 1, 1, False), (1, 0, 3, 1, 1, 0, True), (1, 1, 2, 1, 1, 1, True), (1, 2, 3, 1, 1, 0, False), (2, 0, 1, 1, 1, 1, False),
         (2, 1, 1, 1, 1, 0, False), (2, 2, 1, 0, 2, 2, True), (3, 0, 3, 1, 1, 0, False), (5, 0, 1, 0, 5, 0, True),
