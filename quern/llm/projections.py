@@ -5,6 +5,9 @@ vectors of a label lexicographically by it and compares each with its
 neighbours: those up to ``window`` places on, and all with the very same string,
 however many.  Verified pairs are united over the passes.
 
+Bits and passes follow the vectors of a label: however dense they lie, two at the
+limit share a string in one of the passes with probability ``RECALL``.
+
 Equal vectors are one class with a count.  Places are dealt out as pairs of
 blocks of a fixed number of rows, so a label or string with a third of all rows
 meets no task whole.  A pair counts in the first pass that compares it, which
@@ -27,7 +30,10 @@ from quern.llm.registry import query
 from quern.llm.shared import forest, group_bounds, link_classes, read_table, stored, whole_groups
 
 COSINE = 0.93
+#: Least passes; larger labels get more (``passes_for``).
 PASSES = 10
+RECALL = 0.99
+SHARED = 64
 WINDOW = 48
 BLOCK = 256
 SEED = 5
@@ -36,8 +42,20 @@ GROUP = ["pass", "a", "b"]
 
 
 def sign_bits(rows: int) -> int:
-    """Bits of a pass: 16, and more once a string would else be shared by over 64 of ``rows`` at random."""
-    return min(max(16, math.ceil(math.log2(max(rows, 2))) - 6), 60)
+    """Bits of a pass over a label of ``rows`` vectors: as many as leave at most 64 of them a string at random."""
+    return min(max(math.ceil(math.log2(max(rows, 1) / SHARED)), 0), 60)
+
+
+def passes_for(rows: int, least: int = PASSES, cosine: float = COSINE, recall: float = RECALL) -> int:
+    """Passes over a label of ``rows`` vectors: two at ``cosine`` get the same string in one of them with probability ``recall``.
+
+    One is enough without bits, when all rows have the same string.
+    """
+    bits = sign_bits(rows)
+    if not bits:
+        return 1
+    same = (1 - math.acos(min(max(cosine, -1.0), 1.0)) / math.pi) ** bits
+    return least if same >= 1 else max(least, math.ceil(math.log(1 - recall) / math.log(1 - same)))
 
 
 def usable(vector: Column) -> Column:
@@ -47,14 +65,15 @@ def usable(vector: Column) -> Column:
     return F.coalesce(~odd & some, F.lit(False))
 
 
-def _signs(passes: int, bits: int, seed: int):
+def _signs(least: int, cosine: float, seed: int):
     @F.pandas_udf("array<long>")
-    def sign(vectors: pd.Series) -> pd.Series:
+    def sign(vectors: pd.Series, rows: pd.Series) -> pd.Series:
         out = [None] * len(vectors)
-        by_size: dict[int, list[int]] = {}
-        for i, v in enumerate(vectors):
-            by_size.setdefault(len(v), []).append(i)
-        for size, at in by_size.items():
+        alike: dict[tuple[int, int], list[int]] = {}
+        for i, (v, n) in enumerate(zip(vectors, rows)):
+            alike.setdefault((len(v), n), []).append(i)
+        for (size, n), at in alike.items():
+            passes, bits = passes_for(n, least, cosine), sign_bits(n)
             planes = np.random.default_rng([seed, size]).normal(size=(size, passes * bits))
             x = np.array([vectors.iloc[i] for i in at], dtype=np.float64)
             weights = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
@@ -121,20 +140,20 @@ def _group_pairs(g: pd.DataFrame, cosine: float, window: int, block: int) -> Ite
     if not len(first) or not len(second):
         return
     turn = int(g["pass"].iloc[0])
-    spots, runs = np.array(g["spots"].tolist()), np.array(g["runs"].tolist())
     size = g["vector"].map(len).to_numpy()
-    for n in np.unique(size[first]):
-        i, j = first[size[first] == n], second[size[second] == n]
+    for n, of in set(zip(size[first].tolist(), label[first].tolist())):  # rows of one label have as many passes
+        i, j = (k[(size[k] == n) & (label[k] == of)] for k in (first, second))
         if not len(j):
             continue
+        spots, runs = (tuple(np.array(g[c].iloc[k].tolist()) for k in (i, j)) for c in ("spots", "runs"))
         x, y = (np.array(g["vector"].iloc[k].tolist(), dtype=np.float64) for k in (i, j))
         with np.errstate(over="ignore"):
             x, y = (v / np.abs(v).max(axis=1, keepdims=True) for v in (x, y))
         near = (x @ y.T) / np.outer(np.sqrt((x**2).sum(axis=1)), np.sqrt((y**2).sum(axis=1))) >= cosine
         p, q = np.nonzero(near)
+        seen = (np.abs(spots[0][p] - spots[1][q]) <= window) | (runs[0][p] == runs[1][q])
         p, q = i[p], j[q]
-        seen = (np.abs(spots[p] - spots[q]) <= window) | (runs[p] == runs[q])
-        now = (rank[p] < rank[q]) & (label[p] == label[q]) & seen[:, turn] & ~seen[:, :turn].any(axis=1)
+        now = (rank[p] < rank[q]) & seen[:, turn] & ~seen[:, :turn].any(axis=1)
         yield p[now], q[now]
 
 
@@ -157,8 +176,10 @@ def near_vectors(
     good = rows.where(fit)
     classes = good.groupBy("label", "vector").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "vectors")
-    signs = _signs(passes, sign_bits(classes.count()), seed)
-    keys = classes.select("cid", "label", F.size("vector").alias("size"), F.posexplode(signs(F.col("vector"))).alias("pass", "key"))
+    sizes = classes.groupBy("label", F.size("vector").alias("size")).agg(F.count("*").alias("rows"))
+    sized = classes.withColumn("size", F.size("vector")).join(sizes, ["label", "size"])
+    signs = _signs(passes, cosine, seed)
+    keys = sized.select("cid", "label", "size", F.posexplode(signs(F.col("vector"), F.col("rows"))).alias("pass", "key"))
     placed = stored(places(keys).select("cid", "pass", "rank", "lo", "hi"), "ranks")
     # One entry a pass and class.
     mine = placed.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("pass", "rank", "lo", "hi"))).alias("at"))

@@ -490,6 +490,25 @@ def test_projections(spark, window, block):
     assert projections.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rows", [10, 64, 1000, 10_000, 200_000, 4_000_000, 10**9])
+def test_passes_keep_the_recall_of_large_labels(rows):
+    """Two vectors at the limit agree in a bit with probability 1 - angle / pi; equal strings are always compared."""
+    same = (1 - np.arccos(0.93) / np.pi) ** projections.sign_bits(rows)
+    assert 1 - (1 - same) ** projections.passes_for(rows) >= 0.99 and rows / 2 ** projections.sign_bits(rows) <= 64
+
+
+def test_dense_label_beside_a_small_one(spark):
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=32) + rng.normal(0, 0.25, (2500, 32))
+    label = np.where(np.arange(2500) < 2400, 1, 2)
+    df = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label))], "vec_id long, embedding array<double>, label int")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = (unit @ unit.T >= 0.93) & (label[:, None] == label) & ~np.eye(len(x), dtype=bool)
+    links = {r.id: r.n_links for r in projections.near_vectors(df).collect()}
+    found = np.array([links[i] for i in range(2500)])
+    assert (found <= near.sum(axis=1)).all() and found.sum() >= 0.99 * near.sum() and (found[2400:] == near.sum(axis=1)[2400:]).all()
+
+
 # The pipeline, each stage on the rows that it gets.
 
 def test_registered():
