@@ -22,6 +22,6 @@ def query(name: str, check: str | None = None):
 
 def load_all() -> None:
     from quern.llm import (  # noqa: F401
-        best_fit, bpe, content_sort, edit_lines, entropy_scan, factor_toxicity, projections, quadratic_quality, shuffle_shards,
-        trie_join, word_bpe,
+        best_fit, bpe, content_sort, edit_lines, entropy_scan, factor_toxicity, hard_negatives, merkle, projections, quadratic_quality,
+        shuffle_shards, trie_join, word_bpe,
     )

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.session import scratch_path, shared_folder
@@ -53,6 +53,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def numbered(rows: DataFrame, tree: str, order: list[str]) -> DataFrame:
+    """``rows`` with ``idx``, their place from 0 within ``tree`` (not null) in ``order``.
+
+    A tree with most rows is spread over many partitions of the range sort; what is
+    summed per tree is one count a partition.
+    """
+    parts = rows.repartitionByRange(*[F.col(c) for c in [tree, *order]]).sortWithinPartitions(tree, *order)
+    placed = stored(parts.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", 33)
+    counts = placed.groupBy(tree, part.alias("_part")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy(tree).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(tree, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return placed.withColumn("_part", part).join(starts, [tree, "_part"]).withColumn("idx", F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
+
+
 def link_classes(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """Connected components: ``edges`` (u, v) to (node, root), root the smallest node.
 

@@ -47,7 +47,7 @@ from quern.llm.registry import query
 from quern.llm.shared import read_table, stored
 
 #: White space in the splitting patterns of these files.
-BLANKS = re.compile("[\t-\r \x85\xa0  -     　]+")
+BLANKS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: Bytes of the table of frequent words in each worker, counted with what Python keeps beside a word.
 FREQUENT_BYTES = 32 << 20
 _ENTRY = 160
