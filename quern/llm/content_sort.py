@@ -67,13 +67,14 @@ def sorted_runs(df: DataFrame, id_col: str, text_col: str, carry: bool) -> tuple
     Rows: row (the input row if ``carry``, else null), id, sha, part, run, head.
     Joined runs: part, run, chain, leads (first run of its chain).
     """
-    row = F.struct("*") if carry else F.lit(None).cast("string")
-    named = df.select(row.alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    keyed = named.withColumn("norm", normalised(F.col("text")))
-    keyed = keyed.select("row", "id", "text", F.substring("norm", 1, LEAD).alias("lead"), F.sha2(F.col("norm").cast("binary"), 256).alias("sha"))
+    # The text travels once: inside the row, or alone where no row is carried.
+    row = F.struct("*") if carry else F.struct(F.col(text_col))
+    named = df.select(row.alias("row"), F.col(id_col).cast("long").alias("id"), normalised(F.col(text_col)).alias("norm"))
+    keyed = named.select("row", "id", F.substring("norm", 1, LEAD).alias("lead"), F.sha2(F.col("norm").cast("binary"), 256).alias("sha"))
     order = [F.col("lead"), F.col("sha"), F.col("id").asc_nulls_last()]
     ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
-    ordered = ordered.select("row", "id", "sha", normalised(F.col("text")).alias("norm"))
+    text = normalised(F.col("row")[text_col])
+    ordered = ordered.select((F.col("row") if carry else F.lit(None).cast("string")).alias("row"), "id", "sha", text.alias("norm"))
     schema = T.StructType([
         T.StructField("row", ordered.schema["row"].dataType), T.StructField("id", T.LongType()), T.StructField("sha", T.StringType()),
         T.StructField("part", T.IntegerType()), T.StructField("run", T.LongType()), T.StructField("head", T.BooleanType()),

@@ -4,9 +4,10 @@ The score of a text is the logistic of ``bias + sum w[t] + sum over pairs
 <v[t], v[u]>`` for the hashed terms t, u that occur in it, so a pair such as an
 insult and the mention of a group weighs more than both alone.
 
-Three steps: counts of every hashed term over all labelled texts (a partial
-aggregate) choose the vocabulary; the machine is fitted by Adam on a bounded
-sample of labelled texts; every whole text is scored in a narrow pass.
+The machine is fitted on a bounded sample of labelled texts (``Settings.sample``):
+identifiers alone choose it, one pass over the texts brings its terms, counts over
+it choose the vocabulary, and Adam runs over sparse rows.  Every whole text is then
+scored with every term of the vocabulary in a narrow pass.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,18 +23,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.registry import query
-from quern.llm.shared import held_out, read_table
+from quern.llm.shared import held_out, read_table, stored
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Documented bounds and rates of the fit; none of them limits what is counted or scored."""
+    """Documented bounds and rates of the fit; what is scored, and with how many terms, has no bound."""
 
     buckets: int = 1 << 20  # hashed terms
-    terms: int = 1024  # vocabulary: the terms whose counts tell the labels apart best
-    evidence: float = 6.0  # nats by which a term of the vocabulary must tell the labels apart
+    evidence: float = 6.0  # nats by which a term of the vocabulary must tell the labels of the sample apart
     sample: int = 24_000  # labelled texts that the machine is fitted on, half of them toxic if there are so many
     factors: int = 6
     epochs: int = 30
@@ -58,12 +57,6 @@ class Machine:
     weights: np.ndarray
     vectors: np.ndarray
 
-    def logits(self, x: np.ndarray) -> np.ndarray:
-        """``x``: a row of zeros and ones for each text."""
-        mixed = x @ self.vectors
-        pairs = 0.5 * ((mixed**2).sum(axis=1) - x @ (self.vectors**2).sum(axis=1))
-        return self.bias + x @ self.weights + pairs
-
     def score(self, terms: set[int]) -> float:
         at = [self.vocabulary[t] for t in terms if t in self.vocabulary]
         v = self.vectors[at]
@@ -71,99 +64,110 @@ class Machine:
         return 1 / (1 + math.exp(-min(max(float(logit), -500.0), 500.0)))
 
 
-def _term_counts(buckets: int):
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.zeros((2, buckets), np.int64)
-        for frame in frames:
-            for text, label in zip(frame["text"], frame["label"]):
-                seen[int(label), list(terms_of(text, buckets))] += 1
-        at = np.flatnonzero(seen.any(axis=0))
-        for part in np.array_split(at, len(at) // 50_000 + 1):
-            yield pd.DataFrame({"term": part, "toxic": seen[1, part], "clean": seen[0, part]})
+def sample_of(ids: DataFrame, labels: DataFrame, settings: Settings) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
+    """At most ``settings.sample`` labelled ids (id, label), and for each label how many there are and how many were taken.
+
+    ``ids`` holds no texts.  Those with the smallest hashes within each label are
+    taken, half of them toxic if there are so many.  An id that has both labels
+    counts as toxic.
+    """
+    known = labels.where("label IN (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
+    known = ids.where("id IS NOT NULL").distinct().join(known, "id")
+    sizes = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
+    half = settings.sample // 2
+    toxic = min(sizes.get(1, 0), half)
+    want = {1: toxic, 0: min(sizes.get(0, 0), settings.sample - toxic)}
+    rows = []
+    for label, n in want.items():
+        rows += known.where(F.col("label") == label).orderBy(F.xxhash64(F.lit(settings.seed), "id"), "id").limit(n).collect()
+    return ids.sparkSession.createDataFrame(rows, known.schema), {k: (sizes.get(k, 0), n) for k, n in want.items()}
+
+
+def _terms_column(buckets: int):
+    @F.pandas_udf("array<int>")
+    def terms(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.fromiter(terms_of(t, buckets), np.int32) for t in texts], dtype=object)
 
-    return count
+    return terms
 
 
-def vocabulary(labelled: DataFrame, settings: Settings) -> tuple[list[int], int, int]:
-    """The terms with the largest likelihood ratio between the labels, and the texts of each label."""
-    sizes = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
+def vocabulary(sample: DataFrame, settings: Settings) -> DataFrame:
+    """``term`` of all that tell the labels of ``sample`` (label, terms) apart by the evidence asked for."""
+    sizes = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
-    if not toxic or not clean:
-        return [], toxic, clean
-    counts = labelled.mapInPandas(_term_counts(settings.buckets), "term long, toxic long, clean long")
-    counts = counts.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
-    entropy = lambda k, n: k * F.log((k + 0.5) / n)
     total = toxic + clean
+    counts = sample.select("label", F.explode("terms").alias("term")).groupBy("term")
+    counts = counts.agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
+    entropy = lambda k, n: k * F.log((k + 0.5) / n)
     gain = (
         entropy(F.col("a"), toxic) + entropy(F.col("b"), clean) - entropy(F.col("a") + F.col("b"), total)
         + entropy(toxic - F.col("a"), toxic) + entropy(clean - F.col("b"), clean) - entropy(total - F.col("a") - F.col("b"), total)
     )
-    best = counts.where("a + b >= 3").select("term", gain.alias("gain")).where(F.col("gain") >= settings.evidence).orderBy(F.desc("gain"), "term").limit(settings.terms)
-    return [r.term for r in best.collect()], toxic, clean
+    return counts.where(gain >= settings.evidence).select("term")
 
 
-def fit(labelled: DataFrame, settings: Settings = Settings()) -> Machine | None:
-    """From rows (id, text, label 0 or 1).  None unless both labels occur.
+def fit(rows: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Machine | None:
+    """From ``rows`` (id, text) and ``labels`` (id, label 0 or 1).  None unless both labels occur.
 
-    The fit runs on the driver over ``settings.sample`` rows of at most
-    ``settings.terms`` bytes; the rows are those with the smallest hashes of id
-    and text within each label.
+    Texts are read once, for the sample alone, whose ids (at most
+    ``settings.sample``) go to every task.  Adam runs on the driver over the terms of
+    the vocabulary that these rows hold.
     """
-    labelled = labelled.where("label IN (0, 1)")
-    chosen, toxic, clean = vocabulary(labelled, settings)
-    if not toxic or not clean:
+    chosen, taken = sample_of(rows.select("id"), labels, settings)
+    if not all(n for _, n in taken.values()):
         return None
-    at = {t: i for i, t in enumerate(chosen)}
-    half = settings.sample // 2
-    want = {1: min(toxic, half), 0: min(clean, settings.sample - min(toxic, half))}
-    rows = None
-    for label, n in want.items():
-        part = labelled.where(F.col("label") == label).select("label", "text", F.xxhash64(F.lit(settings.seed), "id", "text").alias("h"))
-        bits = part.mapInPandas(_chosen_terms(at, settings.buckets), "label int, h long, x binary").orderBy("h").limit(n).select("label", "x")
-        rows = bits if rows is None else rows.union(bits)
-    rows = rows.collect()
-    x = np.unpackbits(np.array([np.frombuffer(r.x, np.uint8) for r in rows]).reshape(len(rows), -1), axis=1)[:, : len(at)]
-    y = np.array([r.label for r in rows], np.float32)
-    # A sample that holds toxic texts more often than the table is weighted back.
-    weight = np.where(y == 1, toxic / max(want[1], 1), clean / max(want[0], 1)).astype(np.float32)
-    return _adam(x, y, weight / weight.mean(), at, settings)
-
+    texts = rows.join(F.broadcast(chosen), "id")  # at most settings.sample ids
+    sample = stored(texts.select("label", _terms_column(settings.buckets)("text").alias("terms")), "sample")
+    at = {r.term: i for i, r in enumerate(vocabulary(sample, settings).orderBy("term").collect())}
 
-def _chosen_terms(at: dict[int, int], buckets: int):
-    def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            x = np.zeros((len(frame), max(len(at), 1)), np.uint8)
-            for i, text in enumerate(frame["text"]):
-                x[i, [at[t] for t in terms_of(text, buckets) if t in at]] = 1
-            yield pd.DataFrame({"label": frame["label"], "h": frame["h"], "x": [row.tobytes() for row in np.packbits(x, axis=1)]})
+    @F.pandas_udf("array<int>")
+    def places(terms: pd.Series) -> pd.Series:
+        return pd.Series([np.array([at[t] for t in row.tolist() if t in at], np.int32) for row in terms], dtype=object)
 
-    return pick
+    found = sample.select("label", places("terms").alias("x")).toPandas()
+    y = found["label"].to_numpy(np.float32)
+    # A sample that holds toxic texts more often than the table is weighted back.
+    weight = np.where(y == 1, taken[1][0] / taken[1][1], taken[0][0] / taken[0][1]).astype(np.float32)
+    # Rows come in any order; the fit must not depend on it.
+    key = [(label, tuple(sorted(x))) for label, x in zip(found["label"], found["x"])]
+    order = sorted(range(len(key)), key=key.__getitem__)
+    return _adam([np.array(key[i][1], np.int64) for i in order], y[order], weight[order] / weight.mean(), at, settings)
 
 
-def _adam(x: np.ndarray, y: np.ndarray, weight: np.ndarray, at: dict[int, int], s: Settings) -> Machine:
+def _adam(x: list[np.ndarray], y: np.ndarray, weight: np.ndarray, at: dict[int, int], s: Settings) -> Machine:
+    """``x``: the places of each row's terms.  A step changes the terms of its batch alone."""
     rng = np.random.default_rng(s.seed)
-    k = len(at)
+    k, width = len(at), s.factors + 1
     rate = float(np.clip((y * weight).sum() / weight.sum(), 1e-6, 1 - 1e-6))
-    # One array: bias, weights, vectors.
-    p = np.concatenate([[math.log(rate / (1 - rate))], np.zeros(k), rng.normal(0, 0.02, k * s.factors)]).astype(np.float32)
+    # One row a term: its weight, then its vector; the last row is the bias.
+    p = np.zeros((k + 1, width), np.float32)
+    p[:k, 1:] = rng.normal(0, 0.02, (k, s.factors))
+    p[k, 0] = math.log(rate / (1 - rate))
     m, v, step = np.zeros_like(p), np.zeros_like(p), 0
     for _ in range(s.epochs):
         order = rng.permutation(len(y))
         for i in range(0, len(y), s.batch):
             rows = order[i : i + s.batch]
-            b = x[rows].astype(np.float32)
-            w, vec = p[1 : k + 1], p[k + 1 :].reshape(k, s.factors)
+            sizes = [len(x[r]) for r in rows]
+            used, place = np.unique(np.concatenate([x[r] for r in rows]), return_inverse=True)
+            b = np.zeros((len(rows), len(used)), np.float32)
+            b[np.repeat(np.arange(len(rows)), sizes), place] = 1
+            w, vec = p[used, 0], p[used, 1:]
             mixed = b @ vec
-            logit = p[0] + b @ w + 0.5 * ((mixed**2).sum(axis=1) - b @ (vec**2).sum(axis=1))
+            logit = p[k, 0] + b @ w + 0.5 * ((mixed**2).sum(axis=1) - b @ (vec**2).sum(axis=1))
             slope = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y[rows]) * weight[rows] / len(rows)
             pulled = b * slope[:, None]
-            g = np.concatenate([[slope.sum()], pulled.sum(axis=0) + s.decay * w, ((pulled.T @ mixed) - pulled.sum(axis=0)[:, None] * vec + s.decay * vec).ravel()])
+            own = np.append(used, k)
+            g = np.zeros((len(own), width), np.float32)
+            g[:-1, 0] = pulled.sum(axis=0) + s.decay * w
+            g[:-1, 1:] = (pulled.T @ mixed) - pulled.sum(axis=0)[:, None] * vec + s.decay * vec
+            g[-1, 0] = slope.sum()
             step += 1
-            m = 0.9 * m + 0.1 * g
-            v = 0.999 * v + 0.001 * g * g
-            p = p - s.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            m[own] = 0.9 * m[own] + 0.1 * g
+            v[own] = 0.999 * v[own] + 0.001 * g * g
+            p[own] -= s.rate * (m[own] / (1 - 0.9**step)) / (np.sqrt(v[own] / (1 - 0.999**step)) + 1e-8)
     p = p.astype(np.float64)
-    return Machine(at, float(p[0]), p[1 : k + 1], p[k + 1 :].reshape(k, s.factors))
+    return Machine(at, float(p[k, 0]), p[:k, 0], p[:k, 1:])
 
 
 def toxicity_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -175,7 +179,7 @@ def toxicity_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("label"))
-    machine = fit(rows.where(~held_out(F.col("id"))).join(known, "id"), settings)
+    machine = fit(rows, known.where(~held_out(F.col("id"))), settings)
 
     @F.pandas_udf("double")
     def judge(texts: pd.Series) -> pd.Series:

