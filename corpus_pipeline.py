@@ -2,7 +2,7 @@
 
 quality     rejects documents that the quadratic discriminant scores below 0.5
 exact       keeps one document of each normalised text
-near        keeps one document of each class of texts whose five-word shingles have a Jaccard similarity of 0.8 or more
+near        keeps one document of each component of SimHash fingerprints: four-word shingles, links at 4 or fewer differing bits
 secrets     replaces found secrets in the texts; every document stays
 packing     packs the words of all documents into sequences
 
@@ -10,6 +10,11 @@ All stages but the last return the columns of ``documents``.  The first stage
 learns a model and the fourth measures entropy by windows, which SQL does not
 express, so there is no ORACLE_SQL; the tests hold every stage against a
 brute-force version.
+
+Each stage works on all rows of its predecessor: null and empty texts, repeated
+rows, empty tables and columns of any name are handled as its operator states.
+quality rejects null and empty texts where the model scores them low; exact and
+near count them as one text; secrets leaves them; packing gives them no place.
 """
 
 from __future__ import annotations
@@ -21,8 +26,8 @@ from quern.llm.best_fit import pack_rows, word_count
 from quern.llm.content_sort import drop_exact_duplicates
 from quern.llm.entropy_scan import redact
 from quern.llm.quadratic_quality import drop_low_quality
-from quern.llm.shared import read_table, stored
-from quern.llm.shingle_join import drop_similar
+from quern.llm.shared import delete_table, read_table, scratch, stored
+from quern.llm.trie_join import drop_near_duplicates
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,14 +39,17 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_similar(docs)
+    return drop_near_duplicates(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Redacted texts; ``n_chars`` follows a text that changed."""
-    clean = redact(docs.withColumn("_before", F.col("text")))
-    n_chars = F.when(F.col("text").eqNullSafe(F.col("_before")), F.col("n_chars")).otherwise(F.length("text"))
-    return clean.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Redacted texts; ``n_chars``, where the table has it, follows a text that changed."""
+    clean = redact(docs.select(F.struct("*").alias("row"), "text"))
+    kept = {c: F.col("row")[c] for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in kept:
+        same = F.col("text").eqNullSafe(F.col("row")["text"])
+        kept["n_chars"] = F.when(same, kept["n_chars"]).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clean.select(*[value.alias(name) for name, value in kept.items()])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +61,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over ``documents``."""
-    docs = read_table(spark, sf_dir, "documents")
+    """The rows of the last stage over ``documents``; what a stage read and wrote for itself goes when its rows stand."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as written:
+            docs = stored(stage(spark, docs, sf_dir), name)
+            made = written.pop()
+        if before:
+            delete_table(spark, before)
+        before = made
     return docs
