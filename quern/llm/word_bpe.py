@@ -9,7 +9,8 @@ come back to the texts by position.
    A task replaces them by their ids; at each other word it leaves a gap.
 3. The words in the gaps join the table as rows (row, gap, word), and their ids
    are put in at those positions.  By its count such a word stands in few gaps,
-   so no key of that join is hot.  Texts travel as ids, and only those with gaps.
+   so no key of that join is hot.  Texts travel once, as packed ids; their key is
+   a digest of the text, so a task that runs again finds the same ones.
 
 The table in the tasks holds hashes of words, sorted, and their ids.  All words of
 the texts are known, so a hash that two of them share is left out of it.
@@ -32,6 +33,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -43,7 +45,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,11 +59,23 @@ BLANKS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f
 FREQUENT_BYTES = 32 << 20
 _ENTRY = 12  # beside the ids: a hash and a place
 #: Words that a task counts, or remembers, before it hands them on or forgets them.
-_COUNTED = 150_000
+_COUNTED = 200_000
+#: Scripts whose plain letters the splitting treats as this module's patterns do; each letter is tried.
+_SCRIPTS = range(0x80, 0x600)
 #: Rows of texts that are handled at once; what is made of them stays small beside a worker's memory.
 _ROWS = 500
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: itself where it is printable Latin-1, else the next one from U+0100."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) if b in shown else chr(0x100 + hidden.index(b)) for b in range(256)}
+
+
+_LETTERS = byte_letters()
+
+
 class WordEncoder:
     """Splits texts into words and encodes words, by one file of the tokenizers library."""
 
@@ -87,15 +102,26 @@ class WordEncoder:
         #: How ids travel, and what marks a gap among them.
         self.kind = np.dtype("<u2" if len(self.pieces) < 0xFFFF else "<u4")
         self.gap = np.array(-1).astype(self.kind).tobytes()
-        self.ascii = self._ascii_pattern(spec)
+        self.pattern = self._own_pattern(spec)
+        self.plain = re.compile(f"[ -~{re.escape(''.join(self._plain_letters()))}]*").fullmatch
 
-    def _ascii_pattern(self, spec: dict) -> regex.Pattern | None:
-        """The pattern that cuts lower-cased ASCII like the file's splitting, where that is one pattern whose matches are kept."""
+    def _own_pattern(self, spec: dict) -> regex.Pattern | None:
+        """The pattern that cuts lower-cased plain letters like the file's splitting, where that is one pattern whose matches are kept."""
         first = (spec["pre_tokenizer"].get("pretokenizers") or [{}])[0]
         kinds = [n["type"] for n in spec["normalizer"].get("normalizers", [])]
         alone = first.get("type") == "Split" and first["invert"] and first["behavior"] == "Removed"
         return regex.compile(first["pattern"]["Regex"]) if alone and kinds == ["NFC", "Replace", "Lowercase"] else None
 
+    def _plain_letters(self) -> list[str]:
+        """Letters that stay one letter in normal form, whatever stands beside them, and in lower case."""
+        kept = []
+        for c in map(chr, _SCRIPTS):
+            low = c.lower()
+            single = unicodedata.category(c)[0] == "L" and len(low) == 1 and c != "Σ" and not unicodedata.combining(c)
+            if single and self.normalise(c) == low and len(self.split(f"a{low}b")) == 1:
+                kept.append(c)
+        return kept
+
     # Texts to words.
 
     def blank_words(self, text: str | None) -> list[str]:
@@ -117,10 +143,10 @@ class WordEncoder:
         return out + self._plain(blank_word[at:])
 
     def _plain(self, part: str) -> list[str]:
-        # The control characters are blanks to Python's patterns alone.
-        if self.ascii is not None and part.isascii() and part.isprintable():
-            return self.ascii.findall(part.lower())
-        return [w for w, _ in self.split(self.normalise(part))]
+        if self.pattern is None or not self.plain(part):
+            return [w for w, _ in self.split(self.normalise(part))]
+        words = self.pattern.findall(part.lower())
+        return words if part.isascii() else [w if w.isascii() else w.encode().decode("latin-1").translate(_LETTERS) for w in words]
 
     # Words to ids.
 
@@ -161,7 +187,7 @@ def encoder(path: str) -> WordEncoder:
 
 
 def word_table(texts: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """Each distinct word of all texts once: word, n (occurrences), ids (packed as the encoder's ``kind``)."""
+    """Each distinct word of all texts once: word, n (occurrences), ids (packed as the encoder's ``kind``), h (hash), twice (another word has it)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, found, blank = encoder(path), Counter(), Counter()
@@ -194,7 +220,11 @@ def word_table(texts: DataFrame, path: str, text_col: str = "text") -> DataFrame
         return pd.Series([own.ids(w).tobytes() for w in words], dtype=object)
 
     counted = texts.select(F.col(text_col).alias("text")).mapInArrow(count, "word string, n long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n")).withColumn("ids", encode("word"))
+    # Dealt by the hash, so that words which share one meet without another shuffle.
+    dealt = counted.withColumn("h", F.xxhash64("word")).repartition("h")
+    summed = dealt.groupBy("h", "word").agg(F.sum("n").alias("n"))
+    alone = summed.withColumn("twice", F.count("*").over(Window.partitionBy("h")) > 1)
+    return alone.select("word", "n", encode("word").alias("ids"), "h", "twice")
 
 
 class Frequent:
@@ -233,55 +263,66 @@ def frequent_words(words: DataFrame, most_bytes: int = FREQUENT_BYTES) -> tuple[
         if room < 0:
             break
         least = 1 << (r.bits - 1)
-    hashed = words.withColumn("h", F.xxhash64("word"))
-    shared = hashed.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h", F.lit(True).alias("twice"))
-    hashed = hashed.join(shared, "h", "left").withColumn("known", (F.col("n") >= least) & F.col("twice").isNull())
-    table = hashed.where("known").select("h", "ids").toArrow()  # most_bytes at most
+    known = (F.col("n") >= least) & ~F.col("twice")
+    table = words.where(known).select("h", "ids").toArrow()  # most_bytes at most
     frequent = Frequent(table.column("h").to_numpy(), table.column("ids").to_pylist())
-    return frequent, hashed.where("NOT known").select("word", "ids")
+    return frequent, words.where(~known).select("word", "ids")
+
 
+def _gapped(path: str, frequent, whole_rows: bool) -> callable:
+    """Rows with ``text`` and its ``key`` to the words in its gaps.
 
-def _gapped(path: str, frequent) -> callable:
-    """Rows of struct ``row`` and ``text`` to ``row``, ``ids`` (packed, with a mark at each gap) and ``gaps`` (the words there)."""
+    With ``whole_rows`` to ``row``, ``key`` and ``ids`` (compressed, with a mark at each
+    gap), else to ``key`` and ``gaps``, for texts with gaps alone.
+    """
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, table = encoder(path), frequent.value
-        whole: dict[str, bytes] = {}  # packed ids of a text without blanks
+        own, table, pack = encoder(path), frequent.value, zstandard.ZstdCompressor(level=3).compress
+        packed: dict[str, bytes] = {}  # ids of a text without blanks
+        older: dict[str, bytes] = {}
         missing: dict[str, list[str]] = {}  # the words in its gaps
-        known: dict[str, bytes | None] = {}
 
         def learn(blank_words: set[str]) -> None:
             cut = [(b, own.words(b)) for b in blank_words]
-            new = list({w for _, words in cut for w in words if w not in known})
-            known.update(zip(new, table.of(new)))
+            new = list({w for _, words in cut for w in words})
+            known = dict(zip(new, table.of(new)))
             for b, words in cut:
                 ids = [known[w] for w in words]
                 if None in ids:
                     missing[b] = [w for w, i in zip(words, ids) if i is None]
                     ids = [own.gap if i is None else i for i in ids]
-                whole[b] = b"".join(ids)
+                packed[b] = ids[0] if len(ids) == 1 else b"".join(ids)
 
         for batch in batches:
             for k in range(0, batch.num_rows, _ROWS):
                 cut = batch.slice(k, _ROWS)
                 texts = [own.blank_words(t) for t in cut.column("text").to_pylist()]
-                if len(whole) > _COUNTED:
-                    whole.clear(), missing.clear(), known.clear()
-                learn(set().union(*texts).difference(whole))
-                ids = [b"".join(map(whole.__getitem__, words)) for words in texts]
-                gaps = [[w for b in words if b in missing for w in missing[b]] for words in texts]
-                yield pa.RecordBatch.from_arrays(
-                    [cut.column("row"), pa.array(ids, pa.binary()), pa.array(gaps, pa.list_(pa.string()))], ["row", "ids", "gaps"],
-                )
+                asked = set().union(*texts)
+                if len(packed) > _COUNTED:  # what is still asked for comes back from the older half
+                    packed, older = {}, packed
+                    missing = {b: words for b, words in missing.items() if b in older}
+                asked.difference_update(packed)
+                for b in asked & older.keys():
+                    packed[b] = older[b]
+                learn(asked.difference(packed))
+                if whole_rows:
+                    ids = [pack(b"".join(map(packed.__getitem__, words))) for words in texts]
+                    yield pa.RecordBatch.from_arrays([cut.column("row"), cut.column("key"), pa.array(ids, pa.binary())], ["row", "key", "ids"])
+                else:
+                    open_ = [not missing.keys().isdisjoint(words) for words in texts]
+                    gaps = [[w for b in words if b in missing for w in missing[b]] for words, o in zip(texts, open_) if o]
+                    keys = cut.column("key").filter(pa.array(open_, pa.bool_()))
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(gaps, pa.list_(pa.string()))], ["key", "gaps"])
 
     return fill
 
 
 def _filled(path: str) -> callable:
     """Whole ids, four bytes each, of rows with what fills their gaps."""
+    unpack = zstandard.decompress
 
     def spliced(ids: bytes, fills: list[bytes] | None, own: WordEncoder) -> bytes:
-        found = np.frombuffer(ids, own.kind)
+        found = np.frombuffer(unpack(ids), own.kind)
         if fills:
             at = np.flatnonzero(found == np.frombuffer(own.gap, own.kind)[0])
             sizes = [len(f) // own.kind.itemsize for f in fills]
@@ -316,17 +357,16 @@ def encode_texts(texts: DataFrame, path: str, text_col: str = "text", out: str =
     # A struct without fields cannot be written, so the row holds one more.
     row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in kept]).alias("row")
     rows = texts.select(row, F.col(f"`{text_col}`").alias("text"))
-    field = rows.schema["row"]
-    schema = T.StructType([field, T.StructField("ids", T.BinaryType()), T.StructField("gaps", T.ArrayType(T.StringType()))])
-    gapped = rows.mapInArrow(_gapped(path, spark.sparkContext.broadcast(known)), schema)
-    # Written before it is numbered: a task that runs again must find its rows under the same numbers.
-    gapped = stored(gapped, "gapped").withColumn("at", F.monotonically_increasing_id())
-    missing = gapped.select("at", F.posexplode("gaps").alias("gap", "word"))
-    # One group is one text.
-    fills = missing.join(others, "word").groupBy("at").agg(F.transform(F.array_sort(F.collect_list(F.struct("gap", "ids"))), lambda x: x["ids"]).alias("fills"))
-    open_ = gapped.where(F.size("gaps") > 0).select("at", "row", "ids").join(fills, "at").select("row", "ids", "fills")
-    whole = gapped.where(F.size("gaps") == 0).select("row", "ids", F.lit(None).cast("array<binary>").alias("fills"))
-    done = whole.union(open_).mapInArrow(_filled(path), T.StructType([field, T.StructField("ids", T.BinaryType())]))
+    rows = rows.withColumn("key", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
+    table = spark.sparkContext.broadcast(known)
+    missing = rows.select("key", "text").mapInArrow(_gapped(path, table, False), "key binary, gaps array<string>")
+    missing = missing.select("key", F.posexplode("gaps").alias("gap", "word"))
+    # One group is one text; equal texts have equal gaps.
+    fills = missing.join(others, "word").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("gap", "ids"))).alias("fills"))
+    fills = stored(fills.select("key", F.transform("fills", lambda x: x["ids"]).alias("fills")), "fills")
+    field, binary = rows.schema["row"], T.BinaryType()
+    gapped = rows.mapInArrow(_gapped(path, table, True), T.StructType([field, T.StructField("key", binary), T.StructField("ids", binary)]))
+    done = gapped.join(fills, "key", "left").select("row", "ids", "fills").mapInArrow(_filled(path), T.StructType([field, T.StructField("ids", binary)]))
     return done.select(*[F.col("row")[c].alias(c) for c in kept], F.col("ids").alias(out))
 
 
