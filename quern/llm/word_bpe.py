@@ -11,6 +11,9 @@ come back to the texts by position.
    are put in at those positions.  By its count such a word stands in few gaps,
    so no key of that join is hot.  Texts travel once, as packed ids; their key is
    a digest of the text, so a task that runs again finds the same ones.
+   Where the tasks' table holds every word that occurs twice or more, a word that
+   it lacks is the only one of its kind: it is encoded where it stands, and step 3
+   has no rows.
 
 The table in the tasks holds hashes of words, sorted, and their ids.  All words of
 the texts are known, so a hash that two of them share is left out of it.
@@ -37,7 +40,6 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from hashlib import sha256
 
 import numpy as np
 import pandas as pd
@@ -59,11 +61,11 @@ BLANKS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f
 FREQUENT_BYTES = 32 << 20
 _ENTRY = 12  # beside the ids: a hash and a place
 #: Words that a task counts, or remembers, before it hands them on or forgets them.
-_COUNTED = 200_000
+_COUNTED = 100_000
 #: Scripts whose plain letters the splitting treats as this module's patterns do; each letter is tried.
 _SCRIPTS = range(0x80, 0x600)
 #: Rows of texts that are handled at once; what is made of them stays small beside a worker's memory.
-_ROWS = 500
+_ROWS = 250
 
 
 def byte_letters() -> dict[int, str]:
@@ -74,6 +76,8 @@ def byte_letters() -> dict[int, str]:
 
 
 _LETTERS = byte_letters()
+#: Marks that end a word and begin no contraction.
+_MARKS = frozenset(".,;:!?")
 
 
 class WordEncoder:
@@ -134,6 +138,12 @@ class WordEncoder:
 
     def words(self, blank_word: str) -> list[str]:
         """The words of a text without blanks, as letters for bytes; an added token is a word of its own."""
+        if blank_word.isascii() and self.pattern is not None:
+            # Most words are letters alone, or letters before one mark.
+            if blank_word.isalpha():
+                return [blank_word.lower()]
+            if blank_word[:-1].isalpha() and blank_word[-1] in _MARKS:
+                return [blank_word[:-1].lower(), blank_word[-1]]
         if "<" not in blank_word or not self.special_pattern.search(blank_word):
             return self._plain(blank_word)
         out, at = [], 0
@@ -230,7 +240,9 @@ def word_table(texts: DataFrame, path: str, text_col: str = "text") -> DataFrame
 class Frequent:
     """Ids of words by the hash of the word."""
 
-    def __init__(self, hashes: np.ndarray, ids: list[bytes]):
+    def __init__(self, hashes: np.ndarray, ids: list[bytes], alone: bool = False):
+        #: Whether a word that is not here occurs once.
+        self.alone = alone
         order = np.argsort(hashes)
         self.hashes = hashes[order]
         self.blob = b"".join([ids[i] for i in order])
@@ -265,109 +277,161 @@ def frequent_words(words: DataFrame, most_bytes: int = FREQUENT_BYTES) -> tuple[
         least = 1 << (r.bits - 1)
     known = (F.col("n") >= least) & ~F.col("twice")
     table = words.where(known).select("h", "ids").toArrow()  # most_bytes at most
-    frequent = Frequent(table.column("h").to_numpy(), table.column("ids").to_pylist())
-    return frequent, words.where(~known).select("word", "ids")
+    others = words.where(~known)
+    alone = others.where("n > 1").isEmpty()
+    frequent = Frequent(table.column("h").to_numpy(), table.column("ids").to_pylist(), alone)
+    return frequent, others.select("word", "ids")
+
+
+class Filler:
+    """Texts to ids by the table of frequent words, with marks and words for gaps."""
+
+    def __init__(self, path: str, table: Frequent):
+        self.own, self.table = encoder(path), table
+        self.packed: dict[str, bytes] = {}  # ids of a text without blanks
+        self.older: dict[str, bytes] = {}
+        self.missing: dict[str, list[str]] = {}  # the words in its gaps
+
+    def read(self, texts: pa.Array) -> list[list[str]]:
+        """The blank words of some texts, each of which is then known."""
+        words = [self.own.blank_words(t) for t in texts.to_pylist()]
+        asked = set().union(*words)
+        if len(self.packed) > _COUNTED:  # what is still asked for comes back from the older half
+            self.packed, self.older = {}, self.packed
+            self.missing = {b: w for b, w in self.missing.items() if b in self.older}
+        asked.difference_update(self.packed)
+        for b in asked & self.older.keys():
+            self.packed[b] = self.older[b]
+        self._learn(asked.difference(self.packed))
+        return words
+
+    def _learn(self, blank_words: set[str]) -> None:
+        own = self.own
+        cut = [(b, own.words(b)) for b in blank_words]
+        new = list({w for _, words in cut for w in words})
+        known = dict(zip(new, self.table.of(new)))
+        if self.table.alone:
+            known |= {w: own.ids(w).tobytes() for w in new if known[w] is None}
+        for b, words in cut:
+            ids = [known[w] for w in words]
+            if None in ids:
+                self.missing[b] = [w for w, i in zip(words, ids) if i is None]
+                ids = [own.gap if i is None else i for i in ids]
+            self.packed[b] = ids[0] if len(ids) == 1 else b"".join(ids)
+
+    def ids(self, words: list[str]) -> bytes:
+        return b"".join(map(self.packed.__getitem__, words))
+
+    def gaps(self, words: list[str]) -> list[str]:
+        missing = self.missing
+        return [] if missing.keys().isdisjoint(words) else [w for b in words if b in missing for w in missing[b]]
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, _ROWS):
+            yield batch.slice(k, _ROWS)
+
+
+def _open_words(path: str, frequent) -> callable:
+    """Rows of ``key`` and ``text`` to the words in the gaps of each text that has some."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filler = Filler(path, frequent.value)
+        for cut in _slices(batches):
+            gaps = [filler.gaps(words) for words in filler.read(cut.column("text"))]
+            keys = cut.column("key").filter(pa.array([bool(g) for g in gaps], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([keys, pa.array([g for g in gaps if g], pa.list_(pa.string()))], ["key", "gaps"])
+
+    return find
+
+
+def _gapped(path: str, frequent) -> callable:
+    """Rows of ``row``, ``key`` and ``text`` to ``row``, ``key`` and compressed ids with a mark at each gap."""
 
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filler, pack = Filler(path, frequent.value), zstandard.ZstdCompressor(level=3).compress
+        for cut in _slices(batches):
+            ids = [pack(filler.ids(words)) for words in filler.read(cut.column("text"))]
+            yield pa.RecordBatch.from_arrays([cut.column("row"), cut.column("key"), pa.array(ids, pa.binary())], ["row", "key", "ids"])
 
-def _gapped(path: str, frequent, whole_rows: bool) -> callable:
-    """Rows with ``text`` and its ``key`` to the words in its gaps.
+    return fill
 
-    With ``whole_rows`` to ``row``, ``key`` and ``ids`` (compressed, with a mark at each
-    gap), else to ``key`` and ``gaps``, for texts with gaps alone.
-    """
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, table, pack = encoder(path), frequent.value, zstandard.ZstdCompressor(level=3).compress
-        packed: dict[str, bytes] = {}  # ids of a text without blanks
-        older: dict[str, bytes] = {}
-        missing: dict[str, list[str]] = {}  # the words in its gaps
-
-        def learn(blank_words: set[str]) -> None:
-            cut = [(b, own.words(b)) for b in blank_words]
-            new = list({w for _, words in cut for w in words})
-            known = dict(zip(new, table.of(new)))
-            for b, words in cut:
-                ids = [known[w] for w in words]
-                if None in ids:
-                    missing[b] = [w for w, i in zip(words, ids) if i is None]
-                    ids = [own.gap if i is None else i for i in ids]
-                packed[b] = ids[0] if len(ids) == 1 else b"".join(ids)
+def _finished(own: WordEncoder, path: str, rows: pa.Array, ids: list[np.ndarray], back: bool) -> pa.RecordBatch:
+    """Rows with their ids, four bytes each, and with the texts that they decode to where ``back`` asks for them."""
+    packed = pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary())
+    texts = texts_of(packed, path).cast(pa.string()) if back else pa.nulls(len(ids), pa.string())
+    return pa.RecordBatch.from_arrays([rows, packed, texts], ["row", "ids", "text"])
 
-        for batch in batches:
-            for k in range(0, batch.num_rows, _ROWS):
-                cut = batch.slice(k, _ROWS)
-                texts = [own.blank_words(t) for t in cut.column("text").to_pylist()]
-                asked = set().union(*texts)
-                if len(packed) > _COUNTED:  # what is still asked for comes back from the older half
-                    packed, older = {}, packed
-                    missing = {b: words for b, words in missing.items() if b in older}
-                asked.difference_update(packed)
-                for b in asked & older.keys():
-                    packed[b] = older[b]
-                learn(asked.difference(packed))
-                if whole_rows:
-                    ids = [pack(b"".join(map(packed.__getitem__, words))) for words in texts]
-                    yield pa.RecordBatch.from_arrays([cut.column("row"), cut.column("key"), pa.array(ids, pa.binary())], ["row", "key", "ids"])
-                else:
-                    open_ = [not missing.keys().isdisjoint(words) for words in texts]
-                    gaps = [[w for b in words if b in missing for w in missing[b]] for words, o in zip(texts, open_) if o]
-                    keys = cut.column("key").filter(pa.array(open_, pa.bool_()))
-                    yield pa.RecordBatch.from_arrays([keys, pa.array(gaps, pa.list_(pa.string()))], ["key", "gaps"])
+
+def _whole(path: str, frequent, back: bool) -> callable:
+    """Rows of ``row`` and ``text`` to finished rows, where no text has gaps."""
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filler = Filler(path, frequent.value)
+        for cut in _slices(batches):
+            ids = [np.frombuffer(filler.ids(words), filler.own.kind) for words in filler.read(cut.column("text"))]
+            yield _finished(filler.own, path, cut.column("row"), ids, back)
 
     return fill
 
 
-def _filled(path: str) -> callable:
-    """Whole ids, four bytes each, of rows with what fills their gaps."""
+def _filled(path: str, back: bool) -> callable:
+    """Rows with compressed ids and what fills their gaps to finished rows."""
     unpack = zstandard.decompress
 
-    def spliced(ids: bytes, fills: list[bytes] | None, own: WordEncoder) -> bytes:
+    def spliced(ids: bytes, fills: list[bytes] | None, own: WordEncoder) -> np.ndarray:
         found = np.frombuffer(unpack(ids), own.kind)
-        if fills:
-            at = np.flatnonzero(found == np.frombuffer(own.gap, own.kind)[0])
-            sizes = [len(f) // own.kind.itemsize for f in fills]
-            # Each mark becomes as many places as its word has ids.
-            counts = np.ones(len(found), np.int64)
-            counts[at] = sizes
-            places = np.repeat(np.isin(np.arange(len(found)), at), counts)
-            found = np.repeat(found, counts)
-            found[places] = np.frombuffer(b"".join(fills), own.kind)
-        return found.astype("<u4").tobytes()
+        if not fills:
+            return found
+        at = np.flatnonzero(found == np.frombuffer(own.gap, own.kind)[0])
+        # Each mark becomes as many places as its word has ids.
+        counts, marks = np.ones(len(found), np.int64), np.zeros(len(found), bool)
+        counts[at], marks[at] = [len(f) // own.kind.itemsize for f in fills], True
+        found, places = np.repeat(found, counts), np.repeat(marks, counts)
+        found[places] = np.frombuffer(b"".join(fills), own.kind)
+        return found
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        for batch in batches:
-            for k in range(0, batch.num_rows, _ROWS):
-                cut = batch.slice(k, _ROWS)
-                whole = [spliced(i, f, own) for i, f in zip(cut.column("ids").to_pylist(), cut.column("fills").to_pylist())]
-                yield pa.RecordBatch.from_arrays([cut.column("row"), pa.array(whole, pa.binary())], ["row", "ids"])
+        for cut in _slices(batches):
+            ids = [spliced(i, f, own) for i, f in zip(cut.column("ids").to_pylist(), cut.column("fills").to_pylist())]
+            yield _finished(own, path, cut.column("row"), ids, back)
 
     return fill
 
 
-def encode_texts(texts: DataFrame, path: str, text_col: str = "text", out: str = "ids", most_bytes: int = FREQUENT_BYTES) -> DataFrame:
+def encode_texts(
+    texts: DataFrame, path: str, text_col: str = "text", out: str = "ids", back: str | None = None, most_bytes: int = FREQUENT_BYTES,
+) -> DataFrame:
     """Rows of ``texts``, without ``text_col``, with the ids of each whole text in ``out``.
 
     Ids come packed, as one binary value of little-endian unsigned 32-bit integers;
-    ``unpacked`` makes an array of them.
+    ``unpacked`` makes an array of them.  ``back`` names a column for the text that the
+    ids decode to.
     """
-    spark, kept = texts.sparkSession, [c for c in texts.columns if c not in (text_col, out)]
+    spark, kept = texts.sparkSession, [c for c in texts.columns if c not in (text_col, out, back)]
     words = stored(word_table(texts, path, text_col), "words")
     known, others = frequent_words(words, most_bytes)
     # A struct without fields cannot be written, so the row holds one more.
     row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in kept]).alias("row")
     rows = texts.select(row, F.col(f"`{text_col}`").alias("text"))
-    rows = rows.withColumn("key", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
-    table = spark.sparkContext.broadcast(known)
-    missing = rows.select("key", "text").mapInArrow(_gapped(path, table, False), "key binary, gaps array<string>")
-    missing = missing.select("key", F.posexplode("gaps").alias("gap", "word"))
-    # One group is one text; equal texts have equal gaps.
-    fills = missing.join(others, "word").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("gap", "ids"))).alias("fills"))
-    fills = stored(fills.select("key", F.transform("fills", lambda x: x["ids"]).alias("fills")), "fills")
-    field, binary = rows.schema["row"], T.BinaryType()
-    gapped = rows.mapInArrow(_gapped(path, table, True), T.StructType([field, T.StructField("key", binary), T.StructField("ids", binary)]))
-    done = gapped.join(fills, "key", "left").select("row", "ids", "fills").mapInArrow(_filled(path), T.StructType([field, T.StructField("ids", binary)]))
-    return done.select(*[F.col("row")[c].alias(c) for c in kept], F.col("ids").alias(out))
+    field, binary, table = rows.schema["row"], T.BinaryType(), spark.sparkContext.broadcast(known)
+    finished = T.StructType([field, T.StructField("ids", binary), T.StructField("text", T.StringType())])
+    if known.alone:
+        done = rows.mapInArrow(_whole(path, table, bool(back)), finished)
+    else:
+        rows = rows.withColumn("key", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
+        missing = rows.select("key", "text").mapInArrow(_open_words(path, table), "key binary, gaps array<string>")
+        missing = missing.select("key", F.posexplode("gaps").alias("gap", "word"))
+        # One group is one text; equal texts have equal gaps.
+        fills = missing.join(others, "word").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("gap", "ids"))).alias("fills"))
+        fills = stored(fills.select("key", F.transform("fills", lambda x: x["ids"]).alias("fills")), "fills")
+        gapped = rows.mapInArrow(_gapped(path, table), T.StructType([field, T.StructField("key", binary), T.StructField("ids", binary)]))
+        done = gapped.join(fills, "key", "left").select("row", "ids", "fills").mapInArrow(_filled(path, bool(back)), finished)
+    extra = [F.col("text").alias(back)] if back else []
+    return done.select(*[F.col("row")[c].alias(c) for c in kept], F.col("ids").alias(out), *extra)
 
 
 def unpacked(ids: Column) -> Column:
@@ -406,25 +470,14 @@ def decoded(ids: Column, path: str) -> Column:
     return decode(ids)
 
 
-def digests(ids: Column, path: str) -> Column:
-    """Struct of n_tokens, ids_sha256 and decoded_sha256 of packed ids, for checks of a round trip."""
-
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digest(rows: pd.Series) -> pd.DataFrame:
-        back = [t.as_buffer() for some in _sliced(pa.array(rows, pa.binary())) for t in texts_of(some, path)]
-        return pd.DataFrame({
-            "n_tokens": [len(r) // 4 for r in rows], "ids_sha256": [sha256(r).hexdigest() for r in rows],
-            "decoded_sha256": [sha256(t).hexdigest() for t in back],
-        })
-
-    return digest(ids)
-
-
 @query("op11_distinct_words")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, as a count and digests of the ids and of what they decode to."""
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    ids = encode_texts(read_table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    return ids.select("doc_id", digests(F.col("ids"), path).alias("d")).select("doc_id", "d.*")
+    rows = encode_texts(read_table(spark, sf_dir, "documents").select("doc_id", "text"), path, back="back")
+    return rows.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("back").cast("binary"), 256).alias("decoded_sha256"),
+    )

@@ -64,8 +64,9 @@ SCHEMA = "doc_id long, text string, at string, ids int"  # names that the operat
 def test_encode_texts_odd_rows(spark, most_bytes):
     """With no frequent words at all, with a few, and with all of them."""
     df = spark.createDataFrame(odd_rows(), SCHEMA)
-    found = word_bpe.encode_texts(df.repartition(3), PATH, most_bytes=most_bytes)
-    assert found.columns == ["doc_id", "at", "ids"]
+    found = word_bpe.encode_texts(df.repartition(3), PATH, back="back", most_bytes=most_bytes)
+    assert found.columns == ["doc_id", "at", "ids", "back"]
+    assert {r["at"]: r.back for r in found.collect()} == {at: LIBRARY.decode(library_ids(t), skip_special_tokens=False) for _, t, at, _ in odd_rows()}
     key = lambda r: (repr(r[0]), repr(r[1]))
     want = sorted(((i, at, library_ids(t)) for i, t, at, _ in odd_rows()), key=key)
     lists = found.select("doc_id", "at", word_bpe.unpacked(F.col("ids")).alias("ids"))
@@ -89,7 +90,7 @@ def test_word_table_holds_each_word_once(spark):
     words = word_bpe.word_table(df, PATH)
     for most, held in ((10, set()), (30, {"the", "cat"}), (1000, set(found))):
         frequent, others = word_bpe.frequent_words(words, most)
-        assert {r.word for r in others.collect()} == set(found) - held and len(frequent) == len(held)
+        assert {r.word for r in others.collect()} == set(found) - held and len(frequent) == len(held) and frequent.alone == (most == 1000)
         ids = dict(zip(found, frequent.of(list(found))))
         assert all(list(np.frombuffer(ids[w], "<u2")) == found[w][1] if w in held else ids[w] is None for w in found)
 
