@@ -38,16 +38,23 @@ def translit(text: Column) -> Column:
 
 
 def number_text(value: Column) -> Column:
-    """Text of a double: whole numbers without a fraction, never an exponent."""
+    """Text of a double: digits without an exponent from 1e-6 to below 1e21, else ``1e-20`` and ``1.5e+21``."""
     plain = value.cast("string")
-    expanded = F.regexp_replace(
-        F.regexp_replace(plain.try_cast("decimal(38,18)").cast("string"), r"0+$", ""), r"\.$", ""
+    sign = F.when(value < 0, "-").otherwise("")
+    digits = F.regexp_replace(F.regexp_replace(F.substring_index(plain, "E", 1), "[-.]", ""), r"(?<=\d)0+$", "")
+    power = F.substring_index(plain, "E", -1).try_cast("int")
+    size = F.char_length(digits)
+    whole = F.when(size <= power + 1, F.rpad(digits, power + 1, F.lit("0"))).otherwise(
+        F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, size))
     )
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    mantissa = F.when(size == 1, digits).otherwise(F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, F.lit(2), size)))
+    spelled = F.concat(mantissa, F.when(power < 0, "e-").otherwise("e+"), F.abs(power).cast("string"))
     return (
         F.when(F.isnan(value), "NaN")
         .when((F.abs(value) < F.lit(1e18)) & (value == F.rint(value)), value.cast("decimal(20,0)").cast("string"))
-        .when(F.contains(plain, F.lit("E")), F.coalesce(expanded, plain))
-        .otherwise(plain)
+        .when(~F.contains(plain, F.lit("E")), plain)
+        .otherwise(F.concat(sign, F.when(power.between(0, 20), whole).when(power.between(-6, -1), small).otherwise(spelled)))
     )
 
 

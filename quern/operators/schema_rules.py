@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from quern.functions.formats import has_format, matches
 from quern.functions.pinned import pin
 from quern.functions.text import number_text, utf16_length
 from quern.functions.variants import as_double, is_number, path_of
+from quern.session import materialize, scratch_path
 
 ERROR_TYPE = "struct<path:string,keyword:string,message:string>"
 ERRORS_TYPE = f"array<{ERROR_TYPE}>"
@@ -27,14 +29,23 @@ ERRORS_TYPE = f"array<{ERROR_TYPE}>"
 GENERATE = "x-llm-generate"
 FORBIDDEN_PHRASE = "НЕ содержать "
 
-MAX_DEPTH = 64
+#: Sub-schemas that the columns of one recursion step may be made of, and how often a reference is written out in it.
+STEP_SIZE, STEP_DEPTH = 60, 8
 TYPES = ("string", "number", "integer", "boolean", "object", "array", "null")
 
 
+#: A rule still to be applied to a value of the document.
+CALLS_TYPE = "array<struct<rule:int,path:string,value:variant>>"
+
+
 def no_errors() -> Column:
     return F.array().cast(ERRORS_TYPE)
 
 
+def no_calls() -> Column:
+    return F.array().cast(CALLS_TYPE)
+
+
 def plain(value: Any) -> str:
     """A schema constant as it reads inside a message."""
     if value is None:
@@ -48,19 +59,33 @@ def plain(value: Any) -> str:
     return "[object Object]" if isinstance(value, dict) else str(value)
 
 
-def resolve_ref(schema: Any, root: dict, depth: int = 0) -> Any:
+def target_of(ref: str, root: Any) -> Any:
+    """What a reference inside the document points at."""
+    target: Any = root
+    for part in ref.removeprefix("#").split("/")[1:] if ref.startswith("#") else [ref]:
+        part = unquote(part).replace("~1", "/").replace("~0", "~")
+        if isinstance(target, list):
+            target = target[int(part)] if part.isdigit() and int(part) < len(target) else None
+        else:
+            target = target.get(part) if isinstance(target, dict) else None
+        if target is None:
+            raise ValueError(f"Cannot resolve reference: {ref}")
+    return target
+
+
+def resolve_ref(schema: Any, root: Any, seen: tuple[str, ...] = ()) -> Any:
     """Follow ``$ref`` inside the same document; keywords next to it win."""
     if not isinstance(schema, dict) or "$ref" not in schema:
         return schema
-    if depth > MAX_DEPTH:
-        raise ValueError(f"cyclic reference: {schema['$ref']}")
-    target: Any = root
-    for part in schema["$ref"].removeprefix("#/").split("/"):
-        target = target.get(part) if isinstance(target, dict) else None
-        if not target:
-            raise ValueError(f"Cannot resolve reference: {schema['$ref']}")
+    ref = schema["$ref"]
+    if ref in seen:
+        raise ValueError(f"cyclic reference: {ref}")
+    return _merged(resolve_ref(target_of(ref, root), root, (*seen, ref)), schema)
+
+
+def _merged(target: Any, schema: dict) -> Any:
     beside = {k: v for k, v in schema.items() if k != "$ref"}
-    return {**resolve_ref(target, root, depth + 1), **beside}
+    return {**target, **beside} if isinstance(target, dict) else target
 
 
 class Reads:
@@ -95,6 +120,7 @@ class Node:
     path: tuple             # parts of its JSON pointer
     where: str              # place of its rules in the schema
     schema: dict
+    chain: tuple[str, ...] = ()  # references followed on the way here
 
     def _get(self, kind: str, cast: str) -> Column:
         return self.reads.get(kind, self.keys, lambda doc: F.try_variant_get(doc, path_of(*self.keys), cast))
@@ -178,12 +204,16 @@ class Node:
         return self.reads.get("p", self.keys, read)
 
     def member(self, key: str, schema: dict, path: tuple, where: str) -> "Node":
-        return Node(self.reads, (*self.keys, key), path, where, schema)
+        return Node(self.reads, (*self.keys, key), path, where, schema, self.chain)
 
     def lacks(self, key: str) -> Column:
         sub = self.schema.get("properties", {}).get(key)
         return ~self.member(key, sub if isinstance(sub, dict) else {}, (), "").present & self.is_object
 
+    def has(self, key: str) -> Column:
+        sub = self.schema.get("properties", {}).get(key)
+        return self.member(key, sub if isinstance(sub, dict) else {}, (), "").present
+
     def is_type(self, name: str) -> Column:
         if name == "object":
             return self.is_object
@@ -213,6 +243,8 @@ def pointer(parts: tuple) -> Column:
         return F.lit("/")
     if all(isinstance(p, str) for p in parts):
         return F.lit("".join(parts))
+    if len(parts) == 1:
+        return F.when(parts[0] == "", F.lit("/")).otherwise(parts[0])
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
@@ -243,6 +275,8 @@ def _type(node: Node, param: Any) -> Column:
     fits = node.is_type(names[0])
     for name in names[1:]:
         fits = fits | node.is_type(name)
+    if node.schema.get("nullable") is True:
+        fits = fits | node.is_type("null")
     of = "array of " if "items" in node.where else ""
     return node.fail(~F.coalesce(fits, F.lit(False)), "type", f"should be {of}{','.join(names)}")
 
@@ -361,14 +395,24 @@ def _max_properties(node: Node, n: int) -> Column:
     return node.fail(many, "maxProperties", f"must NOT have more than {plain(n)} properties")
 
 
+def _like(pattern: str) -> Callable[[Column], Column]:
+    return lambda name: matches(name, pattern)
+
+
+def _not(test: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda value: ~test(value)
+
+
 def _joined(lists: list[Column]) -> Column:
     if not lists:
         return no_errors()
     return lists[0] if len(lists) == 1 else F.concat(*lists)
 
 
-_INSIDE = ("properties", "required", "additionalProperties", "minProperties", "maxProperties")
-_ELEMENTS = ("items", "minItems", "maxItems", "uniqueItems")
+_INSIDE = (
+    "properties", "required", "additionalProperties", "minProperties", "maxProperties", "patternProperties", "propertyNames", "dependencies",
+)
+_ELEMENTS = ("items", "minItems", "maxItems", "uniqueItems", "contains", "additionalItems")
 
 
 def _looks_inside(schema: Any) -> bool:
@@ -381,27 +425,60 @@ def _looks_inside(schema: Any) -> bool:
 
 
 class SchemaRules:
-    """A schema ready to be applied to VARIANT columns."""
+    """A schema ready to be applied to VARIANT columns.
+
+    References that lead back to themselves are written out a few levels deep; what
+    lies below is left as a *cut*, a rule that is applied to a value further down.
+    ``add_errors`` then checks documents in steps, see ``_add_by_steps``; documents
+    may be of any depth.
+    """
 
     def __init__(self, schema: dict | bool):
         self.root = schema
         problem = next(iter(lint_types(schema)), None)
         if problem:
             raise ValueError(f"Invalid JSON Schema at field '{problem}'")
-        self._expand(schema, 0)
-
-    def _expand(self, schema: Any, depth: int) -> None:
-        """Reject dangling and cyclic references before any row is read."""
-        if depth > MAX_DEPTH:
-            raise ValueError("schema nesting is cyclic or too deep")
-        schema = resolve_ref(schema, self.root)
-        for sub in _subschemas(schema):
-            self._expand(sub, depth + 1)
+        self.recursive = _recursive_refs(schema)
+        self.depth = STEP_DEPTH
+        while True:
+            #: Rules that a step applies, by number; the schema itself is the first.
+            self.cuts: list[Any] = [schema]
+            sizes = [self._find_cuts(cut) for cut in self.cuts]  # the list grows while it is read
+            if max(sizes) <= STEP_SIZE or self.depth <= 1 or not self.recursive:
+                break
+            self.depth -= 1
+
+    def _find_cuts(self, schema: Any, chain: tuple[str, ...] = ()) -> int:
+        """Note the cuts of one rule; the number of sub-schemas that it is made of."""
+        whole, chain, _ = self._followed(schema, chain, "")
+        if whole is None:
+            if schema not in self.cuts:
+                self.cuts.append(schema)
+            return 1
+        size = 1
+        for sub in _subschemas(whole):
+            if size <= STEP_SIZE or self.depth <= 1:
+                size += self._find_cuts(sub, chain)
+        return size
+
+    def _followed(self, schema: Any, chain: tuple[str, ...], where: str) -> tuple[Any, tuple[str, ...], str]:
+        """The schema behind references, and its place; None for a cut."""
+        if not isinstance(schema, dict) or "$ref" not in schema:
+            return schema, chain, where
+        ref = schema["$ref"]
+        if ref in self.recursive:
+            if chain.count(ref) >= self.depth:
+                return None, chain, where
+            chain = (*chain, ref)
+        whole, chain, where = self._followed(target_of(ref, self.root), chain, ref)
+        return (None, chain, where) if whole is None else (_merged(whole, schema), chain, where)
 
     # -- schema errors ---------------------------------------------------
 
     def schema_errors(self, doc: Column) -> Column:
         """Unsorted errors of the JSON Schema keywords; NULL documents have none."""
+        if len(self.cuts) > 1:
+            raise ValueError("a recursive schema is checked by add_errors, not by one column")
         return self._let(doc, lambda reads: self._errors(self.root, Node(reads, (), (), "#", {})))
 
     def custom_errors(self, doc: Column) -> Column:
@@ -425,83 +502,164 @@ class SchemaRules:
         boxed = F.transform(F.array(doc), lambda d: F.struct(*reads.columns(d)))
         return F.flatten(F.transform(boxed, lambda r: build(Reads(r))))
 
-    def _each(self, values: Column, reads: Reads, build: Callable[[Reads, Column], Column]) -> Column:
-        """Errors of every value of an array of ``struct(v, at)``; ``at`` names it in paths."""
+    @staticmethod
+    def _each(values: Column, reads: Reads, build: Callable[[Reads, Column], Column], none: Callable[[], Column] = no_errors, flat: bool = True) -> Column:
+        """Errors of every value of an array of ``struct(v, at)``; ``at`` names it in paths.
+
+        One list of all values together, or with ``flat`` off one for each.
+        """
         if reads.base is None:
-            return no_errors()
+            return none() if flat else F.array(none())
         inner = Reads(None)
         build(inner, F.lit(""))
-        if not inner.wanted:
-            return no_errors()
-        boxed = F.transform(values, lambda p: F.struct(*inner.columns(p["v"]), p["at"].alias("at")))
-        return F.flatten(F.transform(boxed, lambda r: build(Reads(r), r["at"])))
+        if inner.wanted:
+            boxed = F.transform(values, lambda p: F.struct(*inner.columns(p["v"]), p["at"].alias("at")))
+        else:
+            boxed = F.transform(values, lambda p: F.struct(p["at"].alias("at")))
+        lists = F.transform(boxed, lambda r: build(Reads(r), r["at"]))
+        return F.flatten(lists) if flat else lists
 
     def _errors(self, schema: Any, at: Node) -> Column:
         """Errors of a value and everything below it."""
-        schema = resolve_ref(schema, self.root)
-        if schema is True or schema == {}:
+        whole, chain, where = self._followed(schema, at.chain, at.where)
+        node = replace(at, where=where, schema=whole if isinstance(whole, dict) else {}, chain=chain)
+        if whole is None:  # what the step below has found
+            key = F.concat(F.lit(f"{self.cuts.index(schema)}|"), pointer(node.path))
+            return F.coalesce(F.try_element_at(F.col("_below"), key), no_errors())
+        if whole is True or whole == {}:
             return no_errors()
-        node = Node(at.reads, at.keys, at.path, at.where, schema if isinstance(schema, dict) else {})
-        if schema is False:
+        if whole is False:
             return node.fail(node.present, "false schema", "boolean schema is false")
         lists = [*self._own_rules(node), *self._members(node), *self._elements(node), *self._combined(node)]
         return F.when(node.present, _joined(lists)).otherwise(no_errors())
 
+    def _calls(self, schema: Any, at: Node) -> Column | None:
+        """The cuts met below a value, each as rule (its number), path and value; None where there can be none."""
+        whole, chain, where = self._followed(schema, at.chain, at.where)
+        node = replace(at, where=where, schema=whole if isinstance(whole, dict) else {}, chain=chain)
+        if whole is None:
+            call = F.struct(F.lit(self.cuts.index(schema)).alias("rule"), pointer(node.path).alias("path"), node.value.cast("variant").alias("value"))
+            return F.when(node.value.isNotNull(), F.array(call).cast(CALLS_TYPE)).otherwise(no_calls())
+        lists = [self._calls(sub, replace(node, where=f"{node.where}/{place}", schema={})) for place, sub in _same_value(node.schema)]
+        for key, sub in node.schema.get("properties", {}).items():
+            lists.append(self._calls(sub, node.member(key, {}, node.path + (step(key),), "")))
+        for sub, values, _ in [*self._named_values(node), *self._numbered_values(node), *self._contained(node)]:
+            if self._has_cut(sub, chain):
+                lists.append(self._each(values, node.reads, lambda reads, name, sub=sub: self._calls(sub, Node(reads, (), node.path + (name,), "", {}, chain)), no_calls))
+        lists = [x for x in lists if x is not None]
+        if not lists:
+            return None
+        return lists[0] if len(lists) == 1 else F.concat(*lists)
+
+    def _has_cut(self, schema: Any, chain: tuple[str, ...]) -> bool:
+        whole, chain, _ = self._followed(schema, chain, "")
+        return whole is None or any(self._has_cut(sub, chain) for sub in _subschemas(whole))
+
     def _own_rules(self, node: Node) -> list[Column]:
         rules = [_RULES[k](node, param) for k, param in node.schema.items() if k in _RULES]
         for name in node.schema.get("required", []):
             rules.append(node.fail(node.lacks(name), "required", f"missing required property '{name}'"))
+        for name, wanted in node.schema.get("dependencies", {}).items():
+            if isinstance(wanted, list):
+                noun = "property" if len(wanted) == 1 else "properties"
+                message = f"must have {noun} {', '.join(wanted)} when property {name} is present"
+                rules += [node.fail(node.has(name) & node.lacks(other), "dependencies", message) for other in wanted]
         return [rule for rule in rules if rule is not None]
 
     def _members(self, node: Node) -> list[Column]:
         lists = []
-        declared = node.schema.get("properties", {})
-        for key, sub in declared.items():
+        for key, sub in node.schema.get("properties", {}).items():
             place = node.member(key, {}, node.path + (step(key),), f"{node.where}/properties/{key}")
             lists.append(self._errors(sub, place))
-        extra = node.schema.get("additionalProperties", True)
-        if extra is True or extra == {}:
-            return lists
-        known = F.array(*[F.lit(k) for k in declared]) if declared else F.array().cast("array<string>")
-        names = F.array_except(F.map_keys(node.fields.cast("map<string,variant>")), known)
-        others = F.coalesce(names, F.array().cast("array<string>"))
-        if extra is False:
-            return [*lists, F.transform(others, lambda k: node.error(
+        if node.schema.get("additionalProperties", True) is False:
+            lists.append(F.transform(self._extra_names(node), lambda k: node.error(
                 "additionalProperties", F.concat(F.lit("has unknown property '"), k, F.lit("'"))
-            ))]
-        values = F.transform(others, lambda k: F.struct(
-            F.try_element_at(node.fields.cast("map<string,variant>"), k).alias("v"),
-            F.concat(F.lit("/"), F.replace(F.replace(k, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))).alias("at"),
-        ))
-        where = f"{node.where}/additionalProperties"
-        return [*lists, self._each(
-            values, node.reads, lambda reads, at: self._errors(extra, Node(reads, (), node.path + (at,), where, {}))
-        )]
+            )))
+        lists += [self._errors_of(node, *values) for values in self._named_values(node)]
+        if node.schema.get("propertyNames", True) is not True:
+            names = F.transform(self._names(node), lambda k: F.struct(k.cast("variant").alias("v"), F.lit("").alias("at")))
+            found = self._each(
+                names, node.reads, lambda reads, _: self._errors(node.schema["propertyNames"], Node(reads, (), node.path, f"{node.where}/propertyNames", {}, node.chain)), flat=False,
+            )
+            own = F.array(node.error("propertyNames", "property name must be valid")).cast(ERRORS_TYPE)
+            lists.append(F.flatten(F.transform(found, lambda e: F.when(F.size(e) > 0, F.concat(e, own)).otherwise(no_errors()))))
+        return lists
 
-    def _elements(self, node: Node) -> list[Column]:
+    def _errors_of(self, node: Node, sub: Any, values: Column, where: str) -> Column:
+        return self._each(values, node.reads, lambda reads, at: self._errors(sub, Node(reads, (), node.path + (at,), f"{node.where}/{where}", {}, node.chain)))
+
+    @staticmethod
+    def _names(node: Node) -> Column:
+        names = F.map_keys(node.fields.cast("map<string,variant>"))
+        return F.coalesce(names, F.array().cast("array<string>"))
+
+    def _extra_names(self, node: Node) -> Column:
+        """Names that neither ``properties`` nor ``patternProperties`` speak of."""
+        declared, patterns = node.schema.get("properties", {}), node.schema.get("patternProperties", {})
+        names = F.array_except(self._names(node), F.array(*[F.lit(k) for k in declared])) if declared else self._names(node)
+        for pattern in patterns:
+            names = F.filter(names, _not(_like(pattern)))
+        return names
+
+    def _named_values(self, node: Node) -> list[tuple[Any, Column, str]]:
+        """Sub-schemas of members found by pattern or left over, with those members as ``struct(v, at)``."""
+        def of(names: Column) -> Column:
+            return F.transform(names, lambda k: F.struct(
+                F.try_element_at(node.fields.cast("map<string,variant>"), k).alias("v"),
+                F.concat(F.lit("/"), F.replace(F.replace(k, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))).alias("at"),
+            ))
+
+        found = [
+            (sub, of(F.filter(self._names(node), _like(pattern))), f"patternProperties/{pattern}")
+            for pattern, sub in node.schema.get("patternProperties", {}).items()
+        ]
+        extra = node.schema.get("additionalProperties", True)
+        if isinstance(extra, dict) and extra:
+            found.append((extra, of(self._extra_names(node)), "additionalProperties"))
+        return found
+
+    def _numbered_values(self, node: Node) -> list[tuple[Any, Column, str]]:
+        """Sub-schemas of list elements, with those elements as ``struct(v, at)``."""
         sub = node.schema.get("items")
         if sub is None or sub is True or sub == {}:
             return []
         elements = F.coalesce(node.items.cast("array<variant>"), F.array().cast("array<variant>"))
         numbered = F.transform(elements, lambda e, i: F.struct(e.alias("v"), F.concat(F.lit("/"), i.cast("string")).alias("at")))
         if not isinstance(sub, list):
-            return [self._each(
-                numbered, node.reads,
-                lambda reads, at: self._errors(sub, Node(reads, (), node.path + (at,), f"{node.where}/items", {})),
-            )]
-        return [
-            self._each(
-                F.slice(numbered, F.lit(n + 1), F.lit(1)), node.reads,
-                lambda reads, at, n=n, one=one: self._errors(one, Node(reads, (), node.path + (at,), f"{node.where}/items/{n}", {})),
+            return [(sub, numbered, "items")]
+        found = [(one, F.slice(numbered, F.lit(n + 1), F.lit(1)), f"items/{n}") for n, one in enumerate(sub)]
+        rest = node.schema.get("additionalItems", True)
+        if isinstance(rest, dict) and rest:
+            found.append((rest, F.slice(numbered, F.lit(len(sub) + 1), F.greatest(F.size(numbered), F.lit(0))), "additionalItems"))
+        return found
+
+    def _contained(self, node: Node) -> list[tuple[Any, Column, str]]:
+        if "contains" not in node.schema:
+            return []
+        alone = replace(node, schema={**node.schema, "items": node.schema["contains"]})
+        values = self._numbered_values(alone) if node.schema["contains"] not in (True, {}) else self._numbered_values(replace(node, schema={**node.schema, "items": {"allOf": []}}))
+        return [(node.schema["contains"], values[0][1], "contains")]
+
+    def _elements(self, node: Node) -> list[Column]:
+        lists = [self._errors_of(node, *values) for values in self._numbered_values(node)]
+        sub = node.schema.get("items")
+        if isinstance(sub, list) and node.schema.get("additionalItems") is False:
+            many = node.items.isNotNull() & (F.size(node.items) > len(sub))
+            lists.append(node.fail(many, "additionalItems", f"must NOT have more than {len(sub)} items"))
+        for one, values, where in self._contained(node):
+            found = self._each(
+                values, node.reads, lambda reads, at: self._errors(one, Node(reads, (), node.path + (at,), f"{node.where}/{where}", {}, node.chain)), flat=False,
             )
-            for n, one in enumerate(sub)
-        ]
+            own = F.array(node.error("contains", "must contain at least 1 valid item(s)")).cast(ERRORS_TYPE)
+            some = F.exists(found, lambda e: F.size(e) == 0)
+            lists.append(F.when(node.items.isNotNull() & ~some, F.concat(F.flatten(found), own)).otherwise(no_errors()))
+        return lists
 
     def _combined(self, node: Node) -> list[Column]:
         lists = []
 
         def below(schema: Any, where: str) -> Column:
-            return self._errors(schema, Node(node.reads, node.keys, node.path, f"{node.where}/{where}", {}))
+            return self._errors(schema, replace(node, where=f"{node.where}/{where}", schema={}))
 
         def branches(keyword: str) -> list[Column]:
             return [below(s, f"{keyword}/{i}") for i, s in enumerate(node.schema[keyword])]
@@ -521,6 +679,18 @@ class SchemaRules:
         if "not" in node.schema:
             inner = below(node.schema["not"], "not")
             lists.append(node.fail(F.size(inner) == 0, "not", "must NOT be valid"))
+        if "if" in node.schema and ("then" in node.schema or "else" in node.schema):
+            def chosen(branch: str) -> Column:
+                if branch not in node.schema:
+                    return no_errors()
+                found = below(node.schema[branch], branch)
+                own = F.array(node.error("if", f'must match "{branch}" schema')).cast(ERRORS_TYPE)
+                return F.when(F.size(found) > 0, F.concat(found, own)).otherwise(no_errors())
+
+            lists.append(F.when(F.size(below(node.schema["if"], "if")) == 0, chosen("then")).otherwise(chosen("else")))
+        for name, wanted in node.schema.get("dependencies", {}).items():
+            if not isinstance(wanted, list):
+                lists.append(F.when(node.has(name), below(wanted, f"dependencies/{name}")).otherwise(no_errors()))
         return lists
 
     # -- generation rules --------------------------------------------------
@@ -577,6 +747,9 @@ class SchemaRules:
 
     def add_errors(self, df: DataFrame, doc: str, name: str = "errors") -> DataFrame:
         """Add the column of ``errors`` in two compiled steps: read the document, then judge."""
+        if len(self.cuts) > 1:
+            return self._add_by_steps(df, doc, name)
+
         def build(reads: Reads) -> Column:
             return self._first_of(
                 self._errors(self.root, Node(reads, (), (), "#", {})),
@@ -587,9 +760,111 @@ class SchemaRules:
         build(reads)
         if not reads.wanted:
             return df.withColumn(name, no_errors())
-        columns = {f"_read_r{i}": read(F.col(doc)) for i, read in enumerate(reads.wanted.values())}
-        judged = build(Reads({f"r{i}": F.col(f"_read_r{i}") for i in range(len(columns))}))
-        return pin(pin(df, **columns), **{name: judged}).drop(*columns)
+        return _pinned(df, doc, reads, build, name)
+
+    def _add_by_steps(self, df: DataFrame, doc: str, name: str) -> DataFrame:
+        """``add_errors`` for a recursive schema: down to the last cut, then up with the errors.
+
+        A call is a rule applied to a value of a document.  Every step down takes the
+        calls of all documents at once to the calls that they leave open, until none is
+        left.  Where the errors of a cut simply join those around it, all calls are then
+        judged in one pass.  Where ``anyOf`` or its like judges them, every step up
+        joins the errors of the calls below first.  Calls are rows, spread by document
+        and path; the steps grow with the depth of the documents, not with their number.
+        """
+        if df.isStreaming:
+            raise ValueError("check a stream against a recursive schema batch by batch, in foreachBatch")
+        rows = materialize(df, "documents").withColumn("_row", F.monotonically_increasing_id())
+        base, links = scratch_path(df.sparkSession, "calls"), F.array().cast("array<struct<rule:int,path:string>>").alias("links")
+        levels = [_kept(rows.where(F.col(doc).isNotNull()).select("_row", F.lit(0).alias("rule"), F.lit("").alias("path"), F.col(doc).alias("value"), links), f"{base}/step=0")]
+        while True:
+            made = [m for rule in range(len(self.cuts)) if (m := self._open_calls(levels[-1], rule)) is not None]
+            # A value may be asked for on several ways; it is judged once.
+            found = _union(made).groupBy("_row", "rule", "path").agg(F.any_value("value").alias("value"), F.collect_set("link").alias("links"))
+            found = _kept(found, f"{base}/step={len(levels)}")
+            if found.isEmpty():
+                break
+            levels.append(found)
+        if self._joins_plainly():
+            whole = df.sparkSession.read.schema(levels[0].schema).parquet(base)
+            errors = _union([self._judged_calls(whole, rule, None, None) for rule in range(len(self.cuts))])
+            errors = errors.groupBy("_row").agg(F.flatten(F.collect_list("errors")).alias("errors"))
+        else:
+            errors = below = None
+            for calls in reversed(levels):
+                errors = materialize(_union([self._judged_calls(calls, rule, errors, below) for rule in range(len(self.cuts))]), "call-errors")
+                below = calls.select("_row", "rule", "path", F.explode("links").alias("link"))
+        first = errors.select(F.col("_row").alias("_of"), F.col("errors").alias("_found"))
+        whole = rows.join(first, F.col("_row") == F.col("_of"), "left").withColumn("_found", F.coalesce("_found", no_errors()))
+        if _has_settings(self.root if isinstance(self.root, dict) else {}):
+            whole = pin(whole, _said=self.custom_errors(F.col(doc)))
+            both = self._first_of(F.col("_found"), lambda: F.col("_said"))
+            return whole.withColumn(name, both).drop("_row", "_of", "_found", "_said")
+        return whole.withColumn(name, F.sort_array("_found")).drop("_row", "_of", "_found")
+
+    def _joins_plainly(self) -> bool:
+        """Whether no cut stands where its errors are counted: below ``anyOf``, ``oneOf``, ``not``, ``if``, ``contains`` or property names."""
+        def judged(schema: Any, chain: tuple[str, ...]) -> bool:
+            whole, chain, _ = self._followed(schema, chain, "")
+            for place, sub in [*_same_value(whole), *_below_value(whole)]:
+                counted = place.partition("/")[0] in ("anyOf", "oneOf", "not", "if", "then", "else", "contains", "propertyNames")
+                if (self._has_cut(sub, chain) if counted else judged(sub, chain)):
+                    return True
+            return False
+
+        return not any(judged(cut, ()) for cut in self.cuts)
+
+    def _open_calls(self, calls: DataFrame, rule: int) -> DataFrame | None:
+        if not self._has_cut(self.cuts[rule] if rule else self.root, ()):
+            return None
+
+        def build(reads: Reads) -> Column:
+            return self._calls(self.cuts[rule], Node(reads, (), (F.col("path"),), "#", {}))
+
+        reads = Reads(None)
+        build(reads)
+        opened = _pinned(calls.where(F.col("rule") == rule), "value", reads, build, "_calls")
+        return opened.select("_row", F.struct("rule", "path").alias("link"), F.explode("_calls").alias("c")).select("_row", "c.*", "link")
+
+    def _judged_calls(self, calls: DataFrame, rule: int, errors: DataFrame | None, below: DataFrame | None) -> DataFrame:
+        """Calls of one rule that have errors: _row, rule, path, errors.  ``errors`` are those of the calls ``below``."""
+        calls = calls.where(F.col("rule") == rule)
+        keys = ["_row", "rule", "path"]
+        if errors is None:
+            calls = calls.withColumn("_below", F.lit(None).cast(f"map<string,{ERRORS_TYPE}>"))
+        else:
+            named = below.where(F.col("link.rule") == rule).join(errors, keys).select(
+                "_row", "link", F.struct(F.concat_ws("|", "rule", "path").alias("key"), "errors").alias("e"),
+            )
+            # One group is what lies below one value.
+            found = named.groupBy("_row", F.col("link.rule").alias("rule"), F.col("link.path").alias("path"))
+            calls = calls.join(found.agg(F.map_from_entries(F.collect_list("e")).alias("_below")), keys, "left")
+
+        def build(reads: Reads) -> Column:
+            return self._errors(self.cuts[rule], Node(reads, (), (F.col("path"),), "#", {}))
+
+        reads = Reads(None)
+        build(reads)
+        return _pinned(calls, "value", reads, build, "errors").select(*keys, "errors").where(F.size("errors") > 0)
+
+
+def _kept(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    whole = frames[0]
+    for frame in frames[1:]:
+        whole = whole.union(frame)
+    return whole
+
+
+def _pinned(df: DataFrame, doc: str, reads: Reads, build: Callable[[Reads], Column], name: str) -> DataFrame:
+    """Read what ``build`` wants of a document, then add what it makes of that."""
+    columns = {f"_read_r{i}": read(F.col(doc)) for i, read in enumerate(reads.wanted.values())}
+    judged = build(Reads({f"r{i}": F.col(f"_read_r{i}") for i in range(len(columns))}))
+    return pin(pin(df, **columns) if columns else df, **{name: judged}).drop(*columns)
 
 
 def forbidden_word(requirement: Any) -> str | None:
@@ -599,18 +874,63 @@ def forbidden_word(requirement: Any) -> str | None:
     return requirement.split(FORBIDDEN_PHRASE, 1)[1].splitlines()[0] or None
 
 
-def _subschemas(schema: Any) -> list:
+def _same_value(schema: Any) -> list[tuple[str, Any]]:
+    """Sub-schemas that speak of the same value, with their places."""
+    if not isinstance(schema, dict):
+        return []
+    found = [(f"{k}/{i}", sub) for k in ("allOf", "anyOf", "oneOf") for i, sub in enumerate(schema.get(k) or [])]
+    found += [(k, schema[k]) for k in ("not", "if", "then", "else") if k in schema]
+    return found + [(f"dependencies/{k}", sub) for k, sub in schema.get("dependencies", {}).items() if not isinstance(sub, list)]
+
+
+def _below_value(schema: Any) -> list[tuple[str, Any]]:
+    """Sub-schemas that speak of values inside, with their places."""
     if not isinstance(schema, dict):
         return []
-    subs = list(schema.get("properties", {}).values())
+    found = [(f"{k}/{name}", sub) for k in ("properties", "patternProperties") if isinstance(schema.get(k), dict) for name, sub in schema[k].items()]
     items = schema.get("items")
-    subs += items if isinstance(items, list) else [items] if items is not None else []
-    for keyword in ("allOf", "anyOf", "oneOf"):
-        subs += schema.get(keyword, [])
-    for keyword in ("not", "additionalProperties"):
-        if isinstance(schema.get(keyword), dict):
-            subs.append(schema[keyword])
-    return subs
+    found += [(f"items/{i}", sub) for i, sub in enumerate(items)] if isinstance(items, list) else [("items", items)] if items is not None else []
+    return found + [(k, schema[k]) for k in ("additionalProperties", "additionalItems", "contains", "propertyNames") if isinstance(schema.get(k), dict)]
+
+
+def _subschemas(schema: Any) -> list:
+    return [sub for _, sub in [*_same_value(schema), *_below_value(schema)]]
+
+
+def _refs_within(schema: Any, inside: Callable[[Any], list[tuple[str, Any]]]) -> set[str]:
+    """References that a schema holds, followed through sub-schemas but not through references."""
+    if not isinstance(schema, dict):
+        return set()
+    found = {schema["$ref"]} if isinstance(schema.get("$ref"), str) else set()
+    return found.union(*[_refs_within(sub, inside) for _, sub in inside(schema)])
+
+
+def _recursive_refs(root: Any) -> set[str]:
+    """References that lead back to themselves.  Dangling ones, and those that do so on the same value, are errors."""
+    every, todo = {}, sorted(_refs_within(root, lambda s: [*_same_value(s), *_below_value(s)]))
+    same = {}
+    while todo:
+        ref = todo.pop()
+        if ref not in every:
+            target = target_of(ref, root)
+            every[ref] = _refs_within(target, lambda s: [*_same_value(s), *_below_value(s)])
+            same[ref] = _refs_within(target, _same_value)
+            todo += sorted(every[ref])
+
+    def reached(ref: str, graph: dict[str, set[str]]) -> set[str]:
+        found: set[str] = set()
+        todo = list(graph[ref])
+        while todo:
+            one = todo.pop()
+            if one not in found:
+                found.add(one)
+                todo += graph[one]
+        return found
+
+    for ref in sorted(same):
+        if ref in reached(ref, same):
+            raise ValueError(f"cyclic reference: {ref}")
+    return {ref for ref in every if ref in reached(ref, every)}
 
 
 def _has_settings(schema: dict, own: bool = False) -> bool:
@@ -622,18 +942,15 @@ def _has_settings(schema: dict, own: bool = False) -> bool:
 
 
 def lint_types(schema: Any, at: str = "") -> list[str]:
-    """Dotted places of ``type`` values that JSON Schema does not know."""
+    """Dotted places of ``type`` values that JSON Schema does not know, in all sub-schemas and definitions."""
     found = []
     if isinstance(schema, dict):
         named = schema.get("type")
         names = named if isinstance(named, list) else [] if named is None else [named]
         if any(n not in TYPES for n in names):
             found.append(f"{at}.type".lstrip("."))
-        for key, sub in schema.get("properties", {}).items() if isinstance(schema.get("properties"), dict) else []:
-            found += lint_types(sub, f"{at}.properties.{key}".lstrip("."))
-        if isinstance(schema.get("items"), dict):
-            found += lint_types(schema["items"], f"{at}.items".lstrip("."))
-        for keyword in ("allOf", "anyOf", "oneOf"):
-            for i, sub in enumerate(schema.get(keyword, [])):
-                found += lint_types(sub, f"{at}.{keyword}.{i}".lstrip("."))
+        kept = [(f"{k}/{name}", sub) for k in ("definitions", "$defs") if isinstance(schema.get(k), dict) for name, sub in schema[k].items()]
+        for place, sub in [*_below_value(schema), *_same_value(schema), *kept]:
+            keyword, _, rest = place.partition("/")
+            found += lint_types(sub, ".".join(filter(None, (at, keyword, rest))))
     return found

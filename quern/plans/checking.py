@@ -551,3 +551,75 @@ def error_groups(spark, sf_dir):
 def top_error_groups(spark, sf_dir):
     groups = group_errors(line_errors(spark, sf_dir))
     return top_groups(groups).select("field", "message", "n")
+
+
+KEYWORDS_SCHEMA = {
+    "type": "object",
+    "properties": {
+        "id": {"type": "integer"}, "status": {"type": "string"}, "price": {"type": "number"}, "clerk": {"type": "string"}, "note": {"type": "string"},
+        "codes": {"type": "array", "contains": {"const": 0}},
+        "pair": {"type": "array", "items": [{"type": "integer"}, {"type": "string"}], "additionalItems": False},
+        "memo": {"type": "string", "nullable": True},
+    },
+    "patternProperties": {"^x_": {"maximum": 7}, "_n$": {"type": "integer"}},
+    "additionalProperties": False,
+    "propertyNames": {"maxLength": 8},
+    "dependencies": {"clerk": ["note"]},
+    "if": {"properties": {"status": {"const": "P"}}},
+    "then": {"required": ["clerk"]},
+    "else": {"properties": {"price": {"maximum": 400000}}},
+}
+
+
+@query("validate_keywords", """
+    WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderstatus AS s, o_totalprice AS p FROM orders)
+    SELECT k, '/' AS path, 'additionalProperties' AS keyword, 'has unknown property ''stray''' AS message FROM o WHERE k % 17 = 0
+    UNION ALL SELECT k, '/', 'maxLength', 'should have maximum length of 8' FROM o WHERE k % 11 = 0
+    UNION ALL SELECT k, '/', 'propertyNames', 'property name must be valid' FROM o WHERE k % 11 = 0
+    UNION ALL SELECT k, '/', 'dependencies', 'must have property note when property clerk is present' FROM o WHERE k % 10 = 5
+    UNION ALL SELECT k, '/', 'required', 'missing required property ''clerk''' FROM o WHERE s = 'P' AND k % 5 <> 0
+    UNION ALL SELECT k, '/', 'if', 'must match "then" schema' FROM o WHERE s = 'P' AND k % 5 <> 0
+    UNION ALL SELECT k, '/price', 'maximum', 'should be <= 400000' FROM o WHERE s <> 'P' AND p > 400000
+    UNION ALL SELECT k, '/', 'if', 'must match "else" schema' FROM o WHERE s <> 'P' AND p > 400000
+    UNION ALL SELECT k, '/codes', 'contains', 'must contain at least 1 valid item(s)' FROM o WHERE c % 7 <> 0 AND c % 5 <> 0
+    UNION ALL SELECT k, '/codes/' || i, 'const', 'must be equal to constant' FROM o, unnest([0, 1]) AS u(i) WHERE c % 7 <> 0 AND c % 5 <> 0
+    UNION ALL SELECT k, '/pair', 'additionalItems', 'must NOT have more than 2 items' FROM o WHERE k % 3 = 0
+    UNION ALL SELECT k, '/x_n', 'maximum', 'should be <= 7' FROM o WHERE c % 10 > 7
+    UNION ALL SELECT k, '/memo', 'type', 'should be string' FROM o WHERE k % 13 = 0
+""")
+def validate_keywords(spark, sf_dir):
+    """Conditions, containment, patterns, names, dependencies and list tails; rows that break each of them."""
+    o = spread(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"))
+    k, c, text = F.col("o_orderkey"), F.col("o_custkey"), lambda x: x.cast("string")
+    doc = F.concat(
+        F.lit('{"id":'), text(k), F.lit(',"status":"'), F.col("o_orderstatus"), F.lit('","price":'), text(F.col("o_totalprice")),
+        F.when(k % 5 == 0, ',"clerk":"c"').otherwise(""), F.when(k % 10 == 0, ',"note":"n"').otherwise(""),
+        F.lit(',"codes":['), text(c % 7), F.lit(","), text(c % 5), F.lit('],"pair":['), text(k), F.lit(',"a"'), F.when(k % 3 == 0, ",1").otherwise(""),
+        F.lit('],"x_n":'), text(c % 10), F.when(k % 11 == 0, ',"long_name_n":1').otherwise(""), F.when(k % 17 == 0, ',"stray":1').otherwise(""),
+        F.when(k % 13 == 0, ',"memo":5').when(k % 4 == 0, ',"memo":null').otherwise(',"memo":"m"'), F.lit("}"),
+    )
+    return each_error(with_errors(with_json(o, doc), SchemaRules(KEYWORDS_SCHEMA)), k.alias("k"))
+
+
+TREE_SCHEMA = {
+    "type": "object",
+    "properties": {"v": {"type": "integer"}, "kids": {"type": "array", "items": {"$ref": "#"}}},
+    "required": ["v"],
+    "additionalProperties": False,
+}
+
+
+@query("validate_recursive", """
+    SELECT c_custkey, repeat('/kids/0', CAST(c_custkey % 71 - i AS INTEGER)) || '/v' AS path, 'type' AS keyword, 'should be integer' AS message
+    FROM (SELECT c_custkey, unnest(range(1, c_custkey % 71 + 1)) AS i FROM customer) WHERE (c_custkey + i) % 17 = 0
+""")
+def validate_recursive(spark, sf_dir):
+    """Trees up to 71 levels deep against a schema that refers to itself."""
+    c = spread(table(spark, sf_dir, "customer", "c_custkey"))
+    key = F.col("c_custkey")
+    levels = F.filter(F.sequence(F.lit(0).cast("bigint"), key % 71), lambda i: i > 0)
+    wrap = lambda inner, i: F.concat(
+        F.lit('{"v":'), F.when((key + i) % 17 == 0, '"s"').otherwise(i.cast("string")), F.lit(',"kids":['), inner, F.lit("]}")
+    )
+    doc = F.aggregate(levels, F.lit('{"v":0}'), wrap)
+    return each_error(with_errors(with_json(c, doc), SchemaRules(TREE_SCHEMA)), "c_custkey")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.pinned import pin
 from quern.operators import configs
+from quern.operators.merging import merge_documents
 from quern.plans.registry import query
 from quern.plans.tables import table
 from quern.session import scratch_path, spread
@@ -122,3 +123,18 @@ def config_merge(spark, sf_dir):
     return merged.select(
         "o_orderkey", F.to_json("merged").alias("doc"), F.to_json(configs.with_options(F.col("plan"), options)).alias("with_options")
     )
+
+
+@query("config_merge_deep", """
+    SELECT c_custkey, repeat('{"b":1,"o":2,"x":', CAST(c_custkey % 201 AS INTEGER)) || '{"a":' || c_nationkey || ',"m":{"q":1,"z":2}}'
+      || repeat('}', CAST(c_custkey % 201 AS INTEGER)) AS doc FROM customer
+""")
+def config_merge_deep(spark, sf_dir):
+    """Documents up to 202 objects deep on both sides."""
+    c = spread(table(spark, sf_dir, "customer", "c_custkey", "c_nationkey"))
+    n = (F.col("c_custkey") % 201).cast("int")
+    nested = lambda head, inner: F.concat(F.repeat(F.lit(head), n), inner, F.repeat(F.lit("}"), n))
+    base = nested('{"b":1,"x":', F.lit('{"a":0,"m":{"q":1}}'))
+    over = nested('{"o":2,"x":', F.concat(F.lit('{"a":'), F.col("c_nationkey").cast("string"), F.lit(',"m":{"z":2}}')))
+    rows = with_json(with_json(c, base, "base"), over, "over")
+    return merge_documents(rows, "base", "over").select("c_custkey", F.to_json("merged").alias("doc"))

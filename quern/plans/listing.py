@@ -12,8 +12,9 @@ from quern.plans.registry import query
 from quern.plans.tables import table
 from quern.session import scratch_path, spread
 from quern.sources.readers import read_inventory
+from quern.sources.text_files import read_text_files, write_text_files
 from quern.sources.writers import (
-    append_results, export, numbered_name, pretty_json, read_json_documents, write_json_documents, write_text_files,
+    append_results, export, numbered_name, pretty_json, read_json_documents, write_json_documents,
 )
 
 
@@ -139,8 +140,7 @@ def text_files(spark, sf_dir):
     )
     path = scratch_path(spark, "texts")
     write_text_files(rows, path)
-    back = spark.read.text(path, wholetext=True)
-    return back.select("file_name", F.rtrim(F.col("value"), F.lit("\n")).alias("content"))
+    return read_text_files(spark, path)
 
 
 @query("exports", """

@@ -30,4 +30,4 @@ def query(name: str, check: str | None = None):
 
 
 def load_all() -> None:
-    from quern.plans import analytics, catalogue, checking, configuration, generation, listing, streams  # noqa: F401
+    from quern.plans import analytics, catalogue, checking, configuration, generation, listing, pacing, streams  # noqa: F401

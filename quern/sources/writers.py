@@ -61,11 +61,6 @@ def numbered_name(name: Column, index: Column) -> Column:
     return F.when(mark > 0, placed).otherwise(F.concat(stem, F.lit("_"), number, ext))
 
 
-def write_text_files(rows: DataFrame, path: str, name: str = "file_name", content: str = "content") -> None:
-    """One text per file name, written where the rows are."""
-    rows.select(name, F.col(content).alias("value")).write.mode("overwrite").partitionBy(name).text(path)
-
-
 def pretty_json(value: Column) -> Column:
     return F.to_json(value, {"pretty": "true"})
 

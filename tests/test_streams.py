@@ -59,6 +59,6 @@ def test_latest_progress(spark, tmp_path):
     rows = [(f"r{i % 5}", i, "running" if i < 90 else "done") for i in range(100)]
     feed = jobs.progress_feed(source(spark, tmp_path, rows, "run string, n long, status string"), "run", F.col("n"), F.col("status"), F.col("n"))
     out = scratch_path(spark, "progress")
-    jobs.keep_latest(feed, out, scratch_path(spark, "state")).awaitTermination()
+    jobs.keep_latest(feed, out, scratch_path(spark, "state"), ["run"]).awaitTermination()
     got = {r.run: (r.current, r.status, r.events) for r in jobs.read_latest(spark, out, ["run"]).collect()}
     assert got == {f"r{k}": (95 + k, "done", 20) for k in range(5)}
