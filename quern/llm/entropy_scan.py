@@ -5,11 +5,14 @@ of characters of a class (hex digits, base 32 and 36, base64) is read through a
 width whose Shannon entropy follows incremental counts: one character enters,
 one leaves, and only their two terms of the sum change.  Windows over the class
 limit are secrets unless the run matches the allow list.
+
+Paths, addresses and file names are runs too.  A run whose parts between ``/ _ - + =``
+all read like words, numbers or words with a number behind is allowed; counting
+sequences are cut out of a run before its windows are measured.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -43,11 +46,32 @@ class CharClass:
 
 #: Limits lie where about one window in 100 of a random key falls below: hex of either case, base 32 and 36 of one case, base 64.
 CLASSES = (CharClass("0-9A-Fa-f", 20, 2.9), CharClass("A-Z0-9", 20, 3.3), CharClass("a-z0-9", 20, 3.3), CharClass("A-Za-z0-9+/_=-", 20, 3.6))
-#: Runs that look random and are none: words and names without digits, numbers, counting, identifiers of the uuid form.
+#: Runs that look random and are none: words and names without digits, numbers, identifiers of the uuid form.
 ALLOW = (
-    r"[A-Za-z/_=+-]+", r"[0-9/_=+-]+", r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", r"[0-9A-F]{8}(-[0-9A-F]{4}){3}-[0-9A-F]{12}", r".*(0123456789|abcdefghij|ABCDEFGHIJ).*",
-    r"([a-z]+[0-9]{0,4}[/_=-]+)+[a-z]*[0-9]{0,4}", r"([A-Z]+[0-9]{0,4}[/_=-]+)+[A-Z]*[0-9]{0,4}",
+    r"[A-Za-z/_=+-]+", r"[0-9/_=+-]+", r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", r"[0-9A-F]{8}(-[0-9A-F]{4}){3}-[0-9A-F]{12}",
 )
+#: Counting sequences, which no key holds by chance.
+COUNTING = re.compile(r"0123456789|abcdefghij|ABCDEFGHIJ|9876543210")
+
+
+_BETWEEN = re.compile("[/_=+-]+")
+_LETTERS = re.compile("[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+
+
+def reads_like_words(run: str) -> bool:
+    """Whether a run of several parts holds words and numbers alone, as paths and file names do.
+
+    A part is a number, or letters with up to four digits behind; the letters are
+    words in one case or with a capital in front, of which one may be a single letter.
+    """
+    parts = [p for p in _BETWEEN.split(run) if p]
+    if len(parts) < 2:
+        return False
+    for part in parts:
+        letters = part.rstrip("0123456789")
+        if letters and (not letters.isalpha() or len(part) - len(letters) > 4 or sum(len(w) < 2 for w in _LETTERS.findall(letters)) > 1):
+            return False
+    return True
 
 
 def hot_windows(run: str, width: int, bits: float) -> Iterator[tuple[int, int]]:
@@ -95,18 +119,30 @@ class Scanner:
     def __call__(self, text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         """Base spans, and those that entropy adds outside them; each (start, kind, end)."""
         text = text or ""
-        base, added = self.base(text), {}
+        base, added = self.base(text), set()
         for pattern, width, bits in self.classes:
             for run in pattern.finditer(text):
-                if self.allow.fullmatch(run.group()):
+                if self.allow.fullmatch(run.group()) or reads_like_words(run.group()):
                     continue
-                for a, b in hot_windows(run.group(), width, bits):
-                    a, b = a + run.start(), b + run.start()
-                    if not any(s <= a and b <= e for s, _, e in base):
-                        added[a, b] = (a, 3, b)
-        # A stretch inside another one of a wider class is told once.
-        kept = [x for x in added.values() if not any((y[0] <= x[0] and x[2] <= y[2]) and y != x for y in added.values())]
-        return base, sorted(kept)
+                at = run.start()
+                for stop in [*COUNTING.finditer(run.group()), None]:
+                    end = run.start() + stop.start() if stop else run.end()
+                    added |= {(a + at, b + at) for a, b in hot_windows(text[at:end], width, bits)}
+                    at = run.start() + stop.end() if stop else end
+        # A stretch inside a base span, or inside another one of a wider class, is told once.
+        outer = uncovered(sorted(added), [(s, e) for s, _, e in base])
+        return base, [(a, 3, b) for a, b in outer]
+
+
+def uncovered(spans: list[tuple[int, int]], covers: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans that lie in none of ``covers`` and in no other span; one sweep over the sorted ends."""
+    out, reach = [], -1
+    # By start, the widest first; at equal spans the cover comes first.
+    for start, end, own in sorted([(s, -e, 1) for s, e in spans] + [(s, -e, 0) for s, e in covers]):
+        if own and -end > reach:
+            out.append((start, -end))
+        reach = max(reach, -end)
+    return out
 
 
 def told(spans: list[tuple[int, int, int]]) -> str:
@@ -138,7 +174,11 @@ def secret_spans(text: Column, classes: tuple[CharClass, ...] = CLASSES, allow:
 
 
 def redact(df: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """``df`` with every found span replaced by ``mark``; overlapping spans become one.  Null texts stay null."""
+    """``df`` with every found span replaced by ``mark``; overlapping spans become one.
+
+    Null texts stay null, empty ones empty; repeated rows are cleaned alike; a table
+    without rows gives none, and all other columns stay as they are.
+    """
     scan = Scanner()
 
     @F.pandas_udf("string")
@@ -172,7 +212,3 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", F.transform(base, told_span)).cast("binary"), 256).alias("base_sha256"),
         F.concat_ws(",", F.transform("found", told_span)).alias("spans"),
     )
-
-
-def base_digest(text: str | None) -> str:
-    return hashlib.sha256(told(Scanner().base(text or "")).encode()).hexdigest()
