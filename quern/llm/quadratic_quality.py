@@ -89,29 +89,22 @@ class Discriminant:
 
 def _partial_sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        for label, rows in frame.groupby("label"):
+        for (label, fold), rows in frame.groupby(["label", "fold"]):
             x = np.array(rows["statistics"].tolist(), dtype=np.float64)
             x = np.hstack([np.ones((len(x), 1)), x])
-            yield pd.DataFrame({"label": [int(label)], "sums": [(x.T @ x).ravel()]})
+            yield pd.DataFrame({"label": [int(label)], "fold": [int(fold)], "sums": [(x.T @ x).ravel()]})
 
 
-def fit(labelled: DataFrame, shrinkage: float = 0.01, pooling: float = 0.6) -> Discriminant | None:
-    """From rows (label 0 or 1, statistics).  None unless both classes have rows.
+#: Choices of (shrinkage, pooling), the first where they cannot be compared, and the parts that labelled rows are cut into.
+GRID = ((0.01, 0.6), *((s, p) for s in (0.001, 0.01, 0.1) for p in (0.2, 0.6, 0.9) if (s, p) != (0.01, 0.6)))
+FOLDS = 5
 
-    ``shrinkage`` moves a covariance towards a multiple of the identity,
-    ``pooling`` towards the covariance of both classes together.  Every labelled
-    row counts; rows with another or a null label are left out.
-    """
-    rows = labelled.where("label IN (0, 1)").select(F.col("label").cast("int").alias("label"), "statistics")
-    partial = rows.mapInPandas(_partial_sums, "label int, sums array<double>").select("label", F.posexplode("sums").alias("at", "x"))
-    sums = partial.groupBy("label", "at").agg(F.sum("x").alias("x")).collect()  # 2 x (statistics + 1)^2 numbers
-    if len({r.label for r in sums}) < 2:
+
+def discriminant(moments: np.ndarray, shrinkage: float, pooling: float) -> Discriminant | None:
+    """From the sums of (1, statistics) products of both classes; None unless both have rows."""
+    if not moments[:, 0, 0].all():
         return None
     d = len(STATISTICS)
-    moments = np.zeros((2, (d + 1) ** 2))
-    for r in sums:
-        moments[r.label, r.at] = r.x
-    moments = moments.reshape(2, d + 1, d + 1)
     total = moments.sum(axis=0)
     centre = total[0, 1:] / total[0, 0]
     scale = np.sqrt(np.maximum(np.diag(total)[1:] / total[0, 0] - centre**2, 1e-12))
@@ -134,6 +127,48 @@ def fit(labelled: DataFrame, shrinkage: float = 0.01, pooling: float = 0.6) -> D
     return Discriminant(centre, scale, tuple(means), tuple(factors), offset)
 
 
+def _losses(models: list[list[Discriminant | None]]):
+    """Log loss of every choice over the rows of each fold, judged by the model that has not seen the fold."""
+
+    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            loss = np.zeros(len(GRID))
+            for fold, rows in frame.groupby("fold"):
+                x, y = np.array(rows["statistics"].tolist(), dtype=np.float64), rows["label"].to_numpy()
+                for k in range(len(GRID)):
+                    p = np.clip(models[int(fold)][k].scores(x), 1e-9, 1 - 1e-9)
+                    loss[k] -= np.where(y == 1, np.log(p), np.log(1 - p)).sum()
+            yield pd.DataFrame({"choice": np.arange(len(GRID)), "loss": loss})
+
+    return measure
+
+
+def fit(labelled: DataFrame) -> Discriminant | None:
+    """From rows (label 0 or 1, statistics), which are read twice.  None unless both classes have rows.
+
+    Shrinkage moves a covariance towards a multiple of the identity, pooling towards
+    the covariance of both classes together; both are chosen from ``GRID`` by the log
+    loss over ``FOLDS`` parts, equal texts in one part.  Every labelled row counts;
+    rows with another or a null label are left out.
+    """
+    rows = labelled.where("label IN (0, 1)").select(F.col("label").cast("int").alias("label"), "statistics")
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64("statistics"), F.lit(FOLDS)).cast("int"))
+    partial = rows.mapInPandas(_partial_sums, "label int, fold int, sums array<double>").select("label", "fold", F.posexplode("sums").alias("at", "x"))
+    sums = partial.groupBy("label", "fold", "at").agg(F.sum("x").alias("x")).collect()  # 2 x folds x (statistics + 1)^2 numbers
+    d = len(STATISTICS)
+    moments = np.zeros((2, FOLDS, (d + 1) ** 2))
+    for r in sums:
+        moments[r.label, r.fold, r.at] = r.x
+    moments = moments.reshape(2, FOLDS, d + 1, d + 1)
+    total = moments.sum(axis=1)
+    models = [[discriminant(total - moments[:, fold], *choice) for choice in GRID] for fold in range(FOLDS)]
+    best = 0
+    if all(m is not None for fold in models for m in fold):
+        losses = rows.mapInPandas(_losses(models), "choice int, loss double").groupBy("choice").agg(F.sum("loss").alias("loss")).collect()
+        best = min(losses, key=lambda r: (round(r.loss, 6), r.choice)).choice
+    return discriminant(total, *GRID[best])
+
+
 def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, held_out, score, predicted; labels (doc_id, quality) are learnt where not held out.
 
@@ -144,7 +179,7 @@ def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = stored(with_statistics(rows).select("id", held_out(F.col("id")).alias("held_out"), "statistics"), "statistics")
     known = labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
-    model = fit(rows.where("NOT held_out").join(known, "id"))
+    model = fit(stored(rows.where("NOT held_out").join(known, "id").select("label", "statistics"), "labelled"))
 
     @F.pandas_udf("double")
     def judge(values: pd.Series) -> pd.Series:
@@ -159,11 +194,15 @@ def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 
 def drop_low_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose score is 0.5 or more, with all their columns."""
-    model_rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(~held_out(F.col("id")))
+    """The rows of ``df`` whose score is 0.5 or more, with all their columns.
+
+    Null, empty and very long texts are scored like others; without labels of both
+    classes all rows stay; a table without rows gives none.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(~held_out(F.col("id")))
     known = labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
-    # Only labelled texts are measured for the fit; the others once, for their score.
-    model = fit(with_statistics(model_rows.join(known, "id")))
+    # Measured before they meet the labels, so that no text is shuffled.
+    model = fit(stored(with_statistics(rows).select("id", "statistics").join(known, "id").select("label", "statistics"), "statistics"))
     if model is None:
         return df
 

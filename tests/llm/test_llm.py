@@ -4,6 +4,7 @@ import base64
 import hashlib
 import os
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -364,10 +365,29 @@ def test_entropy_adds_and_allow_list_suppresses():
     secret = "q7Rz2mX9vB4kT1wY8pL3"
     base, added = entropy_scan.Scanner()(f"é {secret} end")
     assert base == [] and added == [(2, 3, 22)]
-    for harmless in ("Donaudampfschifffahrtsgesellschaftskapitaen", "123e4567-e89b-12d3-a456-426614174000", "some/long/path/to/a/file2", "ABCDEFGHIJ0123456789"):
+    for harmless in ("Donaudampfschifffahrtsgesellschaftskapitaen", "123e4567-e89b-12d3-a456-426614174000", "some/long/path/to/a/file2", "ABCDEFGHIJ0123456789",
+                     "/Watch/Best-Movies-2023-In-Theaters", "/wiki/History_of_Europe_1945", "/Users/John/Documents/Report_Final_2024_v2",
+                     "/2024/03/15/technology/openai-microsoft-google", "/products/AirPods-Pro-2/reviews", "0123456789" * 9):
         assert entropy_scan.Scanner()(harmless)[1] == [], harmless
 
 
+def test_a_counting_part_hides_no_key():
+    key = "q7Rz2mX9vB4kT1wY8pL3"
+    assert entropy_scan.Scanner()(f"0123456789{key}abcdefghij")[1] == [(10, 3, 30)]
+
+
+def test_spans_are_swept_once():
+    """Spans inside others are told once, however many keys a text holds."""
+    rng = np.random.default_rng(15)
+    spans = [(int(a), int(a + n)) for a, n in zip(rng.integers(0, 300, 200), rng.integers(1, 40, 200))]
+    spans, covers = sorted(set(spans[:150])), spans[150:]
+    want = [x for x in spans if not any(s <= x[0] and x[1] <= e for s, e in covers) and not any(y[0] <= x[0] and x[1] <= y[1] and y != x for y in spans)]
+    assert entropy_scan.uncovered(spans, covers) == want
+    keys = ["".join(rng.choice(list("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"), 24)) for _ in range(20_000)]
+    start = time.time()
+    assert len(entropy_scan.Scanner()(" ".join(keys))[1]) > 19_000 and time.time() - start < 20
+
+
 @pytest.mark.parametrize("alphabet", ["0123456789ABCDEF", "0123456789abcdefABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/"])
 def test_random_keys_of_every_alphabet_are_found(alphabet):
     rng = np.random.default_rng(13)
@@ -386,13 +406,15 @@ def test_secret_columns(docs, none):
 
 
 def test_secret_query(spark, texts):
-    from quern.llm.entropy_scan import base_digest, op7
+    from quern.llm.entropy_scan import op7
 
     found = {r.doc_id: r for r in op7(spark, SF).collect()}
     for i, text in texts:
         base = brute_base(text)
         assert [found[i].n_assign, found[i].n_access, found[i].n_hex] == [sum(k == kind for _, k, _ in base) for kind in range(3)]
-        assert found[i].base_sha256 == base_digest(text)
+        kinds = ("assign", "access", "hex")
+        base = brute_base(text or "")
+        assert found[i].base_sha256 == hashlib.sha256(",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest()
 
 
 # Classifiers.
@@ -425,12 +447,13 @@ def test_quality(spark, docs, none):
     assert {r.score for r in quadratic_quality.quality_scores(docs, labels(spark).limit(0)).collect()} == {0.5}
 
 
-def test_quality_density_is_that_of_the_gaussians(spark):
+def test_quality_density_is_that_of_the_gaussians(spark, monkeypatch):
     rng = np.random.default_rng(8)
     d = len(quadratic_quality.STATISTICS)
     x = [rng.normal(size=(300, d)), rng.normal(1, 2, size=(500, d))]
     rows = [(k, v.tolist()) for k in (0, 1) for v in x[k]]
-    model = quadratic_quality.fit(spark.createDataFrame(rows, "label int, statistics array<double>"), shrinkage=0, pooling=0)
+    monkeypatch.setattr(quadratic_quality, "GRID", ((0, 0),))
+    model = quadratic_quality.fit(spark.createDataFrame(rows, "label int, statistics array<double>"))
 
     def logpdf(p, data):
         cov, diff = np.cov(data.T, bias=True), p - data.mean(axis=0)
