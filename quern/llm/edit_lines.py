@@ -24,8 +24,8 @@ from quern.llm.registry import query
 from quern.llm.shared import link_classes, read_table, stored
 
 EDITS = 2
-#: Least characters of the lines that ``without_repeated_lines`` links: in fewer, two edits change the words.
-LEAST_CHARS = 16
+#: Letters whose parities are compared; the rarer ones would tell few lines apart.
+LETTERS = "etaoinshrdlcumwfgypb"
 #: Rows of identifiers (8 bytes each) up to which a filter is sent to all executors; beyond, it is a shuffled join.
 SMALL = 1_000_000
 _LINES = 1 << 31  # line numbers of a document stay below
@@ -65,9 +65,9 @@ def probe_keys(line: Column, length: Column, edits: int) -> list[tuple[int, Colu
 
 
 def letter_parities(line: Column) -> Column:
-    """A bit for each letter that occurs an odd number of times."""
+    """A bit for each of ``LETTERS`` that occurs an odd number of times."""
     size, bits = F.octet_length(line), F.lit(0)
-    for k, letter in enumerate("abcdefghijklmnopqrstuvwxyz"):
+    for k, letter in enumerate(LETTERS):
         odd = (size - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))) % 2
         bits = bits.bitwiseOR(F.shiftleft(odd, k))
     return bits
@@ -142,17 +142,22 @@ def _place(doc: Column, at: Column) -> Column:
     return (doc.cast("decimal(20,0)") * F.lit(_LINES).cast("decimal(10,0)") + at).cast(_PLACE)
 
 
+def line_digest(line: Column) -> Column:
+    """What stands for a line where its rows meet their class: 256 bits, however long it is."""
+    return F.unhex(F.sha2(line.cast("binary"), 256))
+
+
 def distinct_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """lid, line, size, letters, copies, and place: the first document and line number in one number."""
+    """lid, line, digest, size, letters, copies, and place: the first document and line number in one number."""
     place = _place(F.col("doc"), F.col("at"))
     found = lines_of(df, id_col, text_col).groupBy("line").agg(F.count("*").alias("copies"), F.min(place).alias("place"))
     return stored(found.select(
-        F.monotonically_increasing_id().alias("lid"), "line", F.length("line").alias("size"), letter_parities(F.col("line")).alias("letters"),
+        F.monotonically_increasing_id().alias("lid"), "line", line_digest(F.col("line")).alias("digest"), F.length("line").alias("size"), letter_parities(F.col("line")).alias("letters"),
         "copies", "place",
     ), "lines")
 
 
-def line_links(lines: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+def line_links(lines: DataFrame, edits: int = EDITS, least: int = 0) -> DataFrame:
     """Pairs (u, v) of distinct lines of at least ``least`` characters within ``edits``; each once.
 
     Lines of up to ``edits`` characters have an empty segment, a key on which they meet all lines of a length they can link to.
@@ -177,7 +182,7 @@ def line_links(lines: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -
     return stored(both.where(banded_distance(F.col("a"), F.col("b"), edits) <= edits).select("u", "v"), "line-links")
 
 
-def line_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+def line_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = 0) -> DataFrame:
     """Per distinct line: doc, at (its first place), copies, n_links, class_doc, class_at, kept.
 
     A line links to the other distinct lines within ``edits`` when both have
@@ -194,12 +199,13 @@ def line_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def line_members(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = 0) -> DataFrame:
     """Per line row of every text, copies included: doc, at, copies, n_links, class_doc, class_at, kept.
 
-    As ``line_classes``, by default for lines of any length, but every row names its class; only the row at the
+    As ``line_classes``, but every row names its class; only the row at the
     first place of a class is kept.  Rows without an id are told with a null doc.  Lines that stand often meet
     one row of their class each, so copies make no pairs.
     """
     lines = distinct_lines(df, id_col, text_col)
-    rows = lines_of(df, id_col, text_col).join(lines.select("line", "lid", "copies", "place"), "line")
+    rows = lines_of(df, id_col, text_col).select("doc", "at", line_digest(F.col("line")).alias("digest"))
+    rows = rows.join(lines.select("digest", "lid", "copies", "place"), "digest").drop("digest")
     own = _place(F.col("doc"), F.col("at"))
     return _told(rows.select("doc", "at", "lid", "copies", "place"), lines, edits, least, own)
 
@@ -222,16 +228,20 @@ def _told(rows: DataFrame, lines: DataFrame, edits: int, least: int, own: Column
     )
 
 
-def without_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
+def without_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = 0) -> DataFrame:
     """``df`` with only the kept lines in its texts, each at its first place.
 
-    Identifiers name documents here; rows without one, and null texts, stay as they are.
+    As in the query, lines of all lengths are linked; ``least`` leaves shorter ones
+    alone.  Identifiers name documents here; rows without one, and null texts, stay as they are.
+    Repeated rows keep the same lines; of lines that tie, the first place counts; a table
+    without rows gives none.
     """
-    kept = line_classes(df, id_col, text_col, edits).where("kept").groupBy("doc").agg(F.collect_set("at").alias("_kept_lines"))
-    lines = F.filter(F.split(F.col(text_col), "\n"), lambda line, at: F.array_contains("_kept_lines", at))
-    text = F.when(F.col(id_col).isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.coalesce(F.array_join(lines, "\n"), F.lit("")))
-    joined = df.join(kept, df[id_col].cast("long") == kept["doc"], "left")
-    return joined.select(*[text.alias(c) if c == text_col else df[c] for c in df.columns])
+    kept = line_classes(df, id_col, text_col, edits, least).where("kept").groupBy("doc").agg(F.collect_set("at").alias("kept"))
+    rows = df.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc")).join(kept, "doc", "left")
+    own = F.col("row")[text_col]
+    lines = F.filter(F.split(own, "\n"), lambda line, at: F.array_contains("kept", at))
+    text = F.when(F.col("doc").isNull() | own.isNull(), own).otherwise(F.coalesce(F.array_join(lines, "\n"), F.lit("")))
+    return rows.select(*[(text if c == text_col else F.col("row")[c]).alias(c) for c in df.columns])
 
 
 @query("op3_edit_lines")

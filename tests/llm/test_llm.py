@@ -224,7 +224,7 @@ def test_line_classes_odd_rows(spark, docs, none):
     found = {(r.doc, r["at"]): r for r in edit_lines.line_classes(df).collect()}
     assert (found[2, 0].copies, found[2, 0].n_links, found[2, 0].class_doc, found[2, 0].kept) == (3, 1, 1, False)
     assert found[1, 0].kept and found[1, 2].copies == 2 and found[1, 1].copies == 2 and not found[None, None].kept
-    clean = {r.doc_id: r.text for r in edit_lines.without_repeated_lines(df).collect()}
+    clean = {r.doc_id: r.text for r in edit_lines.without_repeated_lines(df, least=16).collect()}
     assert clean == {1: f"{near}\n\nx", 2: "", None: "only here, twice over\n" + same, 5: None, 6: ""}
     assert edit_lines.line_classes(none).count() == 0
     assert edit_lines.line_classes(docs).agg(F.sum("copies")).first()[0] == sum(len(t.split("\n")) for _, t, _ in ROWS if t is not None)
