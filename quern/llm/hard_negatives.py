@@ -291,10 +291,12 @@ def hard_negatives(
     low, high = share
     p = F.col("positive_score")
     asked = near.join(anchors, "uid").select(
-        "uid", "window", "label", "vec", "norm", F.expr(f"(positive_score * {high} - pmod(positive_score * {high}, 100)) div 100").alias("high"),
-        F.expr(f"(positive_score * {low} + pmod(-positive_score * {low}, 100)) div 100").alias("least"),
+        "uid", "window", "label", "vec", "norm", "positive_score",
+        # Of scores from 0 on, down and up to whole numbers.
+        F.expr(f"CAST(positive_score AS decimal(20,0)) * {high} div 100").alias("high"),
+        F.expr(f"(CAST(positive_score AS decimal(20,0)) * {low} + 99) div 100").alias("least"),
     )
-    asked = stored(asked.where((p >= 0) & (F.col("least") <= F.col("high"))).withColumn("top", F.col("high").cast("double")), "windows")
+    asked = stored(asked.where((p >= 0) & (F.col("least") <= F.col("high"))).withColumn("top", F.col("high").cast("double")).drop("positive_score"), "windows")
     hard = best_partners(asked, blocks, len(order), negatives, False, NEGATIVE_STEPS)
     named = hard.join(near, ["uid", "window"]).join(anchors.select("uid", F.col("id").alias("anchor_id")), "uid")
     return named.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("other_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
