@@ -29,6 +29,15 @@ PATTERNS = {
         rf"|{_H16}:(?::{_H16}){{1,6}}|:(?:(?::{_H16}){{1,7}}|:)"
         rf"|(?:{_H16}:){{6}}(?:{_OCTET}\.){{3}}{_OCTET}|::(?:ffff:)?(?:{_OCTET}\.){{3}}{_OCTET})$"
     ),
+    "iso-time": rf"(?i)^{_CLOCK}?$",
+    "iso-date-time": rf"(?i)^{_DAY}[t\s](?:{_CLOCK}|(?:(?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d|23:59:60)(?:\.\d+)?)$",
+    "duration": r"^P(?!$)(?:(?:\d+Y)?(?:\d+M)?(?:\d+D)?(?:T(?=\d)(?:\d+H)?(?:\d+M)?(?:\d+S)?)?|\d+W)$",
+    "uri-reference": rf"(?i)^(?:[a-z][a-z0-9+.-]*:)?{_URI_CHAR}*(?:#{_URI_CHAR}*)?$",
+    "url": rf"(?i)^(?:https?|ftp)://(?:[^\s/@]+@)?(?:{_LABEL}\.)+[a-z]{{2,}}(?::\d{{1,5}})?(?:[/?#]\S*)?$",
+    "json-pointer": r"^(?:/(?:[^~/]|~0|~1)*)*$",
+    "json-pointer-uri-fragment": r"(?i)^#(?:/(?:[a-z0-9_\-.!$&'()*+,;:=@]|%[0-9a-f]{2}|~0|~1)*)*$",
+    "relative-json-pointer": r"^(?:0|[1-9]\d*)(?:#|(?:/(?:[^~/]|~0|~1)*)*)$",
+    "byte": r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$",
     "hostname": rf"(?i)^(?=.{{1,253}}$)[a-z0-9](?:[a-z0-9-]{{0,61}}[a-z0-9])?(?:\.[a-z0-9](?:[a-z0-9-]{{0,61}}[a-z0-9])?)*$",
 }
 
@@ -81,6 +90,14 @@ def _date_time(text: Column) -> Column:
     return matches(text, PATTERNS["date-time"]) & _real_day(text)
 
 
+def _iso_date_time(text: Column) -> Column:
+    return matches(text, PATTERNS["iso-date-time"]) & _real_day(text)
+
+
+def _any_text(text: Column) -> Column:
+    return text.isNotNull()
+
+
 def _by_pattern(name: str) -> Callable[[Column], Column]:
     return lambda text: matches(text, PATTERNS[name])
 
@@ -89,6 +106,19 @@ FORMATS: dict[str, Callable[[Column], Column]] = {
     **{name: _by_pattern(name) for name in PATTERNS},
     "date": _date,
     "date-time": _date_time,
+    "iso-date-time": _iso_date_time,
+    # Named for people, not for checks.
+    "password": _any_text,
+    "binary": _any_text,
+}
+
+#: Formats of numbers; others leave numbers alone.
+INT32, INT64 = (1 << 31), (1 << 63)
+NUMBER_FORMATS: dict[str, Callable[[Column], Column]] = {
+    "int32": lambda n: (n == F.rint(n)) & n.between(-INT32, INT32 - 1),
+    "int64": lambda n: (n == F.rint(n)) & n.between(-float(INT64), float(INT64)),
+    "float": lambda n: n.isNotNull(),
+    "double": lambda n: n.isNotNull(),
 }
 
 

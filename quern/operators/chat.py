@@ -16,6 +16,8 @@ from quern.functions.text import attachment_text, extension
 ATTACHED_HEADING = "\n\n--- Attached Files ---\n"
 IMAGE_EXTENSIONS = (".png", ".jpg", ".jpeg", ".gif", ".webp", ".bmp")
 MAX_REQUEST_BYTES = 10 * 1024 * 1024
+# Media types by extension; images of other kinds are sent as JPEG.
+IMAGE_TYPES = {".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png", ".gif": "image/gif", ".webp": "image/webp"}
 # Bytes of JSON around one part of a message.
 MESSAGE_OVERHEAD = 40
 
@@ -52,6 +54,38 @@ def attach(messages: DataFrame, attachments: DataFrame, order: str) -> DataFrame
     return own.unionByName(files)
 
 
+def image_urls(attachments: DataFrame, name: str = "name", data: str = "data") -> DataFrame:
+    """Attached images with ``url``, their bytes as a data URL; other attachments and images without bytes are left out."""
+    ext = F.lower(extension(F.col(name)))
+    kind = F.lit("image/jpeg")
+    for known, media in IMAGE_TYPES.items():
+        kind = F.when(ext == known, media).otherwise(kind)
+    # Unbroken base64, as JSON wants it.
+    code = F.regexp_replace(F.base64(F.col(data)), r"\s", "")
+    shown = attachments.filter(ext.isin(*IMAGE_EXTENSIONS) & F.col(data).isNotNull())
+    return shown.withColumn("url", F.concat(F.lit("data:"), kind, F.lit(";base64,"), code))
+
+
+def message_json(parts: DataFrame, images: DataFrame, order: str) -> DataFrame:
+    """One row per message ``(conv_id, turn, role, message)``: its JSON, parts joined, images on the last user message.
+
+    ``images`` comes from ``image_urls``.  A message with images has a list as its
+    content, the text first and then the images by ``order``; any other a text.  Rows
+    are messages, so a conversation of any size stays spread.
+    """
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda p: p["text"])
+    messages = parts.groupBy("conv_id", "turn", "role").agg(F.array_join(texts, "").alias("content"))
+    last = last_user_turn(parts).withColumn("role", F.lit("user"))
+    urls = F.transform(F.array_sort(F.collect_list(F.struct(order, "url"))), lambda i: i["url"])
+    shown = images.groupBy("conv_id").agg(urls.alias("urls")).join(last, "conv_id")
+    text = F.struct(F.lit("text").alias("type"), F.col("content").alias("text"), F.lit(None).cast("struct<url:string>").alias("image_url"))
+    pictures = F.transform("urls", lambda u: F.struct(F.lit("image_url").alias("type"), F.lit(None).cast("string").alias("text"), F.struct(u.alias("url")).alias("image_url")))
+    rich = F.to_json(F.struct("role", F.concat(F.array(text), pictures).alias("content")))
+    plain = F.to_json(F.struct("role", "content"))
+    joined = messages.join(shown, ["conv_id", "turn", "role"], "left")
+    return joined.select("conv_id", "turn", "role", F.when(F.col("urls").isNull(), plain).otherwise(rich).alias("message"))
+
+
 def request_bodies(parts: DataFrame, max_bytes: int = MAX_REQUEST_BYTES) -> DataFrame:
     """One row per conversation with its messages in order.
 

@@ -244,3 +244,26 @@ def metrics(events: DataFrame, *by) -> DataFrame:
     ).withColumn(
         "avg_tokens", F.coalesce(F.try_divide(F.col("total_tokens"), F.col("successful")).cast("double"), zero)
     )
+
+
+# -- whole ledger rows -----------------------------------------------------------
+
+def ledger_rows(totals: DataFrame, runs: DataFrame, errors: DataFrame, files: DataFrame, run: str = "run_id") -> DataFrame:
+    """Ledger rows of finished runs with who ran what, how long, what failed and what was written.
+
+    ``totals`` comes from ``run_totals``; ``runs`` has user_id, config_name, model,
+    format, tasks, started_at and finished_at; ``errors`` a message and ``files`` a
+    path per row.  Errors are told once per message with their number, files once per
+    path, both as JSON text and null where there are none.
+    """
+    told = errors.groupBy(run, "message").agg(F.count("*").alias("count"))
+    told = told.groupBy(run).agg(F.to_json(F.array_sort(F.collect_list(F.struct("message", "count")))).alias("errors"))
+    written = files.select(run, "path").distinct().groupBy(run).agg(F.to_json(F.array_sort(F.collect_list("path"))).alias("output_files"))
+    joined = totals.withColumnRenamed("errors", "failed").join(runs, run, "left").join(told, run, "left").join(written, run, "left")
+    took = F.unix_millis(F.col("finished_at").cast("timestamp")) - F.unix_millis(F.col("started_at").cast("timestamp"))
+    return joined.select(
+        run, "user_id", F.coalesce(F.nullif("config_name", F.lit("")), F.lit("Unnamed config")).alias("config_name"),
+        F.coalesce(F.nullif("model", F.lit("")), F.lit("unknown")).alias("model"), "status", F.col("items").alias("items_generated"),
+        F.col("cost").alias("total_cost"), "total_tokens", "prompt_tokens", "completion_tokens", "errors", "output_files",
+        F.to_json(F.struct(took.alias("duration"), "format", "tasks")).alias("metadata"), F.col("finished_at").alias("completed_at"),
+    )

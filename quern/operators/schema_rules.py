@@ -15,7 +15,7 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.formats import has_format, matches
+from quern.functions.formats import NUMBER_FORMATS, has_format, matches
 from quern.functions.pinned import pin
 from quern.functions.text import number_text, utf16_length
 from quern.functions.variants import as_double, is_number, path_of
@@ -327,8 +327,11 @@ def _pattern(node: Node, pattern: str) -> Column:
 
 @_rule("format")
 def _format(node: Node, name: str) -> Column | None:
+    message = f'must match format "{name}"'
+    if name in NUMBER_FORMATS:
+        return node.fail(node.number.isNotNull() & ~NUMBER_FORMATS[name](node.number), "format", message)
     fits = has_format(node.string, name)
-    return None if fits is None else node.fail(node.string.isNotNull() & ~fits, "format", f'must match format "{name}"')
+    return None if fits is None else node.fail(node.string.isNotNull() & ~fits, "format", message)
 
 
 @_rule("minimum")

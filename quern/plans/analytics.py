@@ -91,6 +91,40 @@ def ledger_append(spark, sf_dir):
     )
 
 
+@query("ledger_rows", f"""
+    WITH {TOTALS_SQL},
+    f AS (SELECT l_orderkey AS run_id, l_linenumber % 3 AS m, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2),
+    e AS (SELECT run_id, '[' || string_agg('{{"message":"line ' || m || '","count":' || n || '}}', ',' ORDER BY m) || ']' AS errors FROM f GROUP BY 1),
+    d AS (SELECT DISTINCT l_orderkey AS run_id, l_linenumber % 2 AS p FROM lineitem WHERE l_returnflag <> 'R'),
+    w AS (SELECT run_id, '[' || string_agg('"out/' || run_id || '_' || p || '.json"', ',' ORDER BY p) || ']' AS output_files FROM d GROUP BY 1)
+    SELECT run_id, o_custkey AS user_id, CASE WHEN o_orderstatus = 'F' THEN 'Unnamed config' ELSE o_orderpriority END AS config_name,
+      CASE WHEN o_orderstatus = 'P' THEN 'unknown' ELSE 'm/' || o_orderstatus END AS model,
+      CASE WHEN t.errors > 0 THEN 'completed_with_errors' ELSE 'completed' END AS status, items AS items_generated, round(cost, 4) AS total_cost,
+      prompt_tokens + completion_tokens AS total_tokens, prompt_tokens, completion_tokens, e.errors, output_files,
+      '{{"duration":' || run_id % 1000 * 1000 || ',"format":"json","tasks":' || (run_id % 3 + 1) || '}}' AS metadata,
+      strftime(o_orderdate + to_seconds(run_id % 1000), '%Y-%m-%d %H:%M:%S') AS completed_at
+    FROM t JOIN orders ON o_orderkey = run_id LEFT JOIN e USING (run_id) LEFT JOIN w USING (run_id)
+""")
+def ledger_rows(spark, sf_dir):
+    """The whole row of every run, written to the ledger and read back."""
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate")
+    key, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    start = F.col("o_orderdate").cast("timestamp")
+    runs = o.select(
+        key.alias("run_id"), F.col("o_custkey").alias("user_id"), F.when(status != "F", F.col("o_orderpriority")).alias("config_name"),
+        F.when(status == "P", "").otherwise(F.concat(F.lit("m/"), status)).alias("model"), F.lit("json").alias("format"), (key % 3 + 1).alias("tasks"),
+        start.alias("started_at"), F.timestamp_seconds(F.unix_seconds(start) + key % 1000).alias("finished_at"),
+    )
+    li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag").withColumnRenamed("l_orderkey", "run_id")
+    line = F.col("l_linenumber")
+    errors = li.filter("l_returnflag = 'R'").select("run_id", F.concat(F.lit("line "), (line % 3).cast("string")).alias("message"))
+    files = li.filter("l_returnflag <> 'R'").select("run_id", F.concat(F.lit("out/"), F.col("run_id").cast("string"), F.lit("_"), (line % 2).cast("string"), F.lit(".json")).alias("path"))
+    path = scratch_path(spark, "ledger")
+    append_history(ledger.ledger_rows(ledger.run_totals(requests(spark, sf_dir), "run_id"), runs, errors, files), path)
+    rows = spark.read.parquet(path)
+    return rows.withColumn("total_cost", F.round("total_cost", 4)).withColumn("completed_at", F.date_format("completed_at", "yyyy-MM-dd HH:mm:ss"))
+
+
 @query("estimate_difference", f"""
     WITH {TOTALS_SQL}
     SELECT run_id, CASE WHEN items = 0 THEN NULL ELSE round((cost - items * 30011e0) / (items * 30011e0) * 100, 4) END AS percent FROM t

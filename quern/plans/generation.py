@@ -395,6 +395,33 @@ def chat_requests(spark, sf_dir):
     )
 
 
+@query("chat_images", r"""
+    WITH pics AS (
+      SELECT CAST(regexp_extract(source, '(\d+)$', 1) AS BIGINT) AS conv_id, doc_id,
+        'data:image/' || CASE doc_id % 15 WHEN 0 THEN 'png' ELSE 'jpeg' END || ';base64,' || base64(encode(text)) AS url
+      FROM documents WHERE doc_id % 5 = 0 AND text IS NOT NULL
+    ), last AS (
+      SELECT conv_id, max(turn) AS turn FROM conversations WHERE role = 'user' GROUP BY conv_id
+    ), shown AS (
+      SELECT conv_id, turn, string_agg('{"type":"image_url","image_url":{"url":"' || url || '"}}', ',' ORDER BY doc_id) AS images
+      FROM pics JOIN last USING (conv_id) GROUP BY 1, 2
+    )
+    SELECT c.conv_id, c.turn, role, CASE WHEN images IS NULL THEN '{"role":"' || role || '","content":' || to_json(text) || '}'
+      ELSE '{"role":"user","content":[{"type":"text","text":' || to_json(text) || '},' || images || ']}' END AS message
+    FROM conversations c LEFT JOIN shown s ON s.conv_id = c.conv_id AND s.turn = c.turn AND role = 'user'
+""")
+def chat_images(spark, sf_dir):
+    """Every message as JSON; every fifth document is an image on the last user message of its conversation."""
+    d = table(spark, sf_dir, "documents", "doc_id", "source", "text").filter("doc_id % 5 = 0")
+    ext = F.when(F.col("doc_id") % 15 == 0, ".png").when(F.col("doc_id") % 15 == 5, ".JPG").otherwise(".bmp")
+    files = d.select(
+        F.regexp_extract("source", r"(\d+)$", 1).cast("bigint").alias("conv_id"), "doc_id",
+        F.concat(F.lit("pic"), F.col("doc_id").cast("string"), ext).alias("name"), F.col("text").cast("binary").alias("data"),
+    )
+    parts = ordered_messages(table(spark, sf_dir, "conversations")).select("conv_id", "turn", F.lit(-1).cast("bigint").alias("part"), "role", "text")
+    return chat.message_json(parts, chat.image_urls(files), "doc_id")
+
+
 def event_requests(events: DataFrame, *kept: str) -> DataFrame:
     """A request per event that asks about its type and value."""
     rows = events.select(

@@ -156,3 +156,37 @@ def test_merge_of_any_depth(spark):
 ])
 def test_number_text(value, number, text):
     assert value(number_text(F.lit(number))) == text
+
+
+@pytest.mark.parametrize("name, good, bad", [
+    ("duration", ["P1Y2M3DT4H5M6S", "PT36H", "P2W"], ["P", "PT", "1Y", "P1W2D"]),
+    ("iso-time", ["10:20:30", "10:20:30Z", "10:20:30.5+02:00"], ["25:00:00", "10:20"]),
+    ("iso-date-time", ["2024-02-29T10:20:30", "2024-02-29 10:20:30Z"], ["2023-02-29T10:20:30", "2024-02-29"]),
+    ("uri-reference", ["", "../a?b=c#d", "http://x/y"], ["a b", "\\x"]),
+    ("url", ["https://a.example/x?y", "ftp://b.example:21/"], ["mailto:x@y.example", "https://nodots"]),
+    ("json-pointer", ["", "/a/b~0c", "/"], ["a/b", "/~2"]),
+    ("json-pointer-uri-fragment", ["#", "#/a%20b"], ["/a", "#a"]),
+    ("relative-json-pointer", ["0", "1/a", "2#"], ["01/a", "/a"]),
+    ("byte", ["", "YWJj", "YQ=="], ["YQ=", "a b="]),
+    ("int32", [1, -2147483648, 3.0], [2147483648, 1.5]),
+    ("int64", [9007199254740993], [0.5]),
+    ("double", [1.5, 2], []), ("password", ["x", ""], []), ("no-such-format", ["x", 1], []),
+])
+def test_formats(spark, name, good, bad):
+    found = errors(spark, {"format": name}, [*good, *bad])
+    assert found == [[] for _ in good] + [[("/", f'must match format "{name}"')] for _ in bad]
+
+
+def test_images_in_messages(spark):
+    from quern.operators import chat
+
+    parts = spark.createDataFrame([(1, 0, -1, "user", "u"), (1, 1, -1, "user", 'say "x"'), (1, 1, 4, "user", " file"), (1, 2, -1, "assistant", "a"), (2, 0, -1, "assistant", "z")], "conv_id long, turn long, part long, role string, text string")
+    files = spark.createDataFrame([(1, 9, "b.PNG", b"\x00\xff"), (1, 3, "a.bmp", b"abc" * 40), (1, 5, "c.txt", b"t"), (1, 6, "d.gif", None), (2, 7, "e.webp", b"w")], "conv_id long, no long, name string, data binary")
+    found = {(r.conv_id, r.turn): json.loads(r.message) for r in chat.message_json(parts, chat.image_urls(files), "no").collect()}
+    import base64
+
+    url = lambda kind, data: {"type": "image_url", "image_url": {"url": f"data:image/{kind};base64,{base64.b64encode(data).decode()}"}}
+    assert found == {
+        (1, 0): {"role": "user", "content": "u"}, (1, 2): {"role": "assistant", "content": "a"}, (2, 0): {"role": "assistant", "content": "z"},
+        (1, 1): {"role": "user", "content": [{"type": "text", "text": 'say "x" file'}, url("jpeg", b"abc" * 40), url("png", b"\x00\xff")]},
+    }
