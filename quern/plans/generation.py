@@ -14,6 +14,7 @@ from quern.functions.pinned import pin
 from quern.functions.variants import child
 from quern.operators import chat, inference
 from quern.operators.examples import example_json, varied_json
+from quern.operators.ledger import history_rows, run_totals
 from quern.operators.prompts import (
     field_prompts, stream_prompt, structure_prompt, system_prompt, system_prompt_column, text_prompt, with_request,
 )
@@ -25,8 +26,9 @@ from quern.operators.tasks import (
 from quern.operators.validation import with_errors
 from quern.plans.registry import query
 from quern.plans.tables import NOW, event_props, table
-from quern.session import scratch_path, spread
-from quern.sources.readers import ordered_messages, with_document, with_json
+from quern.session import materialize, scratch_path, spread
+from quern.sources.readers import ordered_messages, read_ledger, with_document, with_json
+from quern.sources.writers import append_history, read_json_documents, write_json_documents
 
 STAMP = "2024-01-31T12:30:45.678Z"
 EPOCH = "1706704245678"
@@ -692,36 +694,59 @@ RUN_SCHEMA = {
 
 
 def generation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tasks to checked items: context, prompt, answer, fill, check, and the summary per task key."""
-    e = spread(table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "value", "props"))
+    """A whole run: tasks, items, requests, recorded answers, filled and checked items, documents and a ledger row per task key.
+
+    Requests are written once and answered by their key; error events have no
+    recorded answer.  Good items go to one document per task key, all results to a
+    table, the totals to the ledger; what is returned is read back from them.
+    """
+    e = table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "value")
     task = F.to_json(F.struct(F.col("event_type").alias("theme"), F.col("user_id").alias("user"), F.col("value")))
-    tasks = e.select("event_id", "event_type", "value", task.alias("task_json"), event_props().alias("index"))
-    items = with_context(with_fields(tasks), NOW)
+    tasks = e.select("event_id", "event_type", "value", (F.col("event_id") % 2 + 1).alias("count"), task.alias("task_json"))
+    items = with_context(with_fields(expand_items(tasks, ["event_id"])), NOW)
     items = items.withColumn("task_key", task_key(F.col("fields")))
-    asked = items.withColumn("system", F.lit(system_prompt())).withColumn(
+    prompts = items.withColumn("system", F.lit(system_prompt())).withColumn(
         "user", structure_prompt(RUN_SCHEMA, F.col("ctx"), F.col("numeric"))
     )
-    asked = with_request(asked, "m/one", identity=("event_id",))
-    recorded = e.select("event_id", F.concat(
+    asked = with_request(prompts, "m/one", identity=("event_id", "index"))
+    asked = materialize(asked.select("event_id", "index", "event_type", "value", "task_key", "ctx", "request_key", "request"), "requests")
+    recorded = asked.filter("event_type <> 'error'").select("request_key", F.concat(
         F.lit('```json\n{"id":"?","type":"'), F.col("event_type"), F.lit('","value":'), F.col("value").cast("string"), F.lit("}\n```")
     ).alias("content"))
-    answers = with_answer(asked.join(recorded, "event_id", "left"), "content")
+    answers = with_answer(inference.replay(asked, recorded), "content")
     filled = pin(answers, item=fill_fields(RUN_SCHEMA, F.col("data"), F.col("ctx")))
     checked = with_errors(filled, SchemaRules(RUN_SCHEMA))
-    return checked.groupBy("task_key").agg(
-        F.count("*").alias("items"), F.count_if("valid").alias("valid"),
-        F.count_if(~F.col("valid")).alias("invalid"), F.sum(F.size("errors")).cast("bigint").alias("errors"),
-        F.count_if(F.try_variant_get("item", "$.id", "string") == F.concat("event_type", F.lit("_"), "index")).alias("named"),
+    results = materialize(checked.select(
+        "task_key", (F.col("event_id") * 2 + F.col("index")).alias("no"), "request_key", "item", "error", F.size("errors").alias("n_errors"),
+        F.concat("event_type", F.lit("_"), F.col("index").cast("string")).alias("name"), (F.col("valid") & F.col("error").isNull()).alias("good"),
+        F.char_length("request").cast("bigint").alias("prompt_tokens"), F.char_length("content").cast("bigint").alias("completion_tokens"),
+    ), "results")
+
+    documents, history = scratch_path(spark, "documents"), scratch_path(spark, "history")
+    write_json_documents(results.filter("good"), documents, "task_key", "no", "item")
+    spent = results.withColumn("cost", F.col("prompt_tokens") * 1e-6).withColumn("error", F.when(~F.col("good"), F.coalesce("error", F.lit("invalid"))))
+    append_history(history_rows(run_totals(spent, "task_key"), NOW), history)
+
+    lines = read_json_documents(spark, documents).groupBy("task_key").agg((F.count("*") - 2).alias("written"))
+    booked = read_ledger(spark, history).select("task_key", F.col("items").alias("booked"), "status")
+    counts = results.groupBy("task_key").agg(
+        F.count("*").alias("items"), F.count_if("good").alias("valid"), F.count_if(F.col("error").isNotNull()).alias("unanswered"),
+        F.sum("n_errors").cast("bigint").alias("errors"), F.count_distinct("request_key").alias("requests"),
+        F.count_if(F.try_variant_get("item", "$.id", "string") == F.col("name")).alias("named"),
     )
+    return counts.join(lines, "task_key", "left").join(booked, "task_key", "left")
 
 
 @query("generation_run", """
-    SELECT event_type || '_default' AS task_key, count(*) AS items,
-      count(*) FILTER (event_type IN ('click', 'view', 'signup') AND value <= 100) AS valid,
-      count(*) FILTER (NOT (event_type IN ('click', 'view', 'signup') AND value <= 100)) AS invalid,
-      CAST(sum(CAST(event_type NOT IN ('click', 'view', 'signup') AS INT) + CAST(value > 100 AS INT)) AS BIGINT) AS errors,
-      count(*) AS named
-    FROM events GROUP BY 1
+    WITH i AS (SELECT event_type, value, unnest(range(event_id % 2 + 1)) AS "index" FROM events),
+    c AS (SELECT *, event_type <> 'error' AS answered, event_type IN ('click', 'view', 'signup') AS known, value > 100 AS high FROM i)
+    SELECT event_type || '_default' AS task_key, count(*) AS items, count(*) FILTER (answered AND known AND NOT high) AS valid,
+      count(*) FILTER (NOT answered) AS unanswered, CAST(sum(CASE WHEN answered THEN CAST(NOT known AS INT) + CAST(high AS INT) ELSE 0 END) AS BIGINT) AS errors,
+      count(*) AS requests, count(*) FILTER (answered) AS named,
+      CASE WHEN count(*) FILTER (answered AND known AND NOT high) > 0 THEN count(*) FILTER (answered AND known AND NOT high) END AS written,
+      count(*) FILTER (answered AND known AND NOT high) AS booked,
+      CASE WHEN count(*) = count(*) FILTER (answered AND known AND NOT high) THEN 'completed' ELSE 'completed_with_errors' END AS status
+    FROM c GROUP BY 1
 """)
 def generation_run_query(spark, sf_dir):
     return generation_run(spark, sf_dir)

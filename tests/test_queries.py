@@ -21,7 +21,8 @@ SELECTED = (
     "response_parse post_process generation_run validate_flat validate_nested validate_combinators custom_rules coerce "
     "schema_fields rule_dsl error_groups request_cost run_totals progress history_top insert_ignore session_join storage_quota "
     "metrics_report run_sessions format_scalars model_catalog facet_counts config_audit config_merge folder_size json_docs exports "
-    "stream_generate stream_index stream_sessions stream_metrics"
+    "stream_generate stream_index stream_sessions stream_metrics validate_keywords chat_images ledger_rows text_files infer_rate resume_pieces "
+    "stream_silent_runs stream_expiring_sessions stream_progress_log"
 ).split()
 registry.load_all()
 NAMES = sorted(registry.QUERIES) if os.environ.get("TEST_ALL") else SELECTED
