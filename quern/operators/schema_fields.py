@@ -88,6 +88,10 @@ def _references(schema: Any) -> list[tuple[str, str, str]]:
     return found
 
 
+#: Rows that a task holds before it hands them on.
+ROWS_AT_ONCE = 20_000
+
+
 def _per_schema(df: DataFrame, doc: str, keep: list[str], rows_of, schema: str, unreadable: Sequence[tuple] = ()) -> DataFrame:
     """Run a small function on every schema text, in Arrow batches; ``unreadable`` are the rows of a text that is no JSON."""
     names = [part.split(" ")[0] for part in schema.split(", ")]
@@ -104,6 +108,9 @@ def _per_schema(df: DataFrame, doc: str, keep: list[str], rows_of, schema: str,
                     out += [(*ids, *row) for row in unreadable]
                     continue
                 out += [(*ids, *row) for row in rows_of(parsed)]
+                if len(out) >= ROWS_AT_ONCE:
+                    yield pd.DataFrame(out, columns=[*keep, *names])
+                    out = []
             yield pd.DataFrame(out, columns=[*keep, *names])
 
     head = ", ".join(f"{k} {types[k]}" for k in keep)

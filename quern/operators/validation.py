@@ -34,7 +34,10 @@ def error_lines(errors: Column) -> Column:
 
 
 def split_batch(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Valid rows and invalid rows, both with their original index column."""
+    """Valid rows and invalid rows, both with their original index column.
+
+    Two tables are two reads of ``checked``, so pass a written one (``materialize``).
+    """
     return checked.filter("valid").drop("errors", "valid"), checked.filter("not valid").drop("valid")
 
 

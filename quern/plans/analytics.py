@@ -15,7 +15,7 @@ from quern.operators.catalog import search_price_per_thousand
 from quern.operators.running import sessions, top_per_key
 from quern.plans.registry import query
 from quern.plans.tables import MODELS_SQL, event_props, models, requests, table
-from quern.session import scratch_path
+from quern.session import materialize, scratch_path
 from quern.sources.readers import read_ledger
 from quern.sources.writers import append_history
 
@@ -82,7 +82,7 @@ def run_totals(spark, sf_dir):
 """)
 def ledger_append(spark, sf_dir):
     path = scratch_path(spark, "history")
-    rows = ledger.history_rows(ledger.run_totals(requests(spark, sf_dir), "run_id"), NOW)
+    rows = materialize(ledger.history_rows(ledger.run_totals(requests(spark, sf_dir), "run_id"), NOW), "totals")
     append_history(rows.filter("errors = 0"), path)
     append_history(rows.filter("errors > 0"), path)
     return read_ledger(spark, path).groupBy("status").agg(

@@ -85,7 +85,7 @@ def summary(spark, sf_dir):
     SELECT event_id, n IS NULL AS kept, coalesce(n, 0) AS n FROM e LEFT JOIN per USING (event_id)
 """)
 def split(spark, sf_dir):
-    valid, invalid = split_batch(checked_events(spark, sf_dir))
+    valid, invalid = split_batch(materialize(checked_events(spark, sf_dir).select("event_id", "errors", "valid"), "checked"))
     return valid.select("event_id", F.lit(True).alias("kept"), F.lit(0).cast("bigint").alias("n")).unionByName(
         invalid.select("event_id", F.lit(False).alias("kept"), F.size("errors").cast("bigint").alias("n"))
     )
@@ -416,7 +416,8 @@ def schema_fields(spark, sf_dir):
     UNION ALL SELECT p_partkey, 'exact', path FROM f WHERE path = 'n'
 """)
 def field_queries(spark, sf_dir):
-    fields = corpus_fields(schema_corpus(spark, sf_dir), ["p_partkey"])
+    # Written once: four questions would read every schema four times.
+    fields = materialize(corpus_fields(schema_corpus(spark, sf_dir), ["p_partkey"]), "fields")
     asked = {
         "when": fields_by_path(fields, "w*any"), "strings": fields_of_type(fields, "string"),
         "made": generatable_fields(fields), "exact": fields.filter(F.col("path") == "n"),
