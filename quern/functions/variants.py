@@ -71,6 +71,27 @@ def _kind(name: Column) -> Column:
     )
 
 
+def flat_text(json_text: Column) -> Column:
+    """How a JSON list reads inside a sentence, lists in lists at any depth run together.
+
+    Its tokens are read once: commas outside objects stay, brackets go, an object is
+    ``[object Object]``, null is empty, strings lose their quotes.
+    """
+    tokens = F.regexp_extract_all(json_text, F.lit(r'"(?:[^"\\]|\\.)*"|[\[\]{},:]|[^\[\]{},:"]+'), F.lit(0))
+
+    def read(state: Column, token: Column) -> Column:
+        depth = state["depth"]
+        inside = F.when(token == "{", depth + 1).when(token == "}", depth - 1).otherwise(depth)
+        word = (
+            F.when(token == "}", F.when(depth == 1, "[object Object]").otherwise("")).when((depth > 0) | token.isin("{", "[", "]", ":", "null"), "")
+            .when(token.startswith('"'), F.get_json_object(F.concat(F.lit("["), token, F.lit("]")), "$[0]"))
+            .when(token.isin(",", "true", "false"), token).otherwise(number_text(token.try_cast("double")))
+        )
+        return F.struct(F.concat(state["text"], F.coalesce(word, F.lit(""))).alias("text"), inside.alias("depth"))
+
+    return F.aggregate(tokens, F.struct(F.lit("").alias("text"), F.lit(0).alias("depth")), read, lambda s: s["text"])
+
+
 def _described(pairs: Column, nested: bool) -> Column:
     """Describe an array of ``struct(key, v)``.
 
@@ -88,7 +109,8 @@ def _described(pairs: Column, nested: bool) -> Column:
         if nested:
             elements = F.transform(as_array(value), lambda e: F.struct(F.lit("").alias("key"), e.alias("v")))
             texts = F.transform(
-                _described(elements, False), lambda d: F.when(d["kind"] == "null", "").otherwise(d["text"])
+                _described(elements, False),
+                lambda d: F.when(d["kind"] == "null", "").when(d["kind"] == "array", flat_text(d["text"])).otherwise(d["text"]),
             )
             text = text.when(name.startswith("ARRAY"), F.array_join(texts, ",", ""))
         else:

@@ -190,3 +190,13 @@ def test_images_in_messages(spark):
         (1, 0): {"role": "user", "content": "u"}, (1, 2): {"role": "assistant", "content": "a"}, (2, 0): {"role": "assistant", "content": "z"},
         (1, 1): {"role": "user", "content": [{"type": "text", "text": 'say "x" file'}, url("jpeg", b"abc" * 40), url("png", b"\x00\xff")]},
     }
+
+
+@pytest.mark.parametrize("doc, text", [
+    ([[1, [2, None]], "a,b", {"x": [1]}, [], [[]], [{"y": {"z": 2}}, 1e-20]], "1,2,,a,b,[object Object],,,[object Object],1e-20"),
+    ([["q\"uo]te", "é\n"], [True, [False]]], "q\"uo]te,é\n,true,false"), ([[[[[["deep"]]]]]], "deep"), ([1, None, "x"], "1,,x"),
+])
+def test_lists_in_lists_as_text(value, doc, text):
+    from quern.functions.variants import parse_exact, text_of
+
+    assert value(text_of(parse_exact(F.lit(json.dumps(doc))))) == text
