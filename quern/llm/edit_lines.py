@@ -26,6 +26,8 @@ from quern.llm.shared import link_classes, read_table, stored
 EDITS = 2
 #: Letters whose parities are compared; the rarer ones would tell few lines apart.
 LETTERS = "etaoinshrdlcumwfgypb"
+#: Further characters, compared only for lines that have met.
+FURTHER = "vkxjqz0123456789 .,;:-ETAOINSHRDLCU"
 #: Rows of identifiers (8 bytes each) up to which a filter is sent to all executors; beyond, it is a shuffled join.
 SMALL = 1_000_000
 _LINES = 1 << 31  # line numbers of a document stay below
@@ -64,12 +66,12 @@ def probe_keys(line: Column, length: Column, edits: int) -> list[tuple[int, Colu
     return out
 
 
-def letter_parities(line: Column) -> Column:
-    """A bit for each of ``LETTERS`` that occurs an odd number of times."""
-    size, bits = F.octet_length(line), F.lit(0)
-    for k, letter in enumerate(LETTERS):
-        odd = (size - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))) % 2
-        bits = bits.bitwiseOR(F.shiftleft(odd, k))
+def parities(line: Column, chars: str) -> Column:
+    """A bit for each of ``chars`` that occurs an odd number of times; an edit flips two at most."""
+    size, bits = F.octet_length(line), F.lit(0).cast("long")
+    for k, char in enumerate(chars):
+        odd = (size - F.octet_length(F.replace(line, F.lit(char), F.lit("")))) % 2
+        bits = bits.bitwiseOR(F.shiftleft(odd.cast("long"), k))
     return bits
 
 
@@ -152,7 +154,7 @@ def distinct_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     place = _place(F.col("doc"), F.col("at"))
     found = lines_of(df, id_col, text_col).groupBy("line").agg(F.count("*").alias("copies"), F.min(place).alias("place"))
     return stored(found.select(
-        F.monotonically_increasing_id().alias("lid"), "line", line_digest(F.col("line")).alias("digest"), F.length("line").alias("size"), letter_parities(F.col("line")).alias("letters"),
+        F.monotonically_increasing_id().alias("lid"), "line", line_digest(F.col("line")).alias("digest"), F.length("line").alias("size"), parities(F.col("line"), LETTERS).alias("letters"),
         "copies", "place",
     ), "lines")
 
@@ -175,10 +177,12 @@ def line_links(lines: DataFrame, edits: int = EDITS, least: int = 0) -> DataFram
     pairs = stored(index.join(probe, meet).select(F.col("lid").alias("u"), F.col("other").alias("v")).distinct(), "line-pairs")
     wanted = pairs.select(F.col("u").alias("lid")).union(pairs.select("v")).distinct()
     few = F.broadcast(wanted) if pairs.count() <= SMALL // 2 else wanted  # two identifiers a pair at most
-    texts = stored(fit.join(few, "lid", "left_semi").select("lid", "line", "size"), "paired-lines")
-    left = texts.select(F.col("lid").alias("u"), F.col("line").alias("a"), F.col("size").alias("a_size"))
-    right = texts.select(F.col("lid").alias("v"), F.col("line").alias("b"), F.col("size").alias("b_size"))
+    bits = F.col("letters").bitwiseOR(F.shiftleft(parities(line, FURTHER), len(LETTERS))).alias("bits")
+    texts = stored(fit.join(few, "lid", "left_semi").select("lid", "line", "size", bits), "paired-lines")
+    left = texts.select(F.col("lid").alias("u"), F.col("line").alias("a"), F.col("size").alias("a_size"), F.col("bits").alias("a_bits"))
+    right = texts.select(F.col("lid").alias("v"), F.col("line").alias("b"), F.col("size").alias("b_size"), F.col("bits").alias("b_bits"))
     both = pairs.join(left, "u").join(right, "v").where(F.abs(F.col("a_size") - F.col("b_size")) <= edits)
+    both = both.where(F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) <= 2 * edits)
     return stored(both.where(banded_distance(F.col("a"), F.col("b"), edits) <= edits).select("u", "v"), "line-links")
 
 
