@@ -22,7 +22,8 @@ Rows without a label, an id or a vector, or with a null or non-finite component,
 no part.  Shorter vectors count as padded with zeros.  Every row counts by itself:
 with repeated ids, ``other rows`` are all but the anchor's own row, and each of them
 has its partners.  Equal scores go by the smaller id.  Tables without rows give none.
-Columns other than the three named do not matter.  Scores are exact below 2 ** 63.
+Columns other than the three named do not matter.  Scores are exact below 2 ** 63;
+a partner whose score does not fit in a long keeps its rank, but has no window.
 """
 
 from __future__ import annotations
@@ -43,7 +44,11 @@ from quern.operators.running import top_per_key
 BLOCK, PACK, STEP = 2048, 256, 8
 #: Fractions of an anchor's own score, or of a window's upper end, at which a search begins and goes on.
 POSITIVE_STEPS, NEGATIVE_STEPS = (0.5, 0.25, 0.125), (0.9, 0.75)
-_LEAST = -(1 << 62)
+_MOST = (1 << 63) - 1
+#: From this product of two norms on, sums in 64 bits could run over.
+_WIDE = 2.0**62
+#: Pairs whose products are summed at once in integers of any size.
+_PAIRS = 4096
 #: Under this share of open pairs they are followed one by one.
 _SPARSE = 0.1
 
@@ -84,6 +89,8 @@ def blocks_of(rows: DataFrame, order: list[int]) -> DataFrame:
     """``rows`` (uid, id, label, vec; uid gapless in the order of labels) in blocks: block, labels, uids, ids, row_labels, matrix, norm (the largest)."""
 
     def pack(table: pa.Table) -> pa.Table:
+        # The rows of a group come in any order; labels are looked up as slices.
+        table = table.sort_by("uid")
         matrix = np.stack([ordered(np.asarray(v, np.int64), order) for v in table.column("vec").to_pylist()])
         uids, ids, labels = (table.column(c).to_numpy().astype("<i8") for c in ("uid", "id", "label"))
         norm = float(np.sqrt((matrix.astype(np.float64) ** 2).sum(1)).max())
@@ -107,8 +114,10 @@ class Index:
     def scores(self, anchors: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All pairs (anchor, row) that score at least the anchor's ``least``, with their scores."""
         rests = suffix_norms(anchors, self.edges)
-        exact = float(rests[:, 0].max(initial=0)) * float(self.suffix[:, 0].max(initial=0)) < 2.0**52
-        kind = np.float64 if exact else np.int64
+        total = float(rests[:, 0].max(initial=0)) * float(self.suffix[:, 0].max(initial=0))
+        kind = np.float64 if total < 2.0**52 else np.int64
+        # Whole numbers this large are rounded where they meet a bound.
+        slack = 0.0 if total < 2.0**52 else total * 2.0**-48
         rows, own = self.matrix.astype(kind), anchors.astype(kind)
         # Scores are whole numbers; a bound counts when it stays half below.
         floor = least.astype(np.float64) - 0.5
@@ -118,8 +127,9 @@ class Index:
         listed = (reach * (1 + 1e-9) >= lowest).sum(1) if lowest > 0 else np.full(len(rows), len(self.edges) - 1)
         order = np.argsort(-listed, kind="stable")
         rows, norms, listed = rows[order], self.suffix[order], listed[order]
-        open_i, open_j, part = None, None, np.zeros((len(own), int((listed > 0).sum())), kind)
-        alive = np.ones(part.shape, bool)
+        open_i, open_j, part = None, None, np.zeros((len(own), int((listed > 0).sum()) if lowest > 0 else len(rows)), kind)
+        wide = rests[:, 0][:, None] * norms[: part.shape[1], 0][None] >= _WIDE
+        alive = ~wide
         for k, (a, b) in enumerate(zip(self.edges, self.edges[1:])):
             n = int((listed > k).sum())
             if open_i is None:
@@ -128,7 +138,7 @@ class Index:
                 # Rows whose lists have ended keep their omitted dimensions in the bound.
                 ended = np.minimum(listed[: part.shape[1]], k + 1)
                 rest[:, n:] = rests[:, ended[n:]] * norms[np.arange(n, part.shape[1]), ended[n:]][None]
-                alive &= part + rest * (1 + 1e-9) >= floor[:, None]
+                alive &= part + rest * (1 + 1e-9) + slack >= floor[:, None]
                 if alive.mean() < _SPARSE if alive.size else True:
                     open_i, open_j = np.nonzero(alive)
                     part = part[open_i, open_j]
@@ -136,7 +146,7 @@ class Index:
                 inside = open_j < n
                 part[inside] += np.einsum("ij,ij->i", own[open_i[inside], a:b], rows[open_j[inside], a:b])
                 ended = np.minimum(listed[open_j], k + 1)
-                keep = part + rests[open_i, ended] * norms[open_j, ended] * (1 + 1e-9) >= floor[open_i]
+                keep = part + rests[open_i, ended] * norms[open_j, ended] * (1 + 1e-9) + slack >= floor[open_i]
                 open_i, open_j, part = open_i[keep], open_j[keep], part[keep]
         if open_i is None:
             open_i, open_j = np.nonzero(alive)
@@ -146,10 +156,22 @@ class Index:
             late = listed[open_j] <= k
             part[late] += np.einsum("ij,ij->i", own[open_i[late], a:b], rows[open_j[late], a:b])
         found = part.astype(np.int64)
+        if wide.any():
+            i, j = np.nonzero(wide)
+            open_i, open_j, found = np.concatenate([open_i, i]), np.concatenate([open_j, j]), np.concatenate([found, wide_products(own, rows, i, j)])
         keep = found >= least[open_i]
         return open_i[keep], order[open_j[keep]], found[keep]
 
 
+def wide_products(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of the rows ``i`` and ``j`` without overflow; what does not fit in a long is its largest or smallest value."""
+    out = [np.zeros(0, np.int64)]
+    for at in range(0, len(i), _PAIRS):
+        products = left[i[at : at + _PAIRS]].astype(object) * right[j[at : at + _PAIRS]].astype(object)
+        out.append(np.array([max(-_MOST, min(_MOST, int(p))) for p in products.sum(1)], np.int64))
+    return np.concatenate(out)
+
+
 def suffix_norms(matrix: np.ndarray, edges: list[int]) -> np.ndarray:
     """For each row, the norm of its components from every edge on; 0 at the last."""
     squares = matrix.astype(np.float64) ** 2
@@ -171,7 +193,7 @@ def _search(width: int, most: int, same: bool):
                 if block["block"] != (at := batch.column("block")[k].as_py()):
                     row = {c: batch.column(c)[k].as_py() for c in ("uids", "ids", "row_labels", "matrix")}
                     block = {c: numbers(v) for c, v in row.items()} | {"block": at, "indexes": {}}
-                    block["matrix"] = block["matrix"].reshape(-1, width)
+                    block["matrix"] = block["matrix"].reshape(len(block["uids"]), width)
                 yield block, batch.column("windows")[k].as_py()
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,10 +215,10 @@ def _search(width: int, most: int, same: bool):
         # Windows of one anchor share its vector and are searched together.
         anchors = {w["uid"]: w for w in asked}
         place = {uid: k for k, uid in enumerate(anchors)}
-        least = np.full(len(place), 1 << 62, np.int64)
+        least = np.full(len(place), _MOST, np.int64)
         for w in asked:
             least[place[w["uid"]]] = min(least[place[w["uid"]]], w["low"])
-        i, j, score = index.scores(numbers(b"".join(w["vec"] for w in anchors.values())).reshape(-1, width), least)
+        i, j, score = index.scores(numbers(b"".join(w["vec"] for w in anchors.values())).reshape(len(place), width), least)
         if not same:
             apart = np.array([w["label"] for w in anchors.values()])[i] != labels[j]
             i, j, score = i[apart], j[apart], score[apart]
@@ -246,7 +268,7 @@ def best_partners(windows: DataFrame, blocks: DataFrame, width: int, most: int,
             sent = packs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<long>")))
         met = sent.select("block", "windows", "lowest", "own_norm").repartition(parts, "block").join(here, "block")
         # Not where the longest row of the block stays below the lowest threshold of the pack.
-        met = met.where(F.col("own_norm") * F.col("norm") * (1 + 1e-9) >= F.col("lowest") - 1)
+        met = met.where(F.col("own_norm") * F.col("norm") * (1 + 1e-9) >= F.col("lowest").cast("double") - 1)
         hits = met.select("block", "windows", "uids", "ids", "row_labels", "matrix").mapInArrow(
             _search(width, most, same), "uid long, window long, other long, other_id long, score long"
         )
@@ -285,7 +307,7 @@ def hard_negatives(
     own = F.aggregate("vec", F.lit(0).cast("double"), lambda a, x: a + x.cast("double") * x)
     anchors = rows.where("anchor").select("uid", "id", "label", packed(F.col("vec"), order).alias("vec"), F.sqrt(own).alias("norm"), own.alias("top"))
     anchors = stored(anchors, "anchors")
-    asked = anchors.select("uid", F.lit(1).cast("long").alias("window"), "label", "vec", "norm", "top", F.lit(1 << 62).alias("high"), F.lit(_LEAST).alias("least"))
+    asked = anchors.select("uid", F.lit(1).cast("long").alias("window"), "label", "vec", "norm", "top", F.lit(_MOST).alias("high"), F.lit(-_MOST).alias("least"))
     near = best_partners(asked, blocks, len(order), positives, True, POSITIVE_STEPS)
     near = stored(near.select("uid", F.col("rank").cast("long").alias("window"), F.col("other_id").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
     low, high = share
@@ -296,7 +318,7 @@ def hard_negatives(
         F.expr(f"CAST(positive_score AS decimal(20,0)) * {high} div 100").alias("high"),
         F.expr(f"(CAST(positive_score AS decimal(20,0)) * {low} + 99) div 100").alias("least"),
     )
-    asked = stored(asked.where((p >= 0) & (F.col("least") <= F.col("high"))).withColumn("top", F.col("high").cast("double")).drop("positive_score"), "windows")
+    asked = stored(asked.where((p >= 0) & (p < _MOST) & (F.col("least") <= F.col("high"))).withColumn("top", F.col("high").cast("double")).drop("positive_score"), "windows")
     hard = best_partners(asked, blocks, len(order), negatives, False, NEGATIVE_STEPS)
     named = hard.join(near, ["uid", "window"]).join(anchors.select("uid", F.col("id").alias("anchor_id")), "uid")
     return named.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("other_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))

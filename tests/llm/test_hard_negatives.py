@@ -61,6 +61,30 @@ def test_large_numbers_stay_exact(spark):
     assert run(spark, [(*r, "u") for r in rows]) == brute(rows, set(range(0, 60, 5)))
 
 
+def test_scores_up_to_the_largest_long(spark):
+    rng = np.random.default_rng(8)
+    # Norms near sqrt(2 ** 63): scores on both sides of 2 ** 62, close ones apart by little.
+    near = [(i, i % 3, [1_500_000_000 + int(v) for v in rng.integers(0, 9, 2)] + [int(v) for v in rng.integers(0, 3 + 10**9 * (i % 3 > 0), 2)]) for i in range(60)]
+    far = [(61, 9, [1 << 62, -(1 << 61)]), (62, 8, [-(1 << 62), 1 << 60])]
+    want = brute(near + far, set(range(0, 60, 5)))
+    assert run(spark, [(*r, "u") for r in near + far]) == want
+    assert max(w[4] for w in want) > 1 << 62
+
+
+def test_vectors_without_components(spark):
+    rows = [(i, i % 2, []) for i in range(12)]
+    want = brute(rows, {0, 5, 10})
+    assert run(spark, [(*r, "u") for r in rows]) == want and len(want) == 45
+
+
+def test_blocks_sort_rows_that_come_in_any_order(spark):
+    rows = [(u, u, u // 4, [u, 1]) for u in reversed(range(40))]
+    df = spark.createDataFrame(rows, "uid long, id long, label long, vec array<long>").repartition(7)
+    got = hn.blocks_of(df, [0, 1]).first()
+    assert np.frombuffer(got.uids, "<i8").tolist() == list(range(40))
+    assert np.frombuffer(got.row_labels, "<i8").tolist() == [u // 4 for u in range(40)]
+
+
 def test_usable_and_quantised(spark):
     rows = [(1, [0.5, -0.001]), (2, [float("nan"), 1.0]), (3, [float("inf")]), (4, [None]), (5, None), (6, [])]
     df = spark.createDataFrame(rows, "id int, v array<float>")
