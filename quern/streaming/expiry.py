@@ -1,27 +1,24 @@
-"""Rows that leave after a time: silent runs and sessions, by event-time timers.
+"""Rows that leave after a time: silent runs and sessions, by event-time session windows.
 
 The state of a key holds its open spans of activity, first and last time each.
 Times that are at most ``gap`` apart belong to one span, in whatever order they
-arrive within the watermark; a timer at ``last + gap`` ends the span and emits one
-row.  A batch of one key is taken in piece by piece, and what is kept of it are
-spans, so a busy key needs no more state than a quiet one.
+arrive within the watermark; once the watermark passes ``last + gap`` the span ends
+and is one row.  The times of a batch are joined to spans in the tasks that read
+them, and what is kept of them are spans, so a busy key needs no more state than a
+quiet one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from quern.streaming.jobs import with_event_time
 
 
 def joined_spans(spans: np.ndarray, gap: int) -> np.ndarray:
-    """Spans (first, last), joined where one begins at most ``gap`` behind another."""
+    """Spans (first, last), joined where one begins at most ``gap`` behind another: what the windows below do, for an array."""
     spans = spans[np.argsort(spans[:, 0], kind="stable")]
     ends = np.maximum.accumulate(spans[:, 1])
     starts = np.concatenate([[True], spans[1:, 0] - ends[:-1] > gap])
@@ -29,56 +26,14 @@ def joined_spans(spans: np.ndarray, gap: int) -> np.ndarray:
     return np.stack([spans[first, 0], np.maximum.reduceat(spans[:, 1], first)], 1)
 
 
-class Expiring(StatefulProcessor):
-    def __init__(self, key: str, gap_ms: int):
-        self.key, self.gap = key, gap_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.spans = handle.getListState("spans", "first_ms long, last_ms long")
-
-    def _held(self) -> np.ndarray:
-        return np.array([tuple(s) for s in self.spans.get()], np.int64).reshape(-1, 2)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = self._held()
-        spans = before
-        for frame in rows:
-            times = frame["at_ms"].to_numpy(np.int64)
-            if len(times):
-                spans = joined_spans(np.concatenate([spans, np.stack([times, times], 1)]), self.gap)
-        self.spans.put([(int(a), int(b)) for a, b in spans])
-        old, new = ({int(b) + self.gap for _, b in s} for s in (before, spans))
-        for at in old - new:
-            self.handle.deleteTimer(at)
-        for at in new - old:
-            self.handle.registerTimer(at)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        spans = self._held()
-        gone = spans[:, 1] + self.gap <= now
-        if gone.all():
-            self.spans.clear()
-        else:
-            self.spans.put([(int(a), int(b)) for a, b in spans[~gone]])
-        yield pd.DataFrame({self.key: [key[0]] * int(gone.sum()), "first_ms": spans[gone, 0], "last_ms": spans[gone, 1], "expired_ms": spans[gone, 1] + self.gap})
-
-    def close(self) -> None:
-        return None
-
-
 def expired(events: DataFrame, key: str, ts: str, gap_ms: int, late: str) -> DataFrame:
     """One row for each span of activity of a key once it has been silent for ``gap_ms``: first, last and expiry time in milliseconds.
 
     Sessions are the same with the token as key and their lifetime as gap; a use
     prolongs them.  Rows without a key or time have none and are left out.
     """
-    kind = dict(events.dtypes)[key]
-    timed = with_event_time(events.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(key, ts), ts, late)
-    timed = timed.withColumn("at_ms", F.unix_millis(F.col(ts)))
-    return timed.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=Expiring(key, gap_ms), outputStructType=f"`{key}` {kind}, first_ms long, last_ms long, expired_ms long",
-        outputMode="Append", timeMode="EventTime",
-    )
+    known = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
+    whole = known.select(key, F.timestamp_millis(F.unix_millis(F.col(ts).cast("timestamp"))).alias(ts))
+    spans = with_event_time(whole, ts, late).groupBy(key, F.session_window(ts, f"{gap_ms} milliseconds").alias("_w")).agg(F.count("*").alias("_n"))
+    end = F.unix_millis("_w.end")
+    return spans.select(key, F.unix_millis("_w.start").alias("first_ms"), (end - gap_ms).alias("last_ms"), end.alias("expired_ms"))
