@@ -200,3 +200,30 @@ def test_lists_in_lists_as_text(value, doc, text):
     from quern.functions.variants import parse_exact, text_of
 
     assert value(text_of(parse_exact(F.lit(json.dumps(doc))))) == text
+
+
+def test_texts_are_merged_in_one_pass():
+    from quern.operators.merging import joined_texts
+
+    deep = lambda n, inner: '{"x":' * n + inner + "}" * n
+    got = joined_texts(deep(300, '{"a":1.50,"b":[1,{"c":2}],"q":"\\u00e9\\""}'), deep(300, '{"b":[0.10],"n":null,"z":-1e-400}'))
+    assert got.replace(" ", "") == deep(300, '{"a":1.50,"b":[0.10],"q":"\\u00e9\\"","n":null,"z":-1e-400}')
+    assert joined_texts("[1]", "2") == "2" and joined_texts('{"a":1}', "null") == "null"
+    assert joined_texts('{"a":"\\u0000"}', '{"a":1.5}') is None
+
+
+def test_documents_keep_the_types_that_text_would_change(spark):
+    rows = [(0, '{"a":{"b":1e2,"c":0.50}}', '{"a":{"d":"2"}}'), (1, '{"a":{"b":1.0}}', '{"a":{"d":[1,"x",1e2]}}'), (2, '{"a":{"b":1}}', '{"a":{"d":0.5}}'), (3, None, '{"e":1}'), (4, '{"e":1}', None)]
+    df = spark.createDataFrame(rows, "k int, l string, r string").select("k", F.try_parse_json("l").alias("l"), F.try_parse_json("r").alias("r"))
+    got = {r.k: r.t for r in merge_documents(df, "l", "r").select("k", F.to_json("merged").alias("t")).collect()}
+    assert got == {0: '{"a":{"b":100.0,"c":0.5,"d":"2"}}', 1: '{"a":{"b":1,"d":[1,"x",100.0]}}', 2: '{"a":{"b":1,"d":0.5}}', 3: '{"e":1}', 4: '{"e":1}'}
+
+
+def test_work_is_dealt_by_rows(spark, tmp_path, monkeypatch):
+    from quern import session
+
+    monkeypatch.setattr(session, "SPREAD_ROWS", 100)
+    spark.range(0, 2500, 1, 9).write.parquet(str(tmp_path / "rows"))
+    dealt = session.spread(spark.read.parquet(str(tmp_path / "rows")))
+    sizes = [r.n for r in dealt.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 25 and max(sizes) < 150 and sum(sizes) == 2500
