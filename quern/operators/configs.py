@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from typing import Any
 
 from pyspark.sql import Column
@@ -77,15 +77,24 @@ def merge(base: Column, override: Column, depth: int = MERGE_DEPTH) -> Column:
     Documents nested deeper than ``depth`` objects on both sides stop the job
     instead of being merged wrongly.
     """
-    left, right = as_object(base), as_object(override)
-    if depth == 0:
-        joined = F.raise_error(F.lit(f"documents are nested deeper than {MERGE_DEPTH} levels"))
-    else:
-        def pick(_: Column, a: Column, b: Column) -> Column:
-            return F.when(b.isNull(), a).when(a.isNull(), b).otherwise(merge(a, b, depth - 1))
+    def pick(_: Column, a: Column, b: Column) -> Column:
+        return F.when(b.isNull(), a).when(a.isNull(), b).otherwise(merge(a, b, depth - 1))
 
-        joined = F.to_variant_object(F.map_zip_with(left, right, pick))
-    return F.when(override.isNull(), base).when(left.isNotNull() & right.isNotNull(), joined).otherwise(override)
+    def joined(p: Column) -> Column:
+        if depth == 0:
+            value = F.raise_error(F.lit(f"documents are nested deeper than {MERGE_DEPTH} levels")).cast("variant")
+        else:
+            value = F.to_variant_object(F.map_zip_with(p["left"], p["right"], pick))
+        return F.when(p["left"].isNotNull() & p["right"].isNotNull(), value)
+
+    # Both objects are read once.
+    both = _bound(F.struct(as_object(base).alias("left"), as_object(override).alias("right")), joined)
+    return F.when(override.isNull(), base).otherwise(F.coalesce(both, override))
+
+
+def _bound(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that is computed once, however often ``fn`` names it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
 def with_options(doc: Column, options: Mapping[str, Any]) -> Column:
@@ -107,9 +116,12 @@ def with_options(doc: Column, options: Mapping[str, Any]) -> Column:
         sections.append(F.struct(F.lit(options["output"]).alias("outputPath")).alias("output"))
     out = merge(doc, F.to_variant_object(F.struct(*sections)), 3) if sections else doc
     if options.get("count"):
-        tasks = as_array(at(out, "generation", "tasks"))
         wanted = F.to_variant_object(F.struct(F.lit(int(options["count"])).alias("count")))
-        changed = F.transform(tasks, lambda t, i: F.when(i == 0, merge(t, wanted, 2)).otherwise(t))
-        section = F.to_variant_object(F.struct(F.struct(F.to_variant_object(changed).alias("tasks")).alias("generation")))
-        out = F.when(F.size(tasks) > 0, merge(out, section, 3)).otherwise(out)
+
+        def counted(p: Column) -> Column:
+            changed = F.transform(p["tasks"], lambda t, i: F.when(i == 0, merge(t, wanted, 2)).otherwise(t))
+            section = F.to_variant_object(F.struct(F.struct(F.to_variant_object(changed).alias("tasks")).alias("generation")))
+            return F.when(F.size(p["tasks"]) > 0, _bound(F.struct(p["doc"].alias("doc"), section.alias("section")), lambda q: merge(q["doc"], q["section"], 3))).otherwise(p["doc"])
+
+        out = _bound(out, lambda d: _bound(F.struct(d.alias("doc"), as_array(at(d, "generation", "tasks")).alias("tasks")), counted))
     return out
