@@ -27,44 +27,48 @@ EDITS = 2
 #: Characters of the lines that ``line_links`` joins where nothing else is asked; the operators ask for all lines.
 LEAST_CHARS = 16
 #: Letters whose parities are compared; the rarer ones would tell few lines apart.
-LETTERS = "etaoinshrdlcumwfgypb"
+LETTERS = "etaoinshrdlcumwf"
 #: Further characters, compared only for lines that have met.
-FURTHER = "vkxjqz0123456789 .,;:-ETAOINSHRDLCU"
+FURTHER = "gypbvkxjqz0123456789 .,;:-ETAOINSHRDLCU"
 #: Rows of identifiers (8 bytes each) up to which a filter is sent to all executors; beyond, it is a shuffled join.
 SMALL = 1_000_000
 _LINES = 1 << 31  # line numbers of a document stay below
 _PLACE = "decimal(38,0)"
 
 
-def _segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
-    """(start from 0, length) of ``edits + 1`` segments; the longer ones come last."""
-    k = edits + 1
-    short, longer = F.floor(length / k).cast("int"), length % k
-    out = []
-    for i in range(k):
-        extra = F.greatest(F.lit(i) - (F.lit(k) - longer), F.lit(0))
-        size = short + (F.lit(i) >= F.lit(k) - longer).cast("int")
-        out.append((short * i + extra, size))
-    return out
+def _with_cuts(lines: DataFrame, edits: int) -> DataFrame:
+    """``lines`` with a column for the length and the ends of the segments of every length that is probed.
 
+    Columns, not expressions in each key: the code of all keys of a line then stays
+    below the 8000 bytes of a method that the JVM compiles.
+    """
+    cuts = {}
+    for shorter in range(edits + 1):
+        length = F.col("size") - shorter
+        cuts[f"size{shorter}"] = length
+        for i in range(1, edits + 1):
+            cuts[f"cut{shorter}_{i}"] = F.call_function("div", length * i, F.lit(edits + 1)).cast("int")
+    return lines.select("*", *[value.alias(name) for name, value in cuts.items()])
 
-def _key(length: Column, i: int, line: Column, start: Column, size: Column) -> Column:
-    return F.xxhash64(length, F.lit(i), F.substring(line, start + 1, size))
 
+def _key(shorter: int, i: int, shift: int, edits: int) -> Column:
+    """Key of segment ``i`` of a line ``shorter`` characters shorter, read ``shift`` characters on."""
+    cut = lambda k: F.lit(0) if k == 0 else F.col(f"size{shorter}") if k > edits else F.col(f"cut{shorter}_{k}")
+    return F.xxhash64(F.col(f"size{shorter}"), F.lit(i), F.substring("line", cut(i) + (shift + 1), cut(i + 1) - cut(i)))
 
-def index_keys(line: Column, length: Column, edits: int) -> list[Column]:
-    return [_key(length, i, line, start, size) for i, (start, size) in enumerate(_segments(length, edits))]
 
+def index_keys(edits: int) -> list[Column]:
+    return [_key(0, i, 0, edits) for i in range(edits + 1)]
 
-def probe_keys(line: Column, length: Column, edits: int) -> list[tuple[int, Column]]:
+
+def probe_keys(edits: int) -> list[tuple[int, Column]]:
     """(how much shorter the indexed line is, key) of every substring that can be its unchanged segment."""
     out = []
     for shorter in range(edits + 1):
-        other = length - shorter
-        for i, (start, size) in enumerate(_segments(other, edits)):
+        for i in range(edits + 1):
             # Edits before the segment: at most i; after it: at most edits - i.
             for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
-                out.append((shorter, _key(other, i, line, start + shift, size)))
+                out.append((shorter, _key(shorter, i, shift, edits)))
     return out
 
 
@@ -156,22 +160,26 @@ def distinct_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     place = _place(F.col("doc"), F.col("at"))
     found = lines_of(df, id_col, text_col).groupBy("line").agg(F.count("*").alias("copies"), F.min(place).alias("place"))
     return stored(found.select(
-        F.monotonically_increasing_id().alias("lid"), "line", line_digest(F.col("line")).alias("digest"), F.length("line").alias("size"), parities(F.col("line"), LETTERS).alias("letters"),
-        "copies", "place",
+        F.monotonically_increasing_id().alias("lid"), "line", line_digest(F.col("line")).alias("digest"), F.length("line").alias("size"),
+        parities(F.col("line"), LETTERS).alias("letters"), "copies", "place",
     ), "lines")
 
 
+def meeting_keys(lines: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
+    """(lid, letters, key) of every segment, and (other, letters2, shorter, key2) of every substring that can be one."""
+    cut = _with_cuts(lines, edits)
+    index = cut.select("lid", "letters", F.explode(F.array(*index_keys(edits))).alias("key"))
+    probes = [F.struct(F.lit(d > 0).alias("shorter"), k.alias("key2")) for d, k in probe_keys(edits)]
+    return index, cut.select(F.col("lid").alias("other"), F.col("letters").alias("letters2"), F.explode(F.array(*probes)).alias("p")).select("other", "letters2", "p.*")
+
+
 def line_links(lines: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
     """Pairs (u, v) of distinct lines of at least ``least`` characters within ``edits``; each once.
 
     Lines of up to ``edits`` characters have an empty segment, a key on which they meet all lines of a length they can link to.
     """
     fit = lines.where(F.col("size") >= least).select("lid", "line", "size", "letters")
-    line, size = F.col("line"), F.col("size")
-    index = fit.select("lid", "letters", F.explode(F.array(*index_keys(line, size, edits))).alias("key"))
-    probes = [F.struct(F.lit(d > 0).alias("shorter"), k.alias("key")) for d, k in probe_keys(line, size, edits)]
-    probe = fit.select(F.col("lid").alias("other"), F.col("letters").alias("letters2"), F.explode(F.array(*probes)).alias("p"))
-    probe = probe.select("other", "letters2", "p.*").withColumnRenamed("key", "key2")
+    index, probe = meeting_keys(fit, edits)
     meet = (
         (F.col("key") == F.col("key2")) & (F.col("shorter") | (F.col("other") > F.col("lid")))
         & (F.bit_count(F.col("letters").bitwiseXOR(F.col("letters2"))) <= 2 * edits)
@@ -179,7 +187,7 @@ def line_links(lines: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -
     pairs = stored(index.join(probe, meet).select(F.col("lid").alias("u"), F.col("other").alias("v")).distinct(), "line-pairs")
     wanted = pairs.select(F.col("u").alias("lid")).union(pairs.select("v")).distinct()
     few = F.broadcast(wanted) if pairs.count() <= SMALL // 2 else wanted  # two identifiers a pair at most
-    bits = F.col("letters").bitwiseOR(F.shiftleft(parities(line, FURTHER), len(LETTERS))).alias("bits")
+    bits = F.col("letters").bitwiseOR(F.shiftleft(parities(F.col("line"), FURTHER), len(LETTERS))).alias("bits")
     texts = stored(fit.join(few, "lid", "left_semi").select("lid", "line", "size", bits), "paired-lines")
     left = texts.select(F.col("lid").alias("u"), F.col("line").alias("a"), F.col("size").alias("a_size"), F.col("bits").alias("a_bits"))
     right = texts.select(F.col("lid").alias("v"), F.col("line").alias("b"), F.col("size").alias("b_size"), F.col("bits").alias("b_bits"))

@@ -218,6 +218,26 @@ def test_edit_join(spark, edits):
     assert all(r.e == r.d if r.d <= edits else r.e > edits for r in got)
 
 
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_long_lines_are_joined(spark, edits):
+    rng = np.random.default_rng(40 + edits)
+    base = ["".join(rng.choice(list("abcdefg é"), n)) for n in (94, 95, 96, 97, 98, 130, 300)]
+    lines = sorted({altered(rng, base[rng.integers(len(base))], rng.integers(0, 5)) for _ in range(250)})
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    known = edit_lines.distinct_lines(df, "doc_id", "text")
+    text = {r.lid: r.line for r in known.collect()}
+    want = {(a, b) for k, a in enumerate(lines) for b in lines[k + 1 :] if abs(len(a) - len(b)) <= edits and distance(a, b) <= edits}
+    assert {tuple(sorted((text[r.u], text[r.v]))) for r in edit_lines.line_links(known, edits, 0).collect()} == want
+
+
+def test_code_of_line_keys_is_compiled(spark, docs, capsys):
+    known = edit_lines.distinct_lines(docs, "doc_id", "text")
+    for keys in edit_lines.meeting_keys(known, 2):
+        keys.explain("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert len(sizes) >= 2 and max(sizes) < 8000  # the JVM interprets larger methods
+
+
 def test_line_classes_odd_rows(spark, docs, none):
     same, near = "the quick brown fox jumps", "the quick brown fax jumps"
     df = spark.createDataFrame([(2, f"{same}\nx\n{same}"), (1, f"{near}\n\nx"), (None, "only here, twice over\n" + same), (5, None), (6, "")], "doc_id long, text string")
