@@ -9,7 +9,8 @@ that can still match, for lines as long as itself or up to ``edits`` shorter.
 
 A pair that meets this way must also agree, but for ``2 * edits`` bits, in the
 parities of its letters (an edit flips two at most), which the join checks before
-it makes a row.  What remains is verified by an edit distance over the band of
+it makes a row.  Lines of a segment that many lines share must agree so in every
+window of ``WINDOW`` characters too.  What remains is verified by an edit distance over the band of
 ``2 * edits + 1`` diagonals, kept as bits of two numbers per column.
 """
 
@@ -30,6 +31,8 @@ LEAST_CHARS = 16
 LETTERS = "etaoinshrdlcumwf"
 #: Further characters, compared only for lines that have met.
 FURTHER = "gypbvkxjqz0123456789 .,;:-ETAOINSHRDLCU"
+#: Lines with one segment beyond which all of them are compared window by window, and the characters of a window.
+CROWD, WINDOW = 16, 64
 #: Rows of identifiers (8 bytes each) up to which a filter is sent to all executors; beyond, it is a shuffled join.
 SMALL = 1_000_000
 _LINES = 1 << 31  # line numbers of a document stay below
@@ -165,28 +168,76 @@ def distinct_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ), "lines")
 
 
-def meeting_keys(lines: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
-    """(lid, letters, key) of every segment, and (other, letters2, shorter, key2) of every substring that can be one."""
-    cut = _with_cuts(lines, edits)
-    index = cut.select("lid", "letters", F.explode(F.array(*index_keys(edits))).alias("key"))
+def window_parities(line: Column, size: Column) -> Column:
+    """``parities`` of each window of a line, by all letters.
+
+    An edit takes one character at most out of a window and one into it, also where it
+    moves what stands behind; so it flips two bits at most in each of them.
+    """
+    starts = F.sequence(F.lit(0), F.call_function("div", size, F.lit(WINDOW)).cast("int"))
+    return F.transform(starts, lambda k: _let(F.substring(line, k * WINDOW + 1, F.lit(WINDOW)), lambda part: parities(part, LETTERS + FURTHER)))
+
+
+def _close_windows(a: Column, b: Column, edits: int) -> Column:
+    bits = lambda x: F.coalesce(x, F.lit(0).cast("long"))  # noqa: E731  no window: the other line is longer
+    return F.forall(F.zip_with(a, b, lambda x, y: F.bit_count(bits(x).bitwiseXOR(bits(y))) <= 2 * edits), lambda near: near)
+
+
+def crowded_lines(keyed: DataFrame) -> DataFrame:
+    """lid of the lines that share one of their ``keys`` with more than ``CROWD`` lines."""
+    each = keyed.select("lid", F.explode("keys").alias("key"))
+    crowds = stored(each.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key"), "crowds")
+    return stored(each.join(_few(crowds, crowds.count()), "key", "left_semi").select("lid").distinct(), "crowded-lines")
+
+
+def _few(ids: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(ids) if rows <= SMALL else ids
+
+
+def meeting_keys(lines: DataFrame, edits: int, *keep: str) -> tuple[DataFrame, DataFrame]:
+    """(lid, letters, key) of every segment, and (other, letters2, shorter, key2) of every substring that can be one.
+
+    Columns of ``keep`` go along, on the second side with a 2 behind their names.
+    """
+    cut, kept = _with_cuts(lines, edits), ["letters", *keep]
+    index = cut.select("lid", *kept, F.explode(F.array(*index_keys(edits))).alias("key"))
     probes = [F.struct(F.lit(d > 0).alias("shorter"), k.alias("key2")) for d, k in probe_keys(edits)]
-    return index, cut.select(F.col("lid").alias("other"), F.col("letters").alias("letters2"), F.explode(F.array(*probes)).alias("p")).select("other", "letters2", "p.*")
+    probe = cut.select(F.col("lid").alias("other"), *[F.col(c).alias(f"{c}2") for c in kept], F.explode(F.array(*probes)).alias("p"))
+    return index, probe.select("other", *[f"{c}2" for c in kept], "p.*")
 
 
-def line_links(lines: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
-    """Pairs (u, v) of distinct lines of at least ``least`` characters within ``edits``; each once.
+def meeting_pairs(lines: DataFrame, edits: int) -> DataFrame:
+    """Pairs (u, v) of lines that share a segment and may be within ``edits`` by their letters; each once.
 
-    Lines of up to ``edits`` characters have an empty segment, a key on which they meet all lines of a length they can link to.
+    Two crowded lines meet in a join of their own, which also checks their windows.
     """
-    fit = lines.where(F.col("size") >= least).select("lid", "line", "size", "letters")
-    index, probe = meeting_keys(fit, edits)
+    keyed = stored(_with_cuts(lines, edits).select("lid", "letters", F.array(*index_keys(edits)).alias("keys")), "line-keys")
+    crowded = crowded_lines(keyed)
+    marks = _few(crowded, crowded.count()).withColumn("mark", F.lit(True))
+    marked = lambda rows: rows.join(marks, "lid", "left").withColumn("crowded", F.col("mark").isNotNull()).drop("mark")
+    index = marked(keyed).select("lid", "letters", "crowded", F.explode("keys").alias("key"))
+    known = marked(lines)
+    _, probe = meeting_keys(known, edits, "crowded")
+    crowd = stored(known.where("crowded").withColumn("windows", window_parities(F.col("line"), F.col("size"))), "crowded-windows")
+    in_crowd, probe_crowd = meeting_keys(crowd, edits, "windows")
     meet = (
         (F.col("key") == F.col("key2")) & (F.col("shorter") | (F.col("other") > F.col("lid")))
         & (F.bit_count(F.col("letters").bitwiseXOR(F.col("letters2"))) <= 2 * edits)
     )
-    pairs = stored(index.join(probe, meet).select(F.col("lid").alias("u"), F.col("other").alias("v")).distinct(), "line-pairs")
+    met = index.join(probe, meet & ~(F.col("crowded") & F.col("crowded2"))).select("lid", "other")
+    met = met.union(in_crowd.join(probe_crowd, meet & _close_windows(F.col("windows"), F.col("windows2"), edits)).select("lid", "other"))
+    return stored(met.select(F.col("lid").alias("u"), F.col("other").alias("v")).distinct(), "line-pairs")
+
+
+def line_links(lines: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+    """Pairs (u, v) of distinct lines of at least ``least`` characters within ``edits``; each once.
+
+    Lines of up to ``edits`` characters have an empty segment, a key on which they meet all lines of a length they can link to.
+    """
+    fit = lines.where(F.col("size") >= least).select("lid", "line", "size", "letters")
+    pairs = meeting_pairs(fit, edits)
     wanted = pairs.select(F.col("u").alias("lid")).union(pairs.select("v")).distinct()
-    few = F.broadcast(wanted) if pairs.count() <= SMALL // 2 else wanted  # two identifiers a pair at most
+    few = _few(wanted, 2 * pairs.count())  # two identifiers a pair at most
     bits = F.col("letters").bitwiseOR(F.shiftleft(parities(F.col("line"), FURTHER), len(LETTERS))).alias("bits")
     texts = stored(fit.join(few, "lid", "left_semi").select("lid", "line", "size", bits), "paired-lines")
     left = texts.select(F.col("lid").alias("u"), F.col("line").alias("a"), F.col("size").alias("a_size"), F.col("bits").alias("a_bits"))

@@ -230,6 +230,22 @@ def test_long_lines_are_joined(spark, edits):
     assert {tuple(sorted((text[r.u], text[r.v]))) for r in edit_lines.line_links(known, edits, 0).collect()} == want
 
 
+def test_near_copies_meet_where_windows_agree(spark):
+    rng = np.random.default_rng(60)
+    base = "".join(rng.choice(list("abcdefgh é"), 140))
+    lines = {base[:at] + "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 4)) + base[at:] for at in rng.integers(0, 140, 50)}
+    lines = sorted(lines | {altered(rng, line, 2) for line in sorted(lines)[:20]})
+    known = edit_lines.distinct_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), "doc_id", "text")
+    text = {r.lid: r.line for r in known.collect()}
+    found = [tuple(sorted((text[r.u], text[r.v]))) for r in edit_lines.line_links(known, 2).collect()]
+    odd = [sum((line.count(c) % 2) << n for n, c in enumerate(edit_lines.LETTERS)) for line in lines]
+    near = [(a, b) for k, a in enumerate(lines) for n, b in enumerate(lines[k + 1 :], k + 1) if bin(odd[k] ^ odd[n]).count("1") <= 4]
+    want = {(a, b) for a, b in near if abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2}
+    assert set(found) == want and len(found) == len(want)
+    # By letters of whole lines alone, most near misses would meet.
+    assert edit_lines.meeting_pairs(known, 2).count() - len(want) < (len(near) - len(want)) / 4
+
+
 def test_code_of_line_keys_is_compiled(spark, docs, capsys):
     known = edit_lines.distinct_lines(docs, "doc_id", "text")
     for keys in edit_lines.meeting_keys(known, 2):
